@@ -34,3 +34,18 @@ def sequential_index(df: DataFrame, order_cols: list, name: str = "idx", start:
         name, F.col("_off") + F.col("_local") + F.lit(start)
     )
     return out.drop("_pid", "_mid", "_local", "_off")
+
+
+def scan_order_index(df: DataFrame, name: str = "line_no", start: int = 0) -> DataFrame:
+    """Number rows in scan order (file split order, then row order) without a
+    sort: per-partition counts give each partition's offset. Meant directly on
+    a file scan, whose partitions are deterministic splits."""
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn(
+        "_off",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).select("_pid", "_off")
+    out = tagged.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_local") + F.lit(start))
+    return out.drop("_pid", "_mid", "_local", "_off")

@@ -25,9 +25,14 @@ def whitespace_words(col) -> Column:
     return F.array_remove(F.split(_c(col), WS), F.lit(""))
 
 
+def strip_ws(col) -> Column:
+    """Python ``str.strip()``: leading and trailing whitespace (not only spaces)."""
+    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+
+
 def strip_tags(col) -> Column:
-    """Remove ``[ WP ]``/``( EU )``-style tags (brackets need not match), then trim."""
-    return F.trim(F.regexp_replace(_c(col), TAG_PATTERN, ""))
+    """Remove ``[ WP ]``/``( EU )``-style tags (brackets need not match), then strip."""
+    return strip_ws(F.regexp_replace(_c(col), TAG_PATTERN, ""))
 
 
 def combine_prompt_story(prompt, story) -> Column:

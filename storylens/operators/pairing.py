@@ -124,6 +124,23 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, checkpoi
     )
 
 
+def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = BLOCK) -> DataFrame:
+    """C06 without emitting pairs: for each chooser ``(dim, cidx, vec)`` its most
+    similar partner ``(dim, pidx, vec)`` by cosine (ties: larger pidx), from a
+    blocked matrix product per dimension. Returns ``(dim, cidx, pidx, sim)``."""
+    c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec"))
+    p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec"))
+    nb = c.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).cast("int").alias("n_blk"))
+    c = c.join(F.broadcast(nb), "dim").withColumn("blk", F.pmod(F.hash("cidx"), F.col("n_blk"))).drop("n_blk")
+    reps = p.join(F.broadcast(nb), "dim").select(
+        "dim", "pidx", "vec", F.lit(None).cast("long").alias("holder"),
+        F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
+    return (
+        c.groupBy("dim", "blk").cogroup(reps.groupBy("dim", "blk"))
+        .applyInPandas(_best_partner, _PROPOSAL_SCHEMA)
+    )
+
+
 def greedy_pairs_reference(low_words, high_words, sim: np.ndarray):
     """Plain sequential definition, used as the brute-force check in tests.
 

@@ -1,79 +1,17 @@
 """Registered queries: one per operator of the inventory, each with (when
-SQL-expressible) a DuckDB twin over the same driver tables.
-
-``QUERIES[name] = fn(spark, sf_dir) -> DataFrame`` and ``ORACLE[name] = sql``.
-Floating outputs are rounded to 6 decimals in both engines.
+SQL-expressible) a DuckDB twin over the same driver tables. Importing this
+module registers every query family.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from storylens.constants import DIMENSIONS
-from storylens.functions import text as T
 from storylens.operators import analysis as N
 from storylens.plans import common as C
 from storylens.plans.oracle_fixtures import with_ctes
-from storylens.sources import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = lambda spark, sf: C.rounded(fn(spark, sf))
-        QUERIES[name].__doc__ = fn.__doc__
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return deco
-
-
-# --- SQL building blocks -------------------------------------------------------
+from storylens.plans.registry import ORACLE, QUERIES, query
+from storylens.plans.sqlparts import SQL_ATTRS_ALL, SQL_Z, sql_avg_scores
 
-DIMS_SQL = ", ".join(f"('{d}')" for d in DIMENSIONS)
-
-SQL_ATTRS_ALL = """
-SELECT s_key, 'all' AS am, attr
-FROM (SELECT s_key, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS attr
-      FROM fx_stories)"""
-
-SQL_COUNTS = """SELECT s_key, am, lower(attr) AS w, count(*) AS n FROM attrs GROUP BY s_key, am, lower(attr)"""
-SQL_TOTALS = """SELECT s_key, am, sum(n) AS n_all FROM counts GROUP BY s_key, am"""
-SQL_MODES = """SELECT dim, count(DISTINCT score) = 1 AS unipolar FROM fx_lexicon GROUP BY dim"""
-SQL_AVG_FOUND = """
-SELECT c.s_key, c.am, l.dim, 'avg' AS sm, sum(c.n * l.score) AS num, sum(c.n) AS den
-FROM counts c JOIN fx_lexicon l ON c.w = l.word GROUP BY c.s_key, c.am, l.dim"""
-
-
-def sql_avg_scores(ams: list[str]) -> list[tuple[str, str]]:
-    ams_sql = ", ".join(f"('{a}')" for a in ams)
-    return [
-        ("counts", SQL_COUNTS),
-        ("totals", SQL_TOTALS),
-        ("modes", SQL_MODES),
-        ("found", SQL_AVG_FOUND),
-        ("scores", f"""
-SELECT g.s_key, g.p_ind, g.s_ind, g.writer, g.s_id, g.s_pov, g.p_pov, g.am, g.dim, 'avg' AS sm,
-       CASE WHEN m.unipolar THEN coalesce(CASE WHEN t.n_all > 0 THEN f.num / t.n_all END, 0.0)
-            ELSE coalesce(CASE WHEN f.den > 0 THEN f.num / f.den END, 0.0) END AS score
-FROM (SELECT s.*, a.am, d.dim FROM fx_stories s, (VALUES {ams_sql}) a(am), (VALUES {DIMS_SQL}) d(dim)) g
-LEFT JOIN found f ON f.s_key = g.s_key AND f.am = g.am AND f.dim = g.dim
-LEFT JOIN totals t ON t.s_key = g.s_key AND t.am = g.am
-LEFT JOIN modes m ON m.dim = g.dim"""),
-    ]
-
-
-SQL_Z = """
-SELECT *, CASE WHEN stddev_pop(score) OVER (PARTITION BY dim, am, sm) > 0
-               THEN (score - avg(score) OVER (PARTITION BY dim, am, sm))
-                    / stddev_pop(score) OVER (PARTITION BY dim, am, sm) END AS z_score
-FROM scores"""
+__all__ = ["QUERIES", "ORACLE"]
 
 
 # --- flagship -----------------------------------------------------------------
@@ -96,3 +34,15 @@ def q_flagship(spark, sf):
     story POV and writer (N16)."""
     z = C.grid_z(spark, sf, ams=["all"], sms=["avg"])
     return N.pov_table(z, "all", sm="avg")
+
+
+# register the other families
+from storylens.plans import (  # noqa: E402,F401
+    q_analysis,
+    q_attrs,
+    q_eval,
+    q_incremental,
+    q_pov,
+    q_score,
+    q_text,
+)

@@ -80,7 +80,8 @@ WHERE u.role = 'user'"""),
 }
 
 
-def with_ctes(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_ctes(names: list[str], body: str, extra: list[tuple[str, str]] | None = None,
+              recursive: bool = False) -> str:
     """Assemble ``WITH a AS (...), b AS (...) body`` with dependencies first."""
     order: list[str] = []
 
@@ -96,4 +97,4 @@ def with_ctes(names: list[str], body: str, extra: list[tuple[str, str]] | None =
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order]
     for n, sql in extra or []:
         parts.append(f"{n} AS ({sql}\n)")
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body

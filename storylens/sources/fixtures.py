@@ -81,11 +81,16 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_vocab: (word, vec_id, vec, label); vec_id = frequency rank - 1."""
+    """fx_vocab: (word, vec_id, vec, label); vec_id = frequency rank - 1.
+
+    Materialised with a reliable checkpoint: it is a stand-in input table
+    (bounded by the embedding count) read by several operators of one query.
+    """
     counts = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
     ranked = sequential_index(counts, [F.col("cnt").desc(), F.col("word").asc()], "vec_id")
     emb = read_table(spark, sf_dir, "embeddings")
-    return ranked.join(emb, "vec_id").select("word", "vec_id", F.col("embedding").alias("vec"), "label")
+    v = ranked.join(emb, "vec_id").select("word", "vec_id", F.col("embedding").alias("vec"), "label")
+    return v.checkpoint()
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,23 +99,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_lexicon: (dim, word, score, ord) for the six dimensions."""
+    """fx_lexicon: (dim, word, score, ord) for the six dimensions, one pass
+    over the vocabulary."""
     v = vocab(spark, sf_dir)
     lab = F.col("label")
     parts = [
-        ("valence", lab / 9.0, None),
-        ("arousal", ((lab * 7) % 10) / 9.0, None),
-        ("dominance", ((lab * 3) % 10) / 9.0, None),
-        ("power", (lab % 2).cast("double"), None),
+        ("valence", lab / 9.0, F.lit(True)),
+        ("arousal", ((lab * 7) % 10) / 9.0, F.lit(True)),
+        ("dominance", ((lab * 3) % 10) / 9.0, F.lit(True)),
+        ("power", (lab % 2).cast("double"), F.lit(True)),
         ("appearance", F.lit(1.0), lab == 3),
         ("intellect", F.lit(1.0), lab.isin(5, 6)),
     ]
-    out = None
-    for dim, score, cond in parts:
-        p = v if cond is None else v.filter(cond)
-        p = p.select(F.lit(dim).alias("dim"), "word", score.cast("double").alias("score"), F.col("vec_id").alias("ord"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(d).alias("dim"), sc.cast("double").alias("score"), keep.alias("keep"))
+        for d, sc, keep in parts
+    ]))
+    lx = v.select("word", F.col("vec_id").alias("ord"), rows.alias("r")).filter(F.col("r.keep"))
+    return lx.select(F.col("r.dim").alias("dim"), "word", F.col("r.score").alias("score"), "ord").checkpoint()
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
