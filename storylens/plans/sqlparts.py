@@ -46,3 +46,36 @@ SELECT *, CASE WHEN stddev_pop(score) OVER (PARTITION BY dim, am, sm) > 0
 FROM scores"""
 
 
+
+
+# --- attribute extraction over fx_tokens / fx_phrases ---------------------------
+
+PROT_SQL = "'the', 'The', 'of', 'de', 'la'"
+
+SQL_E02 = f"""
+SELECT t.s_key, t.pos AS ord, h.text AS attr, 'E02' AS rule
+FROM fx_tokens t JOIN fx_tokens h ON h.s_key = t.s_key AND h.pos = t.head_pos
+WHERE t.dep = 'nsubj' AND t.text IN ({PROT_SQL}) AND (starts_with(h.tag, 'VB') OR h.tag = 'JJ')"""
+
+SQL_E03_ANC = """
+SELECT s_key, pos, head_pos AS cur FROM fx_tokens WHERE dep = 'amod'
+UNION ALL
+SELECT a.s_key, a.pos, t.head_pos FROM anc a JOIN fx_tokens t ON t.s_key = a.s_key AND t.pos = a.cur
+WHERE t.head_pos <> t.pos"""
+
+SQL_E03 = f"""
+SELECT t.s_key, t.pos AS ord, t.text AS attr, 'E03' AS rule
+FROM fx_tokens t
+WHERE t.dep = 'amod' AND EXISTS (
+  SELECT 1 FROM anc a JOIN fx_tokens x ON x.s_key = a.s_key AND x.pos = a.cur
+  WHERE a.s_key = t.s_key AND a.pos = t.pos AND x.text IN ({PROT_SQL}))"""
+
+PUNCT_SQL = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
+
+SQL_E06 = f"""
+SELECT s_key, CAST(ph_no AS INTEGER) AS ph_no, CAST(w_no AS INTEGER) AS w_no, attr
+FROM (SELECT s_key, ph_no, unnest(ws) AS attr, unnest(range(len(ws))) AS w_no
+      FROM (SELECT s_key, ph_no,
+                   list_filter(regexp_split_to_array(lower(translate(ph, {PUNCT_SQL}, '')), '\\s+'),
+                               lambda x: x <> '') AS ws
+            FROM (SELECT s_key, unnest(phrases) AS ph, unnest(range(len(phrases))) AS ph_no FROM fx_phrases)))"""
