@@ -41,7 +41,8 @@ def poles(lex: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     def side(cond):
         s = lx.filter(cond).join(present, F.col("word") == F.col("_w"), "left_semi")
         s = s.join(fetched, F.lower(F.col("word")) == F.col("_lw"))
-        return s.select("dim", "word", "ord", "vec")
+        # fresh attribute ids: the two poles share lineage and are joined later
+        return s.select("dim", "word", "ord", "vec").toDF("dim", "word", "ord", "vec")
 
     return side(F.col("score") <= F.col("lb")), side(F.col("score") >= F.col("ub"))
 

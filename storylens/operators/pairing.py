@@ -31,13 +31,20 @@ from storylens.functions.vectors import as_double, unit
 from storylens.session import ensure_checkpoint_dir
 
 BLOCK = 512
+# Poles up to this many words per side are paired by the sequential
+# definition inside one task per dimension (a cosine matrix of at most
+# LOCAL_MAX^2 doubles, 128 MiB); larger poles use the parallel rounds.
+LOCAL_MAX = 4096
 
 _PROPOSAL_SCHEMA = "dim string, cidx long, pidx long, sim double"
 
 
 def _best_partner(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
     if choosers.empty or partners.empty:
-        return pd.DataFrame({"dim": [], "cidx": [], "pidx": [], "sim": []})
+        return pd.DataFrame({
+            "dim": pd.Series([], dtype=object), "cidx": pd.Series([], dtype="int64"),
+            "pidx": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64"),
+        })
     p = partners.sort_values("pidx", ascending=False)
     pv = np.vstack(p["vec"].to_numpy()).astype(np.float64)
     cv = np.vstack(choosers["vec"].to_numpy()).astype(np.float64)
@@ -58,10 +65,46 @@ def _best_partner(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFram
     )
 
 
-def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, checkpoint_every: int = 1) -> DataFrame:
+_PAIR_SCHEMA = "dim string, low_word string, high_word string, sim double"
+
+
+def _greedy_local(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sequential greedy for one dimension (both poles of a bounded size)."""
+    lo = pdf[pdf["side"] == "low"].sort_values("ord")
+    hi = pdf[pdf["side"] == "high"].sort_values("ord")
+    if lo.empty or hi.empty:
+        return pd.DataFrame({k: pd.Series([], dtype=t) for k, t in
+                             (("dim", object), ("low_word", object), ("high_word", object), ("sim", "float64"))})
+    low_choose = len(lo) <= len(hi)
+    ch, pa = (lo, hi) if low_choose else (hi, lo)
+    pa = pa.iloc[::-1]  # partner order descending, so argmax picks the larger position on ties
+    cv = np.vstack(ch["vec"].to_numpy()).astype(np.float64)
+    pv = np.vstack(pa["vec"].to_numpy()).astype(np.float64)
+    sims = cv @ pv.T
+    free = np.ones(len(pa), dtype=bool)
+    pick = np.empty(len(ch), dtype=np.int64)
+    for i in range(len(ch)):
+        row = np.where(free, sims[i], -np.inf)
+        j = int(row.argmax())
+        pick[i] = j
+        free[j] = False
+    cw, pw = ch["word"].to_numpy(), pa["word"].to_numpy()[pick]
+    sim = sims[np.arange(len(ch)), pick]
+    return pd.DataFrame({
+        "dim": pdf["dim"].iloc[0],
+        "low_word": cw if low_choose else pw,
+        "high_word": pw if low_choose else cw,
+        "sim": sim,
+    })
+
+
+def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, local_max: int = LOCAL_MAX) -> DataFrame:
     """Greedy contrast pairs per dimension.
 
     low, high: ``(dim, word, ord, vec)``. Returns ``(dim, low_word, high_word, sim)``.
+    Dimensions whose poles both have at most `local_max` words (checked by a
+    count) run the sequential definition in one task each; the others run the
+    parallel rounds. Both are exact.
     """
     spark = low.sparkSession
     ensure_checkpoint_dir(spark)
@@ -74,6 +117,19 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, checkpoi
         .withColumn("n_blk", F.greatest(F.lit(1), F.ceil(F.least("n_low", "n_high") / F.lit(block))).cast("int"))
     )
     sizes = sizes.checkpoint()
+    small = sizes.filter(F.greatest("n_low", "n_high") <= local_max).select("dim")
+    big = sizes.filter(F.greatest("n_low", "n_high") > local_max)
+    local = (
+        lo.unionByName(hi).join(F.broadcast(small), "dim")
+        .groupBy("dim").applyInPandas(_greedy_local, _PAIR_SCHEMA)
+    )
+    if big.isEmpty():
+        return local
+    return local.unionByName(_pairs_by_rounds(lo, hi, big, block))
+
+
+def _pairs_by_rounds(lo: DataFrame, hi: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    spark = lo.sparkSession
     both = lo.unionByName(hi).join(F.broadcast(sizes.select("dim", "chooser", "n_blk")), "dim")
     # the lexicon position is the priority (choosers) and the tie-break (partners)
     choosers = both.filter(F.col("side") == F.col("chooser")).select(
@@ -83,33 +139,37 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, checkpoi
     partners = both.filter(F.col("side") != F.col("chooser")).select(
         "dim", F.col("ord").alias("pidx"), F.col("word").alias("pword"), "vec", "n_blk"
     ).checkpoint()
+    # fresh attribute ids for the two sides (same lineage, joined below)
+    choosers = choosers.toDF(*choosers.columns)
+    partners = partners.toDF(*partners.columns)
 
+    # the chooser side is the smaller one, so every chooser ends up holding a
+    # partner: the loop stops when the holder count reaches the chooser count
+    n_choosers = choosers.count()
     holders = spark.createDataFrame([], "dim string, pidx long, holder long, sim double")
-    rnd = 0
-    while True:
+    reps_base = partners.select(
+        "dim", "pidx", "vec", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
+    held, rounds = 0, 0
+    while held < n_choosers:
         free = choosers.join(
             holders.select("dim", F.col("holder").alias("cidx")), ["dim", "cidx"], "left_anti"
         )
-        if free.isEmpty():
-            break
-        reps = partners.select("dim", "pidx", "vec", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
-        reps = reps.join(holders.select("dim", "pidx", "holder"), ["dim", "pidx"], "left")
+        reps = reps_base.join(holders.select("dim", "pidx", "holder"), ["dim", "pidx"], "left")
         props = (
             free.select("dim", "blk", "cidx", "vec")
             .groupBy("dim", "blk")
             .cogroup(reps.groupBy("dim", "blk"))
             .applyInPandas(_best_partner, _PROPOSAL_SCHEMA)
         )
-        props = props.checkpoint()
-        if props.isEmpty():
-            break
         merged = holders.select("dim", "pidx", F.col("holder").alias("cidx"), "sim").unionByName(props)
         holders = merged.groupBy("dim", "pidx").agg(
             F.min_by(F.struct("cidx", "sim"), F.col("cidx")).alias("h")
         ).select("dim", "pidx", F.col("h.cidx").alias("holder"), F.col("h.sim").alias("sim"))
-        rnd += 1
-        if rnd % checkpoint_every == 0:
-            holders = holders.checkpoint()
+        # one job per round; the state is cut from its lineage every round
+        holders = holders.checkpoint()
+        held = holders.count()
+        rounds += 1
+    _pairs_by_rounds.last_rounds = rounds
 
     pairs = (
         holders.join(choosers.select("dim", F.col("cidx").alias("holder"), "cword"), ["dim", "holder"])
@@ -128,8 +188,8 @@ def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = BLOC
     """C06 without emitting pairs: for each chooser ``(dim, cidx, vec)`` its most
     similar partner ``(dim, pidx, vec)`` by cosine (ties: larger pidx), from a
     blocked matrix product per dimension. Returns ``(dim, cidx, pidx, sim)``."""
-    c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec"))
-    p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec"))
+    c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec")).toDF("dim", "cidx", "vec")
+    p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec")).toDF("dim", "pidx", "vec")
     nb = c.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).cast("int").alias("n_blk"))
     c = c.join(F.broadcast(nb), "dim").withColumn("blk", F.pmod(F.hash("cidx"), F.col("n_blk"))).drop("n_blk")
     reps = p.join(F.broadcast(nb), "dim").select(

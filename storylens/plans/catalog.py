@@ -21,12 +21,13 @@ __all__ = ["QUERIES", "ORACLE"]
     with_ctes(
         ["fx_stories", "fx_lexicon"],
         """
-SELECT dim, writer, s_pov, round(avg(z_score), 6) AS z_mean, round(stddev_samp(z_score), 6) AS z_std,
+SELECT dim, writer, s_pov, avg(z_score) AS z_mean, stddev_samp(z_score) AS z_std,
        printf('%.2f (%.2f)', avg(z_score), stddev_samp(z_score)) AS cell
 FROM z WHERE s_pov IN ('TP-M', 'TP-F', 'FP', 'Other')
 GROUP BY dim, writer, s_pov""",
         [("attrs", SQL_ATTRS_ALL), *sql_avg_scores(["all"]), ("z", SQL_Z)],
     ),
+    floats=["z_mean", "z_std"],
 )
 def q_flagship(spark, sf):
     """documents -> stories -> all tokens (E01) -> lexicon average for six

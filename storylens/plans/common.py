@@ -17,11 +17,12 @@ DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every floating column (results are compared across engines)."""
+    """Round every floating column half-to-even (results are compared across
+    engines; the DuckDB twins use ``round_even``)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(F.bround(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -44,14 +45,14 @@ def attrs_for(spark: SparkSession, sf: str, ams: list[str] = ATTR_METHODS) -> Da
 
 
 def grid_scores(spark: SparkSession, sf: str, dims=DIMENSIONS, ams=ATTR_METHODS, sms=SCORE_METHODS,
-                use_contrast: bool = True) -> DataFrame:
+                use_contrast: bool = True, blank: bool = True) -> DataFrame:
     """C14 over the fixture stories with P11 applied:
     ``(s_key, p_ind, s_ind, writer, s_id, s_pov, p_pov, am, dim, sm, score)``."""
     stories = fx.stories(spark, sf)
     vec = fx.vectors(spark, sf) if any(s in ("axis", "sim") for s in sms) else None
     s = score_stories(stories, attrs_for(spark, sf, list(ams)), fx.lexicon(spark, sf), vec,
                       list(dims), list(ams), list(sms), use_contrast)
-    return blank_meaningless(s)
+    return blank_meaningless(s) if blank else s
 
 
 def grid_z(spark: SparkSession, sf: str, **kw) -> DataFrame:

@@ -15,7 +15,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def round_sql(sql: str, floats: list[str]) -> str:
+    """Wrap an oracle query so its floating columns are rounded like Spark's
+    ``bround(x, 6)``."""
+    if not floats:
+        return sql
+    rep = ", ".join(f"round_even({c}, 6) AS {c}" for c in floats)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
+
+
+def query(name: str, sql: str | None = None, floats: list[str] | None = None):
     def deco(fn):
         def run(spark, sf):
             return rounded(fn(spark, sf))
@@ -24,7 +33,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = round_sql(sql, floats or [])
         return fn
 
     return deco

@@ -79,3 +79,128 @@ FROM (SELECT s_key, ph_no, unnest(ws) AS attr, unnest(range(len(ws))) AS w_no
                    list_filter(regexp_split_to_array(lower(translate(ph, {PUNCT_SQL}, '')), '\\s+'),
                                lambda x: x <> '') AS ws
             FROM (SELECT s_key, unnest(phrases) AS ph, unnest(range(len(phrases))) AS ph_no FROM fx_phrases)))"""
+
+
+# --- vector scoring ----------------------------------------------------------------
+
+def _unit(col: str) -> str:
+    return (f"CASE WHEN list_dot_product({col}, {col}) > 0 "
+            f"THEN list_transform({col}, lambda x: x / sqrt(list_dot_product({col}, {col}))) "
+            f"ELSE list_transform({col}, lambda x: 0.0) END")
+
+
+def _cos(a: str, b: str) -> str:
+    return (f"CASE WHEN list_dot_product({a}, {a}) > 0 AND list_dot_product({b}, {b}) > 0 "
+            f"THEN list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) "
+            f"ELSE 0.0 END")
+
+
+SQL_VECTOR_BASE = [
+    ("vecs", "SELECT word, CAST(vec AS DOUBLE[]) AS vec FROM fx_vocab"),
+    ("bounds", """SELECT dim, quantile_cont(score, 0.25) AS lb, quantile_cont(score, 0.75) AS ub
+FROM fx_lexicon GROUP BY dim"""),
+    ("poles", """
+SELECT l.dim, 'low' AS side, l.word, l.ord, v.vec FROM fx_lexicon l JOIN bounds b ON b.dim = l.dim
+JOIN vecs v ON v.word = lower(l.word) WHERE l.score <= b.lb AND l.word IN (SELECT word FROM vecs)
+UNION ALL
+SELECT l.dim, 'high' AS side, l.word, l.ord, v.vec FROM fx_lexicon l JOIN bounds b ON b.dim = l.dim
+JOIN vecs v ON v.word = lower(l.word) WHERE l.score >= b.ub AND l.word IN (SELECT word FROM vecs)"""),
+    ("upoles", f"SELECT dim, side, word, ord, vec, {_unit('vec')} AS u FROM poles"),
+]
+
+# sequential greedy choice (the definition), as a recursive CTE: the smaller
+# pole chooses in lexicon order; each takes its most similar free partner.
+SQL_PAIRS = [
+    ("sizes", """SELECT dim, count(*) FILTER (WHERE side = 'low') AS n_low,
+       count(*) FILTER (WHERE side = 'high') AS n_high FROM poles GROUP BY dim
+HAVING count(*) FILTER (WHERE side = 'low') > 0 AND count(*) FILTER (WHERE side = 'high') > 0"""),
+    ("roles", "SELECT dim, CASE WHEN n_low <= n_high THEN 'low' ELSE 'high' END AS chooser FROM sizes"),
+    ("ch", """SELECT u.dim, u.word, u.ord, u.u, row_number() OVER (PARTITION BY u.dim ORDER BY u.ord) AS k
+FROM upoles u JOIN roles r ON r.dim = u.dim AND u.side = r.chooser"""),
+    ("pa", "SELECT u.dim, u.word, u.ord, u.u FROM upoles u JOIN roles r ON r.dim = u.dim AND u.side <> r.chooser"),
+    ("sims", """SELECT c.dim, c.k, p.ord AS pord, list_dot_product(c.u, p.u) AS sim
+FROM ch c JOIN pa p ON p.dim = c.dim"""),
+    ("nch", "SELECT dim, max(k) AS mk FROM ch GROUP BY dim"),
+    ("greedy", """
+SELECT dim, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken FROM roles
+UNION ALL
+SELECT g.dim, g.k + 1, list_append(g.taken, (
+    SELECT s.pord FROM sims s WHERE s.dim = g.dim AND s.k = g.k + 1 AND NOT list_contains(g.taken, s.pord)
+    ORDER BY s.sim DESC, s.pord DESC LIMIT 1))
+FROM greedy g JOIN nch n ON n.dim = g.dim WHERE g.k < n.mk"""),
+    ("picks", """SELECT g.dim, unnest(g.taken) AS pord, unnest(range(1, len(g.taken) + 1)) AS k
+FROM greedy g JOIN nch n ON n.dim = g.dim AND g.k = n.mk"""),
+    ("pairs", """
+SELECT p.dim,
+       CASE WHEN r.chooser = 'low' THEN c.word ELSE a.word END AS low_word,
+       CASE WHEN r.chooser = 'low' THEN a.word ELSE c.word END AS high_word,
+       s.sim
+FROM picks p JOIN ch c ON c.dim = p.dim AND c.k = p.k JOIN pa a ON a.dim = p.dim AND a.ord = p.pord
+JOIN roles r ON r.dim = p.dim JOIN sims s ON s.dim = p.dim AND s.k = p.k AND s.pord = p.pord"""),
+]
+
+
+def sql_axis(name: str, contrast: bool) -> list[tuple[str, str]]:
+    """``name(dim, i, a)`` = mean(high) - mean(low) per vector element."""
+    if contrast:
+        src = """
+SELECT pr.dim, 'low' AS side, v.vec FROM pairs pr JOIN poles v ON v.dim = pr.dim AND v.side = 'low' AND v.word = pr.low_word
+UNION ALL
+SELECT pr.dim, 'high' AS side, v.vec FROM pairs pr JOIN poles v ON v.dim = pr.dim AND v.side = 'high' AND v.word = pr.high_word"""
+    else:
+        src = "SELECT dim, side, vec FROM poles"
+    return [
+        (f"{name}_src", src),
+        (f"{name}_m", f"""SELECT dim, side, i, avg(x) AS m
+FROM (SELECT dim, side, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM {name}_src) GROUP BY dim, side, i"""),
+        (name, f"""SELECT h.dim, h.i, h.m - l.m AS a FROM {name}_m h
+JOIN {name}_m l ON l.dim = h.dim AND l.i = h.i AND l.side = 'low' WHERE h.side = 'high'"""),
+        (f"{name}_vec", f"SELECT dim, list(a ORDER BY i) AS axis FROM {name} GROUP BY dim"),
+    ]
+
+
+SQL_SIM_BASE = [
+    ("seeds", """SELECT l.dim, l.word, v.vec FROM fx_lexicon l JOIN bounds b ON b.dim = l.dim
+JOIN vecs v ON v.word = lower(l.word) WHERE l.score >= b.ub"""),
+    ("cen", f"""SELECT dim, i, avg(x) AS c
+FROM (SELECT dim, unnest(u) AS x, unnest(range(len(u))) AS i FROM (SELECT dim, {_unit('vec')} AS u FROM seeds))
+GROUP BY dim, i"""),
+    ("cenvec", "SELECT dim, list(c ORDER BY i) AS centroid FROM cen GROUP BY dim"),
+]
+
+
+def sql_word_scores(axis_name: str | None, sim: bool) -> list[tuple[str, str]]:
+    parts = []
+    sel = []
+    if axis_name:
+        parts.append(("w_axis", f"""SELECT v.word AS w, x.dim, 'axis' AS sm, {_cos('v.vec', 'x.axis')} AS wscore
+FROM vecs v, {axis_name}_vec x"""))
+        sel.append("SELECT * FROM w_axis")
+    if sim:
+        parts.append(("w_sim", f"""SELECT v.word AS w, c.dim, 'sim' AS sm,
+       list_dot_product({_unit('v.vec')}, c.centroid) AS wscore
+FROM vecs v, cenvec c"""))
+        sel.append("SELECT * FROM w_sim")
+    parts.append(("wscores", " UNION ALL ".join(sel)))
+    return parts
+
+
+SQL_VFOUND = """
+SELECT c.s_key, c.am, ws.dim, ws.sm, sum(c.n * ws.wscore) AS num, sum(c.n) AS den
+FROM counts c JOIN wscores ws ON ws.w = c.w GROUP BY c.s_key, c.am, ws.dim, ws.sm"""
+
+
+def sql_vector_scores(ams: list[str], sms: list[str]) -> str:
+    """Grid rows for vector methods; needs counts + vfound."""
+    ams_sql = ", ".join(f"('{a}')" for a in ams)
+    sms_sql = ", ".join(f"('{m}')" for m in sms)
+    return f"""
+SELECT g.s_key, g.p_ind, g.s_ind, g.writer, g.s_id, g.s_pov, g.p_pov, g.am, g.dim, g.sm,
+       CASE WHEN f.den > 0 THEN f.num / f.den END AS score
+FROM (SELECT s.*, a.am, d.dim, m.sm FROM fx_stories s, (VALUES {ams_sql}) a(am), (VALUES {DIMS_SQL}) d(dim),
+      (VALUES {sms_sql}) m(sm)) g
+LEFT JOIN vfound f ON f.s_key = g.s_key AND f.am = g.am AND f.dim = g.dim AND f.sm = g.sm"""
+
+
+SQL_ATTRS_SUB = "SELECT s_key, 'sub' AS am, attr FROM ({e02}) UNION ALL SELECT s_key, 'sub' AS am, attr FROM ({e03})"
+SQL_ATTRS_COMET = "SELECT s_key, 'comet' AS am, attr FROM ({e06})"
