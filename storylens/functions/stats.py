@@ -38,11 +38,16 @@ def average_ranks(df: DataFrame, group_cols: list[str], value_col: str, key_cols
     )
 
 
+TIE_DIGITS = 9
+
+
 def spearman(df: DataFrame, group_cols: list[str], x: str, y: str, key_cols: list[str]) -> DataFrame:
     """Spearman rank correlation per group over rows where both x and y
-    are present. Returns ``(group..., n, sp_corr)``; constant series -> null."""
+    are present. Returns ``(group..., n, sp_corr)``; constant series -> null.
+    Values equal to 9 decimals are ties (float noise does not split ties)."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    d = d.select(*group_cols, *key_cols, x, y)
+    d = d.select(*group_cols, *key_cols, F.bround(F.col(x), TIE_DIGITS).alias(x),
+                 F.bround(F.col(y), TIE_DIGITS).alias(y))
     rx = average_ranks(d, group_cols, x, key_cols, "_rx")
     ry = average_ranks(d.select(*group_cols, *key_cols, y), group_cols, y, key_cols, "_ry")
     r = rx.join(ry.select(*group_cols, *key_cols, "_ry"), [*group_cols, *key_cols])

@@ -66,5 +66,5 @@ def story_id(p_ind, s_ind) -> Column:
 
 
 def mean_std_cell(mean, std) -> Column:
-    """``mean (std)`` with two decimals."""
-    return F.format_string("%.2f (%.2f)", _c(mean), _c(std))
+    """``mean (std)`` with two decimals; null when either is missing."""
+    return F.when(_c(mean).isNotNull() & _c(std).isNotNull(), F.format_string("%.2f (%.2f)", _c(mean), _c(std)))

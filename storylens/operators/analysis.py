@@ -96,8 +96,10 @@ def zscores(scores: DataFrame) -> DataFrame:
 def histograms(z: DataFrame, bins: int = 10) -> DataFrame:
     """10 equal bins over each writer's own range, for z and raw scores.
     The maximum falls in the last bin; a constant range is widened by 0.5."""
-    long = z.select("writer", "dim", "am", "sm", F.lit("z").alias("kind"), F.col("z_score").alias("x")).unionByName(
-        z.select("writer", "dim", "am", "sm", F.lit("raw").alias("kind"), F.col("score").alias("x"))
+    # bins are cut on values rounded to 9 decimals, so float noise cannot move
+    # a value across an edge
+    long = z.select("writer", "dim", "am", "sm", F.lit("z").alias("kind"), F.bround("z_score", 9).alias("x")).unionByName(
+        z.select("writer", "dim", "am", "sm", F.lit("raw").alias("kind"), F.bround("score", 9).alias("x"))
     ).filter(F.col("x").isNotNull())
     keys = ["writer", "dim", "am", "sm", "kind"]
     rng = long.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

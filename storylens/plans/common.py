@@ -52,7 +52,10 @@ def grid_scores(spark: SparkSession, sf: str, dims=DIMENSIONS, ams=ATTR_METHODS,
     vec = fx.vectors(spark, sf) if any(s in ("axis", "sim") for s in sms) else None
     s = score_stories(stories, attrs_for(spark, sf, list(ams)), fx.lexicon(spark, sf), vec,
                       list(dims), list(ams), list(sms), use_contrast)
-    return blank_meaningless(s) if blank else s
+    s = blank_meaningless(s) if blank else s
+    # the score table is the analysis input: written once (reliable
+    # checkpoint in the shared folder) and read by every later step
+    return s.checkpoint()
 
 
 def grid_z(spark: SparkSession, sf: str, **kw) -> DataFrame:

@@ -185,7 +185,7 @@ def fx_dims():
     return DIMENSIONS
 
 
-def grid_sql(body: str) -> str:
+def grid_sql(body: str, after: list[tuple[str, str]] | None = None) -> str:
     attrs = (f"{SQL_ATTRS_ALL}\nUNION ALL {SQL_ATTRS_SUB.format(e02=SQL_E02, e03=SQL_E03)}"
              f"\nUNION ALL {SQL_ATTRS_COMET.format(e06=SQL_E06)}")
     extra = [("anc", SQL_E03_ANC)] + _vec_story_sql(["axis", "sim"], "axc", True, ATTR_METHODS, attrs)
@@ -198,6 +198,7 @@ def grid_sql(body: str) -> str:
 SELECT s_key, p_ind, s_ind, writer, s_id, s_pov, p_pov, am, dim, sm,
        CASE WHEN dim IN ('appearance', 'intellect') AND sm = 'axis' THEN NULL ELSE score END AS score
 FROM (SELECT * FROM ascores UNION ALL BY NAME SELECT * FROM vscores)""")]
+    extra += after or []
     return with_ctes(["fx_stories", "fx_lexicon", "fx_vocab", "fx_tokens", "fx_phrases"], body, extra, recursive=True)
 
 
