@@ -201,7 +201,7 @@ def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = BLOC
     )
 
 
-def greedy_pairs_reference(low_words, high_words, sim: np.ndarray):
+def greedy_pairs_sequential(low_words, high_words, sim: np.ndarray):
     """Plain sequential definition, used as the brute-force check in tests.
 
     low_words/high_words in lexicon order; sim[i, j] = cos(low i, high j).

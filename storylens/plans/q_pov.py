@@ -1 +1,210 @@
-"""Query family."""
+"""Queries for point of view (V01-V06, P13), character replacement
+(A01-A07) and the annotation contract (U01)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from storylens.operators import cleaning as P
+from storylens.operators import pov as V
+from storylens.operators import replace as R
+from storylens.operators.annotate import TOKENS_SCHEMA, annotate
+from storylens.plans.oracle_fixtures import CTES, with_ctes
+from storylens.plans.registry import query
+from storylens.sources import fixtures as fx
+
+
+def _fixture_pronouns(spark):
+    return V.pronoun_table(spark, lists=fx.FIXTURE_POV_PRONOUNS)
+
+
+SQL_PRON = """SELECT * FROM (VALUES ('first', 'click'), ('second', 'view'), ('male', 'purchase'),
+                              ('female', 'signup')) p(cls, surface)"""
+
+SQL_V01 = """
+SELECT s_key, cluster_id, n FROM (
+  SELECT s_key, cluster_id, count(*) AS n,
+         row_number() OVER (PARTITION BY s_key ORDER BY count(*) DESC, cluster_id ASC) AS rk
+  FROM fx_pov_mentions GROUP BY s_key, cluster_id) WHERE rk = 1"""
+
+SQL_V03 = f"""
+SELECT u.s_key, coalesce(l.pov, 'unknown') AS pov FROM fx_pov_stories u LEFT JOIN (
+  SELECT s_key, CASE
+      WHEN n_first > n // 2 THEN 'first_person'
+      WHEN n_second > n // 2 THEN 'second_person'
+      WHEN has_male AND NOT has_female THEN 'male'
+      WHEN has_female AND NOT has_male THEN 'female'
+      ELSE 'unknown' END AS pov
+  FROM (SELECT m.s_key, count(*) AS n, count(*) FILTER (WHERE p.cls = 'first') AS n_first,
+               count(*) FILTER (WHERE p.cls = 'second') AS n_second,
+               bool_or(coalesce(p.cls = 'male', false)) AS has_male, bool_or(coalesce(p.cls = 'female', false)) AS has_female
+        FROM fx_pov_mentions m JOIN ({SQL_V01}) b ON b.s_key = m.s_key AND b.cluster_id = m.cluster_id
+        LEFT JOIN ({SQL_PRON}) p ON p.surface = m.surface GROUP BY m.s_key)) l ON l.s_key = u.s_key"""
+
+
+@query("v01_largest_cluster", with_ctes(["fx_pov_mentions"], SQL_V01))
+def v01(spark, sf):
+    """The cluster with most mentions per story, first on a tie."""
+    return V.largest_cluster(fx.pov_mentions(spark, sf))
+
+
+@query("v02_mention_surfaces", with_ctes(["fx_tokens", "fx_mentions"], """
+SELECT m.s_key, m.cluster_id, m.mention_no, m.start, m."end", string_agg(t.text, ' ' ORDER BY t.pos) AS surface,
+       m.start AS span_start, CASE WHEN m.start = m."end" THEN m.start ELSE m."end" + 1 END AS span_end
+FROM fx_mentions m JOIN fx_tokens t ON t.s_key = m.s_key AND t.pos BETWEEN m.start AND m."end"
+GROUP BY m.s_key, m.cluster_id, m.mention_no, m.start, m."end\""""))
+def v02(spark, sf):
+    """Mention surface from the token range, and the half-open span."""
+    m = fx.mentions(spark, sf).drop("surface")
+    return V.mention_surfaces(fx.tokens(spark, sf), m)
+
+
+@query("v03_pov_extended", with_ctes(["fx_pov_stories", "fx_pov_mentions"], SQL_V03))
+def v03(spark, sf):
+    """The POV rule on the largest cluster (pronoun table as a parameter;
+    the fixture table maps event types to the four classes)."""
+    return V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
+
+
+@query("v04_pov_basic", with_ctes(["fx_pov_stories", "fx_pov_mentions"], SQL_V03))
+def v04(spark, sf):
+    """The same rule as used for the story fallback (errors propagate)."""
+    return V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
+
+
+@query("v05_prompt_pov", with_ctes(["fx_pov_stories", "fx_pov_mentions"],
+                                  f"SELECT s_key AS p_key, pov FROM ({SQL_V03})"))
+def v05(spark, sf):
+    """The rule on prompt texts (units keyed ``p_key``)."""
+    units = fx.pov_stories(spark, sf).withColumnRenamed("s_key", "p_key")
+    m = fx.pov_mentions(spark, sf).withColumnRenamed("s_key", "p_key")
+    return V.pov_labels(units, m, _fixture_pronouns(spark), key="p_key")
+
+
+@query("p13_pov_label_map", with_ctes(["fx_pov_stories", "fx_pov_mentions"], f"""
+SELECT s_key, pov, CASE pov WHEN 'male' THEN 'TP-M' WHEN 'female' THEN 'TP-F' WHEN 'first_person' THEN 'FP'
+                   WHEN 'second_person' THEN 'SP' WHEN 'unknown' THEN 'Other' END AS s_pov FROM ({SQL_V03})"""))
+def p13(spark, sf):
+    """Rule labels mapped to analysis labels."""
+    lab = V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
+    return P.map_pov_label(lab)
+
+
+# V06 inputs: stories keyed by document with prompt = source and s_ind from
+# P03; the cache holds the labelled documents (prompt spelled with a leading
+# space when toxic = 1; story altered when quality = 0; label by quality).
+SQL_V06 = """
+WITH idx AS (
+  SELECT l.line_no AS s_key, l.prompt, CAST(row_number() OVER (PARTITION BY l.prompt ORDER BY l.line_no) - 1 AS BIGINT) AS s_ind,
+         l.story FROM fx_lines l),
+cache AS (
+  SELECT CASE WHEN b.toxic = 1 THEN ' ' || i.prompt ELSE i.prompt END AS prompt, i.s_ind,
+         CASE WHEN b.quality = 1 THEN i.story ELSE i.story || ' (edited)' END AS story,
+         CASE WHEN b.quality = 1 THEN 'female' ELSE 'male' END AS pov
+  FROM idx i JOIN labels b ON b.doc_id = i.s_key),
+keys AS (SELECT DISTINCT prompt FROM cache),
+chosen AS (
+  SELECT i.*, CASE WHEN i.prompt IN (SELECT prompt FROM keys) THEN i.prompt
+                   WHEN ' ' || i.prompt IN (SELECT prompt FROM keys) THEN ' ' || i.prompt END AS ck FROM idx i),
+computed AS (SELECT * FROM (%s))
+SELECT ch.s_key,
+       CASE WHEN c.story IS NOT NULL AND regexp_replace(ch.story, '^\\s+|\\s+$', '', 'g') = regexp_replace(c.story, '^\\s+|\\s+$', '', 'g')
+            THEN c.pov ELSE coalesce(cp.pov, 'unknown') END AS pov,
+       CASE WHEN c.story IS NOT NULL AND regexp_replace(ch.story, '^\\s+|\\s+$', '', 'g') = regexp_replace(c.story, '^\\s+|\\s+$', '', 'g')
+            THEN 'cache' ELSE 'computed' END AS source
+FROM chosen ch LEFT JOIN cache c ON c.prompt = ch.ck AND c.s_ind = ch.s_ind
+LEFT JOIN computed cp ON cp.s_key = ch.s_key"""
+
+
+def _v06_sql() -> str:
+    base = with_ctes(["fx_lines", "fx_pov_stories", "fx_pov_mentions"], "SELECT 1")
+    ctes = base[len("WITH "):base.rindex("\nSELECT 1")]
+    body = SQL_V06 % SQL_V03
+    return "WITH " + ctes + ",\n" + body[len("WITH "):]
+
+
+@query("v06_cached_pov", _v06_sql())
+def v06(spark, sf):
+    """Cached label when the prompt (or space + prompt) and the stripped
+    story match the cache, else the rule's label for the story."""
+    idx = P.index_stories(fx.lines(spark, sf)).select(
+        F.col("line_no").alias("s_key"), "prompt", "s_ind", "story")
+    labels = fx.read_table(spark, sf, "labels")
+    cache = idx.join(labels, idx.s_key == labels.doc_id).select(
+        F.when(F.col("toxic") == 1, F.concat(F.lit(" "), F.col("prompt"))).otherwise(F.col("prompt")).alias("prompt"),
+        "s_ind",
+        F.when(F.col("quality") == 1, F.col("story")).otherwise(F.concat(F.col("story"), F.lit(" (edited)"))).alias("story"),
+        F.when(F.col("quality") == 1, F.lit("female")).otherwise(F.lit("male")).alias("pov"),
+    )
+    computed = V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
+    return V.cached_pov(idx, cache, computed)
+
+
+# --- replacement ----------------------------------------------------------------
+
+NARROW = "'She', 'she', 'Her', 'her', 'He', 'he', 'him', 'Him', 'I', 'Me', 'me'"
+SQL_A02 = f"""
+SELECT s_key, cluster_id, CAST(row_number() OVER (PARTITION BY s_key ORDER BY cluster_id) - 1 AS INTEGER) AS letter_no
+FROM (SELECT DISTINCT m.s_key, m.cluster_id FROM fx_mentions m
+      WHERE m.surface IN ({NARROW})
+         OR EXISTS (SELECT 1 FROM fx_entities e WHERE e.s_key = m.s_key AND e.text = m.surface AND e.label = 'PERSON'))"""
+
+
+@query("a01_person_entities", with_ctes(["fx_entities"], "SELECT DISTINCT s_key, text FROM fx_entities WHERE label = 'PERSON'"))
+def a01(spark, sf):
+    """Distinct PERSON entities per story."""
+    return R.person_entities(fx.entities(spark, sf))
+
+
+@query("a02_character_clusters", with_ctes(["fx_entities"], f"SELECT s_key, cluster_id FROM ({SQL_A02})"))
+def a02(spark, sf):
+    """Clusters with a PERSON mention or a listed pronoun (narrow list)."""
+    return R.character_clusters(spark, fx.mentions(spark, sf), fx.entities(spark, sf)).select("s_key", "cluster_id")
+
+
+@query("a03_cluster_letters", with_ctes(["fx_entities"], f"""
+SELECT s_key, cluster_id, letter_no, 'Protagonist' || chr(65 + letter_no) AS label FROM ({SQL_A02})"""))
+def a03(spark, sf):
+    """The n-th surviving cluster is ``Protagonist`` + chr(65 + n)."""
+    return R.character_clusters(spark, fx.mentions(spark, sf), fx.entities(spark, sf)).select(
+        "s_key", "cluster_id", "letter_no", "label")
+
+
+@query("a05_replace_characters")
+def a05(spark, sf):
+    """The rewritten text of every story (placeholders, possessives,
+    failures as ''), over the fixture annotations."""
+    st = fx.stories(spark, sf)
+    return R.replace_characters(spark, st, fx.tokens(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))
+
+
+# --- U01 ------------------------------------------------------------------------
+
+def _fixture_parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A stand-in parser with the fixture's token rules (whitespace tokens,
+    32-token sentences, heap-shaped heads)."""
+    tags = ["VBD", "JJ", "VBZ", "NN", "NN"]
+    deps = {0: "nsubj", 1: "amod", 2: "poss", 3: "nsubjpass"}
+    for pdf in batches:
+        rows = []
+        for key, text in zip(pdf["s_key"], pdf["text"]):
+            for pos, tok in enumerate((text or "").split()):
+                k = pos % 32 + 1
+                head = pos if k == 1 else (pos // 32) * 32 + k // 2 - 1
+                dep = "ROOT" if k == 1 else deps.get(pos % 7, "dep")
+                rows.append((key, pos // 32, pos, tok, tags[pos % 5], dep, head))
+        yield pd.DataFrame(rows, columns=["s_key", "sent_id", "pos", "text", "tag", "dep", "head_pos"]).astype(
+            {"s_key": "int64", "sent_id": "int32", "pos": "int32", "head_pos": "int32"})
+
+
+@query("u01_annotate_tokens", with_ctes(["fx_tokens"], "SELECT * FROM fx_tokens"))
+def u01(spark, sf):
+    """Stories annotated by a caller-supplied function in mapInPandas
+    (here a stand-in parser with the fixture's rules)."""
+    return annotate(fx.stories(spark, sf), _fixture_parser, TOKENS_SCHEMA)
+
+
+__all__ = ["CTES"]
