@@ -55,10 +55,18 @@ def spearman(df: DataFrame, group_cols: list[str], x: str, y: str, key_cols: lis
 
 
 def pearson(df: DataFrame, group_cols: list[str], x: str, y: str, out: str) -> DataFrame:
-    """Pearson correlation per group (Spark's partial-aggregate ``corr``);
-    null when a side is constant or fewer than two rows."""
-    a = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("_r"))
-    return a.select(*group_cols, "n", F.nanvl(F.col("_r"), F.lit(None).cast("double")).alias(out))
+    """Pearson correlation per group from stable partial aggregates
+    (``covar_pop``, ``stddev_pop``); null when a side is constant (no
+    division error under ANSI mode)."""
+    a = df.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.covar_pop(x, y).alias("_c"),
+        (F.stddev_pop(x) * F.stddev_pop(y)).alias("_s"),
+    )
+    r = F.try_divide(F.col("_c"), F.col("_s"))
+    # greatest/least skip nulls, so clamp only defined values
+    clamped = F.when(F.col("_s") > 0, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+    return a.select(*group_cols, "n", clamped.alias(out))
 
 
 def spearman_t(r: Column, n: Column) -> Column:
