@@ -92,27 +92,16 @@ def _grid_coords(ams: list[str], dims: list[str], sms: list[str]):
     )
 
 
-def score_stories(stories: DataFrame, attrs: DataFrame, lex: DataFrame, vectors: DataFrame | None = None,
-                  dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS, sms: list[str] = SCORE_METHODS,
-                  use_contrast: bool = True) -> DataFrame:
-    """C14: one row per (story, am, dim, sm).
-
-    stories: ``(s_key, ...)`` - every story gets every coordinate.
-    attrs: ``(s_key, am, attr)`` exploded attribute lists (duplicates kept).
-    lex: ``(dim, word, score, ord)``; vectors: ``(word, vec)``.
-
-    avg: graded lexicon -> mean score of found words, none found -> 0;
-    unipolar lexicon -> sum of found scores / number of attributes, empty -> 0.
-    axis/sim: mean word score over attributes with a vector, none -> null.
-    """
+def word_score_table(lex: DataFrame, vectors: DataFrame | None = None, dims: list[str] = DIMENSIONS,
+                     sms: list[str] = SCORE_METHODS, use_contrast: bool = True) -> DataFrame:
+    """``(w, dim, sm, wscore)``: every scorable word once per dimension and
+    method (lexicon scores for avg; cosines for axis and sim). Bounded by
+    vocabulary x dimensions; it does not grow with the stories."""
     for sm in sms:
         check_score_method(sm)
-    counts = attr_word_counts(attrs.filter(F.col("am").isin(ams)))
-    totals = attr_totals(counts)
-
     parts = []
     if "avg" in sms:
-        lx = lex.filter(F.col("dim").isin(dims)).join(F.broadcast(lexicon_modes(lex)), "dim")
+        lx = lex.filter(F.col("dim").isin(dims))
         parts.append(lx.select(F.col("word").alias("w"), "dim", F.lit("avg").alias("sm"),
                                F.col("score").alias("wscore")))
     vec_sms = [s for s in sms if s in ("axis", "sim")]
@@ -122,14 +111,27 @@ def score_stories(stories: DataFrame, attrs: DataFrame, lex: DataFrame, vectors:
         ax = axes(lex, vectors, use_contrast) if "axis" in vec_sms else None
         ce = centroids(lex, vectors) if "sim" in vec_sms else None
         parts.append(vector_word_scores(vectors, ax, ce, dims))
-    word_scores = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        word_scores = word_scores.unionByName(p)
+        out = out.unionByName(p)
+    return out
+
+
+def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
+                     dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS,
+                     sms: list[str] = SCORE_METHODS) -> DataFrame:
+    """Score stories against a prepared word-score table (one join, one
+    aggregation); every story gets every coordinate.
 
+    avg: graded lexicon -> mean score of found words, none found -> 0;
+    unipolar lexicon -> sum of found scores / number of attributes, empty -> 0.
+    axis/sim: mean word score over attributes with a vector, none -> null.
+    """
+    counts = attr_word_counts(attrs.filter(F.col("am").isin(ams)))
+    totals = attr_totals(counts)
     found = counts.join(word_scores, "w").groupBy("s_key", "am", "dim", "sm").agg(
         F.sum(F.col("n") * F.col("wscore")).alias("num"), F.sum("n").alias("den")
     )
-    modes = lexicon_modes(lex)
     grid = stories.select("s_key", *[c for c in stories.columns if c not in ("s_key", "text")]).select(
         "*", _grid_coords(ams, dims, sms).alias("g")
     ).select("*", "g.*").drop("g")
@@ -146,6 +148,19 @@ def score_stories(stories: DataFrame, attrs: DataFrame, lex: DataFrame, vectors:
     return res.withColumn("score", score.cast("double")).drop("num", "den", "n_all", "unipolar")
 
 
+def score_stories(stories: DataFrame, attrs: DataFrame, lex: DataFrame, vectors: DataFrame | None = None,
+                  dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS, sms: list[str] = SCORE_METHODS,
+                  use_contrast: bool = True) -> DataFrame:
+    """C14: one row per (story, am, dim, sm).
+
+    stories: ``(s_key, ...)`` - every story gets every coordinate.
+    attrs: ``(s_key, am, attr)`` exploded attribute lists (duplicates kept).
+    lex: ``(dim, word, score, ord)``; vectors: ``(word, vec)``.
+    """
+    ws = word_score_table(lex, vectors, dims, sms, use_contrast)
+    return score_with_table(stories, attrs, ws, lexicon_modes(lex), dims, ams, sms)
+
+
 def blank_meaningless(scores: DataFrame) -> DataFrame:
     """appearance/intellect with the axis method -> null (both writers)."""
     from storylens.constants import BLANK_DIMS_FOR_AXIS
