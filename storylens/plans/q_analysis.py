@@ -379,3 +379,44 @@ def n25(spark, sf):
 def n26(spark, sf):
     """Mean and bootstrap interval of the N25 differences per (dim, type)."""
     return M.trial_summary(M.control_differences(C.grid_z(spark, sf), seed=SEED))
+
+
+# --- score files: S12 sink -> S11 scan -> N05 attach ----------------------------
+
+def _grid_roundtrip(spark, sf, drop_missing: bool):
+    import uuid
+
+    from storylens.session import shared_dir
+    from storylens.sources import io
+
+    g = C.grid_scores(spark, sf).select(
+        "writer", "dim", "am", "sm", F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "score")
+    if drop_missing:
+        g = g.filter(F.col("score").isNotNull())
+    else:  # the score files hold nan where a method has no scorable word
+        g = g.withColumn("score", F.coalesce("score", F.lit(float("nan"))))
+    path = shared_dir(spark, f"scores-{uuid.uuid4().hex}")
+    io.write_score_grid(g, path, fmt="csv")
+    roots = {w: f"{path}/writer={w}" for w in ("human", "gpt-3.5")}
+    return io.read_score_grid(spark, roots, layout="hive")
+
+
+@query("s12_s11_score_files_roundtrip", zsql("""
+SELECT writer, dim, am, sm, CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, s_id, score FROM z"""),
+       floats=["score"])
+def s12_s11(spark, sf):
+    """S12 then S11: the grid written one folder per (writer, dim, am, sm)
+    with ``nan`` for missing scores, read back with coordinates from the
+    paths (NaN folded to null)."""
+    return _grid_roundtrip(spark, sf, drop_missing=False)
+
+
+@query("n05_attach_scores", zsql("SELECT writer, s_id, p_ind, s_ind, s_pov, dim, am, sm, score FROM z"),
+       floats=["score"])
+def n05(spark, sf):
+    """Every story of the info table kept for every coordinate, scores
+    attached from score files that hold only the scored rows (unscored ->
+    null)."""
+    scores = _grid_roundtrip(spark, sf, drop_missing=True)
+    info = _info(spark, sf).select("writer", "s_id", "p_ind", "s_ind", "s_pov")
+    return N.attach_scores(info, scores)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from storylens.functions import text as T
 from storylens.operators import cleaning as P
+from storylens.operators import attrs as A
+from storylens.plans import common as C
 from storylens.plans.oracle_fixtures import with_ctes
 from storylens.plans.registry import query
+from storylens.plans.sqlparts import SQL_ATTRS_ALL, SQL_E06, sql_avg_scores
 from storylens.session import shared_dir
 from storylens.sources import fixtures as fx
 from storylens.sources import io
@@ -163,18 +166,22 @@ def s06(spark, sf):
 
 def _rename_prompt_files(spark, path: str) -> None:
     """Spark names part files ``part-*``; the processed-story layout names them
-    ``prompts_*``. Rename inside each range folder (a metadata operation)."""
+    ``prompts_*``. Rename in the folder and in each range folder (metadata
+    operations only)."""
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(path)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    for st in fs.listStatus(base):
-        if not st.isDirectory():
-            continue
-        rng = st.getPath().getName().split("=", 1)[-1]
-        for i, f in enumerate(fs.listStatus(st.getPath())):
+
+    def rename_in(folder, tag):
+        for i, f in enumerate(fs.listStatus(folder)):
             name = f.getPath().getName()
-            if name.startswith("part-"):
-                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(st.getPath(), f"prompts_{rng}_{i:05d}.csv"))
+            if f.isFile() and name.startswith("part-"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"prompts_{tag}_{i:05d}.csv"))
+
+    rename_in(base, "all")
+    for st in fs.listStatus(base):
+        if st.isDirectory():
+            rename_in(st.getPath(), st.getPath().getName().split("=", 1)[-1])
 
 
 @query("s04_s03_story_mapping_roundtrip", with_ctes(["fx_lines"], f"""
@@ -187,3 +194,123 @@ def s04_s03(spark, sf):
     idx = P.index_stories(fx.lines(spark, sf))
     io.write_story_mapping(idx, path)
     return io.read_story_lines(spark, path)
+
+
+@query("s01_paired_lines", with_ctes(["fx_prompts"], """
+SELECT regexp_replace(replace(prompt, chr(10), ' <newline> '), '^\\s+|\\s+$', '', 'g') AS prompt,
+       replace(story, chr(10), ' <newline> ') AS story
+FROM fx_prompts"""))
+def s01(spark, sf):
+    """Prompts and stories written as line-aligned text files (line
+    breaks inside a text as ``<newline>`` markers), then paired by file and
+    line number."""
+    p = fx.prompts(spark, sf).select(
+        "conv_id", "turn",
+        F.replace("prompt", F.lit("\n"), F.lit(" <newline> ")).alias("prompt"),
+        F.replace("story", F.lit("\n"), F.lit(" <newline> ")).alias("story"))
+    long = p.select("conv_id", "turn", F.lit("prompt").alias("kind"), F.col("prompt").alias("line")).unionByName(
+        p.select("conv_id", "turn", F.lit("story").alias("kind"), F.col("story").alias("line")))
+    path = _scratch(spark, "lines")
+    # one write, partitioned by kind: the same task writes a prompt file and a
+    # story file with the same name and the same row order
+    long.repartition(4, "conv_id").sortWithinPartitions("conv_id", "turn", "kind").select("kind", "line").write.partitionBy(
+        "kind").text(path)
+    return io.read_paired_lines(spark, f"{path}/kind=prompt", f"{path}/kind=story").select("prompt", "story")
+
+
+SQL_E06_HUMAN = """
+SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, CAST(ph_no AS INTEGER) AS ph_no,
+       CAST(w_no AS INTEGER) AS w_no, attr
+FROM (SELECT s.p_ind, s.s_ind, e.* FROM ({e06}) e JOIN fx_stories s ON s.s_key = e.s_key WHERE s.writer = 'human')"""
+
+
+@query("s15_s07_inferred_attrs_roundtrip", with_ctes(["fx_stories", "fx_phrases"], SQL_E06_HUMAN.format(e06=SQL_E06)))
+def s15_s07(spark, sf):
+    """S15 then S07: phrase lists written as Python list literals in CSV,
+    parsed back (never evaluated), then normalised (E06)."""
+    st = fx.stories(spark, sf).filter(F.col("writer") == "human").select("s_key", "p_ind", "s_ind")
+    ph = fx.phrases(spark, sf).join(st, "s_key").select(
+        F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), F.col("phrases").alias("attrs"))
+    path = _scratch(spark, "attrs")
+    io.write_inferred_attrs(ph, path, as_csv=True)
+    _rename_prompt_files(spark, path)
+    return _normalise_keyed(io.read_inferred_attrs(spark, path))
+
+
+def _normalise_keyed(back):
+    """E06 on ``(p_ind, s_ind, attrs)``."""
+    p = back.select("p_ind", "s_ind", F.posexplode("attrs").alias("ph_no", "ph"))
+    w = p.select("p_ind", "s_ind", "ph_no", F.posexplode(T.whitespace_words(F.lower(T.strip_ascii_punctuation("ph")))).alias(
+        "w_no", "attr"))
+    return w.select("p_ind", "s_ind", F.col("ph_no").cast("int"), F.col("w_no").cast("int"), "attr")
+
+
+@query("s08_lexicon_scan", with_ctes(["fx_lexicon"], """
+SELECT 'mixed' AS dim, word, score, ord FROM fx_lexicon WHERE dim = 'arousal'"""), floats=["score"])
+def s08(spark, sf):
+    """A header CSV lexicon (the valence rows, then the same words again
+    with arousal scores) read back: last duplicate wins at the first one's
+    position."""
+    lex = fx.lexicon(spark, sf)
+    rows = lex.filter(F.col("dim") == "valence").select("word", "score", F.lit(0).alias("blk"), "ord").unionByName(
+        lex.filter(F.col("dim") == "arousal").select("word", "score", F.lit(1).alias("blk"), "ord"))
+    path = _scratch(spark, "lexicon")
+    # a lexicon file is one small file (bounded by the vocabulary)
+    rows.orderBy("blk", "ord").coalesce(1).select("word", "score").write.option("header", "true").csv(path)
+    return io.read_lexicon(spark, path, "mixed")
+
+
+@query("s09_vector_lookup", with_ctes(["fx_stories", "fx_vocab"], """
+SELECT w, w IN (SELECT word FROM fx_vocab) AS has_vec
+FROM (SELECT DISTINCT lower(attr) AS w FROM (
+  SELECT unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS attr FROM fx_stories))"""))
+def s09(spark, sf):
+    """Vector lookup of every distinct lower-cased story token."""
+    words = A.all_attrs(fx.stories(spark, sf)).select(F.lower("attr").alias("w")).distinct()
+    return io.lookup_vectors(words, fx.vectors(spark, sf), "w").select("w", F.col("vec").isNotNull().alias("has_vec"))
+
+
+@query("s10_story_info_scan", with_ctes(["fx_stories"], """
+SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, s_id, p_pov, s_pov FROM fx_stories
+WHERE writer = 'human'"""))
+def s10(spark, sf):
+    """Story info written as gzip CSV with a header and read back."""
+    info = fx.story_info(spark, sf).filter(F.col("writer") == "human").select(
+        F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "s_id", "p_pov", "s_pov")
+    path = _scratch(spark, "info")
+    info.write.option("header", "true").option("compression", "gzip").csv(path)
+    return io.read_story_info(spark, path)
+
+
+@query("s13_scores_by_pov", with_ctes(["fx_stories", "fx_lexicon"], """
+SELECT s_pov AS pov, CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, score FROM scores
+WHERE writer = 'human' AND dim = 'valence'""", [("attrs", SQL_ATTRS_ALL), *sql_avg_scores(["all"])]), floats=["score"])
+def s13(spark, sf):
+    """Human valence scores written one folder per POV label, read back."""
+    sc = C.grid_scores(spark, sf, dims=["valence"], ams=["all"], sms=["avg"])
+    sc = sc.filter(F.col("writer") == "human").select(
+        F.col("s_pov").alias("pov"), F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "score")
+    path = _scratch(spark, "bypov")
+    io.write_scores_by_pov(sc, path)
+    return spark.read.parquet(path).select("pov", "p_ind", "s_ind", "score")
+
+
+@query("s17_generated_story_sink", with_ctes(["fx_lines"], f"""
+SELECT r.p_ind, 'You''re writing a Reddit story and you want other reddit users to like and upvote your story.' AS role,
+       'Write a 400 words story for the following prompt: ' || trim(r.prompt) AS full_prompt, r.story
+FROM ({SQL_P03}) r0 JOIN (SELECT i.p_ind, i.prompt, l.story FROM ({SQL_P03}) i JOIN fx_lines l USING (line_no)
+                          WHERE i.s_ind = 0) r ON r.p_ind = r0.p_ind AND r0.s_ind = 0
+WHERE r.p_ind NOT IN ({SQL_DONE.format(p03=SQL_P03)})"""))
+def s17(spark, sf):
+    """Generation requests (P07) with a story attached (each prompt's
+    first human-written line stands in for the external generator) appended
+    to the generated-story table and read back."""
+    idx = P.index_stories(fx.lines(spark, sf))
+    labels = fx.read_table(spark, sf, "labels").filter(F.col("quality") == 1)
+    first = idx.filter(F.col("s_ind") == 0)
+    done = first.join(labels, first.line_no == labels.doc_id).select("p_ind").distinct()
+    req = P.generation_requests(idx.select("p_ind", "prompt").distinct(), done, 0, 10000)
+    gen = req.join(first.select("p_ind", "story"), "p_ind")
+    path = _scratch(spark, "generated")
+    io.write_generated(gen, path)
+    return spark.read.parquet(path).select("p_ind", "role", "full_prompt", "story")

@@ -38,18 +38,25 @@ def _strip(col) -> "F.Column":
 # --- S01 / S02: text lines ----------------------------------------------------
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One file's lines with 0-based line numbers, in file order."""
-    return scan_order_index(spark.read.text(path), "line_no").select("line_no", F.col("value").alias("text"))
+    """Lines of every file under `path`: ``(file, line_no, text)``, 0-based
+    line numbers in file order. Each file is read whole by one task (files
+    are the unit of the format), files in parallel."""
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    arr = F.split(F.col("value"), "\n")
+    # a trailing newline ends the last line; it does not start an empty one
+    arr = F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
+    return d.select("file", F.posexplode(arr).alias("line_no", "text"))
 
 
 def pair_lines(prompts: DataFrame, stories: DataFrame) -> DataFrame:
-    """Pair two line tables by line number; the story side drives the
-    length and a missing prompt line is an error. Prompt trimmed, story kept."""
-    j = stories.select("line_no", F.col("text").alias("story")).join(
-        prompts.select("line_no", F.col("text").alias("prompt")), "line_no", "left"
+    """Pair prompt and story lines by (file, line number); the story side
+    drives the length and a missing prompt line is an error. Prompt stripped,
+    story kept."""
+    j = stories.select("file", "line_no", F.col("text").alias("story")).join(
+        prompts.select("file", "line_no", F.col("text").alias("prompt")), ["file", "line_no"], "left"
     )
     return j.select(
-        "line_no",
+        "file", "line_no",
         F.when(F.col("prompt").isNull(), F.raise_error(F.lit("prompt file is shorter than story file")))
         .otherwise(_strip(F.col("prompt"))).alias("prompt"),
         "story",
@@ -57,6 +64,7 @@ def pair_lines(prompts: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def read_paired_lines(spark: SparkSession, prompt_path: str, story_path: str) -> DataFrame:
+    """S01 on two folders (or files) of line-aligned text."""
     return pair_lines(read_lines(spark, prompt_path), read_lines(spark, story_path))
 
 
@@ -169,7 +177,8 @@ def parse_list_literal(col) -> "F.Column":
     backslash escapes) to ``array<string>``, parsed and never evaluated."""
     return F.from_json(
         col, ArrayType(StringType()),
-        {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"},
+        {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true",
+         "allowUnquotedControlChars": "true"},
     )
 
 
@@ -225,18 +234,25 @@ def read_story_info(spark: SparkSession, path: str, schema: str = INFO_SCHEMA) -
     )
 
 
-def read_score_grid(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """``<root>/<dim>/<am>/<sm>/out_scores.csv`` per writer root; the
-    coordinates come from the file path; ``nan`` is read as NaN and folded to
-    null."""
+def read_score_grid(spark: SparkSession, roots: dict[str, str], layout: str = "reference") -> DataFrame:
+    """Score files per writer root, coordinates from the file path.
+
+    ``reference`` layout: ``<root>/<dim>/<am>/<sm>/out_scores.csv``;
+    ``hive`` layout: ``<root>/dim=<dim>/am=<am>/sm=<sm>/*.csv`` (as written by
+    ``write_score_grid(fmt="csv")``). ``nan`` is read as NaN and folded to null.
+    """
     out = None
     for writer, root in roots.items():
+        base = root.rstrip("/")
+        if layout == "reference":
+            glob, pat = f"{base}/*/*/*/out_scores.csv", r"/([^/]+)/([^/]+)/([^/]+)/out_scores\.csv$"
+        else:
+            glob, pat = f"{base}/dim=*/am=*/sm=*/*.csv", r"/dim=([^/]+)/am=([^/]+)/sm=([^/]+)/[^/]+$"
         d = (
             spark.read.schema(SCORE_ROW_SCHEMA).option("header", "false").option("nanValue", "nan")
-            .csv(f"{root.rstrip('/')}/*/*/*/out_scores.csv")
+            .csv(glob)
         )
         fp = F.col("_metadata.file_path")
-        pat = r"/([^/]+)/([^/]+)/([^/]+)/out_scores\.csv$"
         d = d.select(
             F.lit(writer).alias("writer"),
             F.regexp_extract(fp, pat, 1).alias("dim"),
@@ -252,10 +268,15 @@ def read_score_grid(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
 
 # --- sinks ------------------------------------------------------------------------
 
-def write_score_grid(scores: DataFrame, path: str, mode: str = "append") -> None:
-    """S12 layout: one directory per (writer, dim, am, sm)."""
-    scores.select("writer", "dim", "am", "sm", "p_ind", "s_ind", "score").write.mode(mode).partitionBy(
-        "writer", "dim", "am", "sm").parquet(path)
+def write_score_grid(scores: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> None:
+    """S12 layout: one directory per (writer, dim, am, sm); ``fmt="csv"``
+    writes headerless ``p_ind, s_ind, score`` with ``nan`` for NaN."""
+    w = scores.select("writer", "dim", "am", "sm", "p_ind", "s_ind", "score").write.mode(mode).partitionBy(
+        "writer", "dim", "am", "sm")
+    if fmt == "csv":
+        w.option("header", "false").option("nanValue", "nan").csv(path)
+    else:
+        w.parquet(path)
 
 
 def write_scores_by_pov(scores: DataFrame, path: str, mode: str = "append") -> None:
@@ -273,12 +294,27 @@ def write_processed_stories(stories: DataFrame, path: str, window: int = 10000,
     d.write.mode(mode).partitionBy("prompts_range").option("escape", '"').option("quoteAll", "true").csv(path)
 
 
+def python_list_literal(col) -> "F.Column":
+    """An ``array<string>`` as Python's ``str(list)`` text (the reference's
+    file format): single quotes, or double quotes when the item holds a
+    single quote and no double quote; backslash and line breaks escaped."""
+
+    def item(x):
+        esc = F.replace(F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")),
+                                  F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+        dq = (F.instr(x, "'") > 0) & (F.instr(x, '"') == 0)
+        return F.when(dq, F.concat(F.lit('"'), esc, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(esc, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(col, item), ", "), F.lit("]"))
+
+
 def write_inferred_attrs(attrs: DataFrame, path: str, as_csv: bool = False, mode: str = "overwrite") -> None:
-    """``(p_ind, s_ind, attrs array<string>)`` as parquet, or CSV with the
-    list as JSON text."""
+    """``(p_ind, s_ind, attrs array<string>)`` as parquet, or headerless
+    CSV with the list as a Python list literal."""
     if as_csv:
-        attrs.select("p_ind", "s_ind", F.to_json("attrs").alias("attrs")).write.mode(mode).option(
-            "escape", '"').csv(path)
+        attrs.select("p_ind", "s_ind", python_list_literal(F.col("attrs")).alias("attrs")).write.mode(mode).option(
+            "escape", '"').option("quoteAll", "true").csv(path)
     else:
         attrs.select("p_ind", "s_ind", "attrs").write.mode(mode).parquet(path)
 
