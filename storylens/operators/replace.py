@@ -124,6 +124,46 @@ def _rewrite_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"s_key": pdf["s_key"], "text": texts})
 
 
+def _step_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        keys, poss, finals, labs = [], [], [], []
+        for key, toks, spans in zip(pdf["s_key"], pdf["toks"], pdf["spans"]):
+            n = len(toks) if toks is not None else 0
+            by_cluster: dict[int, list] = {}
+            if spans is not None:
+                for sp in spans:
+                    by_cluster.setdefault(int(sp["letter_no"]), []).append(
+                        (int(sp["mention_no"]), int(sp["start"]), int(sp["end"])))
+            order = sorted(by_cluster)
+            clusters = [[(s, e) for _, s, e in sorted(by_cluster[c])] for c in order]
+            final, lab = step_table(n, clusters)
+            keys.append(np.full(n, key, dtype=np.int64))
+            poss.append(np.arange(n, dtype=np.int32))
+            finals.append(final.astype(np.int64))
+            labs.append(np.array([order[i] if i >= 0 else -1 for i in lab], dtype=np.int32))
+        if keys:
+            yield pd.DataFrame({"s_key": np.concatenate(keys), "pos": np.concatenate(poss),
+                                "final": np.concatenate(finals), "letter_no": np.concatenate(labs)})
+
+
+def _per_story(spark: SparkSession, tokens: DataFrame, mentions: DataFrame, entities: DataFrame, variant: str):
+    toks = tokens.groupBy("s_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "dep"))).alias("_t"))
+    toks = toks.select("s_key", F.col("_t.text").alias("toks"), F.col("_t.dep").alias("deps"))
+    cl = character_clusters(spark, mentions, entities, variant)
+    sp = mentions.join(cl, ["s_key", "cluster_id"]).groupBy("s_key").agg(
+        F.collect_list(F.struct("letter_no", "label", "mention_no", "start", "end")).alias("spans")
+    )
+    return toks.join(sp, "s_key", "left")
+
+
+def span_steps(spark: SparkSession, tokens: DataFrame, mentions: DataFrame, entities: DataFrame,
+               variant: str = "narrow") -> DataFrame:
+    """A04 as a table: ``(s_key, pos, final, letter_no)`` for every token
+    position (``letter_no`` -1 when no cluster matches)."""
+    return _per_story(spark, tokens, mentions, entities, variant).mapInPandas(
+        _step_batches, "s_key long, pos int, final long, letter_no int")
+
+
 def replace_characters(spark: SparkSession, stories: DataFrame, tokens: DataFrame, mentions: DataFrame,
                        entities: DataFrame, variant: str = "narrow") -> DataFrame:
     """``(s_key, text)`` for every story; failed or unannotated
@@ -132,13 +172,7 @@ def replace_characters(spark: SparkSession, stories: DataFrame, tokens: DataFram
     Token and span arrays are built with one shuffle each on ``s_key``; the two
     per-story rows join co-partitioned.
     """
-    toks = tokens.groupBy("s_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "dep"))).alias("_t"))
-    toks = toks.select("s_key", F.col("_t.text").alias("toks"), F.col("_t.dep").alias("deps"))
-    cl = character_clusters(spark, mentions, entities, variant)
-    sp = mentions.join(cl, ["s_key", "cluster_id"]).groupBy("s_key").agg(
-        F.collect_list(F.struct("letter_no", "label", "mention_no", "start", "end")).alias("spans")
-    )
-    per_story = toks.join(sp, "s_key", "left")
+    per_story = _per_story(spark, tokens, mentions, entities, variant)
     out = per_story.mapInPandas(_rewrite_batches, "s_key long, text string")
     return stories.select("s_key").join(out, "s_key", "left").select(
         "s_key", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -208,3 +208,39 @@ def u01(spark, sf):
 
 
 __all__ = ["CTES"]
+
+
+SQL_A04 = f"""
+WITH RECURSIVE {{ctes}},
+keep AS ({SQL_A02}),
+spans AS (SELECT m.s_key, k.letter_no, m.mention_no, m.start, m."end" FROM fx_mentions m JOIN keep k USING (s_key, cluster_id)),
+ncl AS (SELECT s_key, max(letter_no) AS mx FROM keep GROUP BY s_key),
+walk AS (
+  SELECT t.s_key, t.pos AS p, 0 AS r, CAST(t.pos AS BIGINT) AS cur, -1 AS lab, CAST(-1 AS BIGINT) AS labpos
+  FROM fx_tokens t JOIN ncl USING (s_key)
+  UNION ALL
+  SELECT w.s_key, w.p, w.r + 1, coalesce(w.tgt, w.cur),
+         CASE WHEN w.tgt IS NOT NULL AND w.tgt > w.labpos THEN w.r ELSE w.lab END,
+         CASE WHEN w.tgt IS NOT NULL AND w.tgt > w.labpos THEN w.tgt ELSE w.labpos END
+  FROM (SELECT w.*, (SELECT CASE WHEN sp.start <= w.cur AND w.cur < sp."end" THEN sp."end" ELSE sp.start END
+                     FROM spans sp WHERE sp.s_key = w.s_key AND sp.letter_no = w.r
+                       AND ((sp.start <= w.cur AND w.cur < sp."end") OR sp.start = w.cur)
+                     ORDER BY sp.mention_no LIMIT 1) AS tgt
+        FROM walk w JOIN ncl n ON n.s_key = w.s_key WHERE w.r <= n.mx) w)
+SELECT w.s_key, CAST(w.p AS INTEGER) AS pos, w.cur AS final, CAST(w.lab AS INTEGER) AS letter_no
+FROM walk w JOIN ncl n ON n.s_key = w.s_key AND w.r = n.mx + 1
+UNION ALL
+SELECT t.s_key, t.pos, CAST(t.pos AS BIGINT), -1 FROM fx_tokens t WHERE t.s_key NOT IN (SELECT s_key FROM ncl)"""
+
+
+def _a04_sql() -> str:
+    base = with_ctes(["fx_tokens", "fx_mentions", "fx_entities"], "SELECT 1")
+    ctes = base[len("WITH "):base.rindex("\nSELECT 1")]
+    return SQL_A04.replace("{ctes}", ctes)
+
+
+@query("a04_span_steps", _a04_sql())
+def a04(spark, sf):
+    """For every token position, the position the span step moves to and
+    the cluster whose placeholder is written there (-1: none)."""
+    return R.span_steps(spark, fx.tokens(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))

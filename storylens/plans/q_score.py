@@ -228,3 +228,18 @@ def p10(spark, sf):
 
 
 __all__ = ["SCORE_METHODS", "unit_vec"]
+
+
+@query("u02_vector_mean", """
+SELECT label, CAST(i AS BIGINT) AS i, avg(CAST(x AS DOUBLE)) AS m
+FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+GROUP BY label, i""", floats=["m"])
+def u02(spark, sf):
+    """Element-wise mean vector per label over the whole vector table
+    (partial aggregation per element, no Python)."""
+    from storylens.functions.vectors import vector_mean
+
+    e = fx.read_table(spark, sf, "embeddings")
+    vm = vector_mean(e.select("label", "embedding"), ["label"], "embedding", "m")
+    return vm.select("label", F.posexplode("m").alias("i", "m")).select(
+        "label", F.col("i").cast("bigint").alias("i"), "m")

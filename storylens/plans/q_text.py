@@ -314,3 +314,15 @@ def s17(spark, sf):
     path = _scratch(spark, "generated")
     io.write_generated(gen, path)
     return spark.read.parquet(path).select("p_ind", "role", "full_prompt", "story")
+
+
+@query("s03_story_mapping_objects", with_ctes(["fx_lines"], f"""
+SELECT CAST(i.p_ind AS INTEGER) AS p_ind, CAST(i.s_ind AS INTEGER) AS s_ind, i.prompt, l.story
+FROM ({SQL_P03}) i JOIN fx_lines l USING (line_no, prompt)"""))
+def s03(spark, sf):
+    """P03 -> S04 as JSON objects (prompt -> ordered stories, a few prompts per
+    file) -> S03 scan with prompts numbered by file then object order."""
+    path = _scratch(spark, "mapping-obj")
+    idx = P.index_stories(fx.lines(spark, sf))
+    io.write_story_mapping_objects(idx, path, prompts_per_file=7)
+    return io.read_story_mapping(spark, path)

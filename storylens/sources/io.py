@@ -21,7 +21,7 @@ from pyspark.sql.types import (
 )
 
 from storylens.constants import PROMPT_DELIMITER
-from storylens.functions.indexing import scan_order_index
+from storylens.functions.indexing import scan_order_index, sequential_index
 from storylens.operators.lexicon import dedupe_last_wins
 
 STORY_ROW_SCHEMA = StructType([
@@ -96,9 +96,28 @@ def parse_story_mapping(doc: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_story_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """S03 on a JSON object file (one object per file, as produced by S04's
-    single-object form). For large data prefer ``read_story_lines``."""
-    return parse_story_mapping(spark.read.text(path, wholetext=True))
+    """S03 on JSON object files (prompt -> [stories]). One file is one object
+    (read whole by one task, files in parallel); prompts are numbered in
+    file-name order, then object order, by a dense global index."""
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
+    m = d.select("_f", F.from_json("value", MapType(StringType(), ArrayType(StringType()))).alias("m"))
+    e = m.select("_f", F.posexplode(F.map_entries("m")).alias("_lp", "kv"))
+    keys = sequential_index(e.select("_f", "_lp").distinct(), [F.col("_f"), F.col("_lp")], "p_ind")
+    s = e.join(keys, ["_f", "_lp"]).select(
+        "p_ind", F.col("kv.key").alias("prompt"), F.posexplode("kv.value").alias("s_ind", "story"))
+    return s.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "prompt", "story")
+
+
+def write_story_mapping_objects(stories: DataFrame, path: str, prompts_per_file: int = 1000) -> None:
+    """S04 in the object form: one JSON object (prompt -> ordered stories) per
+    file of `prompts_per_file` consecutive prompts."""
+    g = group_story_mapping(stories).withColumn("_file", F.floor(F.col("p_ind") / prompts_per_file))
+    obj = g.groupBy("_file").agg(
+        F.to_json(F.map_from_entries(F.transform(
+            F.array_sort(F.collect_list(F.struct("p_ind", "prompt", "stories"))),
+            lambda r: F.struct(r["prompt"], r["stories"])))).alias("value"))
+    obj = obj.withColumn("_file", F.format_string("%09d", F.col("_file")))
+    obj.write.partitionBy("_file").text(path)
 
 
 STORY_LINES_SCHEMA = StructType([
