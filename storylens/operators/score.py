@@ -117,29 +117,69 @@ def word_score_table(lex: DataFrame, vectors: DataFrame | None = None, dims: lis
     return out
 
 
+# Word-score tables up to this many words are broadcast and joined per token
+# (no shuffle of tokens or counts); larger ones take the counts path.
+BROADCAST_WORDS = 2_000_000
+
+
+def _coords(dims: list[str], sms: list[str]) -> list[tuple[str, str]]:
+    return [(d, m) for d in dims for m in sms]
+
+
+def wide_word_scores(word_scores: DataFrame, dims: list[str], sms: list[str]) -> DataFrame:
+    """One row per word, one column ``k<i>`` per (dim, sm) coordinate."""
+    cols = [
+        F.max(F.when((F.col("dim") == d) & (F.col("sm") == m), F.col("wscore"))).alias(f"k{i}")
+        for i, (d, m) in enumerate(_coords(dims, sms))
+    ]
+    return word_scores.filter(F.col("dim").isin(dims) & F.col("sm").isin(sms)).groupBy("w").agg(*cols)
+
+
 def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
                      dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS,
-                     sms: list[str] = SCORE_METHODS) -> DataFrame:
-    """Score stories against a prepared word-score table (one join, one
-    aggregation); every story gets every coordinate.
+                     sms: list[str] = SCORE_METHODS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """Score stories against a prepared word-score table; every story gets
+    every coordinate.
 
     avg: graded lexicon -> mean score of found words, none found -> 0;
     unipolar lexicon -> sum of found scores / number of attributes, empty -> 0.
     axis/sim: mean word score over attributes with a vector, none -> null.
+
+    Plan: the word-score table is pivoted to one row per word. When it holds
+    at most `broadcast_words` words (counted), it is broadcast and joined to
+    every attribute token; the per-(story, am) sums then collapse in the
+    partial aggregation of the scan task, so only stories x methods rows are
+    shuffled. Beyond the bound, attributes are first counted per (story, am,
+    word) and joined with a shuffle (AQE splits skewed words).
     """
-    counts = attr_word_counts(attrs.filter(F.col("am").isin(ams)))
-    totals = attr_totals(counts)
-    found = counts.join(word_scores, "w").groupBy("s_key", "am", "dim", "sm").agg(
-        F.sum(F.col("n") * F.col("wscore")).alias("num"), F.sum("n").alias("den")
-    )
-    grid = stories.select("s_key", *[c for c in stories.columns if c not in ("s_key", "text")]).select(
-        "*", _grid_coords(ams, dims, sms).alias("g")
-    ).select("*", "g.*").drop("g")
-    res = (
-        grid.join(found, ["s_key", "am", "dim", "sm"], "left")
-        .join(totals, ["s_key", "am"], "left")
-        .join(F.broadcast(modes), "dim", "left")
-    )
+    coords = _coords(dims, sms)
+    wide = wide_word_scores(word_scores, dims, sms).checkpoint()
+    a = attrs.filter(F.col("am").isin(ams)).select("s_key", "am", F.lower(F.col("attr")).alias("w"))
+    if wide.count() <= broadcast_words:
+        j = a.join(F.broadcast(wide), "w", "left")
+        n = F.lit(1)
+    else:
+        counts = attr_word_counts(attrs.filter(F.col("am").isin(ams)))
+        j = counts.join(wide, "w", "left")
+        n = F.col("n")
+    aggs = [F.sum(n).alias("n_all")]
+    for i in range(len(coords)):
+        k = F.col(f"k{i}")
+        aggs.append(F.sum(n * k).alias(f"num{i}"))
+        aggs.append(F.sum(F.when(k.isNotNull(), n)).alias(f"den{i}"))
+    per_story = j.groupBy("s_key", "am").agg(*aggs)
+    keep = [c for c in stories.columns if c not in ("s_key", "text")]
+    base = stories.select("s_key", *keep, F.explode(F.array(*[F.lit(x) for x in ams])).alias("am"))
+    g = base.join(per_story, ["s_key", "am"], "left")
+    long = g.select(
+        "s_key", *keep, "am", "n_all",
+        F.explode(F.array(*[
+            F.struct(F.lit(d).alias("dim"), F.lit(m).alias("sm"), F.col(f"num{i}").alias("num"),
+                     F.col(f"den{i}").alias("den"))
+            for i, (d, m) in enumerate(coords)
+        ])).alias("c"),
+    ).select("s_key", *keep, "am", "n_all", "c.*")
+    res = long.join(F.broadcast(modes), "dim", "left")
     avg_score = F.when(
         F.col("unipolar"), F.coalesce(F.try_divide(F.col("num"), F.col("n_all")), F.lit(0.0))
     ).otherwise(F.coalesce(F.try_divide(F.col("num"), F.col("den")), F.lit(0.0)))

@@ -112,3 +112,23 @@ def test_unknown_methods_raise():
     with pytest.raises(ValueError):
         check_attr_method("verbs")
     assert math.isfinite(1.0)
+
+
+def test_counts_path_equals_broadcast_path(spark, sf_small):
+    from storylens.operators.lexicon import lexicon_modes
+    from storylens.plans.common import attrs_for
+    from storylens.sources import fixtures as fx
+
+    st = fx.stories(spark, sf_small)
+    lex = fx.lexicon(spark, sf_small)
+    ws = S.word_score_table(lex, fx.vectors(spark, sf_small), sms=["avg", "sim"])
+    at = attrs_for(spark, sf_small, ["all", "comet"])
+    cols = ["s_key", "am", "dim", "sm", "score"]
+    a = S.score_with_table(st, at, ws, lexicon_modes(lex), ams=["all", "comet"], sms=["avg", "sim"]).select(*cols)
+    b = S.score_with_table(st, at, ws, lexicon_modes(lex), ams=["all", "comet"], sms=["avg", "sim"],
+                           broadcast_words=0).select(*cols)
+    ra = {tuple(r[:4]): r[4] for r in a.collect()}
+    rb = {tuple(r[:4]): r[4] for r in b.collect()}
+    assert ra.keys() == rb.keys()
+    for k, v in ra.items():
+        assert (v is None and rb[k] is None) or v == pytest.approx(rb[k], abs=1e-12), k
