@@ -4,14 +4,19 @@ commonsense sentence gate (E05), inferred-phrase normalisation (E06),
 alignment to all stories (E07) and method choice (E08).
 
 Tokens: ``(s_key, sent_id, pos, text, tag, dep, head_pos)``, heads inside the
-sentence, the root its own head. Dependency work is done per sentence: one
-shuffle collects a sentence's tokens into an array (a sentence is small) and
-higher-order functions walk heads inside it, so no token self-join and no
-recursion cap.
+sentence, the root its own head; or the same one row per sentence with
+arrays (what an annotator emits). Dependency work is done per sentence: a
+long token table is collected into sentences with one shuffle; E02/E03 run
+on Arrow batches of sentences with numpy (no token self-join, no recursion
+cap); E05 is a higher-order ``exists`` per sentence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,66 +64,71 @@ def _in(col: Column, values: list[str]) -> Column:
 
 def sub_attrs(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
     """E04 = E02 + E03 in token order, duplicates kept. Returns ``(s_key, ord, attr, rule)``."""
-    s = sentences(tokens)
-    idx = lambda p: (p - F.col("base") + 1).cast("int")  # 1-based array index of a position
-    n = F.size("pos")
-
-    # Nsubj protagonist -> head text when the head's tag is VB* or JJ
-    e02 = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(
-                F.element_at("pos", i).alias("ord"),
-                F.element_at("text", idx(F.element_at("head", i))).alias("attr"),
-                (
-                    (F.element_at("dep", i) == "nsubj")
-                    & _in(F.element_at("text", i), prot)
-                    & (
-                        F.element_at("tag", idx(F.element_at("head", i))).startswith("VB")
-                        | (F.element_at("tag", idx(F.element_at("head", i))) == "JJ")
-                    )
-                ).alias("keep"),
-                F.lit("E02").alias("rule"),
-            ),
-        ),
-        lambda r: r["keep"],
-    )
-
-    # Amod token with any ancestor (head chain, the token itself excluded)
-    # whose text is a protagonist token. The climb is bounded by the sentence
-    # length and idempotent at the root.
-    def climb(i):
-        start = F.struct(idx(F.element_at("head", i)).alias("cur"), F.lit(False).alias("hit"))
-        return F.aggregate(
-            F.sequence(F.lit(1), n),
-            start,
-            lambda acc, _: F.struct(
-                idx(F.element_at("head", acc["cur"])).alias("cur"),
-                (acc["hit"] | _in(F.element_at("text", acc["cur"]), prot)).alias("hit"),
-            ),
-            lambda acc: acc["hit"],
-        )
-
-    e03 = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.struct(
-                F.element_at("pos", i).alias("ord"),
-                F.element_at("text", i).alias("attr"),
-                F.when(F.element_at("dep", i) == "amod", climb(i)).otherwise(F.lit(False)).alias("keep"),
-                F.lit("E03").alias("rule"),
-            ),
-        ),
-        lambda r: r["keep"],
-    )
-    out = s.select("s_key", F.explode(F.concat(e02, e03)).alias("r"))
-    return out.select("s_key", F.col("r.ord").alias("ord"), F.col("r.attr").alias("attr"), F.col("r.rule").alias("rule"))
+    return sub_attrs_from_sentences(sentences(tokens), prot)
+
+
+SUB_SCHEMA = "s_key long, ord int, attr string, rule string"
+
+
+def _sub_batch(prot: list[str]):
+    prot_set = np.array(sorted(set(prot)), dtype=object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            lens = pdf["pos"].map(len).to_numpy()
+            offs = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            key = np.repeat(pdf["s_key"].to_numpy(), lens)
+            pos = np.concatenate(pdf["pos"].to_numpy()).astype(np.int64)
+            text = np.concatenate(pdf["text"].to_numpy()).astype(object)
+            tag = np.concatenate(pdf["tag"].to_numpy()).astype(object)
+            dep = np.concatenate(pdf["dep"].to_numpy()).astype(object)
+            head = np.concatenate(pdf["head"].to_numpy()).astype(np.int64)
+            base = np.repeat(pdf["base"].to_numpy().astype(np.int64), lens)
+            parent = np.repeat(offs, lens) + (head - base)  # global index of the head
+            is_prot = np.isin(text, prot_set)
+            # Protagonist nsubj -> head text when the head is VB* or JJ
+            htag = tag[parent].astype(str)
+            m2 = (dep == "nsubj") & is_prot & (np.char.startswith(htag, "VB") | (htag == "JJ"))
+            # Amod with a protagonist ancestor; ancestor flags by pointer
+            # doubling (the root points to itself and is not its own ancestor)
+            idx = np.arange(len(pos))
+            root = parent == idx
+            flag = np.where(root, False, is_prot[parent])
+            jump = parent.copy()
+            for _ in range(int(np.ceil(np.log2(max(2, lens.max())))) + 1):
+                flag = flag | flag[jump]
+                jump = jump[jump]
+            m3 = (dep == "amod") & flag
+            out2 = pd.DataFrame({"s_key": key[m2], "ord": pos[m2].astype(np.int32), "attr": text[parent[m2]],
+                                 "rule": "E02"})
+            out3 = pd.DataFrame({"s_key": key[m3], "ord": pos[m3].astype(np.int32), "attr": text[m3], "rule": "E03"})
+            yield pd.concat([out2, out3], ignore_index=True)
+
+    return run
+
+
+def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
+    """E04 over the per-sentence form ``(s_key, sent_id, base, pos[], text[],
+    tag[], dep[], head[])`` (what an annotator emits; no shuffle needed).
+
+    Arrow batches of sentences are flattened into one array per batch; E02 is
+    a lookup of each token's head, and E03's "any ancestor is a protagonist"
+    is computed for every token at once by pointer doubling (log2 of the
+    sentence length passes), so no per-token climb."""
+    cols = s.select("s_key", "base", "pos", "text", "tag", "dep", "head")
+    return cols.mapInPandas(_sub_batch(list(prot)), SUB_SCHEMA)
 
 
 def gated_sentences(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
     """Sentences whose ROOT has a child ``nsubj``/``nsubjpass`` that is a
     protagonist token. Returns the model request table ``(s_key, sent_id, sentence)``."""
-    s = sentences(tokens)
+    return gated_from_sentences(sentences(tokens), prot)
+
+
+def gated_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
+    """E05 over the per-sentence form."""
     n = F.size("pos")
     hit = F.exists(
         F.sequence(F.lit(1), n),

@@ -146,9 +146,15 @@ def _step_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "final": np.concatenate(finals), "letter_no": np.concatenate(labs)})
 
 
-def _per_story(spark: SparkSession, tokens: DataFrame, mentions: DataFrame, entities: DataFrame, variant: str):
+def token_arrays(tokens: DataFrame) -> DataFrame:
+    """Long tokens ``(s_key, pos, text, dep)`` -> ``(s_key, toks, deps)`` (one shuffle)."""
     toks = tokens.groupBy("s_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "dep"))).alias("_t"))
-    toks = toks.select("s_key", F.col("_t.text").alias("toks"), F.col("_t.dep").alias("deps"))
+    return toks.select("s_key", F.col("_t.text").alias("toks"), F.col("_t.dep").alias("deps"))
+
+
+def _per_story(spark: SparkSession, tokens: DataFrame, mentions: DataFrame, entities: DataFrame, variant: str):
+    """tokens: the long table, or already one row per story ``(s_key, toks, deps)``."""
+    toks = tokens if "toks" in tokens.columns else token_arrays(tokens)
     cl = character_clusters(spark, mentions, entities, variant)
     sp = mentions.join(cl, ["s_key", "cluster_id"]).groupBy("s_key").agg(
         F.collect_list(F.struct("letter_no", "label", "mention_no", "start", "end")).alias("spans")

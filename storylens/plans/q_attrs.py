@@ -23,7 +23,7 @@ def e01(spark, sf):
 @query("e02_subject_heads", with_ctes(["fx_tokens"], f"SELECT s_key, ord, attr FROM ({SQL_E02})"))
 def e02(spark, sf):
     """Protagonist nsubj -> head text when the head is VB* or JJ."""
-    s = A.sub_attrs(fx.tokens(spark, sf), fx.FIXTURE_PROTAGONIST)
+    s = A.sub_attrs_from_sentences(fx.sentences(spark, sf), fx.FIXTURE_PROTAGONIST)
     return s.filter(F.col("rule") == "E02").select("s_key", "ord", "attr")
 
 
@@ -31,7 +31,7 @@ def e02(spark, sf):
                                        [("anc", SQL_E03_ANC)], recursive=True))
 def e03(spark, sf):
     """Amod tokens with a protagonist among their ancestors."""
-    s = A.sub_attrs(fx.tokens(spark, sf), fx.FIXTURE_PROTAGONIST)
+    s = A.sub_attrs_from_sentences(fx.sentences(spark, sf), fx.FIXTURE_PROTAGONIST)
     return s.filter(F.col("rule") == "E03").select("s_key", "ord", "attr")
 
 
@@ -39,7 +39,8 @@ def e03(spark, sf):
 SELECT s_key, ord, attr, rule FROM ({SQL_E02}) UNION ALL SELECT s_key, ord, attr, rule FROM ({SQL_E03})""",
                                   [("anc", SQL_E03_ANC)], recursive=True))
 def e04(spark, sf):
-    """The sub attribute list (E02 and E03 in token order, duplicates kept)."""
+    """The sub attribute list (E02 and E03 in token order, duplicates
+    kept), from the long token table (one shuffle into sentences)."""
     return A.sub_attrs(fx.tokens(spark, sf), fx.FIXTURE_PROTAGONIST)
 
 
@@ -54,7 +55,7 @@ WHERE r.dep = 'ROOT' AND EXISTS (
 def e05(spark, sf):
     """Sentences whose root has a protagonist subject: the request table
     for the commonsense model."""
-    return A.gated_sentences(fx.tokens(spark, sf), fx.FIXTURE_PROTAGONIST)
+    return A.gated_from_sentences(fx.sentences(spark, sf), fx.FIXTURE_PROTAGONIST)
 
 
 @query("e06_phrase_words", with_ctes(["fx_phrases"], SQL_E06))

@@ -178,7 +178,7 @@ def a05(spark, sf):
     """The rewritten text of every story (placeholders, possessives,
     failures as ''), over the fixture annotations."""
     st = fx.stories(spark, sf)
-    return R.replace_characters(spark, st, fx.tokens(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))
+    return R.replace_characters(spark, st, fx.token_arrays(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))
 
 
 # --- U01 ------------------------------------------------------------------------

@@ -8,6 +8,8 @@ Every view covers whole tables and whole texts.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +166,83 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _parse_struct(pos):
+    """The fixture parse of one position (same rules as ``tokens``)."""
+    k = pos % SENTENCE_LEN + 1
+    sent = F.floor(pos / SENTENCE_LEN)
+    dep = (
+        F.when(k == 1, F.lit("ROOT")).when(pos % 7 == 0, F.lit("nsubj")).when(pos % 7 == 1, F.lit("amod"))
+        .when(pos % 7 == 2, F.lit("poss")).when(pos % 7 == 3, F.lit("nsubjpass")).otherwise(F.lit("dep"))
+    )
+    tag = F.when(pos % 5 == 0, "VBD").when(pos % 5 == 1, "JJ").when(pos % 5 == 2, "VBZ").otherwise("NN")
+    head = F.when(k == 1, pos).otherwise(sent * SENTENCE_LEN + F.floor(k / 2) - 1)
+    return tag, dep, head
+
+
+SENTENCE_SCHEMA = ("s_key long, sent_id int, base int, pos array<int>, text array<string>, tag array<string>, "
+                   "dep array<string>, head array<int>")
+_TAGS = np.array(["VBD", "JJ", "VBZ", "NN", "NN"], dtype=object)
+_DEPS = np.array(["nsubj", "amod", "poss", "nsubjpass", "dep", "dep", "dep"], dtype=object)
+
+
+def _sentence_parser(batches):
+    """Stand-in parser emitting one row per sentence (fixture rules), built
+    from flat numpy arrays per Arrow batch."""
+    import pyarrow as pa
+
+    for rb in batches:
+        keys = rb.column("s_key").to_numpy(zero_copy_only=False)
+        toks, lens = [], []
+        for txt in rb.column("text").to_pylist():
+            w = (txt or "").split()
+            toks.extend(w)
+            lens.append(len(w))
+        lens = np.asarray(lens, dtype=np.int64)
+        total = int(lens.sum())
+        starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
+        pos = np.arange(total, dtype=np.int64) - np.repeat(starts, lens)
+        k = pos % SENTENCE_LEN + 1
+        tag = _TAGS[pos % 5]
+        dep = np.where(k == 1, "ROOT", _DEPS[pos % 7]).astype(object)
+        head = np.where(k == 1, pos, (pos // SENTENCE_LEN) * SENTENCE_LEN + k // 2 - 1)
+        first = np.flatnonzero(pos % SENTENCE_LEN == 0)
+        offsets = pa.array(np.append(first, total).astype(np.int32))
+        doc_of = np.repeat(np.arange(len(lens)), lens)[first]
+
+        def lst(values, typ):
+            return pa.ListArray.from_arrays(offsets, pa.array(values, type=typ))
+
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys[doc_of].astype(np.int64)),
+                pa.array((pos[first] // SENTENCE_LEN).astype(np.int32)),
+                pa.array(pos[first].astype(np.int32)),
+                lst(pos.astype(np.int32), pa.int32()),
+                lst(np.array(toks, dtype=object), pa.string()),
+                lst(tag, pa.string()),
+                lst(dep, pa.string()),
+                lst(head.astype(np.int32), pa.int32()),
+            ],
+            names=["s_key", "sent_id", "base", "pos", "text", "tag", "dep", "head"],
+        )
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_tokens in the per-sentence form an annotator emits:
+    ``(s_key, sent_id, base, pos[], text[], tag[], dep[], head[])``, produced
+    per document by a stand-in parser (no shuffle)."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_key"), "text")
+    return d.mapInArrow(_sentence_parser, SENTENCE_SCHEMA)
+
+
+def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_tokens per story as arrays ``(s_key, toks, deps)`` (no shuffle)."""
+    d = read_table(spark, sf_dir, "documents")
+    t = d.select(F.col("doc_id").alias("s_key"), whitespace_words("text").alias("toks"))
+    deps = F.transform(F.sequence(F.lit(0), F.size("toks") - 1), lambda p: _parse_struct(p)[1])
+    return t.select("s_key", "toks", F.when(F.size("toks") > 0, deps).otherwise(F.array().cast("array<string>")).alias("deps"))
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_mentions: two overlapping span families over fx_tokens (inclusive ends).
 
