@@ -41,13 +41,31 @@ def average_ranks(df: DataFrame, group_cols: list[str], value_col: str, key_cols
 TIE_DIGITS = 9
 
 
-def spearman(df: DataFrame, group_cols: list[str], x: str, y: str, key_cols: list[str]) -> DataFrame:
+def window_average_ranks(df: DataFrame, group_cols: list[str], value_col: str, out: str = "rank") -> DataFrame:
+    """Average ranks with a window per group: for groups of a known small
+    bound (e.g. held-out lexicon words), where one task per group is fine."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*group_cols).orderBy(value_col)
+    ties = Window.partitionBy(*group_cols, value_col)
+    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+
+
+def spearman(df: DataFrame, group_cols: list[str], x: str, y: str, key_cols: list[str],
+             bounded_groups: bool = False) -> DataFrame:
     """Spearman rank correlation per group over rows where both x and y
     are present. Returns ``(group..., n, sp_corr)``; constant series -> null.
-    Values equal to 9 decimals are ties (float noise does not split ties)."""
+    Values equal to 9 decimals are ties (float noise does not split ties).
+
+    Ranks come from a range-partitioned global order (a group may hold any
+    share of the rows); ``bounded_groups`` uses a window per group instead,
+    for groups whose size has a fixed bound (lexicon words)."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     d = d.select(*group_cols, *key_cols, F.bround(F.col(x), TIE_DIGITS).alias(x),
                  F.bround(F.col(y), TIE_DIGITS).alias(y))
+    if bounded_groups:
+        r = window_average_ranks(window_average_ranks(d, group_cols, x, "_rx"), group_cols, y, "_ry")
+        return pearson(r, group_cols, "_rx", "_ry", "sp_corr")
     rx = average_ranks(d, group_cols, x, key_cols, "_rx")
     ry = average_ranks(d.select(*group_cols, *key_cols, y), group_cols, y, key_cols, "_ry")
     r = rx.join(ry.select(*group_cols, *key_cols, "_ry"), [*group_cols, *key_cols])

@@ -55,7 +55,8 @@ def _fetch(df: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _test_spearman(pred: DataFrame, method: str) -> DataFrame:
-    r = spearman(pred, ["dim", "trial"], "score", "pred", ["word"])
+    # held-out words of one lexicon: a bounded group per (dim, trial)
+    r = spearman(pred, ["dim", "trial"], "score", "pred", ["word"], bounded_groups=True)
     return r.select("dim", "trial", F.lit(method).alias("method"), "n", "sp_corr")
 
 
