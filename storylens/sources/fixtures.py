@@ -244,39 +244,55 @@ def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("s_key", "toks", F.when(F.size("toks") > 0, deps).otherwise(F.array().cast("array<string>")).alias("deps"))
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_mentions: two overlapping span families over fx_tokens (inclusive ends).
+MENTION_SCHEMA = "s_key long, cluster_id int, mention_no int, start int, end int, surface string"
 
-    Spans and surfaces are built inside each document's token array, so the
-    array is never copied per output row.
-    """
-    d = read_table(spark, sf_dir, "documents")
-    t = d.select(F.col("doc_id").alias("s_key"), whitespace_words("text").alias("toks"))
-    n = F.size("toks")
-
-    def family(step: int, mod: int, base: int, ncl: int):
-        return F.transform(
-            F.sequence(F.lit(0), n - 1, F.lit(step)),
-            lambda s: F.struct(
-                s.alias("start"),
-                F.least(s + s % mod, n - 1).alias("end"),
-                (F.floor(s / step) % ncl + base).alias("cluster_id"),
-                F.array_join(F.slice("toks", s + 1, F.least(s + s % mod, n - 1) - s + 1), " ").alias("surface"),
-            ),
+
+def _mention_model(batches):
+    """Stand-in coreference output (fixture rules), from flat numpy arrays
+    per Arrow batch: family 1 starts every 11 tokens (length 1 + pos mod 3,
+    cluster (pos div 11) mod 4), family 2 every 13 tokens (length 1 + pos mod
+    4, cluster 4 + (pos div 13) mod 3); ends clamped to the text; mentions
+    numbered per cluster by (start, end)."""
+    import pyarrow as pa
+
+    for rb in batches:
+        out = {k: [] for k in ("s_key", "cluster_id", "mention_no", "start", "end", "surface")}
+        for key, txt in zip(rb.column("s_key").to_pylist(), rb.column("text").to_pylist()):
+            toks = (txt or "").split()
+            n = len(toks)
+            if n == 0:
+                continue
+            s1 = np.arange(0, n, 11)
+            s2 = np.arange(0, n, 13)
+            start = np.concatenate([s1, s2])
+            end = np.minimum(np.concatenate([s1 + s1 % 3, s2 + s2 % 4]), n - 1)
+            cl = np.concatenate([(s1 // 11) % 4, 4 + (s2 // 13) % 3])
+            order = np.lexsort((end, start, cl))
+            start, end, cl = start[order], end[order], cl[order]
+            first = np.concatenate([[True], cl[1:] != cl[:-1]])
+            grp_start = np.maximum.accumulate(np.where(first, np.arange(len(cl)), 0))
+            out["s_key"].append(np.full(len(cl), key, dtype=np.int64))
+            out["cluster_id"].append(cl.astype(np.int32))
+            out["mention_no"].append((np.arange(len(cl)) - grp_start).astype(np.int32))
+            out["start"].append(start.astype(np.int32))
+            out["end"].append(end.astype(np.int32))
+            out["surface"].append(np.array([" ".join(toks[a:b + 1]) for a, b in zip(start, end)], dtype=object))
+        if not out["s_key"]:
+            continue
+        cols = {k: np.concatenate(v) for k, v in out.items()}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols["s_key"]), pa.array(cols["cluster_id"]), pa.array(cols["mention_no"]),
+             pa.array(cols["start"]), pa.array(cols["end"]), pa.array(cols["surface"], type=pa.string())],
+            names=["s_key", "cluster_id", "mention_no", "start", "end", "surface"],
         )
 
-    spans = t.filter(n > 0).select(
-        "s_key", F.explode(F.concat(family(11, 3, 0, 4), family(13, 4, 4, 3))).alias("m")
-    ).select("s_key", "m.*")
-    w = Window.partitionBy("s_key", "cluster_id").orderBy("start", "end")
-    return spans.select(
-        "s_key",
-        F.col("cluster_id").cast("int").alias("cluster_id"),
-        (F.row_number().over(w) - 1).cast("int").alias("mention_no"),
-        F.col("start").cast("int").alias("start"),
-        F.col("end").cast("int").alias("end"),
-        "surface",
-    )
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_mentions: two overlapping span families over fx_tokens (inclusive
+    ends), from a stand-in coreference model per document; kept for the
+    session like the other stand-in tables (several operators read it)."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_key"), "text")
+    return _memo(spark, sf_dir, "mentions", lambda: d.mapInArrow(_mention_model, MENTION_SCHEMA))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
