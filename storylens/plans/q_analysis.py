@@ -54,7 +54,7 @@ def n02(spark, sf):
 @query("n03_prompts_per_pov", with_ctes(["fx_stories"], """
 SELECT writer, p_pov, count(DISTINCT p_ind) AS n_prompts FROM fx_stories GROUP BY writer, p_pov
 UNION ALL
-SELECT writer, NULL AS p_pov, sum(n) AS n_prompts
+SELECT writer, NULL AS p_pov, CAST(sum(n) AS BIGINT) AS n_prompts
 FROM (SELECT writer, p_pov, count(DISTINCT p_ind) AS n FROM fx_stories GROUP BY writer, p_pov) GROUP BY writer"""))
 def n03(spark, sf):
     """Distinct prompts per prompt POV and their sum over POVs."""
