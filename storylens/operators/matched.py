@@ -4,13 +4,14 @@
 Randomness is a seeded hash: a row's position in a draw is
 ``md5(concat_ws(':', s_id, trial, seed))``, so results do not depend on
 partitioning or re-execution, and a recomputed task draws the same rows.
-Sampling groups (a prompt's stories) are small; all windows are partitioned
-by them.
+Draws and split ranks use aggregations and a range-partitioned global order,
+never a window over a whole prompt, so a prompt holding a third of all
+stories is still spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storylens.constants import (
@@ -20,6 +21,7 @@ from storylens.constants import (
     SAMPLE_TRIALS,
     SPLIT_MIN_STORIES,
 )
+from storylens.functions.indexing import sequential_index
 from storylens.operators.analysis import at_best_sm
 
 DEFAULT_SEED = 7
@@ -33,17 +35,32 @@ def _draw_key(seed: int):
     return F.md5(F.concat_ws(":", F.col("s_id"), F.col("trial").cast("string"), F.lit(str(seed))))
 
 
+def draw_k(d: DataFrame, keys: list[str], k: int, seed: int) -> DataFrame:
+    """The first `k` rows per (group, trial) in ``(md5 key, s_id)`` order,
+    as k rounds of a min aggregation (partial aggregation; no window sorts a
+    whole group, so a prompt holding a third of all stories still spreads
+    over many tasks)."""
+    gk = [*keys, "trial"]
+    d = d.withColumn("_o", F.struct(_draw_key(seed).alias("h"), F.col("s_id").alias("id")))
+    picked = None
+    rest = d
+    for _ in range(k):
+        m = rest.groupBy(*gk).agg(F.min("_o").alias("_m"))
+        hit = rest.join(m, gk).filter(F.col("_o") == F.col("_m")).drop("_m")
+        picked = hit if picked is None else picked.unionByName(hit)
+        rest = rest.join(m, gk).filter(F.col("_o") > F.col("_m")).drop("_m")
+    return picked.drop("_o")
+
+
 def sample_group_stats(z: DataFrame, keys: list[str], n_samples: int = SAMPLE_SIZE,
                        n_trials: int = SAMPLE_TRIALS, seed: int = DEFAULT_SEED) -> DataFrame:
     """For each group with at least `n_samples` stories, draw
     `n_samples` without replacement `n_trials` times; mean and population std
     of each draw, averaged over the trials."""
-    d = z.filter(F.col("z_score").isNotNull())
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    d = d.withColumn("_n", size).filter(F.col("_n") >= n_samples)
-    d = d.select(*keys, "s_id", "z_score", _trials(n_trials))
-    w = Window.partitionBy(*keys, "trial").orderBy(_draw_key(seed), F.col("s_id"))
-    drawn = d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_samples)
+    d = z.filter(F.col("z_score").isNotNull()).select(*keys, "s_id", "z_score")
+    big = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n_samples).drop("_n")
+    d = d.join(big, keys, "left_semi").select(*keys, "s_id", "z_score", _trials(n_trials))
+    drawn = draw_k(d, keys, n_samples, seed)
     per_trial = drawn.groupBy(*keys, "trial").agg(
         F.avg("z_score").alias("m"), F.stddev_pop("z_score").alias("s")
     )
@@ -100,14 +117,19 @@ def box_stats(df: DataFrame, keys: list[str], value: str = "mean_diff") -> DataF
 def split_halves(z: DataFrame, n_trials: int = SAMPLE_TRIALS, seed: int = DEFAULT_SEED,
                  min_stories: int = SPLIT_MIN_STORIES) -> DataFrame:
     """Per trial, prompts with >= `min_stories` scored human stories are
-    shuffled and split: floor(n/2) to half 1, the rest to half 2."""
+    shuffled and split: floor(n/2) to half 1, the rest to half 2.
+
+    The shuffle order is a rank inside each (trial, dim, prompt) taken from a
+    range-partitioned global order (no window over a prompt)."""
     h = comet_best(z).filter((F.col("writer") == "human") & F.col("z_score").isNotNull())
-    n = F.count(F.lit(1)).over(Window.partitionBy("dim", "p_ind"))
-    h = h.withColumn("_n", n).filter(F.col("_n") >= min_stories)
-    h = h.select("dim", "p_ind", "s_id", "z_score", "_n", _trials(n_trials))
-    w = Window.partitionBy("trial", "dim", "p_ind").orderBy(_draw_key(seed), F.col("s_id"))
-    h = h.withColumn("_rn", F.row_number().over(w))
-    return h.select(
+    h = h.select("dim", "p_ind", "s_id", "z_score")
+    n = h.groupBy("dim", "p_ind").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_stories)
+    h = h.join(n, ["dim", "p_ind"]).select("dim", "p_ind", "s_id", "z_score", "_n", _trials(n_trials))
+    h = h.withColumn("_h", _draw_key(seed))
+    g = sequential_index(h, [F.col("trial"), F.col("dim"), F.col("p_ind"), F.col("_h"), F.col("s_id")], "_g")
+    g0 = g.groupBy("trial", "dim", "p_ind").agg(F.min("_g").alias("_g0"))
+    g = g.join(g0, ["trial", "dim", "p_ind"]).withColumn("_rn", F.col("_g") - F.col("_g0") + 1)
+    return g.select(
         "trial", "dim", "p_ind", "s_id", "z_score",
         F.when(F.col("_rn") <= F.floor(F.col("_n") / 2), F.lit(1)).otherwise(F.lit(2)).alias("half"),
     )
