@@ -7,7 +7,16 @@ from pyspark.sql import functions as F
 from storylens.operators import attrs as A
 from storylens.plans.oracle_fixtures import with_ctes
 from storylens.plans.registry import query
-from storylens.plans.sqlparts import PROT_SQL, SQL_E02, SQL_E03, SQL_E03_ANC, SQL_E06
+from storylens.plans.sqlparts import (
+    PROT_SQL,
+    SQL_ATTRS_ALL,
+    SQL_ATTRS_COMET,
+    SQL_ATTRS_SUB,
+    SQL_E02,
+    SQL_E03,
+    SQL_E03_ANC,
+    SQL_E06,
+)
 from storylens.sources import fixtures as fx
 
 
@@ -78,3 +87,25 @@ def e07(spark, sf):
     labels = fx.read_table(spark, sf, "labels").select(F.col("doc_id").alias("s_key"))
     processed = st.join(labels, "s_key", "left_semi").select("p_ind", "s_ind", "text")
     return A.align_to_stories(st.select("p_ind", "s_ind"), processed, "text", F.lit(""))
+
+
+METHOD_NAMES = ["full", "all", "sub", "comet"]
+
+
+@query("e08_method_choice", with_ctes(["fx_stories", "fx_tokens", "fx_phrases"], """
+SELECT m.method, m.am, a.s_key, count(*) AS n_attrs
+FROM (VALUES ('full', 'all'), ('all', 'all'), ('sub', 'sub'), ('comet', 'comet')) m(method, am)
+JOIN attrs a ON a.am = m.am
+GROUP BY m.method, m.am, a.s_key""", [("anc", SQL_E03_ANC), ("attrs", f"""
+{SQL_ATTRS_ALL}
+UNION ALL {SQL_ATTRS_SUB.format(e02=SQL_E02, e03=SQL_E03)}
+UNION ALL {SQL_ATTRS_COMET.format(e06=SQL_E06)}""")], recursive=True))
+def e08(spark, sf):
+    """Method names resolved by the method check (``full`` is ``all``;
+    unknown names raise), then attribute counts per story for each name."""
+    from storylens.plans.common import attrs_for
+
+    resolved = [(name, A.check_attr_method(name)) for name in METHOD_NAMES]
+    names = spark.createDataFrame(resolved, "method string, am string")
+    counts = attrs_for(spark, sf).groupBy("am", "s_key").agg(F.count(F.lit(1)).alias("n_attrs"))
+    return F.broadcast(names).join(counts, "am").select("method", "am", "s_key", "n_attrs")

@@ -243,3 +243,13 @@ def u02(spark, sf):
     vm = vector_mean(e.select("label", "embedding"), ["label"], "embedding", "m")
     return vm.select("label", F.posexplode("m").alias("i", "m")).select(
         "label", F.col("i").cast("bigint").alias("i"), "m")
+
+
+@query("c13_score_method_choice", grid_sql("""
+SELECT sm, dim, count(score) AS n_scored, count(*) AS n FROM scores WHERE am = 'all' GROUP BY sm, dim"""))
+def c13(spark, sf):
+    """Every score method name validated by the method check, then the
+    scored and total story counts per (method, dim) of the all-token grid."""
+    sms = [S.check_score_method(m) for m in SCORE_METHODS]
+    g = C.grid_scores(spark, sf, ams=["all"], sms=sms)
+    return g.groupBy("sm", "dim").agg(F.count("score").alias("n_scored"), F.count(F.lit(1)).alias("n"))
