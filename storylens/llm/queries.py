@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.llm import decontaminate, licenses, pieces, quality, token_count, token_files
+from storylens.llm import decontaminate, licenses, pieces, quality, simhash, token_count, token_files
 from storylens.llm.common import crc_remainder, table, texts
 
 QUERIES: dict = {}
@@ -74,3 +74,9 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents")
     folder = token_files.shared_folder(spark)
     return token_files.read_ids(spark, folder, token_files.write_ids(docs, folder))
+
+
+@query("op10_simhash_near_dedup")
+def op10(spark, sf):
+    """Fingerprints and components of all documents."""
+    return simhash.near_duplicates(table(spark, sf, "documents"))
