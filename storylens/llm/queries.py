@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.llm import decontaminate, licenses, pieces, quality, simhash, token_count, token_files
+from storylens.llm import ctw, decontaminate, licenses, pieces, quality, simhash, token_count, token_files
 from storylens.llm.common import crc_remainder, table, texts
 
 QUERIES: dict = {}
@@ -80,3 +80,12 @@ def op8(spark, sf):
 def op10(spark, sf):
     """Fingerprints and components of all documents."""
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op9_ctw_score")
+def op9(spark, sf):
+    """Context-tree-weighting scores of all documents, with the base scores."""
+    docs = texts(table(spark, sf, "documents"))
+    s = ctw.scores(docs, docs.where(crc_remainder(F.col("doc_id"), 7) != 2))
+    return s.select("doc_id", (crc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
+                    "train_tokens", "base_score", "score", "bits_per_byte")
