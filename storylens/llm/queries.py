@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.llm import ctw, decontaminate, licenses, pieces, quality, simhash, token_count, token_files
+from storylens.llm import ctw, decontaminate, licenses, pieces, quality, simhash, suffix_dedup, token_count, token_files
 from storylens.llm.common import crc_remainder, table, texts
 
 QUERIES: dict = {}
@@ -89,3 +89,10 @@ def op9(spark, sf):
     s = ctw.scores(docs, docs.where(crc_remainder(F.col("doc_id"), 7) != 2))
     return s.select("doc_id", (crc_remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
                     "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark, sf):
+    """Bytes of all documents that repeat 50-byte strings of earlier ones."""
+    cut = suffix_dedup.cut_repeats(table(spark, sf, "documents"), with_kept=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
