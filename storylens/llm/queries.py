@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.llm import ctw, decontaminate, licenses, pieces, quality, simhash, suffix_dedup, token_count, token_files
+from storylens.llm import ctw, decontaminate, imatch, licenses, pieces, quality, simhash, suffix_dedup, token_count, token_files
 from storylens.llm.common import crc_remainder, table, texts
 
 QUERIES: dict = {}
@@ -96,3 +96,9 @@ def op2(spark, sf):
     """Bytes of all documents that repeat 50-byte strings of earlier ones."""
     cut = suffix_dedup.cut_repeats(table(spark, sf, "documents"), with_kept=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op7_imatch_fingerprints", imatch.ORACLE)
+def op7(spark, sf):
+    """I-Match fingerprints of all documents and of their edited texts."""
+    return imatch.fingerprints(table(spark, sf, "documents"))
