@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storylens.llm import decontaminate, pieces, quality
+from storylens.llm import decontaminate, pieces, quality, simhash, suffix_dedup
 from storylens.llm.common import prepare, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,6 +19,21 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).where(F.col("quality_score") >= quality.ACCEPT).select(*COLUMNS)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of SimHash near-duplicates."""
+    return simhash.deduplicated(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeat strings of earlier documents. A
+    document of which nothing is left goes; one that was empty stays."""
+    cut = suffix_dedup.cut_repeats(docs.select(*COLUMNS), ["lang", "source", "n_chars"])
+    cut = cut.where("n_removed < n_bytes or n_removed = 0")
+    n_chars = F.when(F.col("n_removed") == 0, F.col("own_n_chars")).otherwise(F.char_length("kept"))
+    return cut.select("doc_id", F.col("kept").alias("text"), F.col("own_lang").alias("lang"),
+                      F.col("own_source").alias("source"), n_chars.cast("long").alias("n_chars"))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     found = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
@@ -33,6 +48,8 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", by_quality),
+    ("near-copies", without_near_copies),
+    ("repeats", without_repeats),
     ("decontamination", decontaminated),
     ("sentencepiece", tokenized),
 ]

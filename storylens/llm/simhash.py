@@ -244,15 +244,34 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return spark.createDataFrame([], "a long, b long") if found is None else found
 
 
+def components_of(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``classes`` (distinct ``fp``, and ``first``, the least row of each) with
+    ``least``, the smallest ``first`` of the connected component."""
+    classes = staged(classes, "classes")
+    parts = staged(components(links(classes.select("fp"), distance)), "components")
+    joined = classes.join(parts, classes["fp"] == parts["node"], "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    return joined.join(least, "component").select("fp", "first", "least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
     prepare(docs.sparkSession)
     rows = staged(texts(docs).select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
-    classes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    parts = staged(components(links(classes.select("fp"), distance)), "components")
-    joined = classes.join(parts, classes["fp"] == parts["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = joined.join(least, "component").select(F.col("fp").alias("key"), "component_id")
+    named = components_of(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), distance).select(
+        F.col("fp").alias("key"), F.col("least").alias("component_id"))
     return rows.join(named, rows["fp"] == named["key"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest
+    doc_id (a null one counts as larger than any), of repeated rows the first."""
+    prepare(docs.sparkSession)
+    rows = staged(docs.select("*", F.monotonically_increasing_id().alias("__row"),
+                              fingerprints(F.col("text"), shingle).alias("__fp")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    kept = components_of(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("first")), distance)
+    kept = kept.where(F.col("first") == F.col("least")).select(F.col("least.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").drop("__row", "__fp")

@@ -442,7 +442,7 @@ def _cut(names: list[str]):
                 kept = x[lo:hi][~g].tobytes()
                 spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
                 rows.append((None if d == NULL_ID else d, hi - lo, int(g.sum()), spans,
-                             hashlib.sha256(kept).hexdigest(), kept))
+                             hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
                 lo = hi
             frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
@@ -456,8 +456,9 @@ def _cut(names: list[str]):
 
 def cut_repeats(docs: DataFrame, columns: list[str] = (), with_kept: bool = True) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of
-    ``docs``, the kept bytes as ``kept``, and ``columns`` of ``docs`` under
-    the names ``own_<column>``."""
+    ``docs``, the remaining text as ``kept`` (without the rests of characters
+    that were cut in the middle), and ``columns`` of ``docs`` under the names
+    ``own_<column>``."""
     spark = docs.sparkSession
     prepare(spark)
     names = [f"own_{c}" for c in columns]
@@ -479,7 +480,7 @@ def cut_repeats(docs: DataFrame, columns: list[str] = (), with_kept: bool = True
     smallest = stretches.select("bucket", "chunk", "data").groupBy("bucket").applyInPandas(_smallest, reply)
     marks = smallest.join(stretches.select("chunk", "bucket", "members"), ["chunk", "bucket"])
     kinds = [f"{n} {rows.schema['rest'].dataType[n].dataType.simpleString()}" for n in names]
-    out = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", *kinds])
+    out = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *kinds])
     cut = chunks.select("chunk", "data", "rest").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(
         _cut(names), out)
     return cut if with_kept else cut.drop("kept")
