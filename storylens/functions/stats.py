@@ -25,17 +25,14 @@ from storylens.functions.indexing import sequential_index
 def average_ranks(df: DataFrame, group_cols: list[str], value_col: str, key_cols: list[str],
                   out: str = "rank") -> DataFrame:
     """1-based average rank of `value_col` inside each group (ties share the mean rank)."""
-    idx = sequential_index(df, [*group_cols, value_col, *key_cols], "_g")
-    tie = idx.groupBy(*group_cols, value_col).agg(
-        ((F.min("_g") + F.max("_g")) / 2.0).alias("_mid")
-    )
-    first = idx.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
-    return (
-        idx.join(tie, [*group_cols, value_col])
-        .join(first, group_cols)
-        .withColumn(out, F.col("_mid") - F.col("_g0") + 1.0)
-        .drop("_g", "_mid", "_g0")
-    )
+    keys = [*group_cols, value_col, *key_cols]
+    # places of each distinct value: a tie, however large, is one row
+    tie = sequential_index(df.select(*keys), keys, "_g").groupBy(*group_cols, value_col).agg(
+        F.min("_g").alias("_lo"), F.max("_g").alias("_hi"))
+    first = tie.groupBy(*group_cols).agg(F.min("_lo").alias("_g0"))
+    mid = tie.join(first, group_cols).select(
+        *group_cols, value_col, ((F.col("_lo") + F.col("_hi")) / 2.0 - F.col("_g0") + 1.0).alias(out))
+    return df.join(mid, [*group_cols, value_col])
 
 
 TIE_DIGITS = 9

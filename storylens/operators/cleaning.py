@@ -30,11 +30,11 @@ def index_stories(lines: DataFrame) -> DataFrame:
     third of all lines is still numbered by many tasks.
     """
     firsts = lines.groupBy("prompt").agg(F.min("line_no").alias("first_line"))
-    p = sequential_index(firsts, [F.col("first_line")], "p_ind").select("prompt", "p_ind")
-    g = sequential_index(lines, [F.col("prompt"), F.col("line_no")], "_g")
-    g0 = g.groupBy("prompt").agg(F.min("_g").alias("_g0"))
-    s = g.join(g0, "prompt").withColumn("s_ind", F.col("_g") - F.col("_g0"))
-    return s.join(p, "prompt").select("p_ind", "s_ind", "prompt", "story", "line_no")
+    p = sequential_index(firsts, ["first_line"], "p_ind").select("prompt", "p_ind")
+    g = sequential_index(lines.select("prompt", "line_no"), ["prompt", "line_no"], "_g")
+    g0 = g.groupBy("prompt").agg(F.min("_g").alias("_g0")).join(p, "prompt")
+    s = g.join(g0, "prompt").select("line_no", (F.col("_g") - F.col("_g0")).alias("s_ind"), "p_ind")
+    return lines.join(s, "line_no").select("p_ind", "s_ind", "prompt", "story", "line_no")
 
 
 def prompt_window(df: DataFrame, start: int, window: int) -> DataFrame:

@@ -126,7 +126,7 @@ def split_halves(z: DataFrame, n_trials: int = SAMPLE_TRIALS, seed: int = DEFAUL
     n = h.groupBy("dim", "p_ind").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_stories)
     h = h.join(n, ["dim", "p_ind"]).select("dim", "p_ind", "s_id", "z_score", "_n", _trials(n_trials))
     h = h.withColumn("_h", _draw_key(seed))
-    g = sequential_index(h, [F.col("trial"), F.col("dim"), F.col("p_ind"), F.col("_h"), F.col("s_id")], "_g")
+    g = sequential_index(h, ["trial", "dim", "p_ind", "_h", "s_id"], "_g")
     g0 = g.groupBy("trial", "dim", "p_ind").agg(F.min("_g").alias("_g0"))
     g = g.join(g0, ["trial", "dim", "p_ind"]).withColumn("_rn", F.col("_g") - F.col("_g0") + 1)
     return g.select(

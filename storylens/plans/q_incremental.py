@@ -16,46 +16,47 @@ from storylens.session import shared_dir
 from storylens.sources import fixtures as fx
 from storylens.streaming import incremental as T
 
-SQL_DONE = """SELECT DISTINCT s.p_ind FROM fx_stories s JOIN labels b ON b.doc_id = s.s_key
-WHERE b.quality = 1 AND s.s_ind = 0 AND s.writer = 'human'"""
+SQL_DONE = """SELECT DISTINCT s.writer, s.p_ind FROM fx_stories s JOIN labels b ON b.doc_id = s.s_key
+WHERE b.quality = 1 AND s.s_ind = 0"""
 
 
 def _done(spark, sf):
-    st = fx.stories(spark, sf).filter((F.col("writer") == "human") & (F.col("s_ind") == 0))
+    st = fx.stories(spark, sf).filter(F.col("s_ind") == 0)
     lab = fx.read_table(spark, sf, "labels").filter(F.col("quality") == 1).select(F.col("doc_id").alias("s_key"))
-    return st.join(lab, "s_key", "left_semi").select("p_ind").distinct()
+    return st.join(lab, "s_key", "left_semi").select("writer", "p_ind").distinct()
 
 
 @query("t01_skip_finished", with_ctes(["fx_stories"], f"""
-SELECT p_ind, s_ind FROM fx_stories WHERE writer = 'human' AND p_ind NOT IN ({SQL_DONE})"""))
+SELECT writer, p_ind, s_ind FROM fx_stories s
+WHERE NOT EXISTS (SELECT 1 FROM ({SQL_DONE}) d WHERE d.writer = s.writer AND d.p_ind = s.p_ind)"""))
 def t01(spark, sf):
-    """Stories of prompts not in the done list (prompts whose first
-    human story is labelled quality 1 count as done)."""
-    st = fx.stories(spark, sf).filter(F.col("writer") == "human").select("p_ind", "s_ind")
+    """Stories of prompts not in their writer's done list (prompts whose
+    first story is labelled quality 1 count as done)."""
+    st = fx.stories(spark, sf).select("writer", "p_ind", "s_ind")
     return T.skip_finished(st, _done(spark, sf))
 
 
 def _write_source(spark, df, name: str, parts: int = 4) -> str:
-    """New story files for the stream: whole prompts per file."""
+    """New story files for the stream; a prompt's stories are in several."""
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
-    df.repartitionByRange(parts, "p_ind").write.parquet(path)
+    df.repartition(parts, "s_id").write.parquet(path)
     return path
 
 
 @query("t02_batch_commit_replay", with_ctes(["fx_stories"], """
-SELECT p_ind, s_ind, s_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words
-FROM fx_stories WHERE writer = 'human'"""))
+SELECT writer, p_ind, s_ind, s_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words
+FROM fx_stories"""))
 def t02(spark, sf):
-    """Human stories arrive as files; each micro-batch's result is
+    """Stories arrive as files; each micro-batch's result is
     committed to its own batch folder (overwrite), then the run is replayed
     with the same checkpoint, which must add nothing."""
-    st = fx.stories(spark, sf).filter(F.col("writer") == "human").select("p_ind", "s_ind", "s_id", "text")
+    st = fx.stories(spark, sf).select("writer", "p_ind", "s_ind", "s_id", "text")
     src = _write_source(spark, st, "t02-src")
     out = shared_dir(spark, f"t02-out-{uuid.uuid4().hex}")
     ckpt = shared_dir(spark, f"t02-ckpt-{uuid.uuid4().hex}")
 
     def fn(batch, batch_id):
-        return batch.select("p_ind", "s_ind", "s_id", F.size(whitespace_words("text")).cast("bigint").alias("n_words"))
+        return batch.select("writer", "p_ind", "s_ind", "s_id", F.size(whitespace_words("text")).cast("bigint").alias("n_words"))
 
     T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
     res = T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)  # replay: no new rows
@@ -67,7 +68,7 @@ def t02(spark, sf):
                                            [("attrs", SQL_ATTRS_ALL), *sql_avg_scores(["all"])]), floats=["score"])
 def t03(spark, sf):
     """New story files scored batch by batch against static lexicon
-    word scores (prepared once), finished prompts skipped."""
+    word scores (prepared once); files of committed batches are not read again."""
     st = fx.stories(spark, sf).select("s_key", "p_ind", "s_ind", "writer", "s_id", "s_pov", "p_pov", "text")
     src = _write_source(spark, st, "t03-src")
     out = shared_dir(spark, f"t03-out-{uuid.uuid4().hex}")
@@ -75,6 +76,6 @@ def t03(spark, sf):
     lex = fx.lexicon(spark, sf)
     ws = word_score_table(lex, None, sms=["avg"]).checkpoint()
     modes = lexicon_modes(lex).checkpoint()
-    fn = T.scoring_batch(ws, modes, out, sms=["avg"])
+    fn = T.scoring_batch(ws, modes, sms=["avg"])
     res = T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
     return res.select("writer", "s_id", "am", "dim", "sm", "score")

@@ -102,7 +102,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         # distinct words with counts, written once: the ranking reads it twice
         counts = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
-        ranked = sequential_index(counts, [F.col("cnt").desc(), F.col("word").asc()], "vec_id")
+        ranked = sequential_index(counts, ["cnt", "word"], "vec_id", descending=("cnt",))
         emb = read_table(spark, sf_dir, "embeddings")
         return ranked.join(emb, "vec_id").select("word", "vec_id", F.col("embedding").alias("vec"), "label")
 

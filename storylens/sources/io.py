@@ -102,7 +102,7 @@ def read_story_mapping(spark: SparkSession, path: str) -> DataFrame:
     d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
     m = d.select("_f", F.from_json("value", MapType(StringType(), ArrayType(StringType()))).alias("m"))
     e = m.select("_f", F.posexplode(F.map_entries("m")).alias("_lp", "kv"))
-    keys = sequential_index(e.select("_f", "_lp").distinct(), [F.col("_f"), F.col("_lp")], "p_ind")
+    keys = sequential_index(e.select("_f", "_lp").distinct(), ["_f", "_lp"], "p_ind")
     s = e.join(keys, ["_f", "_lp"]).select(
         "p_ind", F.col("kv.key").alias("prompt"), F.posexplode("kv.value").alias("s_ind", "story"))
     return s.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "prompt", "story")

@@ -1,6 +1,6 @@
 """Resumable and incremental processing.
 
-* T01: finished prompts are skipped with a ``left_anti`` join on ``p_ind``.
+* T01: finished stories are skipped with a ``left_anti`` join on their key.
 * T02: results are committed per micro-batch with Structured Streaming
   (file source, ``trigger(availableNow=True)``, ``foreachBatch``). Each batch
   overwrites its own ``batch_id=<n>`` folder, so a batch replayed after a
@@ -24,17 +24,19 @@ from storylens.operators.attrs import all_attrs
 from storylens.operators.score import score_with_table
 
 
-def skip_finished(df: DataFrame, done: DataFrame, key: str = "p_ind") -> DataFrame:
-    """Rows whose prompt is not in the done list."""
-    return df.join(done.select(key).distinct(), key, "left_anti")
+def skip_finished(df: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("writer", "p_ind")) -> DataFrame:
+    """Rows whose key is not in the done list. The unit of work is a prompt of one writer."""
+    return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def done_prompts(spark: SparkSession, out_path: str, key: str = "p_ind") -> DataFrame:
-    """The done list derived from committed results (empty when none)."""
-    try:
-        return spark.read.parquet(out_path).select(key).distinct()
-    except Exception:  # nothing committed yet
-        return spark.createDataFrame([], f"{key} long")
+def done_stories(spark: SparkSession, out_path: str, keys: tuple[str, ...] = ("writer", "p_ind", "s_ind")) -> DataFrame:
+    """The done list of a job that does not stream, from committed results;
+    empty only if there is no such folder yet. A store that cannot be read
+    raises."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.read.parquet(out_path).select(*keys).distinct()
+    return spark.createDataFrame([], ", ".join(f"{k} {'string' if k == 'writer' else 'long'}" for k in keys))
 
 
 def idempotent_batch_writer(out_path: str, fn: Callable[[DataFrame, int], DataFrame]):
@@ -67,15 +69,14 @@ def run_batches(spark: SparkSession, source_path: str, schema: StructType | str,
     return spark.read.parquet(out_path)
 
 
-def scoring_batch(word_scores: DataFrame, modes: DataFrame, out_path: str, dims=DIMENSIONS,
-                  sms=SCORE_METHODS):
-    """The per-batch step: skip prompts already scored (T01), extract the
-    all-token attributes and score them against the static word-score table."""
+def scoring_batch(word_scores: DataFrame, modes: DataFrame, dims=DIMENSIONS, sms=SCORE_METHODS):
+    """The per-batch step: extract the all-token attributes of the new
+    files' stories and score them against the static word-score table. The
+    streaming checkpoint is the done list, so the step is a function of its
+    batch alone: a replay writes the same rows, and nothing committed is read."""
 
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        fresh = skip_finished(batch, done_prompts(spark, out_path))
-        stories = fresh.withColumn("s_key", F.col("s_key").cast("long"))
+        stories = batch.withColumn("s_key", F.col("s_key").cast("long"))
         attrs = all_attrs(stories).select("s_key", F.lit("all").alias("am"), "attr")
         keep = [c for c in stories.columns if c != "text"]
         return score_with_table(stories.select(*keep, "text"), attrs, word_scores, modes, list(dims), ["all"],
@@ -84,4 +85,4 @@ def scoring_batch(word_scores: DataFrame, modes: DataFrame, out_path: str, dims=
     return fn
 
 
-__all__ = ["ATTR_METHODS", "run_batches", "scoring_batch", "skip_finished"]
+__all__ = ["ATTR_METHODS", "done_stories", "run_batches", "scoring_batch", "skip_finished"]

@@ -31,8 +31,38 @@ def test_replay_is_idempotent(spark):
 
 
 def test_skip_finished(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "p_ind long, x string")
-    done = spark.createDataFrame([(2,)], "p_ind long")
-    assert sorted(r["p_ind"] for r in T.skip_finished(df, done).collect()) == [1, 3]
-    empty = spark.createDataFrame([], "p_ind long")
-    assert T.skip_finished(df, empty).count() == 3
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3)], "writer string, p_ind long")
+    done = spark.createDataFrame([("a", 2)], "writer string, p_ind long")
+    assert sorted(tuple(r) for r in T.skip_finished(df, done).collect()) == [("a", 1), ("b", 2), ("b", 3)]
+    assert T.skip_finished(df, done.limit(0)).count() == 4
+
+
+def test_done_stories(spark):
+    folder = shared_dir(spark, f"done-{uuid.uuid4().hex}")
+    assert T.done_stories(spark, folder).count() == 0
+    spark.createDataFrame([("a", 1, 0, 0.5)], "writer string, p_ind long, s_ind long, score double").write.parquet(folder)
+    assert [tuple(r) for r in T.done_stories(spark, folder).collect()] == [("a", 1, 0)]
+
+
+def test_scoring_batches_keep_all_stories_and_replay(spark):
+    """Two files share prompt 0, and both writers have it; a replayed batch
+    writes the same rows again."""
+    src = shared_dir(spark, f"src-{uuid.uuid4().hex}")
+    out = shared_dir(spark, f"out-{uuid.uuid4().hex}")
+    ckpt = shared_dir(spark, f"ck-{uuid.uuid4().hex}")
+    rows = [(0, 0, 0, "human", "0-0", "good day"), (1, 0, 1, "human", "0-1", "bad day"),
+            (2, 0, 0, "gpt-3.5", "0-0", "good good"), (3, 0, 1, "gpt-3.5", "0-1", "none")]
+    df = spark.createDataFrame(rows, "s_key long, p_ind long, s_ind long, writer string, s_id string, text string")
+    for i in range(4):
+        df.where(F.col("s_key") == i).coalesce(1).write.mode("append").parquet(src)
+    ws = spark.createDataFrame([("good", "valence", "avg", 1.0), ("bad", "valence", "avg", -1.0)],
+                               "w string, dim string, sm string, wscore double")
+    modes = spark.createDataFrame([("valence", False)], "dim string, unipolar boolean")
+    fn = T.scoring_batch(ws, modes, dims=["valence"], sms=["avg"])
+    got = T.run_batches(spark, src, df.schema, out, ckpt, fn, files_per_batch=1)
+    want = {(0, 1.0), (1, -1.0), (2, 1.0), (3, 0.0)}
+    assert {(r["s_key"], r["score"]) for r in got.collect()} == want and got.count() == 4
+    replayed = spark.read.parquet(f"{out}/batch_id=1").select("s_key").first()[0]
+    T.idempotent_batch_writer(out, fn)(df.where(F.col("s_key") == replayed), 1)
+    again = spark.read.parquet(out)
+    assert {(r["s_key"], r["score"]) for r in again.collect()} == want and again.count() == 4
