@@ -149,6 +149,8 @@ def normalise_phrases(phrases: DataFrame, col: str = "phrases") -> DataFrame:
 
 
 def align_to_stories(stories: DataFrame, processed: DataFrame, value_col: str, empty) -> DataFrame:
-    """Every story keeps its row; missing processed values become `empty`."""
-    j = stories.join(processed, ["p_ind", "s_ind"], "left")
+    """Every story keeps its row; missing processed values become `empty`.
+    Stories of several writers are told apart by ``writer``, if it is there."""
+    keys = [k for k in ("writer", "p_ind", "s_ind") if k in stories.columns]
+    j = stories.join(processed, keys, "left")
     return j.withColumn(value_col, F.coalesce(F.col(value_col), empty))

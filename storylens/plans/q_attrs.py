@@ -75,18 +75,17 @@ def e06(spark, sf):
 
 
 @query("e07_align_stories", with_ctes(["fx_stories"], """
-SELECT s.p_ind, s.s_ind, coalesce(p.text, '') AS text
+SELECT s.writer, s.p_ind, s.s_ind, coalesce(p.text, '') AS text
 FROM fx_stories s
-LEFT JOIN (SELECT f.p_ind, f.s_ind, f.text FROM fx_stories f JOIN labels b ON b.doc_id = f.s_key
-           WHERE f.writer = 'human') p ON p.p_ind = s.p_ind AND p.s_ind = s.s_ind
-WHERE s.writer = 'human'"""))
+LEFT JOIN (SELECT f.writer, f.p_ind, f.s_ind, f.text FROM fx_stories f JOIN labels b ON b.doc_id = f.s_key) p
+  ON p.writer = s.writer AND p.p_ind = s.p_ind AND p.s_ind = s.s_ind"""))
 def e07(spark, sf):
-    """Every human story of the mapping gets its processed text, or ''
+    """Every story of the mapping gets its processed text, or ''
     when none was produced (processed = the labelled stories)."""
-    st = fx.stories(spark, sf).filter(F.col("writer") == "human")
+    st = fx.stories(spark, sf)
     labels = fx.read_table(spark, sf, "labels").select(F.col("doc_id").alias("s_key"))
-    processed = st.join(labels, "s_key", "left_semi").select("p_ind", "s_ind", "text")
-    return A.align_to_stories(st.select("p_ind", "s_ind"), processed, "text", F.lit(""))
+    processed = st.join(labels, "s_key", "left_semi").select("writer", "p_ind", "s_ind", "text")
+    return A.align_to_stories(st.select("writer", "p_ind", "s_ind"), processed, "text", F.lit(""))
 
 
 METHOD_NAMES = ["full", "all", "sub", "comet"]

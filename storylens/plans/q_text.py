@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from storylens.constants import GENERATION_INSTRUCTION, GENERATION_ROLE, WRITERS
 from storylens.functions import text as T
 from storylens.operators import cleaning as P
 from storylens.operators import attrs as A
@@ -18,6 +19,8 @@ from storylens.sources import fixtures as fx
 from storylens.sources import io
 
 TAG_RE = r"(\[|\()(\s[A-Za-z][A-Za-z]\s)(\]|\))"
+SQL_ROLE = "'" + GENERATION_ROLE.replace("'", "''") + "'"
+SQL_INSTRUCTION = "'" + GENERATION_INSTRUCTION.replace("'", "''") + "'"
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 SQL_CLEAN_PROMPT = STRIP.format(x=f"regexp_replace(prompt, '{TAG_RE}', '', 'g')")
 
@@ -102,8 +105,8 @@ WHERE b.quality = 1 AND p.s_ind = 0"""
 
 
 @query("p07_generation_requests", with_ctes(["fx_lines"], f"""
-SELECT q.p_ind, 'You''re writing a Reddit story and you want other reddit users to like and upvote your story.' AS role,
-       'Write a 400 words story for the following prompt: ' || trim(q.prompt) AS full_prompt
+SELECT q.p_ind, {SQL_ROLE} AS role,
+       {SQL_INSTRUCTION} || trim(q.prompt) AS full_prompt
 FROM (SELECT DISTINCT p_ind, prompt FROM ({SQL_P03})) q
 WHERE q.p_ind BETWEEN 0 AND 9999 AND q.p_ind NOT IN ({SQL_DONE.format(p03=SQL_P03)})"""))
 def p07(spark, sf):
@@ -135,53 +138,45 @@ def p09(spark, sf):
 
 @query("s14_s05_processed_story_roundtrip", with_ctes(["fx_stories"], """
 SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind,
-       regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text
-FROM fx_stories WHERE writer = 'human'"""))
+       regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, writer
+FROM fx_stories"""))
 def s14_s05(spark, sf):
-    """S14 then S05: human stories written as headerless multi-line CSV under
-    prompt-range folders, then scanned back (subfolder rule, last row wins,
-    text stripped)."""
-    path = _scratch(spark, "processed")
-    st = fx.stories(spark, sf).filter(F.col("writer") == "human")
-    io.write_processed_stories(st.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "text"), path,
-                               window=20)
-    _rename_prompt_files(spark, path)
-    return io.read_processed_stories(spark, path)
+    """S14 then S05: stories written as headerless multi-line CSV under
+    prompt-range folders, one root per writer, then scanned back (subfolder
+    rule, last row wins, text stripped)."""
+    roots = _processed_roots(spark, sf)
+    return _per_writer({w: io.read_processed_stories(spark, path) for w, path in roots.items()})
+
+
+def _processed_roots(spark, sf) -> dict[str, str]:
+    """Processed stories of each writer, written under a root of its own."""
+    roots = {}
+    for w in WRITERS:
+        roots[w] = _scratch(spark, "processed")
+        st = fx.stories(spark, sf).filter(F.col("writer") == w)
+        io.write_processed_stories(st.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "text"), roots[w],
+                                   window=20)
+    return roots
+
+
+def _per_writer(parts: dict):
+    """Tables read from the writers' roots, as one with its ``writer``."""
+    out = None
+    for w, d in parts.items():
+        d = d.withColumn("writer", F.lit(w))
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("s06_processed_story_range", with_ctes(["fx_stories"], """
 SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind,
-       regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text
-FROM fx_stories WHERE writer = 'human' AND p_ind >= 10 AND p_ind < 10 + 10000"""))
+       regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, writer
+FROM fx_stories WHERE p_ind >= 10 AND p_ind < 10 + 10000"""))
 def s06(spark, sf):
     """The S05 scan restricted to prompts ``start <= p_ind < start + len``
     (start 10, the reference's default length 10000), pushed into the scan."""
-    path = _scratch(spark, "processed")
-    st = fx.stories(spark, sf).filter(F.col("writer") == "human")
-    io.write_processed_stories(st.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "text"), path,
-                               window=20)
-    _rename_prompt_files(spark, path)
-    return io.read_processed_stories(spark, path, start=10, length=10000)
-
-
-def _rename_prompt_files(spark, path: str) -> None:
-    """Spark names part files ``part-*``; the processed-story layout names them
-    ``prompts_*``. Rename in the folder and in each range folder (metadata
-    operations only)."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def rename_in(folder, tag):
-        for i, f in enumerate(fs.listStatus(folder)):
-            name = f.getPath().getName()
-            if f.isFile() and name.startswith("part-"):
-                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"prompts_{tag}_{i:05d}.csv"))
-
-    rename_in(base, "all")
-    for st in fs.listStatus(base):
-        if st.isDirectory():
-            rename_in(st.getPath(), st.getPath().getName().split("=", 1)[-1])
+    roots = _processed_roots(spark, sf)
+    return _per_writer({w: io.read_processed_stories(spark, path, start=10, length=10000) for w, path in roots.items()})
 
 
 @query("s04_s03_story_mapping_roundtrip", with_ctes(["fx_lines"], f"""
@@ -218,31 +213,33 @@ def s01(spark, sf):
     return io.read_paired_lines(spark, f"{path}/kind=prompt", f"{path}/kind=story").select("prompt", "story")
 
 
-SQL_E06_HUMAN = """
-SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, CAST(ph_no AS INTEGER) AS ph_no,
+SQL_E06_KEYED = """
+SELECT writer, CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, CAST(ph_no AS INTEGER) AS ph_no,
        CAST(w_no AS INTEGER) AS w_no, attr
-FROM (SELECT s.p_ind, s.s_ind, e.* FROM ({e06}) e JOIN fx_stories s ON s.s_key = e.s_key WHERE s.writer = 'human')"""
+FROM (SELECT s.writer, s.p_ind, s.s_ind, e.* FROM ({e06}) e JOIN fx_stories s ON s.s_key = e.s_key)"""
 
 
-@query("s15_s07_inferred_attrs_roundtrip", with_ctes(["fx_stories", "fx_phrases"], SQL_E06_HUMAN.format(e06=SQL_E06)))
+@query("s15_s07_inferred_attrs_roundtrip", with_ctes(["fx_stories", "fx_phrases"], SQL_E06_KEYED.format(e06=SQL_E06)))
 def s15_s07(spark, sf):
     """S15 then S07: phrase lists written as Python list literals in CSV,
     parsed back (never evaluated), then normalised (E06)."""
-    st = fx.stories(spark, sf).filter(F.col("writer") == "human").select("s_key", "p_ind", "s_ind")
+    st = fx.stories(spark, sf).select("s_key", "writer", "p_ind", "s_ind")
     ph = fx.phrases(spark, sf).join(st, "s_key").select(
-        F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), F.col("phrases").alias("attrs"))
-    path = _scratch(spark, "attrs")
-    io.write_inferred_attrs(ph, path, as_csv=True)
-    _rename_prompt_files(spark, path)
-    return _normalise_keyed(io.read_inferred_attrs(spark, path))
+        "writer", F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), F.col("phrases").alias("attrs"))
+    parts = {}
+    for w in WRITERS:
+        path = _scratch(spark, "attrs")
+        io.write_inferred_attrs(ph.filter(F.col("writer") == w), path, as_csv=True, window=20)
+        parts[w] = io.read_inferred_attrs(spark, path)
+    return _normalise_keyed(_per_writer(parts))
 
 
 def _normalise_keyed(back):
-    """E06 on ``(p_ind, s_ind, attrs)``."""
-    p = back.select("p_ind", "s_ind", F.posexplode("attrs").alias("ph_no", "ph"))
-    w = p.select("p_ind", "s_ind", "ph_no", F.posexplode(T.whitespace_words(F.lower(T.strip_ascii_punctuation("ph")))).alias(
+    """E06 on ``(writer, p_ind, s_ind, attrs)``."""
+    p = back.select("writer", "p_ind", "s_ind", F.posexplode("attrs").alias("ph_no", "ph"))
+    w = p.select("writer", "p_ind", "s_ind", "ph_no", F.posexplode(T.whitespace_words(F.lower(T.strip_ascii_punctuation("ph")))).alias(
         "w_no", "attr"))
-    return w.select("p_ind", "s_ind", F.col("ph_no").cast("int"), F.col("w_no").cast("int"), "attr")
+    return w.select("writer", "p_ind", "s_ind", F.col("ph_no").cast("int"), F.col("w_no").cast("int"), "attr")
 
 
 @query("s08_lexicon_scan", with_ctes(["fx_lexicon"], """
@@ -271,33 +268,37 @@ def s09(spark, sf):
 
 
 @query("s10_story_info_scan", with_ctes(["fx_stories"], """
-SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, s_id, p_pov, s_pov FROM fx_stories
-WHERE writer = 'human'"""))
+SELECT writer, CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, s_id, p_pov, s_pov FROM fx_stories"""))
 def s10(spark, sf):
     """Story info written as gzip CSV with a header and read back."""
-    info = fx.story_info(spark, sf).filter(F.col("writer") == "human").select(
-        F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "s_id", "p_pov", "s_pov")
-    path = _scratch(spark, "info")
-    info.write.option("header", "true").option("compression", "gzip").csv(path)
-    return io.read_story_info(spark, path)
+    parts = {}
+    for w in WRITERS:
+        info = fx.story_info(spark, sf).filter(F.col("writer") == w).select(
+            F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "s_id", "p_pov", "s_pov")
+        path = _scratch(spark, "info")
+        info.write.option("header", "true").option("compression", "gzip").csv(path)
+        parts[w] = io.read_story_info(spark, path)
+    return _per_writer(parts)
 
 
 @query("s13_scores_by_pov", with_ctes(["fx_stories", "fx_lexicon"], """
-SELECT s_pov AS pov, CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, score FROM scores
-WHERE writer = 'human' AND dim = 'valence'""", [("attrs", SQL_ATTRS_ALL), *sql_avg_scores(["all"])]), floats=["score"])
+SELECT writer, dim, s_pov AS pov, CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, score FROM scores""", [("attrs", SQL_ATTRS_ALL), *sql_avg_scores(["all"])]), floats=["score"])
 def s13(spark, sf):
-    """Human valence scores written one folder per POV label, read back."""
-    sc = C.grid_scores(spark, sf, dims=["valence"], ams=["all"], sms=["avg"])
-    sc = sc.filter(F.col("writer") == "human").select(
-        F.col("s_pov").alias("pov"), F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "score")
-    path = _scratch(spark, "bypov")
-    io.write_scores_by_pov(sc, path)
-    return spark.read.parquet(path).select("pov", "p_ind", "s_ind", "score")
+    """Scores of each dimension written one folder per POV label, under a
+    root per writer, and read back."""
+    sc = C.grid_scores(spark, sf, ams=["all"], sms=["avg"]).select(
+        "writer", "dim", F.col("s_pov").alias("pov"), F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "score")
+    parts = {}
+    for w in WRITERS:
+        path = _scratch(spark, "bypov")
+        io.write_scores_by_pov(sc.filter(F.col("writer") == w), path)
+        parts[w] = spark.read.parquet(path).select("dim", "pov", "p_ind", "s_ind", "score")
+    return _per_writer(parts)
 
 
 @query("s17_generated_story_sink", with_ctes(["fx_lines"], f"""
-SELECT r.p_ind, 'You''re writing a Reddit story and you want other reddit users to like and upvote your story.' AS role,
-       'Write a 400 words story for the following prompt: ' || trim(r.prompt) AS full_prompt, r.story
+SELECT r.p_ind, {SQL_ROLE} AS role,
+       {SQL_INSTRUCTION} || trim(r.prompt) AS full_prompt, r.story
 FROM ({SQL_P03}) r0 JOIN (SELECT i.p_ind, i.prompt, l.story FROM ({SQL_P03}) i JOIN fx_lines l USING (line_no)
                           WHERE i.s_ind = 0) r ON r.p_ind = r0.p_ind AND r0.s_ind = 0
 WHERE r.p_ind NOT IN ({SQL_DONE.format(p03=SQL_P03)})"""))

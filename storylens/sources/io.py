@@ -160,14 +160,18 @@ def _story_dir_glob(spark: SparkSession, path: str) -> str:
 
 
 def read_csv_rows(spark: SparkSession, path: str, schema, prefix: str = "prompts") -> DataFrame:
-    """Headerless multi-line CSV rows of files whose name up to the first ``_``
-    is `prefix`, with the source file and row order kept."""
-    d = (
+    """Headerless multi-line CSV rows with the source file and row order kept:
+    of files whose name up to the first ``_`` is `prefix`, or of the range
+    folders ``<prefix>_range=...`` that the sinks here write."""
+    reader = (
         spark.read.schema(schema)
         .option("multiLine", "true").option("escape", '"').option("header", "false")
-        .option("pathGlobFilter", f"{prefix}_*")
-        .csv(_story_dir_glob(spark, path))
     )
+    base = path.rstrip("/")
+    if any(d.rsplit("/", 1)[-1].startswith(f"{prefix}_range=") for d in _list_dirs(spark, base)):
+        d = reader.csv(f"{base}/{prefix}_range=*/")
+    else:
+        d = reader.option("pathGlobFilter", f"{prefix}_*").csv(_story_dir_glob(spark, base))
     # a multi-line CSV file is never split, so the id order inside a file is row order
     return d.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
 
@@ -299,17 +303,19 @@ def write_score_grid(scores: DataFrame, path: str, mode: str = "append", fmt: st
 
 
 def write_scores_by_pov(scores: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows (pov, p_ind, s_ind, score), one folder per POV label."""
-    scores.select("pov", "p_ind", "s_ind", "score").write.mode(mode).partitionBy("pov").parquet(path)
+    """Rows (dim, pov, p_ind, s_ind, score), one folder per POV label."""
+    scores.select("dim", "pov", "p_ind", "s_ind", "score").write.mode(mode).partitionBy("pov").parquet(path)
+
+
+def _prompts_range(window: int) -> "F.Column":
+    low = F.floor(F.col("p_ind") / window) * window
+    return F.format_string("%d_%d", low, low + window - 1)
 
 
 def write_processed_stories(stories: DataFrame, path: str, window: int = 10000, mode: str = "overwrite") -> None:
     """Headerless CSV ``p_ind, s_ind, text`` under one folder per prompt
     range of `window` prompts (the reference's file naming by index range)."""
-    d = stories.select("p_ind", "s_ind", "text").withColumn(
-        "prompts_range", F.format_string("%d_%d", F.floor(F.col("p_ind") / window) * window,
-                                         F.floor(F.col("p_ind") / window) * window + window - 1)
-    )
+    d = stories.select("p_ind", "s_ind", "text").withColumn("prompts_range", _prompts_range(window))
     d.write.mode(mode).partitionBy("prompts_range").option("escape", '"').option("quoteAll", "true").csv(path)
 
 
@@ -328,12 +334,14 @@ def python_list_literal(col) -> "F.Column":
     return F.concat(F.lit("["), F.array_join(F.transform(col, item), ", "), F.lit("]"))
 
 
-def write_inferred_attrs(attrs: DataFrame, path: str, as_csv: bool = False, mode: str = "overwrite") -> None:
+def write_inferred_attrs(attrs: DataFrame, path: str, as_csv: bool = False, mode: str = "overwrite",
+                         window: int = 10000) -> None:
     """``(p_ind, s_ind, attrs array<string>)`` as parquet, or headerless
-    CSV with the list as a Python list literal."""
+    CSV with the list as a Python list literal, in the range folders of S14."""
     if as_csv:
-        attrs.select("p_ind", "s_ind", python_list_literal(F.col("attrs")).alias("attrs")).write.mode(mode).option(
-            "escape", '"').option("quoteAll", "true").csv(path)
+        d = attrs.select("p_ind", "s_ind", python_list_literal(F.col("attrs")).alias("attrs"),
+                         _prompts_range(window).alias("prompts_range"))
+        d.write.mode(mode).partitionBy("prompts_range").option("escape", '"').option("quoteAll", "true").csv(path)
     else:
         attrs.select("p_ind", "s_ind", "attrs").write.mode(mode).parquet(path)
 
