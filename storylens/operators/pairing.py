@@ -13,11 +13,12 @@ proposal rounds in which
 Holders only move to earlier choosers, so no rejection list is needed.
 Ties: similarity descending, then partner position descending.
 
-Each round is one cogroup: choosers are split into blocks, each block meets
-the partner pole of its dimension (one replica per block, no chooser x
-partner rows are ever emitted) and numpy takes the masked argmax of the
-block's cosine matrix. Round state is a table of one row per held partner,
-cut from its lineage with a reliable checkpoint.
+Each round is one cogroup: free choosers are dealt into blocks, each block
+meets the partner pole of its dimension (one replica per block, no chooser x
+partner rows are ever emitted) and settles its own choosers in order against
+the current holders, so only choosers that lose a partner to another block
+come back. Round state is a table of one row per held partner, cut from its
+lineage with a reliable checkpoint. Poles of every size take this path.
 """
 
 from __future__ import annotations
@@ -31,10 +32,6 @@ from storylens.functions.vectors import as_double, unit
 from storylens.session import ensure_checkpoint_dir
 
 BLOCK = 512
-# Poles up to this many words per side are paired by the sequential
-# definition inside one task per dimension (a cosine matrix of at most
-# LOCAL_MAX^2 doubles, 128 MiB); larger poles use the parallel rounds.
-LOCAL_MAX = 4096
 
 _PROPOSAL_SCHEMA = "dim string, cidx long, pidx long, sim double"
 
@@ -65,46 +62,30 @@ def _best_partner(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFram
     )
 
 
-_PAIR_SCHEMA = "dim string, low_word string, high_word string, sim double"
-
-
-def _greedy_local(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential greedy for one dimension (both poles of a bounded size)."""
-    lo = pdf[pdf["side"] == "low"].sort_values("ord")
-    hi = pdf[pdf["side"] == "high"].sort_values("ord")
-    if lo.empty or hi.empty:
-        return pd.DataFrame({k: pd.Series([], dtype=t) for k, t in
-                             (("dim", object), ("low_word", object), ("high_word", object), ("sim", "float64"))})
-    low_choose = len(lo) <= len(hi)
-    ch, pa = (lo, hi) if low_choose else (hi, lo)
-    pa = pa.iloc[::-1]  # partner order descending, so argmax picks the larger position on ties
-    cv = np.vstack(ch["vec"].to_numpy()).astype(np.float64)
-    pv = np.vstack(pa["vec"].to_numpy()).astype(np.float64)
-    sims = cv @ pv.T
-    free = np.ones(len(pa), dtype=bool)
-    pick = np.empty(len(ch), dtype=np.int64)
-    for i in range(len(ch)):
-        row = np.where(free, sims[i], -np.inf)
-        j = int(row.argmax())
-        pick[i] = j
-        free[j] = False
-    cw, pw = ch["word"].to_numpy(), pa["word"].to_numpy()[pick]
-    sim = sims[np.arange(len(ch)), pick]
-    return pd.DataFrame({
-        "dim": pdf["dim"].iloc[0],
-        "low_word": cw if low_choose else pw,
-        "high_word": pw if low_choose else cw,
-        "sim": sim,
-    })
-
-
-def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, local_max: int = LOCAL_MAX) -> DataFrame:
+def _settle_block(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
+    """One round of a block: its free choosers, in lexicon order, each take the
+    best partner that no earlier chooser holds or has just taken. A partner
+    that an earlier chooser took can only pass to a still earlier one, so
+    skipping it is final."""
+    rows = []
+    if len(choosers) and len(partners):
+        c, p = choosers.sort_values("cidx"), partners.sort_values("pidx", ascending=False)
+        sims = np.vstack(c["vec"].to_numpy()).astype(np.float64) @ np.vstack(p["vec"].to_numpy()).astype(np.float64).T
+        holder = p["holder"].fillna(np.inf).to_numpy(dtype=np.float64)
+        pidx = p["pidx"].to_numpy()
+        for i, (dim, cidx) in enumerate(zip(c["dim"], c["cidx"])):
+            open_ = np.where(holder > cidx, sims[i], -np.inf)
+            best = int(open_.argmax())  # first maximum: the largest pidx among ties
+            if np.isfinite(open_[best]):
+                holder[best] = cidx
+                rows.append((dim, int(cidx), int(pidx[best]), float(sims[i, best])))
+    return pd.DataFrame(rows, columns=["dim", "cidx", "pidx", "sim"])
+
+
+def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK) -> DataFrame:
     """Greedy contrast pairs per dimension.
 
     low, high: ``(dim, word, ord, vec)``. Returns ``(dim, low_word, high_word, sim)``.
-    Dimensions whose poles both have at most `local_max` words (checked by a
-    count) run the sequential definition in one task each; the others run the
-    parallel rounds. Both are exact.
     """
     spark = low.sparkSession
     ensure_checkpoint_dir(spark)
@@ -115,21 +96,8 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, local_ma
         .join(hi.groupBy("dim").agg(F.count(F.lit(1)).alias("n_high")), "dim")
         .withColumn("chooser", F.when(F.col("n_low") <= F.col("n_high"), "low").otherwise("high"))
         .withColumn("n_blk", F.greatest(F.lit(1), F.ceil(F.least("n_low", "n_high") / F.lit(block))).cast("int"))
-    )
-    sizes = sizes.checkpoint()
-    small = sizes.filter(F.greatest("n_low", "n_high") <= local_max).select("dim")
-    big = sizes.filter(F.greatest("n_low", "n_high") > local_max)
-    local = (
-        lo.unionByName(hi).join(F.broadcast(small), "dim")
-        .groupBy("dim").applyInPandas(_greedy_local, _PAIR_SCHEMA)
-    )
-    if big.isEmpty():
-        return local
-    return local.unionByName(_pairs_by_rounds(lo, hi, big, block))
-
-
-def _pairs_by_rounds(lo: DataFrame, hi: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    spark = lo.sparkSession
+    ).checkpoint()
+    # one row for each of the dimensions
     both = lo.unionByName(hi).join(F.broadcast(sizes.select("dim", "chooser", "n_blk")), "dim")
     # the lexicon position is the priority (choosers) and the tie-break (partners)
     choosers = both.filter(F.col("side") == F.col("chooser")).select(
@@ -149,7 +117,7 @@ def _pairs_by_rounds(lo: DataFrame, hi: DataFrame, sizes: DataFrame, block: int)
     holders = spark.createDataFrame([], "dim string, pidx long, holder long, sim double")
     reps_base = partners.select(
         "dim", "pidx", "vec", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
-    held, rounds = 0, 0
+    held = 0
     while held < n_choosers:
         free = choosers.join(
             holders.select("dim", F.col("holder").alias("cidx")), ["dim", "cidx"], "left_anti"
@@ -159,7 +127,7 @@ def _pairs_by_rounds(lo: DataFrame, hi: DataFrame, sizes: DataFrame, block: int)
             free.select("dim", "blk", "cidx", "vec")
             .groupBy("dim", "blk")
             .cogroup(reps.groupBy("dim", "blk"))
-            .applyInPandas(_best_partner, _PROPOSAL_SCHEMA)
+            .applyInPandas(_settle_block, _PROPOSAL_SCHEMA)
         )
         merged = holders.select("dim", "pidx", F.col("holder").alias("cidx"), "sim").unionByName(props)
         holders = merged.groupBy("dim", "pidx").agg(
@@ -168,8 +136,6 @@ def _pairs_by_rounds(lo: DataFrame, hi: DataFrame, sizes: DataFrame, block: int)
         # one job per round; the state is cut from its lineage every round
         holders = holders.checkpoint()
         held = holders.count()
-        rounds += 1
-    _pairs_by_rounds.last_rounds = rounds
 
     pairs = (
         holders.join(choosers.select("dim", F.col("cidx").alias("holder"), "cword"), ["dim", "holder"])
@@ -199,22 +165,3 @@ def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = BLOC
         c.groupBy("dim", "blk").cogroup(reps.groupBy("dim", "blk"))
         .applyInPandas(_best_partner, _PROPOSAL_SCHEMA)
     )
-
-
-def greedy_pairs_sequential(low_words, high_words, sim: np.ndarray):
-    """Plain sequential definition, used as the brute-force check in tests.
-
-    low_words/high_words in lexicon order; sim[i, j] = cos(low i, high j).
-    """
-    reverse = len(low_words) > len(high_words)
-    a, b, m = (high_words, low_words, sim.T) if reverse else (low_words, high_words, sim)
-    taken = set()
-    out = []
-    for i, row in enumerate(m):
-        order = sorted(range(len(b)), key=lambda j: (row[j], j), reverse=True)
-        j = next(j for j in order if j not in taken)
-        taken.add(j)
-        out.append((a[i], b[j], float(row[j])))
-    if reverse:
-        out = [(y, x, s) for x, y, s in out]
-    return sorted(out, key=lambda t: t[2], reverse=True)

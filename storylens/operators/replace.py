@@ -182,35 +182,3 @@ def replace_characters(spark: SparkSession, stories: DataFrame, tokens: DataFram
     out = per_story.mapInPandas(_rewrite_batches, "s_key long, text string")
     return stories.select("s_key").join(out, "s_key", "left").select(
         "s_key", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def sequential_rewrite(tokens: list[str], deps: list[str], clusters: list[list[tuple[int, int]]],
-                      labels: list[str]) -> str:
-    """Plain sequential walk (the definition), used as the brute-force check."""
-
-    def step(pt, spans):
-        for s, e in spans:
-            if s <= pt < e:
-                return e, True
-            if s == pt:
-                return pt, True
-        return pt, False
-
-    cur, out = 0, []
-    while cur < len(tokens):
-        flags, positions, chars = [], [], []
-        for num, spans in enumerate(clusters):
-            cur, flag = step(cur, spans)
-            flags.append(flag)
-            if flag:
-                chars.append(labels[num])
-                positions.append(cur)
-        if positions:
-            cur = max(positions)
-            character = chars[positions.index(cur)]
-        if True in flags:
-            out.append(character + "'s" if deps[cur] in POSSESSIVE_DEPS else character)
-        else:
-            out.append(tokens[cur])
-        cur += 1
-    return " ".join(out) + "\n"

@@ -117,11 +117,6 @@ def word_score_table(lex: DataFrame, vectors: DataFrame | None = None, dims: lis
     return out
 
 
-# Word-score tables up to this many words are broadcast and joined per token
-# (no shuffle of tokens or counts); larger ones take the counts path.
-BROADCAST_WORDS = 2_000_000
-
-
 def _coords(dims: list[str], sms: list[str]) -> list[tuple[str, str]]:
     return [(d, m) for d in dims for m in sms]
 
@@ -137,7 +132,7 @@ def wide_word_scores(word_scores: DataFrame, dims: list[str], sms: list[str]) ->
 
 def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
                      dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS,
-                     sms: list[str] = SCORE_METHODS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+                     sms: list[str] = SCORE_METHODS) -> DataFrame:
     """Score stories against a prepared word-score table; every story gets
     every coordinate.
 
@@ -145,26 +140,15 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     unipolar lexicon -> sum of found scores / number of attributes, empty -> 0.
     axis/sim: mean word score over attributes with a vector, none -> null.
 
-    Plan: the word-score table is pivoted to one row per word. When it holds
-    at most `broadcast_words` words (counted), it is broadcast and joined to
-    every attribute token; the per-(story, am) sums then collapse in the
-    partial aggregation of the scan task, so only stories x methods rows are
-    shuffled; the stories x methods base joins them on the same key. (Keying
-    the aggregation by story alone with methods as columns saves that join but
-    triples the per-token work: measured slower.) Beyond the bound, attributes
-    are first counted per (story, am, word) and joined with a shuffle (AQE
-    splits skewed words).
+    Plan: attributes are counted per (story, am, word); the word-score table,
+    pivoted to one row per word, joins the counts without a hint (Spark
+    broadcasts it below its own size threshold, else AQE splits skewed words),
+    and the products are summed per (story, am).
     """
     coords = _coords(dims, sms)
     wide = wide_word_scores(word_scores, dims, sms).checkpoint()
-    a = attrs.filter(F.col("am").isin(ams)).select("s_key", "am", F.lower(F.col("attr")).alias("w"))
-    if wide.count() <= broadcast_words:
-        j = a.join(F.broadcast(wide), "w", "left")
-        n = F.lit(1)
-    else:
-        counts = attr_word_counts(attrs.filter(F.col("am").isin(ams)))
-        j = counts.join(wide, "w", "left")
-        n = F.col("n")
+    j = attr_word_counts(attrs.filter(F.col("am").isin(ams))).join(wide, "w", "left")
+    n = F.col("n")
     aggs = [F.sum(n).alias("n_all")]
     for i in range(len(coords)):
         k = F.col(f"k{i}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storylens.operators import lexicon as L
 from storylens.operators import score as S
-from storylens.operators.pairing import contrast_pairs, greedy_pairs_sequential
+from storylens.operators.pairing import contrast_pairs
 
 
 def _lex(spark, rows):
@@ -87,9 +87,15 @@ def test_pairing_equals_sequential(spark, seed, n_low, n_high):
     low, high = spark.createDataFrame(lo_rows, schema), spark.createDataFrame(hi_rows, schema)
     lu = lo / np.linalg.norm(lo, axis=1, keepdims=True)
     hu = hi / np.linalg.norm(hi, axis=1, keepdims=True)
-    want = sorted((a, b) for a, b, _ in greedy_pairs_sequential([r[1] for r in lo_rows], [r[1] for r in hi_rows], lu @ hu.T))
-    for local_max in (4096, 0):  # one-task sequential path and the parallel rounds
-        got = sorted((r["low_word"], r["high_word"]) for r in contrast_pairs(low, high, local_max=local_max).collect())
+    # definition: blank out what is taken and look for the last maximum of a row
+    sim = lu @ hu.T if n_low <= n_high else hu @ lu.T
+    want = set()
+    for i in range(len(sim)):
+        j = len(sim[i]) - 1 - int(np.argmax(sim[i][::-1]))
+        want.add((f"l{i}", f"h{j}") if n_low <= n_high else (f"l{j}", f"h{i}"))
+        sim[:, j] = -np.inf
+    for block in (512, 2):  # one block, and several that contend for partners
+        got = {(r["low_word"], r["high_word"]) for r in contrast_pairs(low, high, block=block).collect()}
         assert got == want
 
 
@@ -98,9 +104,8 @@ def test_pairing_ties(spark):
     schema = "dim string, word string, ord long, vec array<double>"
     low = spark.createDataFrame([("d", "a", 0, [1.0, 0.0])], schema)
     high = spark.createDataFrame([("d", "x", 0, [1.0, 0.0]), ("d", "y", 1, [1.0, 0.0])], schema)
-    for local_max in (4096, 0):
-        got = [(r["low_word"], r["high_word"]) for r in contrast_pairs(low, high, local_max=local_max).collect()]
-        assert got == [("a", "y")]
+    got = [(r["low_word"], r["high_word"]) for r in contrast_pairs(low, high).collect()]
+    assert got == [("a", "y")]
 
 
 def test_unknown_methods_raise():
@@ -112,23 +117,3 @@ def test_unknown_methods_raise():
     with pytest.raises(ValueError):
         check_attr_method("verbs")
     assert math.isfinite(1.0)
-
-
-def test_counts_path_equals_broadcast_path(spark, sf_small):
-    from storylens.operators.lexicon import lexicon_modes
-    from storylens.plans.common import attrs_for
-    from storylens.sources import fixtures as fx
-
-    st = fx.stories(spark, sf_small)
-    lex = fx.lexicon(spark, sf_small)
-    ws = S.word_score_table(lex, fx.vectors(spark, sf_small), sms=["avg", "sim"])
-    at = attrs_for(spark, sf_small, ["all", "comet"])
-    cols = ["s_key", "am", "dim", "sm", "score"]
-    a = S.score_with_table(st, at, ws, lexicon_modes(lex), ams=["all", "comet"], sms=["avg", "sim"]).select(*cols)
-    b = S.score_with_table(st, at, ws, lexicon_modes(lex), ams=["all", "comet"], sms=["avg", "sim"],
-                           broadcast_words=0).select(*cols)
-    ra = {tuple(r[:4]): r[4] for r in a.collect()}
-    rb = {tuple(r[:4]): r[4] for r in b.collect()}
-    assert ra.keys() == rb.keys()
-    for k, v in ra.items():
-        assert (v is None and rb[k] is None) or v == pytest.approx(rb[k], abs=1e-12), k
