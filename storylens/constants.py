@@ -91,4 +91,3 @@ SAMPLE_SIZE = 2
 SAMPLE_TRIALS = 5
 SPLIT_MIN_STORIES = 4
 BOOTSTRAP_RESAMPLES = 1000
-CHECKPOINT_EVERY = 50

@@ -4,14 +4,14 @@
 Randomness is a seeded hash: a row's position in a draw is
 ``md5(concat_ws(':', s_id, trial, seed))``, so results do not depend on
 partitioning or re-execution, and a recomputed task draws the same rows.
-Draws and split ranks use aggregations and a range-partitioned global order,
-never a window over a whole prompt, so a prompt holding a third of all
-stories is still spread over many tasks.
+Draws use a rank filter that Spark limits per group before the shuffle, and
+split ranks a range-partitioned global order, so a prompt holding a third of
+all stories is still spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storylens.constants import (
@@ -36,20 +36,11 @@ def _draw_key(seed: int):
 
 
 def draw_k(d: DataFrame, keys: list[str], k: int, seed: int) -> DataFrame:
-    """The first `k` rows per (group, trial) in ``(md5 key, s_id)`` order,
-    as k rounds of a min aggregation (partial aggregation; no window sorts a
-    whole group, so a prompt holding a third of all stories still spreads
-    over many tasks)."""
-    gk = [*keys, "trial"]
-    d = d.withColumn("_o", F.struct(_draw_key(seed).alias("h"), F.col("s_id").alias("id")))
-    picked = None
-    rest = d
-    for _ in range(k):
-        m = rest.groupBy(*gk).agg(F.min("_o").alias("_m"))
-        hit = rest.join(m, gk).filter(F.col("_o") == F.col("_m")).drop("_m")
-        picked = hit if picked is None else picked.unionByName(hit)
-        rest = rest.join(m, gk).filter(F.col("_o") > F.col("_m")).drop("_m")
-    return picked.drop("_o")
+    """The first `k` rows per (group, trial) in ``(md5 key, s_id)`` order. A
+    rank filter becomes a group limit before the shuffle: each task sends `k`
+    rows of a group at most, however many the group has."""
+    w = Window.partitionBy(*keys, "trial").orderBy(_draw_key(seed), "s_id")
+    return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
 def sample_group_stats(z: DataFrame, keys: list[str], n_samples: int = SAMPLE_SIZE,

@@ -34,10 +34,6 @@ def attr_word_counts(attrs: DataFrame) -> DataFrame:
     return attrs.groupBy("s_key", "am", F.lower(F.col("attr")).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def attr_totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("s_key", "am").agg(F.sum("n").alias("n_all"))
-
-
 # --- vector methods -------------------------------------------------------
 
 def axes(lex: DataFrame, vectors: DataFrame, use_contrast: bool = True) -> DataFrame:
@@ -83,15 +79,6 @@ def vector_word_scores(vectors: DataFrame, axis_df: DataFrame | None, centroid_d
 
 # --- aggregation ------------------------------------------------------------
 
-def _grid_coords(ams: list[str], dims: list[str], sms: list[str]):
-    return F.explode(
-        F.array(*[
-            F.struct(F.lit(am).alias("am"), F.lit(d).alias("dim"), F.lit(sm).alias("sm"))
-            for am in ams for d in dims for sm in sms
-        ])
-    )
-
-
 def word_score_table(lex: DataFrame, vectors: DataFrame | None = None, dims: list[str] = DIMENSIONS,
                      sms: list[str] = SCORE_METHODS, use_contrast: bool = True) -> DataFrame:
     """``(w, dim, sm, wscore)``: every scorable word once per dimension and
