@@ -161,7 +161,7 @@ def _byte_logs(p_one: np.ndarray) -> np.ndarray:
         width = 1 << bit
         p = np.clip(p_one[:, at:at + width], 1e-15, 1 - 1e-15)
         at += width
-        total = np.stack([total + np.log10(1 - p), total + np.log10(p)], 2).reshape(len(p_one), -1)
+        total = np.stack([total + np.log10(1 - p), total + np.log10(p)], 2).reshape(len(p_one), 2 * width)
     return total
 
 
