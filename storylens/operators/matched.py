@@ -11,6 +11,11 @@ all stories is still spread over many tasks.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,21 +151,72 @@ def control_differences(z: DataFrame, n_trials: int = SAMPLE_TRIALS, seed: int =
 
 # --- bootstrap ----------------------------------------------------------------
 
-def _poisson1_weight(u):
-    """Inverse CDF of Poisson(1) on a uniform u in [0, 1)."""
-    import math
+# Resampling weights, computable in any engine: row k, replicate r has the
+# number u = seed(k) * STEP^r mod PRIME (a MINSTD stream of its own), and the
+# weight is the count of CUTS that u reaches: Poisson(1) by its inverse CDF.
+PRIME = 2**31 - 1
+STEP = 48271
+
 
-    cdf, p, k = [], math.exp(-1.0), 0
-    acc = 0.0
-    while acc < 1.0 - 1e-15 and k < 20:
-        acc += p
-        cdf.append(acc)
+def poisson_cuts() -> list[int]:
+    """Smallest numbers below PRIME whose Poisson(1) weight is 1, 2, ..."""
+    cuts, p, cdf, k = [], math.exp(-1.0), 0.0, 0
+    while True:
+        cdf += p
         k += 1
-        p = p / k
-    expr = F.lit(len(cdf))
-    for i in reversed(range(len(cdf))):
-        expr = F.when(u < F.lit(cdf[i]), F.lit(i)).otherwise(expr)
-    return expr
+        p /= k
+        cut = math.ceil(cdf * PRIME)
+        if cut >= PRIME:
+            return cuts
+        cuts.append(cut)
+
+
+def steps(resamples: int) -> np.ndarray:
+    """STEP^r mod PRIME for r = 1 .. resamples."""
+    out, x = [], 1
+    for _ in range(resamples):
+        x = x * STEP % PRIME
+        out.append(x)
+    return np.array(out, np.int64)
+
+
+# Groups whose sums a task holds before it hands them on.
+HELD_GROUPS = 512
+
+
+def _replicate_sums(n_keys: int, resamples: int, names: list[str]):
+    """Per task and group: sums of weights and of weight x value of each
+    replicate. A task emits (its groups) x replicates rows, never rows x
+    replicates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, cuts, held = steps(resamples), np.array(poisson_cuts()), {}
+
+        def flush():
+            for key, (w, wv) in held.items():
+                cols = [pa.array([k] * resamples) if k is not None else pa.nulls(resamples, pa.string()) for k in key]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(np.arange(1, resamples + 1)), pa.array(w), pa.array(wv)], [*names, "_r", "_sw", "_swv"])
+
+        for b in batches:
+            groups: dict = {}
+            for i, key in enumerate(zip(*[b.column(j).to_pylist() for j in range(n_keys)], strict=True)):
+                groups.setdefault(key, []).append(i)
+            seed, value = b.column(n_keys).to_numpy(), b.column(n_keys + 1).to_numpy()
+            for key, rows in groups.items():
+                if key not in held:
+                    if len(held) >= HELD_GROUPS:
+                        yield from flush()
+                        held.clear()
+                    held[key] = (np.zeros(resamples, np.int64), np.zeros(resamples))
+                for at in range(0, len(rows), 256):
+                    own = rows[at:at + 256]
+                    w = np.searchsorted(cuts, seed[own][:, None] * step[None, :] % PRIME, "right")
+                    held[key][0][:] += w.sum(0)
+                    held[key][1][:] += value[own] @ w
+        yield from flush()
+
+    return run
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row_key: str,
@@ -168,25 +224,19 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row_key: str,
                    level: float = 0.95) -> DataFrame:
     """Group mean with a percentile bootstrap interval.
 
-    Poisson(1) resampling weights come from a hash of (row key, replicate,
-    seed), so they do not depend on partitioning. Replicates are generated and
-    summed inside the scan (partial aggregation), so only groups x replicates
-    rows reach the shuffle, never rows x replicates.
-    """
-    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(row_key).cast("string").alias("_k"),
-                                                   F.col(value).cast("double").alias("_v"))
+    Weights depend on (row key, seed, replicate) alone, not on partitioning.
+    Replicates without any weight have no mean and are left out."""
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(row_key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10)
+    d = df.filter(F.col(value).isNotNull()).select(
+        *[F.col(k).cast("string").alias(k) for k in keys], (number.cast("long") + 1).alias("_seed"),
+        F.col(value).cast("double").alias("_v"))
     mean = d.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    r = d.select(*keys, "_v", "_k", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_r"))
-    h = F.xxhash64(F.col("_k"), F.col("_r"), F.lit(seed))
-    u = (F.pmod(h, F.lit(1 << 52)).cast("double")) / float(1 << 52)
-    r = r.withColumn("_w", _poisson1_weight(u))
-    rep = r.groupBy(*keys, "_r").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w").cast("double")).alias("_m")
-    )
+    schema = ", ".join([*[f"{k} string" for k in keys], "_r long, _sw long, _swv double"])
+    sums = d.mapInArrow(_replicate_sums(len(keys), resamples, keys), schema)
+    rep = sums.groupBy(*keys, "_r").agg(F.try_divide(F.sum("_swv"), F.sum("_sw").cast("double")).alias("_m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     ci = rep.filter(F.col("_m").isNotNull()).groupBy(*keys).agg(
-        F.percentile(F.col("_m"), F.lit(lo)).alias("ci_lo"), F.percentile(F.col("_m"), F.lit(hi)).alias("ci_hi")
-    )
+        F.percentile(F.col("_m"), F.lit(lo)).alias("ci_lo"), F.percentile(F.col("_m"), F.lit(hi)).alias("ci_hi"))
     return mean.join(ci, keys, "left")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storylens.constants import BOOTSTRAP_RESAMPLES
 from storylens.operators import analysis as N
 from storylens.operators import matched as M
 from storylens.operators.analysis import LABEL_COLS
@@ -89,7 +90,32 @@ def n07(spark, sf):
     return N.histograms(C.grid_z(spark, sf))
 
 
-@query("n08_bootstrap_intervals")
+def _bootstrap_sql(src: str, keys: str, seed: int) -> str:
+    """Bootstrap intervals of ``src`` (keys, _k: row key as text, _v)."""
+    weight = " + ".join(f"CAST(u >= {c} AS BIGINT)" for c in M.poisson_cuts())
+    k = keys.split(", ")
+    return f"""
+SELECT {", ".join("m." + c for c in k)}, m.mean, m.n, c.ci_lo, c.ci_hi
+FROM (SELECT {keys}, avg(_v) AS mean, count(*) AS n FROM ({src}) GROUP BY {keys}) m
+LEFT JOIN (
+  SELECT {keys}, quantile_cont(_m, 0.025) AS ci_lo, quantile_cont(_m, 0.975) AS ci_hi FROM (
+    SELECT {keys}, r, sum(w * _v) / nullif(sum(w), 0) AS _m FROM (
+      SELECT {keys}, r, _v, {weight} AS w FROM (
+        SELECT {keys}, s.r, _v, (1 + CAST('0x' || substr(md5(_k || ':{seed}'), 1, 7) AS BIGINT)) * s.a % {M.PRIME} AS u
+        FROM ({src}) CROSS JOIN stream s WHERE s.r >= 1))
+    GROUP BY {keys}, r) WHERE _m IS NOT NULL GROUP BY {keys}) c
+ON {" AND ".join(f"c.{c} = m.{c}" for c in k)}"""
+
+
+SQL_STREAM = ("stream(r, a)", f"""
+SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL
+SELECT r + 1, a * {M.STEP} % {M.PRIME} FROM stream WHERE r < {BOOTSTRAP_RESAMPLES}""")
+
+
+@query("n08_bootstrap_intervals", zsql(_bootstrap_sql(f"""
+SELECT dim, am, sm, s_pov, writer, concat_ws('|', writer, s_id) AS _k, z_score AS _v FROM z
+WHERE z_score IS NOT NULL AND ((am = 'all' AND sm = 'avg') OR (am IN ('comet', 'sub') AND sm = {BEST}))""",
+    "dim, am, sm, s_pov, writer", M.DEFAULT_SEED), [SQL_STREAM]), floats=["mean", "ci_lo", "ci_hi"])
 def n08(spark, sf):
     """Mean and 95 % bootstrap interval (1000 Poisson resamples) by
     (dim, am, sm, POV, writer) for all/avg, comet/best and sub/best z-scores."""
@@ -366,8 +392,11 @@ JOIN (SELECT dim, p_ind, avg(z_score) AS mz FROM ({SQL_COMET_BEST}) WHERE writer
 WHERE a.half = 1 GROUP BY a.trial, a.dim"""
 
 
-@query("n25_control_differences", zsql(SQL_N25, [("hm", f"""
-SELECT trial, dim, p_ind, half, avg(z_score) AS zm FROM ({SQL_N24}) GROUP BY trial, dim, p_ind, half""")]),
+SQL_HM = ("hm", f"""
+SELECT trial, dim, p_ind, half, avg(z_score) AS zm FROM ({SQL_N24}) GROUP BY trial, dim, p_ind, half""")
+
+
+@query("n25_control_differences", zsql(SQL_N25, [SQL_HM]),
        floats=["diff"])
 def n25(spark, sf):
     """Per trial and dim, mean over prompts of half1 - half2 (control) and
@@ -375,7 +404,9 @@ def n25(spark, sf):
     return M.control_differences(C.grid_z(spark, sf), seed=SEED).withColumn("trial", F.col("trial").cast("bigint"))
 
 
-@query("n26_trial_summary")
+@query("n26_trial_summary", zsql(_bootstrap_sql(
+    f"SELECT dim, type, CAST(trial AS VARCHAR) AS _k, diff AS _v FROM ({SQL_N25}) WHERE diff IS NOT NULL", "dim, type", SEED),
+    [SQL_STREAM, SQL_HM]), floats=["mean", "ci_lo", "ci_hi"])
 def n26(spark, sf):
     """Mean and bootstrap interval of the N25 differences per (dim, type)."""
     return M.trial_summary(M.control_differences(C.grid_z(spark, sf), seed=SEED))
