@@ -8,6 +8,8 @@ is aggregation and joins; the pronoun table is a handful of rows (broadcast).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,13 +90,14 @@ def pov_labels(units: DataFrame, mentions: DataFrame, pronouns: DataFrame, key:
     )
 
 
-def cached_pov(stories: DataFrame, cache: DataFrame, computed: DataFrame) -> DataFrame:
+def cached_pov(stories: DataFrame, cache: DataFrame, label: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Reuse a cached label when the prompt (or space + prompt) is in the
     cache and the cached story at the same index equals this story after
-    stripping; otherwise take the computed label (V04 on the truncated story).
+    stripping; the others alone, truncated, go to ``label``.
 
     stories: ``(s_key, prompt, s_ind, story)``; cache: ``(prompt, s_ind, story, pov)``;
-    computed: ``(s_key, pov)``. Returns ``(s_key, pov, source)``.
+    label: ``(s_key, story)`` -> ``(s_key, pov)``, V04 on the text it gets.
+    Returns ``(s_key, pov, source)``.
     """
     keys = cache.select(F.col("prompt").alias("_ck")).distinct()
     st = stories.join(keys.withColumnRenamed("_ck", "prompt").withColumn("_exact", F.lit(True)), "prompt", "left")
@@ -108,12 +111,13 @@ def cached_pov(stories: DataFrame, cache: DataFrame, computed: DataFrame) -> Dat
     c = cache.select(F.col("prompt").alias("_key"), "s_ind", F.col("story").alias("_cstory"), F.col("pov").alias("_cpov"))
     j = st.join(c, ["_key", "s_ind"], "left")
     hit = F.col("_cstory").isNotNull() & (strip_ws(F.col("story")) == strip_ws(F.col("_cstory")))
-    j = j.join(computed.select("s_key", F.col("pov").alias("_comp")), "s_key", "left")
-    return j.select(
-        "s_key",
-        F.when(hit, F.col("_cpov")).otherwise(F.coalesce(F.col("_comp"), F.lit("unknown"))).alias("pov"),
-        F.when(hit, F.lit("cache")).otherwise(F.lit("computed")).alias("source"),
-    )
+    j = j.select("s_key", "story", "_cpov", hit.alias("_hit"))
+    found = j.filter(F.col("_hit")).select("s_key", F.col("_cpov").alias("pov"), F.lit("cache").alias("source"))
+    misses = j.filter(~F.col("_hit")).select("s_key", truncated_for_pov(F.col("story")).alias("story"))
+    computed = label(misses).select(F.col("s_key").alias("_k"), "pov")
+    fresh = misses.join(computed, F.col("s_key") == F.col("_k"), "left").select(
+        "s_key", F.coalesce("pov", F.lit("unknown")).alias("pov"), F.lit("computed").alias("source"))
+    return found.unionByName(fresh)
 
 
 def truncated_for_pov(col) -> "F.Column":

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
+from storylens.constants import CHARACTER_PRONOUNS, PLACEHOLDER_PREFIX
 from storylens.operators import cleaning as P
 from storylens.operators import pov as V
 from storylens.operators import replace as R
@@ -17,8 +18,8 @@ from storylens.plans.registry import query
 from storylens.sources import fixtures as fx
 
 
-def _fixture_pronouns(spark):
-    return V.pronoun_table(spark, lists=fx.FIXTURE_POV_PRONOUNS)
+def _fixture_pronouns(spark, lists=fx.FIXTURE_POV_PRONOUNS):
+    return V.pronoun_table(spark, lists=lists)
 
 
 SQL_PRON = """SELECT * FROM (VALUES ('first', 'click'), ('second', 'view'), ('male', 'purchase'),
@@ -69,10 +70,15 @@ def v03(spark, sf):
     return V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
 
 
-@query("v04_pov_basic", with_ctes(["fx_pov_stories", "fx_pov_mentions"], SQL_V03))
+SQL_V04 = SQL_V03.replace(SQL_PRON, SQL_PRON + " WHERE cls <> 'female'")
+
+
+@query("v04_pov_basic", with_ctes(["fx_pov_stories", "fx_pov_mentions"], SQL_V04))
 def v04(spark, sf):
-    """The same rule as used for the story fallback (errors propagate)."""
-    return V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
+    """The rule of the story fallback with its own, shorter pronoun table
+    (in the stand-in table: no female surface)."""
+    return V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf),
+                        _fixture_pronouns(spark, fx.FIXTURE_POV_BASIC))
 
 
 @query("v05_prompt_pov", with_ctes(["fx_pov_stories", "fx_pov_mentions"],
@@ -122,14 +128,15 @@ LEFT JOIN computed cp ON cp.s_key = ch.s_key"""
 def _v06_sql() -> str:
     base = with_ctes(["fx_lines", "fx_pov_stories", "fx_pov_mentions"], "SELECT 1")
     ctes = base[len("WITH "):base.rindex("\nSELECT 1")]
-    body = SQL_V06 % SQL_V03
+    body = SQL_V06 % SQL_V04
     return "WITH " + ctes + ",\n" + body[len("WITH "):]
 
 
 @query("v06_cached_pov", _v06_sql())
 def v06(spark, sf):
     """Cached label when the prompt (or space + prompt) and the stripped
-    story match the cache, else the rule's label for the story."""
+    story match the cache; the misses alone, truncated, get the rule's label
+    (from the stand-in mentions of their keys)."""
     idx = P.index_stories(fx.lines(spark, sf)).select(
         F.col("line_no").alias("s_key"), "prompt", "s_ind", "story")
     labels = fx.read_table(spark, sf, "labels")
@@ -139,13 +146,21 @@ def v06(spark, sf):
         F.when(F.col("quality") == 1, F.col("story")).otherwise(F.concat(F.col("story"), F.lit(" (edited)"))).alias("story"),
         F.when(F.col("quality") == 1, F.lit("female")).otherwise(F.lit("male")).alias("pov"),
     )
-    computed = V.pov_labels(fx.pov_stories(spark, sf), fx.pov_mentions(spark, sf), _fixture_pronouns(spark))
-    return V.cached_pov(idx, cache, computed)
+
+    def label(misses):
+        mentions = fx.pov_mentions(spark, sf).join(misses.select("s_key"), "s_key", "left_semi")
+        return V.pov_labels(misses, mentions, _fixture_pronouns(spark, fx.FIXTURE_POV_BASIC))
+
+    return V.cached_pov(idx, cache, label)
 
 
 # --- replacement ----------------------------------------------------------------
 
-NARROW = "'She', 'she', 'Her', 'her', 'He', 'he', 'him', 'Him', 'I', 'Me', 'me'"
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+NARROW = _quoted(CHARACTER_PRONOUNS["narrow"])
 SQL_A02 = f"""
 SELECT s_key, cluster_id, CAST(row_number() OVER (PARTITION BY s_key ORDER BY cluster_id) - 1 AS INTEGER) AS letter_no
 FROM (SELECT DISTINCT m.s_key, m.cluster_id FROM fx_mentions m
@@ -165,6 +180,13 @@ def a02(spark, sf):
     return R.character_clusters(spark, fx.mentions(spark, sf), fx.entities(spark, sf)).select("s_key", "cluster_id")
 
 
+@query("a02_character_clusters_wide", with_ctes(["fx_entities"], f"SELECT s_key, cluster_id FROM ({SQL_A02})".replace(
+    NARROW, _quoted(CHARACTER_PRONOUNS["wide"]))))
+def a02_wide(spark, sf):
+    """A02 with the wide pronoun list."""
+    return R.character_clusters(spark, fx.mentions(spark, sf), fx.entities(spark, sf), "wide").select("s_key", "cluster_id")
+
+
 @query("a03_cluster_letters", with_ctes(["fx_entities"], f"""
 SELECT s_key, cluster_id, letter_no, 'Protagonist' || chr(65 + letter_no) AS label FROM ({SQL_A02})"""))
 def a03(spark, sf):
@@ -173,14 +195,6 @@ def a03(spark, sf):
         "s_key", "cluster_id", "letter_no", "label")
 
 
-@query("a05_replace_characters")
-def a05(spark, sf):
-    """The rewritten text of every story (placeholders, possessives,
-    failures as ''), over the fixture annotations."""
-    st = fx.stories(spark, sf)
-    return R.replace_characters(spark, st, fx.token_arrays(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))
-
-
 # --- U01 ------------------------------------------------------------------------
 
 def _fixture_parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,3 +258,40 @@ def a04(spark, sf):
     """For every token position, the position the span step moves to and
     the cluster whose placeholder is written there (-1: none)."""
     return R.span_steps(spark, fx.tokens(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))
+
+
+def _a05_sql(doublings: int = 15) -> str:
+    """From the steps of A04: every position's output and successor, the
+    positions reached from 0 by pointer doubling, and their outputs in order.
+    A story fails if a reached step ends past its tokens."""
+    base = with_ctes(["fx_tokens", "fx_mentions", "fx_entities", "fx_stories"], "SELECT 1")
+    a04 = SQL_A04.replace("{ctes}", base[len("WITH "):base.rindex("\nSELECT 1")])
+    cut = a04.rindex("\nSELECT w.s_key, CAST(w.p AS INTEGER)")
+    ctes = [f"""
+steps AS MATERIALIZED ({a04[cut:]}),
+outs AS MATERIALIZED (
+  SELECT t.s_key, CAST(t.pos AS BIGINT) AS pos, CASE WHEN st.letter_no < 0 THEN t.pos + 1 ELSE st.final + 1 END AS nxt,
+         CASE WHEN st.letter_no < 0 THEN t.text
+              ELSE '{PLACEHOLDER_PREFIX}' || chr(65 + st.letter_no)
+                   || CASE WHEN e.dep IN ('poss', 'case') THEN chr(39) || 's' ELSE '' END END AS out,
+         st.letter_no >= 0 AND e.pos IS NULL AS failed
+  FROM fx_tokens t JOIN steps st ON st.s_key = t.s_key AND st.pos = t.pos
+  LEFT JOIN fx_tokens e ON e.s_key = t.s_key AND e.pos = st.final),
+j0 AS MATERIALIZED (SELECT s_key, pos, nxt FROM outs),
+v0 AS MATERIALIZED (SELECT DISTINCT s_key, CAST(0 AS BIGINT) AS pos FROM outs)"""]
+    for k in range(doublings):
+        ctes.append(f"""
+v{k + 1} AS MATERIALIZED (SELECT s_key, pos FROM v{k} UNION SELECT v.s_key, j.nxt FROM v{k} v JOIN j{k} j USING (s_key, pos)),
+j{k + 1} AS MATERIALIZED (SELECT a.s_key, a.pos, b.nxt FROM j{k} a JOIN j{k} b ON b.s_key = a.s_key AND b.pos = a.nxt)""")
+    return a04[:cut] + "," + ",".join(ctes) + f"""
+SELECT s.s_key, coalesce(r.text, '') AS text FROM fx_stories s LEFT JOIN (
+  SELECT o.s_key, CASE WHEN bool_or(o.failed) THEN '' ELSE string_agg(o.out, ' ' ORDER BY o.pos) || chr(10) END AS text
+  FROM outs o JOIN v{doublings} v ON v.s_key = o.s_key AND v.pos = o.pos GROUP BY o.s_key) r ON r.s_key = s.s_key"""
+
+
+@query("a05_replace_characters", _a05_sql())
+def a05(spark, sf):
+    """The rewritten text of every story (placeholders, possessives,
+    failures as ''), over the fixture annotations."""
+    st = fx.stories(spark, sf)
+    return R.replace_characters(spark, st, fx.token_arrays(spark, sf), fx.mentions(spark, sf), fx.entities(spark, sf))

@@ -24,6 +24,8 @@ P_POV_CYCLE = ["TP-M", "TP-F", "FP", "SP", "Other"]
 FIXTURE_PROTAGONIST = ["the", "The", "of", "de", "la"]
 # fixture pronoun table for fx_pov_mentions: class -> surfaces
 FIXTURE_POV_PRONOUNS = {"first": ["click"], "second": ["view"], "male": ["purchase"], "female": ["signup"]}
+# a shorter table, as the basic lists are shorter than the extended ones
+FIXTURE_POV_BASIC = {"first": ["click"], "second": ["view"], "male": ["purchase"], "female": []}
 SENTENCE_LEN = 32
 
 # Small stand-in tables (vocabulary, lexicon) are built once per session and
