@@ -55,3 +55,16 @@ def scan_order_index(df: DataFrame, name: str = "line_no", start: int = 0) -> Da
     """Number rows in scan order (partition order, then row order) without a
     sort. Meant directly on the scan of one file."""
     return _numbered(_tagged(df), name, start)
+
+
+def cumulative_sum(df: DataFrame, keys: list[str], weight: str, name: str = "before") -> DataFrame:
+    """``df`` (unique by ``keys``) with the sum of ``weight`` over all rows
+    before each in the order of ``keys``."""
+    tagged = _tagged(df.orderBy(*keys))
+    # one row per partition, and a running sum inside each partition
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_pid").agg(F.sum(weight).alias("_n")).select(
+        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    return tagged.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(
+        F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_local", "_off", "_in")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from storylens.functions.indexing import sequential_index
+from storylens.functions.indexing import cumulative_sum, sequential_index
 
 
 def average_ranks(df: DataFrame, group_cols: list[str], value_col: str, key_cols: list[str],
@@ -35,6 +35,28 @@ def average_ranks(df: DataFrame, group_cols: list[str], value_col: str, key_cols
     return df.join(mid, [*group_cols, value_col])
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Quantiles per group by linear interpolation, one column for each entry
+    of ``shares``. Distinct values are counted and ranked in a global order, so
+    no task holds a group."""
+    v = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    v = cumulative_sum(v, [*keys, value], "_c", "_before")
+    # one row for each group, on distinct values alone
+    size = v.groupBy(*keys).agg(F.min("_before").alias("_g0"), F.sum("_c").alias("_n"))
+    v = v.join(size, keys).withColumn("_lo", F.col("_before") - F.col("_g0")).withColumn(
+        "_hi", F.col("_lo") + F.col("_c") - 1)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_lo") <= rank) & (rank <= F.col("_hi")), F.col(value)))
+
+    place = {name: (F.col("_n") - 1) * q for name, q in shares.items()}
+    parts = v.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), *[at(F.floor(h)).alias(f"_f_{c}") for c, h in place.items()],
+        *[at(F.ceil(h)).alias(f"_c_{c}") for c, h in place.items()])
+    return parts.select(*keys, *[
+        (F.col(f"_f_{c}") + (F.col(f"_c_{c}") - F.col(f"_f_{c}")) * (h - F.floor(h))).alias(c) for c, h in place.items()])
+
+
 TIE_DIGITS = 9
 
 

@@ -27,6 +27,7 @@ from storylens.constants import (
     SPLIT_MIN_STORIES,
 )
 from storylens.functions.indexing import sequential_index
+from storylens.functions.stats import grouped_quantiles
 from storylens.operators.analysis import at_best_sm
 
 DEFAULT_SEED = 7
@@ -93,11 +94,7 @@ def difference_summary(by_pov: DataFrame) -> DataFrame:
 def box_stats(df: DataFrame, keys: list[str], value: str = "mean_diff") -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the last datum within
     1.5 IQR of the box, and the outlier count."""
-    q = df.groupBy(*keys).agg(
-        F.percentile(F.col(value), F.lit(0.25)).alias("q1"),
-        F.percentile(F.col(value), F.lit(0.5)).alias("med"),
-        F.percentile(F.col(value), F.lit(0.75)).alias("q3"),
-    )
+    q = grouped_quantiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     # one quartile row per group: the group count is bounded by the report keys
     j = df.join(F.broadcast(q), keys)
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))

@@ -8,7 +8,7 @@ Sinks write partitioned tables; the resumable forms live in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
@@ -23,6 +23,7 @@ from pyspark.sql.types import (
 from storylens.constants import PROMPT_DELIMITER
 from storylens.functions.indexing import scan_order_index, sequential_index
 from storylens.operators.lexicon import dedupe_last_wins
+from storylens.session import ensure_checkpoint_dir
 
 STORY_ROW_SCHEMA = StructType([
     StructField("p_ind", IntegerType()), StructField("s_ind", IntegerType()), StructField("text", StringType()),
@@ -39,13 +40,19 @@ def _strip(col) -> "F.Column":
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of every file under `path`: ``(file, line_no, text)``, 0-based
-    line numbers in file order. Each file is read whole by one task (files
-    are the unit of the format), files in parallel."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    arr = F.split(F.col("value"), "\n")
-    # a trailing newline ends the last line; it does not start an empty one
-    arr = F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
-    return d.select("file", F.posexplode(arr).alias("line_no", "text"))
+    line numbers in file order. Large files are split; a line's number is its
+    place in its split plus the lines of the file's splits before it. The
+    scan is stored with its places first, so both come from the same splits."""
+    ensure_checkpoint_dir(spark)
+    d = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")).checkpoint()
+    splits = d.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # a row for each split: the window is over the splits of one file
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return d.join(splits, ["file", "_split"]).select(
+        "file", (F.col("_id") - F.col("_first") + F.col("_off")).cast("int").alias("line_no"), "text")
 
 
 def pair_lines(prompts: DataFrame, stories: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from storylens.functions.indexing import sequential_index
-from storylens.functions.stats import average_ranks
+from storylens.functions.stats import average_ranks, grouped_quantiles
 from storylens.operators.matched import split_halves
 
 
@@ -40,3 +40,14 @@ def test_split_is_even_everywhere(spark):
     z = z.unionByName(z.withColumn("sm", F.lit("sim")))
     h = split_halves(z, n_trials=2, min_stories=10).groupBy("trial", "p_ind", "half").count()
     assert h.count() == 2 * n // 10 * 2 and h.where("count <> 5").count() == 0
+
+
+def test_grouped_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = {"a": rng.integers(0, 9, 500).astype(float), "b": rng.normal(size=7), "c": np.array([3.0])}
+    rows = [(g, float(x)) for g, xs in data.items() for x in xs] + [("a", None)]
+    got = grouped_quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"lo": 0.25, "mid": 0.5, "hi": 0.9})
+    for r in got.collect():
+        assert np.allclose([r["lo"], r["mid"], r["hi"]], np.percentile(data[r["g"]], [25, 50, 90]))

@@ -46,3 +46,19 @@ def test_sinks_read_back_without_renaming(spark, tmp_path):
     io.write_inferred_attrs(attrs, str(tmp_path / "a"), as_csv=True, window=20)
     got = io.read_inferred_attrs(spark, str(tmp_path / "a")).select("p_ind", "s_ind", "attrs").collect()
     assert sorted(tuple(r) for r in got) == [(0, 0, ["a b", "it's"]), (30, 0, [])]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Line numbers hold when a file is read in several splits."""
+    lines = [f"{'x' * (i % 37)} line {i}" if i % 11 else "" for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\r\n\ntwo")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = io.read_lines(spark, str(tmp_path))
+        rows = sorted((r["file"], r["line_no"], r["text"]) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == [("a.txt", i, t) for i, t in enumerate(lines)] + [
+        ("b.txt", 0, "one\r"), ("b.txt", 1, ""), ("b.txt", 2, "two")]
