@@ -183,8 +183,8 @@ def s06(spark, sf):
 SELECT CAST(p_ind AS INTEGER) AS p_ind, CAST(s_ind AS INTEGER) AS s_ind, prompt, l.story
 FROM ({SQL_P03}) i JOIN fx_lines l USING (line_no, prompt)"""))
 def s04_s03(spark, sf):
-    """P03 -> S04 (one JSON line per prompt with its ordered stories) -> S03
-    scan back to ``(p_ind, s_ind, prompt, story)``."""
+    """P03 -> S04 (one JSON line per story with its indices) -> S03 scan back to
+    ``(p_ind, s_ind, prompt, story)``."""
     path = _scratch(spark, "mapping")
     idx = P.index_stories(fx.lines(spark, sf))
     io.write_story_mapping(idx, path)

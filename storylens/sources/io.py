@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
     IntegerType,
-    LongType,
     MapType,
     StringType,
     StructField,
@@ -128,27 +127,29 @@ def write_story_mapping_objects(stories: DataFrame, path: str, prompts_per_file:
 
 
 STORY_LINES_SCHEMA = StructType([
-    StructField("p_ind", LongType()), StructField("prompt", StringType()),
-    StructField("stories", ArrayType(StringType())),
+    StructField("p_ind", IntegerType()), StructField("s_ind", IntegerType()), StructField("prompt", StringType()),
+    StructField("story", StringType()),
 ])
 
 
 def read_story_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S03 at scale: JSON Lines, one prompt per line with its index."""
-    d = spark.read.schema(STORY_LINES_SCHEMA).json(path)
-    return d.select(F.col("p_ind").cast("int"), "prompt", F.posexplode("stories").alias("s_ind", "story")).select(
-        "p_ind", F.col("s_ind").cast("int"), "prompt", "story")
+    """S03 at scale: JSON Lines, one story per line with its indices."""
+    return spark.read.schema(STORY_LINES_SCHEMA).json(path)
 
 
 def group_story_mapping(stories: DataFrame) -> DataFrame:
-    """One row per prompt with its stories in order."""
+    """S04's interchange form: one row per prompt with its stories in order.
+    A prompt's stories must fit in one row; ``write_story_mapping`` has no
+    such limit."""
     g = stories.groupBy("p_ind", "prompt").agg(F.array_sort(F.collect_list(F.struct("s_ind", "story"))).alias("_s"))
     return g.select(F.col("p_ind").cast("long"), "prompt", F.col("_s.story").alias("stories"))
 
 
 def write_story_mapping(stories: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON Lines, one prompt per row (readable by ``read_story_lines``)."""
-    group_story_mapping(stories).write.mode(mode).json(path)
+    """JSON Lines, one story per row with its indices (readable by
+    ``read_story_lines``), so a prompt may have any number of stories."""
+    stories.select(F.col("p_ind").cast("int").alias("p_ind"), F.col("s_ind").cast("int").alias("s_ind"), "prompt",
+                   "story").write.mode(mode).json(path)
 
 
 # --- S05 / S06 / S07: processed-story directories ------------------------------
