@@ -48,6 +48,8 @@ END = 0xFF
 # Stands for the end token among words: no word has a space.
 END_WORD = b" "
 FLUSH = 400_000
+# Decisions whose trees are held at a time.
+COLUMNS = 16
 # Bytes whose strings are counted at a time.
 BLOCK = 1 << 23
 
@@ -125,17 +127,6 @@ class Tree:
         return np.add.reduceat(each.astype(float), first) if len(first) else np.zeros(0)
 
 
-def _pairs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 decisions, from byte counts (n x 256)."""
-    zeros, ones = [], []
-    level = counts
-    while level.shape[1] > 1:
-        zeros.insert(0, level[:, 0::2])
-        ones.insert(0, level[:, 1::2])
-        level = level[:, 0::2] + level[:, 1::2]
-    return np.hstack(zeros), np.hstack(ones)
-
-
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov block probability of a zeros, b ones."""
     return _lgamma(a + 0.5) + _lgamma(b + 0.5) - 2 * math.lgamma(0.5) - _lgamma(a + b + 1)
@@ -153,16 +144,21 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
         1260 * x**5) - shift
 
 
-def _byte_logs(p_one: np.ndarray) -> np.ndarray:
-    """log10 probabilities of the 256 bytes from those of the 255 decisions."""
-    total = np.zeros((len(p_one), 1))
-    at = 0
+def decisions(width: int = COLUMNS) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks of decisions of one bit: bytes on each side of a decision, and
+    the first byte below each."""
     for bit in range(8):
-        width = 1 << bit
-        p = np.clip(p_one[:, at:at + width], 1e-15, 1 - 1e-15)
-        at += width
-        total = np.stack([total + np.log10(1 - p), total + np.log10(p)], 2).reshape(len(p_one), 2 * width)
-    return total
+        half = 128 >> bit
+        firsts = np.arange(0, 256, 2 * half)
+        for at in range(0, len(firsts), width):
+            yield half, firsts[at:at + width]
+
+
+def _pairs(counts: np.ndarray, half: int, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones of some decisions, from byte counts (n x 256)."""
+    block = counts[:, firsts[0]:firsts[-1] + 2 * half].reshape(len(counts), len(firsts), 2, half)
+    both = block.sum(3, dtype=np.int64)
+    return both[:, :, 0], both[:, :, 1]
 
 
 def build(counts: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
@@ -173,55 +169,64 @@ def build(counts: list[tuple[np.ndarray, np.ndarray]], depth: int) -> Tree:
                for d in range(depth + 1)]
     kids = [np.bincount(parents[d + 1], minlength=len(contexts[d])) > 0 if d < depth else
             np.zeros(len(contexts[d]), bool) for d in range(depth + 1)]
-    rest = []  # counts of the unkept children, as one child
-    for d in range(depth):
-        inside = np.zeros_like(counts[d][1])
-        np.add.at(inside, parents[d + 1], counts[d + 1][1])
-        rest.append(counts[d][1] - inside)
-    own = [_log_kt(*_pairs(c)) for _, c in counts]
-    weight = [None] * (depth + 1)
-    below = None
-    for d in range(depth, -1, -1):
-        if below is None:
-            total = own[d]
-            weight[d] = np.ones_like(own[d])
-        else:
-            split = _log_kt(*_pairs(rest[d])) + below
-            both = np.logaddexp(own[d], split) + math.log(0.5)
-            total = np.where(kids[d][:, None], both, own[d])
-            weight[d] = np.where(kids[d][:, None], np.minimum(np.exp(math.log(0.5) + own[d] - total), 1.0), 1.0)
-        if d:
-            below = np.zeros_like(own[d - 1])
-            np.add.at(below, parents[d], total)
     # states: nodes by depth, then for each node with children one for the rest
     bases = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-    n_nodes = int(bases[-1])
-    others = np.concatenate([k for k in kids])
-    other_state = n_nodes + np.cumsum(others) - 1
-    n = n_nodes + int(others.sum())
+    others = np.concatenate(kids)
+    other_state = int(bases[-1]) + np.cumsum(others) - 1
+    n = int(bases[-1]) + int(others.sum())
     step = np.repeat(np.arange(n, dtype=np.int32)[:, None], 256, 1)
+    for d in range(depth):
+        nodes = np.arange(bases[d], bases[d + 1])
+        step[nodes[kids[d]]] = other_state[nodes][kids[d]][:, None]
+        step[bases[d] + parents[d + 1], (contexts[d + 1] >> 8 * d) & 255] = np.arange(bases[d + 1], bases[d + 2])
     logs = np.zeros((n, 256), np.float32)
-    mixed, left = np.zeros((1, 255)), np.ones((1, 255))
-    for d in range(depth + 1):
-        if d:
-            mixed, left = mixed[parents[d]], left[parents[d]]
-        zero, one = _pairs(counts[d][1])
-        kt = (one + 0.5) / (zero + one + 1)
-        mixed = mixed + left * weight[d] * kt
-        left = left * (1 - weight[d])
-        nodes = slice(int(bases[d]), int(bases[d + 1]))
-        logs[nodes] = _byte_logs(mixed)
-        if kids[d].any():
-            zero, one = _pairs(rest[d][kids[d]])
-            last = mixed[kids[d]] + left[kids[d]] * (one + 0.5) / (zero + one + 1)
-            state = other_state[nodes][kids[d]]
-            logs[state] = _byte_logs(last)
-            step[np.arange(nodes.start, nodes.stop)[kids[d]]] = state[:, None].astype(np.int32)
-            step[bases[d] + parents[d + 1], (contexts[d + 1] >> 8 * d) & 255] = np.arange(
-                bases[d + 1], bases[d + 2], dtype=np.int32)
+    for half, firsts in decisions():
+        pairs = [_pairs(c, half, firsts) for _, c in counts]
+        own = [_log_kt(*p) for p in pairs]
+        rest, weight, below = [None] * (depth + 1), [None] * (depth + 1), None
+        for d in range(depth, -1, -1):  # bottom-up: weighted probabilities
+            total, weight[d] = own[d], np.ones_like(own[d])
+            if d < depth:
+                # counts of the unkept children, as one child
+                rest[d] = [x - _summed(y, parents[d + 1], len(x)) for x, y in zip(pairs[d], pairs[d + 1], strict=True)]
+                split = _log_kt(*rest[d]) + below
+                k = kids[d][:, None]
+                total = np.where(k, np.logaddexp(own[d], split) + math.log(0.5), own[d])
+                weight[d] = np.where(k, np.minimum(np.exp(math.log(0.5) + own[d] - total), 1.0), 1.0)
+            if d:
+                below = _summed(total, parents[d], len(contexts[d - 1]))
+        mixed, left = np.zeros((1, len(firsts))), np.ones((1, len(firsts)))
+        for d in range(depth + 1):  # top-down: mixtures along each path
+            if d:
+                mixed, left = mixed[parents[d]], left[parents[d]]
+            mixed = mixed + left * weight[d] * _kt(*pairs[d])
+            left = left * (1 - weight[d])
+            nodes = slice(int(bases[d]), int(bases[d + 1]))
+            _add(logs, nodes, mixed, half, firsts)
+            if d < depth and kids[d].any():
+                k = kids[d]
+                _add(logs, other_state[nodes][k], mixed[k] + left[k] * _kt(*[x[k] for x in rest[d]]), half, firsts)
     return Tree(depth, step, logs)
 
 
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def _summed(rows: np.ndarray, parent: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of ``n`` parents."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    np.add.at(out, parent, rows)
+    return out
+
+
+def _add(logs: np.ndarray, states, p_one: np.ndarray, half: int, firsts: np.ndarray) -> None:
+    """Add the decisions' log10 probabilities to those of the bytes below."""
+    p = np.clip(p_one, 1e-15, 1 - 1e-15)
+    both = np.repeat(np.stack([np.log10(1 - p), np.log10(p)], 2).reshape(len(p), 2 * len(firsts)), half, 1)
+    logs[states, firsts[0]:firsts[-1] + 2 * half] += both
+
+
 def fit(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
     """Context tree of the texts of ``docs``. The driver gets the byte counts
     of kept contexts: ``share`` contexts of 256 bytes at each depth at most."""
@@ -237,8 +242,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
         got = rows.join(often, "c").select("c", F.col("s").bitwiseAND(F.lit(255)).alias("b"), "n").toArrow()
         c, b, n = (np.asarray(got.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(3))
         context = np.unique(c) if d else np.zeros(1, np.int64)
-        table = np.zeros((len(context), 256), np.int64)
-        np.add.at(table, (np.searchsorted(context, c), b), n)
+        table = np.zeros((len(context), 256), np.uint32 if total < 1 << 32 else np.int64)
+        table[np.searchsorted(context, c), b] = n
         counts.append((context, table))
     return build(counts, depth)
 
