@@ -16,8 +16,10 @@ back as null. An empty table gives no documents.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -27,15 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storylens.llm import tokenizers as T
-from storylens.llm.common import prepare, shuffle_width, texts
+from storylens.llm.common import prepare, texts
 from storylens.session import ensure_checkpoint_dir
 
-TABLE_WORDS = 200_000
-WORD_CHARS = 256
+TABLE_WORDS = 1_500_000
+WORD_CHARS = 64
+# Bytes of texts in a file, about; a longer document is in one file all the same.
+FILE_BYTES = 64 << 20
 NULL_ID = -(2**63)
 # A space between two visible Latin characters starts a new pre-token and is
 # no part of the one before, so a text can be cut there.
 _CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+_SAFE = re.compile(r"[!-~À-ɏ](.*[!-~À-ɏ])?", re.DOTALL)
+_SAFE_END = re.compile(r"[!-~À-ɏ]\Z")
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
@@ -44,30 +50,57 @@ def id_type(vocabulary: int) -> str:
 
 
 class _Encoder:
-    """Texts to packed ids. Each distinct word is encoded once by the library
-    and its ids are joined by position; the table is bounded."""
+    """Texts to packed ids. Each distinct word is encoded once by the library,
+    with the space before it, and its ids are joined by position; the table is
+    bounded. A text with other white space beside a space is cut where that is
+    safe, and its pieces are looked up in the same way."""
 
     def __init__(self, model: str, end_id: int):
         self.tok = T.byte_model(model)
         self.dtype = np.dtype(id_type(max(self.tok.get_vocab_size(), end_id + 1)))
         self.end, self.table = np.array([end_id], self.dtype).tobytes(), {}
 
+    def packed(self, pieces: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        got = [array(kind, e.ids) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in got:
+                a.byteswap()
+        return [a.tobytes() for a in got]
+
     def texts(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > TABLE_WORDS:
             self.table = {}
-        table = self.table
-        split = []
-        for t in texts:
-            words = _CUT.split(t)
-            split.append([words[0], *[" " + w for w in words[1:]]])
-        new = list(dict.fromkeys(w for words in split for w in words if w not in table))
-        got = {w: np.array(e.ids, self.dtype).tobytes()
-               for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True)}
-        long = {w: v for w, v in got.items() if len(w) > WORD_CHARS}
-        table.update((w, v) for w, v in got.items() if w not in long)
-        if long:
-            table = {**table, **long}
-        return [b"".join([table[w] for w in words]) + self.end for words in split]
+        get = self.table.get
+        split = [t.split(" ") for t in texts]
+        found = [list(map(get, words[1:])) for words in split]
+        new = {w for words, got in zip(split, found, strict=True) if None in got
+               for w, g in zip(words[1:], got, strict=True) if g is None}
+        safe = [w for w in new if _SAFE.fullmatch(w)]
+        got = dict(zip(safe, self.packed([" " + w for w in safe]), strict=True))
+        self.table.update((w, v) for w, v in got.items() if len(w) <= WORD_CHARS)
+        plain = [i for i, words in enumerate(split) if len(words) == 1 or _SAFE_END.search(words[0])]
+        first = dict(zip(plain, self.packed([split[i][0] for i in plain]), strict=True))
+        out, left = [], []
+        for i, (words, have) in enumerate(zip(split, found, strict=True)):
+            if None in have:
+                have = [h if h is not None else get(w) or got.get(w) for w, h in zip(words[1:], have, strict=True)]
+            if i in first and None not in have:
+                out.append(first[i] + b"".join(have) + self.end)
+            else:
+                left.append(i)
+                out.append(b"")
+        for i in left:
+            out[i] = self.cut(texts[i], got) + self.end
+        return out
+
+    def cut(self, text: str, got: dict) -> bytes:
+        words = _CUT.split(text)
+        pieces = self.packed(words[:1])
+        have = [self.table.get(w) or got.get(w) for w in words[1:]]
+        new = list(dict.fromkeys(w for w, h in zip(words[1:], have, strict=True) if h is None))
+        own = dict(zip(new, self.packed([" " + w for w in new]), strict=True))
+        return b"".join(pieces + [h or own[w] for w, h in zip(words[1:], have, strict=True)])
 
 
 def _filesystem(uri: str):
@@ -77,7 +110,8 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{uri}")
 
 
-def write_ids(docs: DataFrame, folder: str, model: str = T.BYTE_MODEL, end_id: int = 2) -> list:
+def write_ids(docs: DataFrame, folder: str, model: str = T.BYTE_MODEL, end_id: int = 2,
+              file_bytes: int = FILE_BYTES) -> list:
     """Write the files in ascending doc_id order; the manifest's rows, one for
     each partition with documents, by partition."""
     spark = docs.sparkSession
@@ -112,7 +146,9 @@ def write_ids(docs: DataFrame, folder: str, model: str = T.BYTE_MODEL, end_id: i
                 [pa.array([part], pa.int32()), pa.array([f"{name}:{encoder.dtype.str}"]), pa.array([n_docs], pa.int64()),
                  pa.array([n_ids], pa.int64())], ["part", "path", "n_docs", "n_ids"])
 
-    ordered = texts(docs).repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts(docs)
+    files = -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // file_bytes)
+    ordered = rows.repartitionByRange(max(1, files), "doc_id").sortWithinPartitions("doc_id", "text")
     return sorted(ordered.mapInArrow(run, MANIFEST).collect())
 
 
