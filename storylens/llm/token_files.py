@@ -16,15 +16,14 @@ back as null. An empty table gives no documents.
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +31,12 @@ from storylens.llm import tokenizers as T
 from storylens.llm.common import prepare, texts
 from storylens.session import ensure_checkpoint_dir
 
-TABLE_WORDS = 1_500_000
-WORD_CHARS = 64
+# Bytes of texts whose distinct words are encoded together, and words whose ids
+# are gathered at a time.
+GROUP_BYTES = 48 << 20
+SLICE_WORDS = 1 << 20
 # Bytes of texts in a file, about; a longer document is in one file all the same.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 40 << 20
 NULL_ID = -(2**63)
 # A space between two visible Latin characters starts a new pre-token and is
 # no part of the one before, so a text can be cut there.
@@ -50,57 +51,77 @@ def id_type(vocabulary: int) -> str:
 
 
 class _Encoder:
-    """Texts to packed ids. Each distinct word is encoded once by the library,
-    with the space before it, and its ids are joined by position; the table is
-    bounded. A text with other white space beside a space is cut where that is
-    safe, and its pieces are looked up in the same way."""
+    """Texts to ids. Arrow's dictionary encoding finds the distinct words of a
+    group of texts; each is encoded once by the library, with the space before
+    it, and the ids are gathered by position. A text with other white space
+    beside a space is cut where that is safe instead."""
 
     def __init__(self, model: str, end_id: int):
         self.tok = T.byte_model(model)
         self.dtype = np.dtype(id_type(max(self.tok.get_vocab_size(), end_id + 1)))
-        self.end, self.table = np.array([end_id], self.dtype).tobytes(), {}
-
-    def packed(self, pieces: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        got = [array(kind, e.ids) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for a in got:
-                a.byteswap()
-        return [a.tobytes() for a in got]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.table) > TABLE_WORDS:
-            self.table = {}
-        get = self.table.get
-        split = [t.split(" ") for t in texts]
-        found = [list(map(get, words[1:])) for words in split]
-        new = {w for words, got in zip(split, found, strict=True) if None in got
-               for w, g in zip(words[1:], got, strict=True) if g is None}
-        safe = [w for w in new if _SAFE.fullmatch(w)]
-        got = dict(zip(safe, self.packed([" " + w for w in safe]), strict=True))
-        self.table.update((w, v) for w, v in got.items() if len(w) <= WORD_CHARS)
-        plain = [i for i, words in enumerate(split) if len(words) == 1 or _SAFE_END.search(words[0])]
-        first = dict(zip(plain, self.packed([split[i][0] for i in plain]), strict=True))
-        out, left = [], []
-        for i, (words, have) in enumerate(zip(split, found, strict=True)):
-            if None in have:
-                have = [h if h is not None else get(w) or got.get(w) for w, h in zip(words[1:], have, strict=True)]
-            if i in first and None not in have:
-                out.append(first[i] + b"".join(have) + self.end)
-            else:
-                left.append(i)
-                out.append(b"")
-        for i in left:
-            out[i] = self.cut(texts[i], got) + self.end
-        return out
-
-    def cut(self, text: str, got: dict) -> bytes:
+        self.end = end_id
+
+    def ids(self, pieces: list[str], block: int = 20_000) -> list[list[int]]:
+        return [e.ids for i in range(0, len(pieces), block)
+                for e in self.tok.encode_batch_fast(pieces[i:i + block], add_special_tokens=False)]
+
+    def cut(self, text: str) -> list[int]:
         words = _CUT.split(text)
-        pieces = self.packed(words[:1])
-        have = [self.table.get(w) or got.get(w) for w in words[1:]]
-        new = list(dict.fromkeys(w for w, h in zip(words[1:], have, strict=True) if h is None))
-        own = dict(zip(new, self.packed([" " + w for w in new]), strict=True))
-        return b"".join(pieces + [h or own[w] for w, h in zip(words[1:], have, strict=True)])
+        pieces = [*words[:1], *[" " + w for w in words[1:]]]
+        new = list(dict.fromkeys(pieces))
+        table = dict(zip(new, self.ids(new), strict=True))
+        return list(chain.from_iterable(map(table.__getitem__, pieces)))
+
+    def group(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of the texts with their end ids, some texts at a time: numbers
+        of ids, and all of them."""
+        n = len(texts)
+        split = pc.split_pattern(texts, " ")
+        edge = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        unsafe = np.fromiter((_SAFE.fullmatch(w) is None for w in words), bool, len(words))
+        first = edge[:-1]
+        # texts to cut otherwise: an unsafe word after a space, or a space
+        # after a first word that does not end safely
+        odd = unsafe[at]
+        starts = coded.indices.take(pa.array(first)).to_numpy()
+        ends_safe = np.fromiter((_SAFE_END.search(words[i]) is not None for i in starts.tolist()), bool, n)
+        odd[first] = ~ends_safe & (np.diff(edge) > 1)
+        odd = np.logical_or.reduceat(odd, first) if n else odd[:0]
+        need = np.zeros(len(words), bool)
+        rest = np.ones(len(at), bool)
+        rest[first] = False
+        need[at[rest & ~np.repeat(odd, np.diff(edge))]] = True
+        asked = np.flatnonzero(need).tolist()
+        own: list[list[int]] = [[]] * len(words)
+        for i, ids in zip(asked, self.ids([" " + words[i] for i in asked]), strict=True):
+            own[i] = ids
+        whole = [words[i] for i in starts.tolist()]
+        heads = self.ids([w if not o else "" for w, o in zip(whole, odd.tolist(), strict=True)])
+        for d in np.flatnonzero(odd).tolist():
+            heads[d] = self.cut(texts[d].as_py())
+        # entries: distinct words, then each text's head, then the end id and nothing
+        entries = own + heads + [[self.end], []]
+        size = np.fromiter(map(len, entries), np.int64, len(entries))
+        flat = np.fromiter(chain.from_iterable(entries), self.dtype, int(size.sum()))
+        begin = np.cumsum(size) - size
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + SLICE_WORDS, "right")) - 1)
+            count = np.diff(edge[lo:hi + 1])
+            docs = np.arange(hi - lo)
+            seq = np.full(int(count.sum()) + hi - lo, len(entries) - 2, np.int64)
+            word = at[edge[lo]:edge[hi]].astype(np.int64)
+            word[np.repeat(odd[lo:hi], count)] = len(entries) - 1
+            seq[np.arange(len(word)) + np.repeat(docs, count)] = word
+            heads_at = edge[lo:hi] - edge[lo] + docs
+            seq[heads_at] = len(words) + lo + docs
+            n_ids = size[seq]
+            out = np.repeat(begin[seq] - np.cumsum(n_ids) + n_ids, n_ids)
+            out += np.arange(len(out))
+            yield np.add.reduceat(n_ids, heads_at), flat[out]
+            lo = hi
 
 
 def _filesystem(uri: str):
@@ -110,6 +131,25 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{uri}")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Batches joined to groups of some ``GROUP_BYTES`` of text: doc_ids, texts."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column(1).nbytes
+        if size >= GROUP_BYTES:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array]:
+    keys = pa.concat_arrays([b.column(0) for b in held]).fill_null(NULL_ID)
+    return keys.to_numpy(), pa.concat_arrays([b.column(1).cast(pa.large_string()) for b in held])
+
+
 def write_ids(docs: DataFrame, folder: str, model: str = T.BYTE_MODEL, end_id: int = 2,
               file_bytes: int = FILE_BYTES) -> list:
     """Write the files in ascending doc_id order; the manifest's rows, one for
@@ -122,22 +162,20 @@ def write_ids(docs: DataFrame, folder: str, model: str = T.BYTE_MODEL, end_id: i
 
         part, encoder = TaskContext.get().partitionId(), None
         n_docs = n_ids = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for keys, group in _groups(batches):
             if encoder is None:
                 encoder = _Encoder(model, end_id)
                 fs, top = _filesystem(folder)
                 fs.create_dir(top, recursive=True)
                 name = f"{part:06d}-{uuid.uuid4().hex}"
                 ids, idx = fs.open_output_stream(f"{top}/{name}.ids"), fs.open_output_stream(f"{top}/{name}.idx")
-            packed = encoder.texts(b.column(1).to_pylist())
-            sizes = [len(x) // encoder.dtype.itemsize for x in packed]
-            keys = [NULL_ID if d is None else d for d in b.column(0).to_pylist()]
-            starts = [n_ids, *accumulate(sizes, initial=n_ids)][1:-1]
-            idx.write(np.array(list(zip(keys, starts, strict=True)), "<i8").tobytes())
-            ids.write(b"".join(packed))
-            n_docs, n_ids = n_docs + len(packed), n_ids + sum(sizes)
+            done = 0
+            for sizes, flat in encoder.group(group):
+                own = keys[done:done + len(sizes)]
+                idx.write(np.stack([own, np.cumsum(sizes) - sizes + n_ids], 1).astype("<i8").tobytes())
+                ids.write(flat.tobytes())
+                done, n_ids = done + len(sizes), n_ids + len(flat)
+            n_docs += done
         if encoder is not None:
             idx.write(np.array([-1, n_ids], "<i8").tobytes())
             ids.close()
