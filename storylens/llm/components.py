@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from storylens.llm.common import staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """True if every node has one link down at most, and none has one both up
+    and down: then each component is a star around its smallest node."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down")).union(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("down")))
+    found = ends.groupBy("x").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return found.where("down > 1 or (down = 1 and n > 1)").isEmpty()
 
 
 def _linked(edges: DataFrame, only_larger: bool) -> DataFrame:
@@ -30,12 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     that is not the smallest of its own component."""
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(),
                  "edges")
-    state = _state(now)
-    while state[0]:
+    while not _are_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _linked(both, True).where("a != b").distinct()
+        large = _linked(both, True).where("a != b")
         now = staged(_linked(large, False).where("a > b").distinct(), "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
