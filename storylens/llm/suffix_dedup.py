@@ -41,10 +41,11 @@ GRAM = 20
 SHALLOW = 16
 # Bytes of texts in a chunk, and of all texts to a bucket.
 CHUNK = 4 << 20
-BUCKET = 12 << 20
+BUCKET = 8 << 20
 # Positions hashed at a time; their number fits the low bits of a key.
 _LOW = 23
 BLOCK = 1 << 20
+LEVEL = 6
 NULL_ID = -(2**63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -55,7 +56,7 @@ _BASE = 0x5851F42D4C957F2D
 def pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[len(a) for a in arrays]], "<i8").tobytes()
     raw = head + b"".join(a.dtype.str.encode().ljust(4) for a in arrays) + b"".join(a.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -373,7 +374,7 @@ def _flat(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _smallest(rows: pd.DataFrame) -> pd.DataFrame:
     """For each stretch that a chunk sent to the bucket: the smallest doc_id
-    that has each of its strings."""
+    that has each of its strings. Where the chunk has them goes back with it."""
     ids: dict[tuple, int] = {}
     least: list[int] = []
     sent = []
@@ -414,7 +415,7 @@ def _smallest(rows: pd.DataFrame) -> pd.DataFrame:
     for own in sent:
         own = np.array(own, np.int64)
         out.append(pack(count[own].astype(np.uint8), minima[_flat(base[own], count[own])]))
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "data": out})
+    return pd.DataFrame({"chunk": rows["chunk"], "members": rows["members"], "data": out})
 
 
 # --- 5: cutting ---------------------------------------------------------------------
@@ -475,10 +476,9 @@ def cut_repeats(docs: DataFrame, columns: list[str] = (), with_kept: bool = True
     reply = "chunk long, bucket int, data binary"
     shared = sent.groupBy("bucket").applyInPandas(_shared_anchors, reply)
     plain = chunks.select("chunk", "data")
-    stretches = staged(plain.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
-        _send_stretches(buckets), "bucket int, chunk long, data binary, members binary"), "stretches")
-    smallest = stretches.select("bucket", "chunk", "data").groupBy("bucket").applyInPandas(_smallest, reply)
-    marks = smallest.join(stretches.select("chunk", "bucket", "members"), ["chunk", "bucket"])
+    stretches = plain.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
+        _send_stretches(buckets), "bucket int, chunk long, data binary, members binary")
+    marks = stretches.groupBy("bucket").applyInPandas(_smallest, "chunk long, members binary, data binary")
     kinds = [f"{n} {rows.schema['rest'].dataType[n].dataType.simpleString()}" for n in names]
     out = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", *kinds])
     cut = chunks.select("chunk", "data", "rest").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(
