@@ -33,14 +33,16 @@ from storylens.session import ensure_checkpoint_dir
 
 # Bytes of texts whose distinct words are encoded together, and words whose ids
 # are gathered at a time.
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 32 << 20
 SLICE_WORDS = 1 << 20
 # Bytes of texts in a file, about; a longer document is in one file all the same.
-FILE_BYTES = 40 << 20
+FILE_BYTES = 30 << 20
 NULL_ID = -(2**63)
 # A space between two visible Latin characters starts a new pre-token and is
 # no part of the one before, so a text can be cut there.
 _CUT = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+# Letters, then marks without letters, digits or white space: two pre-tokens.
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)")
 _SAFE = re.compile(r"[!-~À-ɏ](.*[!-~À-ɏ])?", re.DOTALL)
 _SAFE_END = re.compile(r"[!-~À-ɏ]\Z")
 MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -50,6 +52,20 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
+class _Runs:
+    """Arrays of ids one after another: their sizes, and all ids."""
+
+    def __init__(self, size: np.ndarray, flat: np.ndarray):
+        self.size, self.flat, self.begin = size, flat, np.cumsum(size) - size
+
+    def gathered(self, seq: np.ndarray) -> np.ndarray:
+        """The ids of the arrays that ``seq`` names, in its order."""
+        n = self.size[seq]
+        out = np.repeat(self.begin[seq] - np.cumsum(n) + n, n)
+        out += np.arange(len(out))
+        return self.flat[out]
+
+
 class _Encoder:
     """Texts to ids. Arrow's dictionary encoding finds the distinct words of a
     group of texts; each is encoded once by the library, with the space before
@@ -61,16 +77,34 @@ class _Encoder:
         self.dtype = np.dtype(id_type(max(self.tok.get_vocab_size(), end_id + 1)))
         self.end = end_id
 
-    def ids(self, pieces: list[str], block: int = 20_000) -> list[list[int]]:
-        return [e.ids for i in range(0, len(pieces), block)
-                for e in self.tok.encode_batch_fast(pieces[i:i + block], add_special_tokens=False)]
-
-    def cut(self, text: str) -> list[int]:
+    def ids(self, pieces: list[str], block: int = 20_000) -> "_Runs":
+        """Ids of each piece, encoded some at a time."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, self.dtype)]
+        for i in range(0, len(pieces), block):
+            got = [e.ids for e in self.tok.encode_batch_fast(pieces[i:i + block], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), self.dtype, int(sizes[-1].sum())))
+        return _Runs(np.concatenate(sizes), np.concatenate(flat))
+
+    def words(self, words: list[str]) -> "_Runs":
+        """Ids of each word with the space before it. Letters and the marks
+        after them are encoded apart, which cuts the distinct pieces."""
+        table: dict[str, int] = {"": 0}
+        seq = np.zeros((len(words), 2), np.int64)
+        for i, w in enumerate(words):
+            m = _LETTERS_MARKS.fullmatch(w)
+            if m:
+                seq[i] = table.setdefault(" " + m[1], len(table)), table.setdefault(m[2], len(table))
+            else:
+                seq[i, 0] = table.setdefault(" " + w, len(table))
+        pieces = self.ids(list(table))
+        return _Runs(pieces.size[seq].sum(1), pieces.gathered(seq.ravel()))
+
+    def cut(self, text: str) -> np.ndarray:
         words = _CUT.split(text)
-        pieces = [*words[:1], *[" " + w for w in words[1:]]]
-        new = list(dict.fromkeys(pieces))
-        table = dict(zip(new, self.ids(new), strict=True))
-        return list(chain.from_iterable(map(table.__getitem__, pieces)))
+        table: dict[str, int] = {}
+        seq = [table.setdefault(w, len(table)) for w in [*words[:1], *[" " + w for w in words[1:]]]]
+        return self.ids(list(table)).gathered(np.array(seq, np.int64))
 
     def group(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of the texts with their end ids, some texts at a time: numbers
@@ -94,33 +128,30 @@ class _Encoder:
         rest[first] = False
         need[at[rest & ~np.repeat(odd, np.diff(edge))]] = True
         asked = np.flatnonzero(need).tolist()
-        own: list[list[int]] = [[]] * len(words)
-        for i, ids in zip(asked, self.ids([" " + words[i] for i in asked]), strict=True):
-            own[i] = ids
-        whole = [words[i] for i in starts.tolist()]
-        heads = self.ids([w if not o else "" for w, o in zip(whole, odd.tolist(), strict=True)])
-        for d in np.flatnonzero(odd).tolist():
-            heads[d] = self.cut(texts[d].as_py())
-        # entries: distinct words, then each text's head, then the end id and nothing
-        entries = own + heads + [[self.end], []]
-        size = np.fromiter(map(len, entries), np.int64, len(entries))
-        flat = np.fromiter(chain.from_iterable(entries), self.dtype, int(size.sum()))
-        begin = np.cumsum(size) - size
+        own = self.words([words[i] for i in asked])
+        heads = self.ids([words[i] if not o else "" for i, o in zip(starts.tolist(), odd.tolist(), strict=True)])
+        cuts = [(d, self.cut(texts[d].as_py())) for d in np.flatnonzero(odd).tolist()]
+        # entries: distinct words, each text's head, texts cut otherwise, the end id, nothing
+        size = np.zeros(len(words), np.int64)
+        size[asked] = own.size
+        head_of = np.arange(n) + len(words)
+        head_of[[d for d, _ in cuts]] = len(words) + n + np.arange(len(cuts))
+        runs = _Runs(np.concatenate([size, heads.size, [len(x) for _, x in cuts], [1, 0]]).astype(np.int64),
+                     np.concatenate([own.flat, heads.flat, *[x for _, x in cuts], np.array([self.end], self.dtype)]))
+        end = len(runs.size) - 2
+        del words, own, heads
         lo = 0
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + SLICE_WORDS, "right")) - 1)
             count = np.diff(edge[lo:hi + 1])
             docs = np.arange(hi - lo)
-            seq = np.full(int(count.sum()) + hi - lo, len(entries) - 2, np.int64)
+            seq = np.full(int(count.sum()) + hi - lo, end, np.int64)
             word = at[edge[lo]:edge[hi]].astype(np.int64)
-            word[np.repeat(odd[lo:hi], count)] = len(entries) - 1
+            word[np.repeat(odd[lo:hi], count)] = end + 1
             seq[np.arange(len(word)) + np.repeat(docs, count)] = word
             heads_at = edge[lo:hi] - edge[lo] + docs
-            seq[heads_at] = len(words) + lo + docs
-            n_ids = size[seq]
-            out = np.repeat(begin[seq] - np.cumsum(n_ids) + n_ids, n_ids)
-            out += np.arange(len(out))
-            yield np.add.reduceat(n_ids, heads_at), flat[out]
+            seq[heads_at] = head_of[lo:hi]
+            yield np.add.reduceat(runs.size[seq], heads_at), runs.gathered(seq)
             lo = hi
 
 
