@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from storylens.functions.vectors import as_double, unit
 from storylens.session import ensure_checkpoint_dir
 
-BLOCK = 512
+# Free choosers that one task settles in a round, and choosers of a matrix product.
+BLOCK = 2048
+ROWS = 128
 
 _PROPOSAL_SCHEMA = "dim string, cidx long, pidx long, sim double"
 
@@ -70,15 +72,17 @@ def _settle_block(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFram
     rows = []
     if len(choosers) and len(partners):
         c, p = choosers.sort_values("cidx"), partners.sort_values("pidx", ascending=False)
-        sims = np.vstack(c["vec"].to_numpy()).astype(np.float64) @ np.vstack(p["vec"].to_numpy()).astype(np.float64).T
+        cv, pv = (np.vstack(x["vec"].to_numpy()).astype(np.float64) for x in (c, p))
         holder = p["holder"].fillna(np.inf).to_numpy(dtype=np.float64)
         pidx = p["pidx"].to_numpy()
         for i, (dim, cidx) in enumerate(zip(c["dim"], c["cidx"])):
-            open_ = np.where(holder > cidx, sims[i], -np.inf)
+            if i % ROWS == 0:
+                sims = cv[i:i + ROWS] @ pv.T
+            open_ = np.where(holder > cidx, sims[i % ROWS], -np.inf)
             best = int(open_.argmax())  # first maximum: the largest pidx among ties
             if np.isfinite(open_[best]):
                 holder[best] = cidx
-                rows.append((dim, int(cidx), int(pidx[best]), float(sims[i, best])))
+                rows.append((dim, int(cidx), int(pidx[best]), float(sims[i % ROWS, best])))
     return pd.DataFrame(rows, columns=["dim", "cidx", "pidx", "sim"])
 
 
@@ -150,7 +154,7 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK) -> DataF
     )
 
 
-def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = BLOCK) -> DataFrame:
+def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = 512) -> DataFrame:
     """C06 without emitting pairs: for each chooser ``(dim, cidx, vec)`` its most
     similar partner ``(dim, pidx, vec)`` by cosine (ties: larger pidx), from a
     blocked matrix product per dimension. Returns ``(dim, cidx, pidx, sim)``."""
