@@ -1,19 +1,21 @@
 """License scans with a positional rare-token index.
 
-Index: every word of the licence templates with its positions. Per document,
-its licence words are ranked by inverse document frequency over all documents;
-the rarest few look up their postings, and each (template, relative position)
-that several of them agree on is a place to look at. There the document's
-words are compared with the template's from the agreed start, and a template
-counts only if one of its mandatory key phrases stands in that stretch and
-enough of its words agree.
+Index: the rarest words of each licence template with their positions, by
+inverse document frequency over all documents. A template has so many of its
+positions in the index that any stretch with enough agreeing words agrees in
+``VOTES`` of them at least, whatever else the document holds. A document's
+words look up their postings, and each (template, relative position) that
+several of them agree on is a place to look at. There the document's words are
+compared with the template's from the agreed start, and a template counts only
+if one of its mandatory key phrases stands in that stretch and enough of its
+words agree.
 
 Base labels: places where a phrase's words stand consecutively. The phrases
 are looked up by their rarest word in the same per-document postings.
 
 Null and empty texts have no words, labels or places; repeated rows each get
 their own result; all columns are kept. Of equal idf the smaller word is
-looked up first. With an empty table no word has a frequency.
+indexed first. With an empty table no word has a frequency.
 """
 
 from __future__ import annotations
@@ -86,11 +88,8 @@ TEMPLATES = (
      "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
      ("mozilla public license",)),
 )
-# Rarest licence words of a document that are looked up in the index.
-RARE_WORDS = 12
-# Places of such a word in the document that vote; further ones of the same
-# word vote too, in the same way: every place is used.
-# Looked-up words that must agree on a start (all, if a template has fewer).
+# Indexed words that must agree on a start (all, if a template has fewer).
+# Every place of such a word in the document votes.
 VOTES = 2
 # Share of a template's words that must agree from that start.
 AGREE = 0.6
@@ -101,19 +100,25 @@ def phrase(text: str) -> tuple[bytes, ...]:
 
 
 class Index:
-    """Template words with their (template, position) postings."""
+    """Template words with their (template, position) postings. With ``rank``,
+    of each template only its first positions by rank: as many as may disagree,
+    and ``VOTES`` more."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE):
+    def __init__(self, templates=TEMPLATES, base=BASE, rank: dict[bytes, tuple] | None = None):
         self.templates = [(label, alnum_words(t), [phrase(k) for k in keys]) for label, t, keys in templates]
         self.base = [(phrase(p), label) for p, label in base]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, words, _) in enumerate(self.templates):
-            for at, w in enumerate(words):
+            places = list(enumerate(words))
+            if rank is not None:
+                may_differ = sum((n + 1) / len(words) >= AGREE for n in range(len(words))) - 1
+                places = sorted(places, key=lambda x: rank[x[1]])[:may_differ + VOTES]
+            for at, w in places:
                 self.postings[w].append((i, at))
         self.vocabulary = frozenset(self.postings) | {w for p, _ in self.base for w in p}
         self.distinct = [len(set(words)) for _, words, _ in self.templates]
 
-    def scan(self, words: list[bytes], rank: dict[bytes, tuple]) -> tuple:
+    def scan(self, words: list[bytes]) -> tuple:
         """``(places, base labels, matches)``; places: starts of base phrases;
         matches: label, share of agreeing words, start and end."""
         present = self.vocabulary.intersection(words)
@@ -129,9 +134,8 @@ class Index:
                 found = [at - k for at in where[p[k]] if at >= k and tuple(words[at - k:at - k + len(p)]) == p]
                 places += found
                 labels |= {label} if found else set()
-        rare = sorted(present & self.postings.keys(), key=lambda w: rank[w])[:RARE_WORDS]
         votes: Counter = Counter()
-        for w in rare:
+        for w in present & self.postings.keys():
             for i, at in self.postings[w]:
                 votes.update({(i, doc_at - at) for doc_at in where[w]})
         best: dict[int, tuple] = {}
@@ -186,12 +190,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
                   "labels array<string>, score double, "
                   "matches array<struct<label string, share double, start long, end long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(templates, base)
+        index = Index(templates, base, rank)
         for s in batches:
             rows = []
             for t in s:
                 words = alnum_words(t)
-                places, labels, found = index.scan(words, rank)
+                places, labels, found = index.scan(words)
                 score = max([f[1] for f in found] + [1.0] * bool(places), default=0.0)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None),
                              sorted(labels), sorted(labels | {f[0] for f in found}), score,

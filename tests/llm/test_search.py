@@ -103,6 +103,41 @@ def test_license_templates(spark):
     assert got[4]["labels"] == ["cc-by", "cc-by-nc"] and got[5]["labels"] == [] and got[6]["n_words"] == 0
 
 
+def test_license_labels_of_files_with_several(spark):
+    """No template hides another, however common its words are elsewhere."""
+    filler = "as the notice says you may use it and the license of this work is free for any person to copy " * 40
+    by_label = {label: t for label, t, _ in L.TEMPLATES}
+    held = [["gpl-3.0", "mit-notice"], ["mit-text", "mit-notice"], ["gpl-3.0", "apache-notice"], list(by_label)]
+    rows = [(i, filler + " ... ".join(by_label[x] for x in labels) + filler) for i, labels in enumerate(held)]
+    rows += [(i, "Released under the MIT License. " + filler) for i in range(10, 40)]
+    got = {r["doc_id"]: r["licenses"] for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, labels in enumerate(held):
+        assert set(labels) <= set(got[i]["labels"]), (i, got[i]["labels"])
+    assert all("mit-notice" in got[i]["labels"] for i in range(10, 40))
+
+
+def test_license_index_finds_every_agreeing_stretch():
+    """Against a comparison at every start, with words changed at random."""
+    rng = random.Random(9)
+    vocabulary = sorted(L.Index().vocabulary)
+    rank = {w: (k, w) for k, w in enumerate(rng.sample(vocabulary, len(vocabulary)))}
+    index = L.Index(rank=rank)
+    for _ in range(150):
+        text = []
+        for _, template, _ in rng.choices(index.templates, k=3):
+            change = rng.random() * 0.5
+            text += rng.choices(vocabulary, k=rng.randint(0, 20))
+            text += [rng.choice(vocabulary) if rng.random() < change else w for w in template]
+        want = {}
+        for label, template, keys in index.templates:
+            for start in range(1 - len(template), len(text)):
+                lo, hi = max(start, 0), min(start + len(template), len(text))
+                share = sum(a == b for a, b in zip(text[lo:hi], template[lo - start:])) / len(template)
+                if share >= L.AGREE and any(L.stands(k, text[lo:hi]) for k in keys):
+                    want[label] = max(want.get(label, 0), share)
+        assert {f[0]: f[1] for f in index.scan(text)[2]} == want
+
+
 def test_licenses_of_repeated_and_empty(spark):
     assert L.scan(odd.repeated(spark)).where(F.col("licenses.n_base") == 0).count() == 6
     assert L.scan(odd.empty(spark)).count() == 0
