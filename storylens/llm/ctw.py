@@ -9,12 +9,16 @@ all depths on the path of its context, with the weights that the training
 counts leave them. Texts are lowered (A-Z) and end with a byte that UTF-8 has
 not; the same byte stands before them.
 
-Counts: all (DEPTH + 1)-byte strings of all training texts, summed by Spark. A
-context is a node of its own if it has one in ``SHARE`` of all training bytes,
-so there are at most ``SHARE`` at each depth, whatever the corpus; the counts
-of its rarer siblings are one more child of their parent. That bound holds the
-model, which is broadcast as two tables: next state by byte, and log10
-probability of each byte in each state.
+Counts: all (DEPTH + 1)-byte strings of all training texts, summed by Spark.
+Every context that occurs is a node, so the tree grows with the corpus. It is
+never in one place: contexts of ``SPLIT`` bytes are dealt to buckets by hash,
+each with all longer ones that end in it (65,792 at most). A first pass weighs
+these subtrees; Spark sums their weighted probabilities by parent. The top, of
+at most 65,793 contexts of fewer bytes, is weighed in the driver and broadcast.
+Texts are packed into chunks; each chunk sends its distinct strings to their
+buckets, whose second pass answers with the log10 probability of each string's
+last byte. The chunk adds them up by document. ``fit`` builds the same tree in
+one process, for small corpora; there contexts can be kept by their share.
 
 Base score: add-one word probabilities. Words with one in ``HEAD`` of all
 occurrences (``HEAD`` at most) are broadcast; the other (row, word, frequency)
@@ -37,11 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storylens.llm.common import prepare, staged, texts
+from storylens.llm.common import prepare, shuffle_width, staged, texts
+from storylens.llm.suffix_dedup import pack, unpack
 from storylens.llm.words import spaced_words
 
 DEPTH = 5
-SHARE = 1 << 16
+# Bytes of the contexts that are dealt to buckets.
+SPLIT = 3
+# Bytes of texts in a chunk, and of all scored texts to a bucket.
+CHUNK = 8 << 20
+BUCKET = 8 << 20
+# Longest contexts of a bucket that are weighed at a time, more if they end in
+# one context of SPLIT bytes.
+SLICE = 1 << 13
+# Strings that chunks ask for, held before equal ones are joined.
+ASKED = 1 << 21
 HEAD = 1 << 21
 HEAD_BYTES = 64
 END = 0xFF
@@ -54,10 +68,10 @@ COLUMNS = 16
 BLOCK = 1 << 23
 
 
-def byte_rows(batch: list[str | None], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_rows(batch: list[str | bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as one byte array with ``depth`` marks before each and one
     after; positions that are scored; index of each text's first such one."""
-    raw = [(t or "").encode().lower() for t in batch]
+    raw = [(t if isinstance(t, bytes) else (t or "").encode()).lower() for t in batch]
     mark = bytes([END])
     joined = np.frombuffer(b"".join(mark * depth + r + mark for r in raw), np.uint8)
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
@@ -227,9 +241,10 @@ def _add(logs: np.ndarray, states, p_one: np.ndarray, half: int, firsts: np.ndar
     logs[states, firsts[0]:firsts[-1] + 2 * half] += both
 
 
-def fit(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
-    """Context tree of the texts of ``docs``. The driver gets the byte counts
-    of kept contexts: ``share`` contexts of 256 bytes at each depth at most."""
+def fit(docs: DataFrame, depth: int = DEPTH, share: int | None = None) -> Tree:
+    """Context tree of the texts of ``docs``, in the driver: of all contexts,
+    or of those that have one in ``share`` of all bytes, the rarer siblings
+    being one child."""
     prepare(docs.sparkSession)
     s = staged(string_counts(docs, depth), "strings")
     total = s.agg(F.sum("n")).first()[0] or 0
@@ -238,7 +253,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
         mask = (1 << 8 * (d + 1)) - 1
         cut = s.select(F.col("s").bitwiseAND(F.lit(mask)).alias("s"), "n")
         rows = cut.groupBy("s").agg(F.sum("n").alias("n")).withColumn("c", F.shiftrightunsigned("s", 8))
-        often = rows.groupBy("c").agg(F.sum("n").alias("k")).where(F.col("k") * share >= total)
+        often = rows.groupBy("c").agg(F.sum("n").alias("k")).where(F.lit(True) if share is None else F.col("k") * share >= total)
         got = rows.join(often, "c").select("c", F.col("s").bitwiseAND(F.lit(255)).alias("b"), "n").toArrow()
         c, b, n = (np.asarray(got.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(3))
         context = np.unique(c) if d else np.zeros(1, np.int64)
@@ -248,6 +263,268 @@ def fit(docs: DataFrame, depth: int = DEPTH, share: int = SHARE) -> Tree:
     return build(counts, depth)
 
 
+# --- the tree in buckets ----------------------------------------------------------
+
+def _mask(d: int) -> int:
+    return (1 << 8 * d) - 1
+
+
+def _levels(s: np.ndarray, n: np.ndarray, low: int, high: int) -> tuple[list, list, list]:
+    """Contexts of low to high bytes in strings ``s`` with counts ``n``, their
+    byte counts, and each one's place among the contexts a byte shorter."""
+    contexts, tables, parents = [], [], []
+    for d in range(low, high + 1):
+        c, at = np.unique(s >> 8 & _mask(d), return_inverse=True)
+        if not d:
+            c, at = np.zeros(1, np.int64), np.zeros(len(s), np.int64)
+        table = np.zeros((len(c), 256), np.int64)
+        np.add.at(table.ravel(), at << 8 | s & 255, n)
+        parents.append(np.searchsorted(contexts[-1], c & _mask(d - 1)) if contexts else None)
+        contexts.append(c)
+        tables.append(table)
+    return contexts, tables, parents
+
+
+def _columns(half: int, firsts: np.ndarray) -> slice:
+    """Places of some decisions among all 255."""
+    at = 128 // half - 1 + int(firsts[0]) // (2 * half)
+    return slice(at, at + len(firsts))
+
+
+def _weighed(tables: list, parents: list, below: np.ndarray | None = None) -> Iterator[tuple]:
+    """For blocks of decisions, bottom-up: zeros and ones and the weight of the
+    own estimate at each level, and the first level's weighted probabilities.
+    ``below``: summed ones of the last level's children, if it has any."""
+    for half, firsts in decisions():
+        pairs = [_pairs(t, half, firsts) for t in tables]
+        weights: list = [None] * len(tables)
+        split = None if below is None else below[:, _columns(half, firsts)]
+        for d in range(len(tables) - 1, -1, -1):
+            a, b = pairs[d]
+            total, met = np.zeros(a.shape), a + b > 0
+            total[met] = _log_kt(a[met], b[met])
+            weights[d] = np.ones_like(total)
+            if split is not None:
+                own = total
+                total = np.logaddexp(own, split) + math.log(0.5)
+                weights[d] = np.minimum(np.exp(math.log(0.5) + own - total), 1.0)
+            if d:
+                split = _summed(total, parents[d], len(tables[d - 1]))
+        yield half, firsts, pairs, weights, total
+
+
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return at, sorted_[at] == keys
+
+
+def _looked_up(keys: np.ndarray, contexts: list, logs: list, low: int) -> np.ndarray:
+    """log10 probability of each string's last byte in its longest context
+    among ``contexts``; NaN without one."""
+    out = np.full(len(keys), np.nan, np.float32)
+    for d, (c, log) in enumerate(zip(contexts, logs, strict=True), low):
+        at, there = _find(c, keys >> 8 & _mask(d))
+        out[there] = log[at[there], keys[there] & 255]
+    return out
+
+
+@dataclass
+class Top:
+    """Contexts of fewer than ``split`` bytes. ``logs[d]``: log10 of each byte
+    after a context whose next longer one never occurred; of the last level,
+    ``mixed`` and ``left`` are the estimates so far and the weight that is left
+    for longer contexts, by decision."""
+
+    split: int
+    depth: int
+    contexts: list
+    logs: list
+    mixed: np.ndarray
+    left: np.ndarray
+
+
+def _mixed_down(weighed: Iterator[tuple], parents: list, sizes: list, start, closed: bool) -> tuple[list, np.ndarray, np.ndarray]:
+    """Mixtures along each path: log10 by byte for each level, and the last
+    level's mixtures and left weights. ``start``: those above the first level,
+    by decision; ``closed``: the last level has no children."""
+    logs = [np.zeros((n, 256), np.float32) for n in sizes]
+    mixed_all, left_all = (np.zeros((0 if closed else sizes[-1], 255)) for _ in range(2))
+    for half, firsts, pairs, weights, _ in weighed:
+        columns = _columns(half, firsts)
+        mixed, left = (x[:, columns] for x in start)
+        for d, ((a, b), weight) in enumerate(zip(pairs, weights, strict=True)):
+            if d:
+                mixed, left = mixed[parents[d]], left[parents[d]]
+            mixed, left = mixed + left * weight * _kt(a, b), left * (1 - weight)
+            # a context that never occurred has one half at every depth
+            _add(logs[d], slice(None), mixed + left * 0.5, half, firsts)
+        if not closed:
+            mixed_all[:, columns], left_all[:, columns] = mixed, left
+    return logs, mixed_all, left_all
+
+
+def _slices(s: np.ndarray, split: int, depth: int) -> Iterator[np.ndarray]:
+    """Places of the strings, by whole subtrees."""
+    longest = np.unique(s >> 8 & _mask(depth))
+    roots, size = np.unique(longest & _mask(split), return_counts=True)
+    part = (np.cumsum(size) - size) // SLICE
+    of = part[np.searchsorted(roots, s >> 8 & _mask(split))]
+    order = np.argsort(of, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+
+
+def _bucket(keys: np.ndarray, split: int, buckets: int) -> np.ndarray:
+    return ((keys >> 8 & _mask(split)) * 2654435761 >> 8 & 0xFFFFFF) % buckets
+
+
+def _bucket_column(split: int, buckets: int):
+    root = F.shiftright("s", 8).bitwiseAND(F.lit(_mask(split)))
+    mixed = F.shiftright(root * F.lit(2654435761), 8).bitwiseAND(F.lit(0xFFFFFF))
+    return (mixed % F.lit(buckets)).cast("int")
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.asarray(table.column(c).to_numpy(), np.int64) for c in names]
+
+
+def _totals(split: int, depth: int):
+    """Weighted probabilities (logs) of a bucket's subtrees, summed by parent."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        s, n = _numbers(rows, "s", "n")
+        out = []
+        for at in _slices(s, split, depth):
+            contexts, tables, parents = _levels(s[at], n[at], split, depth)
+            parent, of = np.unique(contexts[0] & _mask(split - 1), return_inverse=True)
+            total = np.zeros((len(parent), 255))
+            for half, firsts, *_, block in _weighed(tables, parents):
+                total[:, _columns(half, firsts)] = _summed(block, of, len(parent))
+            i, k = np.nonzero(total)
+            out.append((parent[i], k, total[i, k]))
+        c, k, t = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"c": pa.array(c, pa.int64()), "k": pa.array(k, pa.int32()), "total": pa.array(t, pa.float64())})
+
+    return run
+
+
+def fit_top(strings: DataFrame, depth: int) -> Top:
+    """Top of the tree of ``strings`` (``s, n, bucket``). The driver gets the
+    byte counts of contexts of fewer than ``SPLIT`` bytes, and 255 sums for
+    each of the longest of these."""
+    split = min(SPLIT, depth)
+    totals = strings.groupBy("bucket").applyInArrow(_totals(split, depth), "c long, k int, total double")
+    sums = totals.groupBy("c", "k").agg(F.sum("total").alias("total")).toArrow()
+    short = strings.groupBy(F.col("s").bitwiseAND(F.lit(_mask(split))).alias("s")).agg(F.sum("n").alias("n")).toArrow()
+    contexts, tables, parents = _levels(*_numbers(short, "s", "n"), 0, split - 1)
+    c, k = _numbers(sums, "c", "k")
+    below = np.zeros((len(contexts[-1]), 255))
+    below[np.searchsorted(contexts[-1], c), k] = sums.column("total").to_numpy()
+    start = np.zeros((1, 255)), np.ones((1, 255))
+    logs, mixed, left = _mixed_down(_weighed(tables, parents, below), parents, [len(x) for x in contexts], start, False)
+    return Top(split, depth, contexts, logs, mixed, left)
+
+
+def _answers(shared):
+    """For the strings that chunks ask a bucket for: log10 probabilities."""
+
+    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
+        top: Top = shared.value[0]
+        held = asks.column("data").to_pylist()
+        some, size = [np.zeros(0, np.int64)], 0
+        for data in held:
+            some.append(np.cumsum(unpack(data)[0]))
+            size += len(some[-1])
+            if size >= ASKED:
+                some, size = [np.unique(np.concatenate(some))], 0
+        asked = np.unique(np.concatenate(some))
+        s, n = _numbers(rows, "s", "n")
+        value = _looked_up(asked, top.contexts, top.logs, 0)
+        root = asked >> 8 & _mask(top.split)
+        for at in _slices(s, top.split, top.depth) if len(s) and len(asked) else ():
+            contexts, tables, parents = _levels(s[at], n[at], top.split, top.depth)
+            wanted = np.flatnonzero(_find(contexts[0], root)[1])
+            if not len(wanted):
+                continue
+            above = np.searchsorted(top.contexts[-1], contexts[0] & _mask(top.split - 1))
+            logs, _, _ = _mixed_down(_weighed(tables, parents), parents, [len(x) for x in contexts],
+                                     (top.mixed[above], top.left[above]), True)
+            value[wanted] = _looked_up(asked[wanted], contexts, logs, top.split)
+        out = [pack(value[np.searchsorted(asked, np.cumsum(unpack(data)[0]))]) for data in held]
+        return pa.table({"chunk": asks.column("chunk"), "bucket": asks.column("bucket"), "data": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by chunk: number of its first row, doc_ids, which are null, ends
+    and bytes."""
+    from pyspark import TaskContext
+
+    number, ids, raw, size = TaskContext.get().partitionId() << 33, [], [], 0
+
+    def flush():
+        data = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8),
+                    np.cumsum([len(r) for r in raw], dtype=np.int64), np.frombuffer(b"".join(raw), np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()),
+                                           pa.array([data], pa.binary())], ["chunk", "size", "data"])
+
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            raw.append((t or "").encode())
+            size += len(raw[-1])
+            if size >= CHUNK:
+                yield flush()
+                number, ids, raw, size = number + len(ids), [], [], 0
+    if ids:
+        yield flush()
+
+
+class Strings:
+    """A chunk's documents and distinct strings, by bucket and value."""
+
+    def __init__(self, data: bytes, depth: int, split: int, buckets: int):
+        ids, null, ends, x = unpack(data)
+        self.ids = [None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)]
+        raw = x.tobytes()
+        self.raw = [raw[a:b] for a, b in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True)]
+        x, at, self.first = byte_rows(self.raw, depth)
+        code = np.zeros(len(at), np.int64)
+        for d in range(depth, -1, -1):
+            code = code << 8 | x[at - d]
+        coded = pa.array(code).dictionary_encode()
+        keys = coded.dictionary.to_numpy()
+        self.place = coded.indices.to_numpy()
+        bucket = _bucket(keys, split, buckets)
+        self.order = np.lexsort((keys, bucket))
+        self.keys, self.bucket = keys[self.order], bucket[self.order]
+
+    def asks(self) -> Iterator[tuple[int, bytes]]:
+        for part in np.split(np.arange(len(self.keys)), np.flatnonzero(np.diff(self.bucket)) + 1):
+            yield int(self.bucket[part[0]]), pack(np.diff(self.keys[part], prepend=0))
+
+    def sums(self, values: np.ndarray) -> list[float]:
+        """Of each document, with the values of the strings as asked for."""
+        by_place = np.zeros(len(values))
+        by_place[self.order] = values
+        return np.add.reduceat(by_place[self.place], self.first).tolist()
+
+
+def _ask(depth: int, split: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = list(Strings(data, depth, split, buckets).asks())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()),
+                     pa.array([p for _, p in rows], pa.binary())], ["bucket", "chunk", "data"])
+
+    return run
+
+
 def _word_rows():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -274,25 +551,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
         "word").agg(F.sum("n").alias("n"))
 
 
-def _scores(shared, n_all: int, n_distinct: int):
+def _scores(shared, n_all: int, n_distinct: int, buckets: int):
     """Per document a row with its sums over broadcast words, under a key that
     no word has, and a row for each other distinct word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, heads = shared.value
+    def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
+        top, heads = shared.value
         space = math.log10(n_all + n_distinct + 1)
         logs = {w: (math.log10(n + 1) - space) for w, n in heads.items()}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows, ids, text = (b.column(i).to_pylist() for i in range(3))
-            model = tree.score(text)
-            key, row, freq, base, known, tokens = [], [], [], [], [], []
-            more_words: list[bytes] = []
-            more_rows: list[int] = []
-            more_freq: list[int] = []
-            for r, t in zip(rows, text, strict=True):
-                words = spaced_words(t)
+        key, row, ids, base, known, tokens, model, size = ([] for _ in range(8))
+        more_words: list[bytes] = []
+        more_rows: list[int] = []
+        more_freq: list[int] = []
+        answers = dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True))
+        for number, data in zip(chunks.column("chunk").to_pylist(), chunks.column("data").to_pylist(), strict=True):
+            chunk = Strings(data, top.depth, top.split, buckets)
+            model += chunk.sums(np.concatenate([unpack(answers[k])[0] for k in sorted(answers)]))
+            ids += chunk.ids
+            for r, t in enumerate(chunk.raw, number):
+                words = t.lower().split()
                 words.append(END_WORD)
                 total, hits = 0.0, 0
                 for w, c in Counter(words).items():
@@ -309,14 +586,15 @@ def _scores(shared, n_all: int, n_distinct: int):
                 base.append(total)
                 known.append(hits)
                 tokens.append(len(words))
-            none = [None] * len(more_words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key + more_words, pa.binary()), pa.array(row + more_rows, pa.int64()),
-                 pa.array([None] * len(key) + more_freq, pa.int64()), pa.array(ids + none, pa.int64()),
-                 pa.array(base + none, pa.float64()), pa.array(known + none, pa.int64()),
-                 pa.array(tokens + none, pa.int64()), pa.array(model.tolist() + none, pa.float64()),
-                 pa.array([len((t or "").encode()) for t in text] + none, pa.int64())],
-                ["word", "row", "freq", "doc_id", "base", "known", "tokens", "model", "n_bytes"])
+                size.append(len(t))
+        none = [None] * len(more_words)
+        return pa.Table.from_arrays(
+            [pa.array(key + more_words, pa.binary()), pa.array(row + more_rows, pa.int64()),
+             pa.array([None] * len(key) + more_freq, pa.int64()), pa.array(ids + none, pa.int64()),
+             pa.array(base + none, pa.float64()), pa.array(known + none, pa.int64()),
+             pa.array(tokens + none, pa.int64()), pa.array(model + none, pa.float64()),
+             pa.array(size + none, pa.int64())],
+            ["word", "row", "freq", "doc_id", "base", "known", "tokens", "model", "n_bytes"])
 
     return run
 
@@ -326,15 +604,24 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataFram
     bits_per_byte`` of every row of ``docs``, learned from ``training``."""
     spark = docs.sparkSession
     prepare(spark)
-    tree = fit(training, depth)
+    chunks = staged(texts(docs).mapInArrow(_pack_chunks, "chunk long, size long, data binary"), "chunks")
+    buckets = max(2 * shuffle_width(spark), (chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET)
+    strings = staged(string_counts(training, depth), "strings")
+    strings = strings.withColumn("bucket", _bucket_column(min(SPLIT, depth), buckets))
+    top = fit_top(strings, depth)
     words = staged(word_counts(training), "words")
     n_all, n_distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     often = words.where((F.col("n") * HEAD >= n_all) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
     heads = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((tree, heads))
-    rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = rows.mapInArrow(
-        _scores(shared, n_all, n_distinct),
+    shared = spark.sparkContext.broadcast((top, heads))
+    # a chunk of a few megabytes is a row: few rows to a batch
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    plain = chunks.select("chunk", "data")
+    asks = plain.mapInArrow(_ask(depth, top.split, buckets), "bucket int, chunk long, data binary")
+    replies = strings.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(
+        _answers(shared), "chunk long, bucket int, data binary")
+    parts = plain.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+        _scores(shared, n_all, n_distinct, buckets),
         "word binary, row long, freq long, doc_id long, base double, known long, tokens long, model double, n_bytes long")
     met = parts.join(words, "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))

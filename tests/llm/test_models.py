@@ -176,6 +176,19 @@ def test_scores(spark, docs, rows, monkeypatch, head):
         assert math.isclose(g["score"], float(tree.score([r[1]])[0]), rel_tol=1e-6)
 
 
+def test_scores_use_every_context(spark, monkeypatch):
+    """Contexts far rarer than one in 2^16 bytes are nodes; in many slices."""
+    monkeypatch.setattr(ctw, "SLICE", 8)
+    rng = random.Random(5)
+    common = ["".join(rng.choices("ab ", k=4000)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*common, "Qwxyz Qwxyz é", None])), "doc_id long, text string").repartition(3)
+    some = spark.createDataFrame(list(enumerate(["Qwxyz", "ab ba", "qwxzz", "", "ÿ"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.scores(some, df, 3).collect()}
+    want = brute_tree([*common, "Qwxyz Qwxyz é", None], 3, 1 << 60)
+    for i, t in enumerate(["Qwxyz", "ab ba", "qwxzz", "", "ÿ"]):
+        assert math.isclose(got[i], want(t), rel_tol=1e-5), (t, got[i], want(t))
+
+
 def test_scores_of_repeated_and_empty(spark):
     df = odd.repeated(spark)
     assert ctw.scores(df, df).count() == 6 and ctw.scores(odd.empty(spark), df).count() == 0
