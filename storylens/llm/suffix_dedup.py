@@ -10,7 +10,10 @@ bytes that also starts in a document with a smaller doc_id.
 3. For anchors that do, the chunk sends the distinct stretches that its strings
    of that anchor cover, with their smallest doc_id. Equal stretches meet as
    one entry for each chunk, so a passage that a third of all documents share
-   is a row for each chunk, not for each document.
+   is a row for each chunk, not for each document. An anchor with over ``HOT``
+   stretches (a common phrase with other text around it each time) would fill
+   one bucket: its strings are sent one by one, to the buckets of their own
+   hashes, where equal ones meet.
 4. A bucket sorts the suffixes of its stretches by deep-shallow sorting:
    multikey quicksort over 8-byte characters to ``SHALLOW`` bytes, then blind
    tries put the remaining groups in order. Neighbours that agree on LENGTH
@@ -26,6 +29,7 @@ ones too, gives one result row.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,10 @@ SHALLOW = 16
 # Bytes of texts in a chunk, and of all texts to a bucket.
 CHUNK = 4 << 20
 BUCKET = 8 << 20
+# Stretches of one anchor (distinct ones of each chunk) that may meet in a
+# bucket; this bit of a place marks a string of an anchor with more.
+HOT = 1 << 15
+ALONE = 128
 # Positions hashed at a time; their number fits the low bits of a key.
 _LOW = 23
 BLOCK = 1 << 20
@@ -159,6 +167,17 @@ class Chunk:
         np.maximum.at(high, self.key_of, d)
         return low != high
 
+    def stretches(self) -> np.ndarray:
+        """Distinct stretches of each key, told apart by 64 bits."""
+        padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.x, np.zeros(8, np.uint8)]), 8)
+        h = self.count.astype(np.uint64)
+        for start in (self.first, self.first + self.count - 1):
+            for at in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+                word = np.ascontiguousarray(padded[start + at]).view("<u8").ravel()
+                h = (h ^ word) * _MIX
+                h ^= h >> np.uint64(29)
+        return np.bincount(self.key_of[np.unique(h, return_index=True)[1]], minlength=len(self.keys))
+
     def slices(self, buckets: int) -> Iterator[tuple[int, slice]]:
         cuts = np.searchsorted(self.keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         for k in range(buckets):
@@ -205,11 +224,11 @@ def _send_anchors(buckets: int):
         for b in batches:
             for number, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = Chunk(data, buckets)
-                several = c.several()
+                several, n = c.several(), c.stretches().astype("<u4")
                 rows = []
                 for k, s in c.slices(buckets):
                     low = (c.keys[s] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    rows.append((k, pack(np.diff(low, prepend=0).astype("<u4"), np.packbits(several[s]))))
+                    rows.append((k, pack(np.diff(low, prepend=0).astype("<u4"), np.packbits(several[s]), n[s])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()),
                      pa.array([p for _, p in rows], pa.binary())], ["bucket", "chunk", "data"])
@@ -217,20 +236,28 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+def _shared_anchors(hot: int):
     """Of each chunk's anchors in a bucket: a bit for those that documents of
-    several chunks, or several of one chunk, have."""
-    keys, several = [], []
-    for data in rows["data"]:
-        d, s = unpack(data)
-        keys.append(np.cumsum(d.astype(np.int64)))
-        several.append(np.unpackbits(s, count=len(d)))
-    u, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = n > 1
-    shared[at[np.concatenate(several) > 0]] = True
-    bits = np.split(shared[at], np.cumsum([len(k) for k in keys])[:-1])
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"],
-                         "data": [pack(np.packbits(b)) for b in bits]})
+    several chunks, or several of one chunk, have; one for those with more than
+    ``hot`` stretches."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, several, stretches = [], [], []
+        for data in rows["data"]:
+            d, s, n = unpack(data)
+            keys.append(np.cumsum(d.astype(np.int64)))
+            several.append(np.unpackbits(s, count=len(d)))
+            stretches.append(n)
+        u, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = n > 1
+        shared[at[np.concatenate(several) > 0]] = True
+        many = np.bincount(at, np.concatenate(stretches), len(u)) > hot
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        bits = zip(np.split(shared[at], cuts), np.split(many[at], cuts), strict=True)
+        return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"],
+                             "data": [pack(np.packbits(x), np.packbits(y)) for x, y in bits]})
+
+    return run
 
 
 # --- 3: stretches of shared anchors ----------------------------------------------
@@ -240,20 +267,18 @@ def _send_stretches(buckets: int):
         out = []
         for data in chunk["data"]:
             c = Chunk(data, buckets)
-            shared = np.zeros(len(c.keys), bool)
+            shared, hot = np.zeros(len(c.keys), bool), np.zeros(len(c.keys), bool)
             by_bucket = dict(zip(replies["bucket"], replies["data"], strict=True))
             for k, s in c.slices(buckets):
-                shared[s] = np.unpackbits(unpack(by_bucket[k])[0], count=s.stop - s.start)
+                shared[s], hot[s] = (np.unpackbits(x, count=s.stop - s.start) for x in unpack(by_bucket[k]))
             runs = np.flatnonzero(shared[c.key_of])
             raw = c.x.tobytes()
             members: dict[int, tuple[dict, list, list, list]] = {}
-            for first, n, place, doc, k in zip(
-                    c.first[runs].tolist(), c.count[runs].tolist(), c.place[runs].tolist(),
-                    c.ids[c.doc[runs]].tolist(), c.bucket[runs].tolist(), strict=True):
+
+            def add(k: int, entry: tuple[int, bytes], first: int, doc: int) -> None:
                 if k not in members:
                     members[k] = ({}, [], [], [])
                 entries, least, own, firsts = members[k]
-                entry = (place - first, raw[first:first + n + LENGTH - 1])
                 e = entries.get(entry)
                 if e is None:
                     e = entries[entry] = len(least)
@@ -262,6 +287,16 @@ def _send_stretches(buckets: int):
                     least[e] = doc
                 own.append(e)
                 firsts.append(first)
+
+            for first, n, place, doc, k, many in zip(
+                    c.first[runs].tolist(), c.count[runs].tolist(), c.place[runs].tolist(),
+                    c.ids[c.doc[runs]].tolist(), c.bucket[runs].tolist(), hot[c.key_of[runs]].tolist(), strict=True):
+                if many:
+                    for at in range(first, first + n):
+                        string = raw[at:at + LENGTH]
+                        add(zlib.crc32(string) % buckets, (place - at | ALONE, string), at, doc)
+                else:
+                    add(k, (place - first, raw[first:first + n + LENGTH - 1]), first, doc)
             for k, (entries, least, own, firsts) in members.items():
                 sizes = np.array([len(s) for _, s in entries], np.uint8)
                 out.append((k, key[0], pack(np.array([p for p, _ in entries], np.uint8), sizes, np.array(least, "<i8"),
@@ -398,9 +433,9 @@ def _smallest(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.cumsum(size) - size
     count = size - LENGTH + 1
     # strings are equal only around equal anchors: a stretch whose anchor no
-    # other stretch has is sorted already
-    grams = pd.factorize(np.array([s[p:p + GRAM] for p, s in ids], object))[0]
-    several = np.bincount(grams)[grams] > 1
+    # other stretch has is sorted already, and so are strings sent one by one
+    grams = pd.factorize(np.array([s[p:p + GRAM] if p < ALONE else s for p, s in ids], object))[0]
+    several = (np.bincount(grams)[grams] > 1) & np.array([p < ALONE for p, _ in ids], bool)
     minima = np.repeat(low, count)
     base = np.cumsum(count) - count
     at = _flat(base[several], count[several])
@@ -474,7 +509,7 @@ def cut_repeats(docs: DataFrame, columns: list[str] = (), with_kept: bool = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     sent = chunks.select("chunk", "data").mapInArrow(_send_anchors(buckets), "bucket int, chunk long, data binary")
     reply = "chunk long, bucket int, data binary"
-    shared = sent.groupBy("bucket").applyInPandas(_shared_anchors, reply)
+    shared = sent.groupBy("bucket").applyInPandas(_shared_anchors(HOT), reply)
     plain = chunks.select("chunk", "data")
     stretches = plain.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(
         _send_stretches(buckets), "bucket int, chunk long, data binary, members binary")

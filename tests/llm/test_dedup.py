@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -106,6 +107,40 @@ def test_cut_one_common_passage(spark):
     assert cut(odd.frame(spark, rows, 7)) == brute_cut([(r[0], r[1]) for r in rows])
 
 
+def phrase_rows(n):
+    """One phrase with other text around it in each row, and some equal rows."""
+    rng = random.Random(6)
+    around = ["".join(rng.choices("abcdefgh ", k=70)) for _ in range(2 * n)]
+    rows = [(i, around[2 * i] + "the footer of every page here" + around[2 * i + 1]) for i in range(n)]
+    return rows + [(n + i, "x" * i + t) for i, (_, t) in enumerate(rows[:9])]
+
+
+def test_cut_one_common_phrase(spark, monkeypatch):
+    monkeypatch.setattr(D, "HOT", 8)
+    rows = phrase_rows(60)
+    assert cut(odd.frame(spark, [(*r, "l", "s", 1) for r in rows], 5)) == brute_cut(rows)
+
+
+def test_stretches_of_one_anchor_are_spread():
+    """No bucket gets most of what a common phrase's anchors send."""
+    buckets, raw = 40, [t.encode() for _, t in phrase_rows(400)]
+    ends = np.cumsum([len(r) for r in raw])
+    data = D.pack(np.arange(len(raw)), ends, np.frombuffer(b"".join(raw), np.uint8))
+    chunk = D.Chunk(data, buckets)
+    several, n = chunk.several(), chunk.stretches()
+    assert n.max() > 100
+    sent = pd.DataFrame([(k, 0, D.pack(np.diff((chunk.keys[s] & np.uint64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype("<u4"),
+                                       np.packbits(several[s]), n[s].astype("<u4"))) for k, s in chunk.slices(buckets)],
+                        columns=["bucket", "chunk", "data"])
+    largest = {}
+    for hot in (8, 1 << 30):
+        replies = pd.concat([D._shared_anchors(hot)(g) for _, g in sent.groupby("bucket")])
+        out = D._send_stretches(buckets)((0,), pd.DataFrame({"data": [data]}), replies)
+        sizes = [len(D.unpack(x)[0]) for x in out["data"]]
+        largest[hot] = max(sizes) / sum(sizes)
+    assert largest[8] < 0.1 < largest[1 << 30]
+
+
 def test_cut_of_repeated_null_ids_and_empty(spark):
     text = "a passage of more than fifty bytes that some rows have in common"
     rows = [(5, text, "l", "s", 1), (5, text, "l", "s", 1), (None, text, "l", "s", 1), (7, "short", "l", "s", 1)]
