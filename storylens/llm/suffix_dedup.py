@@ -15,8 +15,9 @@ bytes that also starts in a document with a smaller doc_id.
    one bucket: its strings are sent one by one, to the buckets of their own
    hashes, where equal ones meet.
 4. A bucket sorts the suffixes of its stretches by deep-shallow sorting:
-   multikey quicksort over 8-byte characters to ``SHALLOW`` bytes, then blind
-   tries put the remaining groups in order. Neighbours that agree on LENGTH
+   a library sort per level of 8-byte characters, in place of multikey
+   quicksort, to ``SHALLOW`` bytes, then blind tries put the remaining groups
+   in order. Neighbours that agree on LENGTH
    bytes are one string; its smallest doc_id goes back to the chunks.
 5. Each chunk marks and cuts its documents.
 
@@ -370,7 +371,7 @@ def sorted_strings(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, s
     new[0] = True
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for depth in range(0, shallow, 8):  # multikey quicksort: split by a character, go on inside equal ones
+    for depth in range(0, shallow, 8):  # split by a character, go on inside equal ones
         group = np.cumsum(new)
         size = np.bincount(group)[group]
         open_ = np.flatnonzero(size > 1)
