@@ -49,3 +49,10 @@ def shuffle_width(spark: SparkSession) -> int:
 def crc_remainder(doc_id: Column, mod: int) -> Column:
     """crc32(doc_id as text) mod ``mod``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+def crc_sql(number: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a number as text, bit by bit."""
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({number}::VARCHAR, ''), "
+            "lambda c: ascii(c)::BIGINT)), lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], "
+            "lambda v, b: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)")

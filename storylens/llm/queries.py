@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.llm import ctw, decontaminate, imatch, licenses, pieces, quality, simhash, suffix_dedup, token_count, token_files
-from storylens.llm.common import crc_remainder, table, texts
+from storylens.llm import conversation_trie, ctw, decontaminate, imatch, licenses, merkle, pieces, quality, simhash, suffix_dedup, token_count, token_files
+from storylens.llm.common import crc_remainder, crc_sql, table, texts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +102,21 @@ def op2(spark, sf):
 def op7(spark, sf):
     """I-Match fingerprints of all documents and of their edited texts."""
     return imatch.fingerprints(table(spark, sf, "documents"))
+
+
+@query("op11_merkle_manifest", merkle.ORACLE)
+def op11(spark, sf):
+    """Merkle proofs of all documents, folded from leaves of which a third are
+    tampered with."""
+    docs = table(spark, sf, "documents")
+    tampered = crc_remainder(F.col("doc_id"), 3) == 0
+    seen = F.when(tampered, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.proofs(merkle.leaves(docs, seen), with_siblings=False).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_conversation_trie", conversation_trie.oracle(crc_sql("conv_id")))
+def op12(spark, sf):
+    """Prefix trie of all rebuilt conversations."""
+    own = conversation_trie.turns(table(spark, sf, "conversations"))
+    return conversation_trie.trie(conversation_trie.rebuilt(own)).drop("turn_id")
