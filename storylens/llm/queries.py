@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.llm import conversation_trie, ctw, decontaminate, imatch, licenses, merkle, pieces, quality, simhash, suffix_dedup, token_count, token_files
+from storylens.llm import conversation_trie, ctw, decontaminate, imatch, licenses, merkle, pieces, pii, quality, simhash, suffix_dedup, token_count, token_files
 from storylens.llm.common import crc_remainder, crc_sql, table, texts
 
 QUERIES: dict = {}
@@ -120,3 +120,15 @@ def op12(spark, sf):
     """Prefix trie of all rebuilt conversations."""
     own = conversation_trie.turns(table(spark, sf, "conversations"))
     return conversation_trie.trie(conversation_trie.rebuilt(own)).drop("turn_id")
+
+
+@query("op13_pii")
+def op13(spark, sf):
+    """Personal data in all documents: fixed patterns, and what the random
+    field adds."""
+    docs = pii.found(texts(table(spark, sf, "documents")))
+    base = F.filter("pii", lambda x: x["base"])
+    counts = [F.size(F.filter("pii", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
+              for k in pii.KINDS]
+    return docs.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+                       pii.listed(F.col("pii")).alias("spans"))
