@@ -14,7 +14,8 @@ Weights are fitted here by the conditional likelihood of ``MAX_STRETCHES``
 stretches at most, from the ``MAX_DOCS`` documents of smallest hash: what the
 patterns find there is right, the same entities written in other ways are right
 as well, and near misses made of them (a wrong check digit, parts over 255,
-dates, versions, plain numbers) are wrong. Fitting reads whole texts of those
+dates, versions, plain numbers) are wrong; stretches in which the patterns find
+nothing are unlabelled and not learned from. Fitting reads whole texts of those
 documents; scoring reads all whole texts. A corpus in which the patterns find
 nothing teaches nothing, and nothing is added.
 
@@ -129,7 +130,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
         before = text[low:hit.start()]
         start = low + max((before.rfind(c) for c in " \t\n\r\f\v"), default=-1) + 1
         if hit.group()[0] not in "0123456789@":  # the words before the mark belong to it
-            words = list(_WORD.finditer(before))[-3:]
+            words = list(_WORD.finditer(before))[-3 if "o" in hit.group().lower() else -1:]
             start = low + words[0].start() if words else start
         end, after_mark = start, False
         while m := _WORD.match(text, end if end == start else end + 1):
@@ -446,9 +447,12 @@ _BEFORE = (("", "mail ", "contact "), ("", "ip ", "server "), ("", "card ", "car
 
 
 def _examples(text: str, start: int, end: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
-    """A stretch with the patterns' spans, and with one of them rewritten."""
-    spans = [(k, a, b) for k, a, b in base_spans(text[start:end])]
+    """A stretch with the patterns' spans, and with one of them rewritten; none
+    of a stretch in which the patterns find nothing."""
+    spans = base_spans(text[start:end])
     stretch = text[start:end]
+    if not spans:  # it may hold entities in other forms: nothing is known of it
+        return
     yield stretch, spans
     rng = random.Random(stretch)
     for kind, a, b in spans:

@@ -128,7 +128,10 @@ def op13(spark, sf):
     field adds."""
     docs = pii.found(texts(table(spark, sf, "documents")))
     base = F.filter("pii", lambda x: x["base"])
-    counts = [F.size(F.filter("pii", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
-              for k in pii.KINDS]
+
+    def count(kind):
+        return F.size(F.filter("pii", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
     return docs.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
                        pii.listed(F.col("pii")).alias("spans"))
