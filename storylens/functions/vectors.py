@@ -17,6 +17,12 @@ def as_double(vec) -> Column:
     return F.transform(_c(vec), lambda x: x.cast("double"))
 
 
+def finite(vec) -> Column:
+    """True if the vector is there and has no null, NaN or infinite element."""
+    good = F.forall(_c(vec), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    return F.coalesce(good, F.lit(False))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -13,12 +13,22 @@ proposal rounds in which
 Holders only move to earlier choosers, so no rejection list is needed.
 Ties: similarity descending, then partner position descending.
 
-Each round is one cogroup: free choosers are dealt into blocks, each block
-meets the partner pole of its dimension (one replica per block, no chooser x
-partner rows are ever emitted) and settles its own choosers in order against
-the current holders, so only choosers that lose a partner to another block
-come back. Round state is a table of one row per held partner, cut from its
-lineage with a reliable checkpoint. Poles of every size take this path.
+A chooser works down a bounded preference list: its ``LIST`` best partners
+that were open to it when the list was made. A partner that is closed to a
+chooser (held by an earlier one) stays closed, so a list that is used up is
+replaced by one over the partners that are still open, and nothing is missed.
+Only making lists multiplies vectors: choosers without a list are dealt into
+blocks, each block meets the partner pole of its dimension (one replica per
+block, no chooser x partner rows are ever emitted), settles its choosers in
+order and gives each the list of what earlier ones of the block left open. The
+rounds themselves cogroup lists with holders, no vectors at all, ``SEGMENT``
+blocks to a task, so that few choosers lose a partner to another task. Round state is a
+table of one row per held partner, cut from its lineage with a reliable
+checkpoint. Poles of every size take this path.
+
+Words whose vector is null or has a null, NaN or infinite element have no
+similarity to anything: they belong to neither pole, and are not counted when
+the smaller pole is chosen. Zero vectors have similarity 0 to all.
 """
 
 from __future__ import annotations
@@ -28,14 +38,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storylens.functions.vectors import as_double, unit
+from storylens.functions.vectors import as_double, finite, unit
 from storylens.session import ensure_checkpoint_dir
 
 # Free choosers that one task settles in a round, and choosers of a matrix product.
 BLOCK = 2048
 ROWS = 128
+# Partners on a preference list.
+LIST = 32
+# Blocks whose choosers' lists are settled in one task.
+SEGMENT = 32
 
 _PROPOSAL_SCHEMA = "dim string, cidx long, pidx long, sim double"
+_LIST_SCHEMA = "dim string, cidx long, prefs array<struct<pidx: long, sim: double>>"
 
 
 def _best_partner(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
@@ -64,82 +79,125 @@ def _best_partner(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFram
     )
 
 
-def _settle_block(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-    """One round of a block: its free choosers, in lexicon order, each take the
-    best partner that no earlier chooser holds or has just taken. A partner
-    that an earlier chooser took can only pass to a still earlier one, so
-    skipping it is final."""
+def _listed(size: int):
+    """Preference lists of a block: its choosers, in lexicon order, each get the
+    ``size`` best partners that no earlier chooser holds or has on top of its
+    list. Such a partner goes to that chooser or to a still earlier one, so
+    leaving it out is final."""
+
+    def run(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(choosers) and len(partners):
+            c, p = choosers.sort_values("cidx"), partners.sort_values("pidx", ascending=False)
+            cv, pv = (np.vstack(x["vec"].to_numpy()).astype(np.float64) for x in (c, p))
+            holder = p["holder"].fillna(np.inf).to_numpy(dtype=np.float64)
+            pidx = p["pidx"].to_numpy()
+            for i, (dim, cidx) in enumerate(zip(c["dim"], c["cidx"])):
+                if i % ROWS == 0:
+                    sims = cv[i:i + ROWS] @ pv.T
+                open_ = np.flatnonzero(holder > cidx)
+                if not len(open_):
+                    continue
+                own = sims[i % ROWS, open_]
+                if len(own) > size:
+                    best = np.flatnonzero(own >= np.partition(own, len(own) - size)[len(own) - size])
+                else:
+                    best = np.arange(len(own))
+                # a stable sort: among ties the largest pidx comes first
+                best = best[np.argsort(-own[best], kind="stable")][:size]
+                holder[open_[best[0]]] = cidx
+                rows.append((dim, int(cidx), [{"pidx": int(pidx[open_[k]]), "sim": float(own[k])} for k in best]))
+        return pd.DataFrame(rows, columns=["dim", "cidx", "prefs"])
+
+    return run
+
+
+def _propose(choosers: pd.DataFrame, holders: pd.DataFrame) -> pd.DataFrame:
+    """A block's choosers, in lexicon order, each take the first partner of their
+    list that is open; without one ``pidx`` is null: the list is used up."""
     rows = []
-    if len(choosers) and len(partners):
-        c, p = choosers.sort_values("cidx"), partners.sort_values("pidx", ascending=False)
-        cv, pv = (np.vstack(x["vec"].to_numpy()).astype(np.float64) for x in (c, p))
-        holder = p["holder"].fillna(np.inf).to_numpy(dtype=np.float64)
-        pidx = p["pidx"].to_numpy()
-        for i, (dim, cidx) in enumerate(zip(c["dim"], c["cidx"])):
-            if i % ROWS == 0:
-                sims = cv[i:i + ROWS] @ pv.T
-            open_ = np.where(holder > cidx, sims[i % ROWS], -np.inf)
-            best = int(open_.argmax())  # first maximum: the largest pidx among ties
-            if np.isfinite(open_[best]):
-                holder[best] = cidx
-                rows.append((dim, int(cidx), int(pidx[best]), float(sims[i % ROWS, best])))
-    return pd.DataFrame(rows, columns=["dim", "cidx", "pidx", "sim"])
-
-
-def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK) -> DataFrame:
+    if len(choosers):
+        held = dict(zip(holders["pidx"], holders["holder"])) if len(holders) else {}
+        c = choosers.sort_values("cidx")
+        for dim, cidx, prefs in zip(c["dim"], c["cidx"], c["prefs"]):
+            best = next((x for x in prefs if held.get(x["pidx"], np.inf) > cidx), None)
+            if best is not None:
+                held[best["pidx"]] = cidx
+            rows.append((dim, cidx, *((best["pidx"], best["sim"]) if best else (None, None))))
+    out = pd.DataFrame(rows, columns=["dim", "cidx", "pidx", "sim"])
+    return out.astype({"pidx": "Int64", "sim": "Float64"})
+
+
+def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: int = LIST,
+                   segment: int = SEGMENT) -> DataFrame:
     """Greedy contrast pairs per dimension.
 
     low, high: ``(dim, word, ord, vec)``. Returns ``(dim, low_word, high_word, sim)``.
     """
     spark = low.sparkSession
     ensure_checkpoint_dir(spark)
+    low, high = (x.filter(finite("vec")) for x in (low, high))
     lo = low.select("dim", "word", "ord", unit(as_double("vec")).alias("vec"), F.lit("low").alias("side"))
     hi = high.select("dim", "word", "ord", unit(as_double("vec")).alias("vec"), F.lit("high").alias("side"))
     sizes = (
         lo.groupBy("dim").agg(F.count(F.lit(1)).alias("n_low"))
         .join(hi.groupBy("dim").agg(F.count(F.lit(1)).alias("n_high")), "dim")
         .withColumn("chooser", F.when(F.col("n_low") <= F.col("n_high"), "low").otherwise("high"))
-        .withColumn("n_blk", F.greatest(F.lit(1), F.ceil(F.least("n_low", "n_high") / F.lit(block))).cast("int"))
+        .withColumn("n_seg", F.ceil(F.least("n_low", "n_high") / F.lit(block * segment)).cast("int"))
     ).checkpoint()
     # one row for each of the dimensions
-    both = lo.unionByName(hi).join(F.broadcast(sizes.select("dim", "chooser", "n_blk")), "dim")
+    both = lo.unionByName(hi).join(F.broadcast(sizes.select("dim", "chooser")), "dim")
     # the lexicon position is the priority (choosers) and the tie-break (partners)
     choosers = both.filter(F.col("side") == F.col("chooser")).select(
-        "dim", F.col("ord").alias("cidx"), F.col("word").alias("cword"), "vec",
-        F.pmod(F.hash("word"), F.col("n_blk")).alias("blk"),
-    ).checkpoint()
+        "dim", F.col("ord").alias("cidx"), F.col("word").alias("cword"), "vec").checkpoint()
     partners = both.filter(F.col("side") != F.col("chooser")).select(
-        "dim", F.col("ord").alias("pidx"), F.col("word").alias("pword"), "vec", "n_blk"
-    ).checkpoint()
+        "dim", F.col("ord").alias("pidx"), F.col("word").alias("pword"), "vec").checkpoint()
     # fresh attribute ids for the two sides (same lineage, joined below)
     choosers = choosers.toDF(*choosers.columns)
     partners = partners.toDF(*partners.columns)
 
-    # the chooser side is the smaller one, so every chooser ends up holding a
-    # partner: the loop stops when the holder count reaches the chooser count
-    n_choosers = choosers.count()
+    # lists are short and have no vectors, so many choosers are settled in one task
+    segments = sizes.select("dim", "n_seg")
     holders = spark.createDataFrame([], "dim string, pidx long, holder long, sim double")
-    reps_base = partners.select(
-        "dim", "pidx", "vec", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
-    held = 0
-    while held < n_choosers:
-        free = choosers.join(
-            holders.select("dim", F.col("holder").alias("cidx")), ["dim", "cidx"], "left_anti"
-        )
-        reps = reps_base.join(holders.select("dim", "pidx", "holder"), ["dim", "pidx"], "left")
-        props = (
-            free.select("dim", "blk", "cidx", "vec")
-            .groupBy("dim", "blk")
-            .cogroup(reps.groupBy("dim", "blk"))
-            .applyInPandas(_settle_block, _PROPOSAL_SCHEMA)
-        )
-        merged = holders.select("dim", "pidx", F.col("holder").alias("cidx"), "sim").unionByName(props)
+    lists = None
+    without = choosers.select("dim", "cidx")  # choosers that need a list
+    n_choosers = n_without = choosers.count()
+    n_held = total = generation = 0
+    # the chooser side is the smaller one and all similarities are finite, so
+    # every chooser ends up holding a partner
+    while n_held < n_choosers:
+        free = choosers.join(holders.select("dim", F.col("holder").alias("cidx")), ["dim", "cidx"], "left_anti")
+        if n_without:
+            # one row for each of the dimensions
+            n_blk = F.broadcast(without.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_blk")))
+            need = free.join(without, ["dim", "cidx"]).join(n_blk, "dim").select(
+                "dim", "cidx", "vec", F.pmod(F.hash("cidx"), F.col("n_blk")).alias("blk"))
+            replicas = partners.join(n_blk, "dim").select(
+                "dim", "pidx", "vec", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk")).join(
+                holders.select("dim", "pidx", "holder"), ["dim", "pidx"], "left")
+            made = need.groupBy("dim", "blk").cogroup(replicas.groupBy("dim", "blk")).applyInPandas(
+                _listed(size), _LIST_SCHEMA).checkpoint()
+            made, generation = made.withColumn("generation", F.lit(generation)), generation + 1
+            lists = made if lists is None else lists.unionByName(made)
+        latest = lists.groupBy("dim", "cidx").agg(F.max_by("prefs", "generation").alias("prefs"))
+        waiting = free.select("dim", "cidx").join(latest, ["dim", "cidx"]).join(F.broadcast(segments), "dim").select(
+            "dim", "cidx", "prefs", F.pmod(F.hash("cidx"), F.col("n_seg")).alias("seg"))
+        known = holders.join(F.broadcast(segments), "dim").select(
+            "dim", "pidx", "holder", F.explode(F.sequence(F.lit(0), F.col("n_seg") - 1)).alias("seg"))
+        # the state is cut from its lineage every round
+        proposed = waiting.groupBy("dim", "seg").cogroup(known.groupBy("dim", "seg")).applyInPandas(
+            _propose, _PROPOSAL_SCHEMA).checkpoint()
+        merged = holders.select("dim", "pidx", F.col("holder").alias("cidx"), "sim").unionByName(
+            proposed.filter("pidx is not null"))
         holders = merged.groupBy("dim", "pidx").agg(
             F.min_by(F.struct("cidx", "sim"), F.col("cidx")).alias("h")
-        ).select("dim", "pidx", F.col("h.cidx").alias("holder"), F.col("h.sim").alias("sim"))
-        # one job per round; the state is cut from its lineage every round
-        holders = holders.checkpoint()
-        held = holders.count()
+        ).select("dim", "pidx", F.col("h.cidx").alias("holder"), F.col("h.sim").alias("sim")).checkpoint()
+        before = n_held, total
+        n_held, total = holders.agg(F.count(F.lit(1)), F.coalesce(F.sum("holder"), F.lit(0))).first()
+        without = proposed.filter("pidx is null").select("dim", "cidx")
+        n_without = without.count()
+        if not n_without and (n_held, total) == before:
+            raise RuntimeError("contrast pairing stands still: a round changed nothing")
 
     pairs = (
         holders.join(choosers.select("dim", F.col("cidx").alias("holder"), "cword"), ["dim", "holder"])
@@ -157,7 +215,9 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK) -> DataF
 def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = 512) -> DataFrame:
     """C06 without emitting pairs: for each chooser ``(dim, cidx, vec)`` its most
     similar partner ``(dim, pidx, vec)`` by cosine (ties: larger pidx), from a
-    blocked matrix product per dimension. Returns ``(dim, cidx, pidx, sim)``."""
+    blocked matrix product per dimension. Vectors that are not finite are left
+    out. Returns ``(dim, cidx, pidx, sim)``."""
+    choosers, partners = (x.filter(finite("vec")) for x in (choosers, partners))
     c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec")).toDF("dim", "cidx", "vec")
     p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec")).toDF("dim", "pidx", "vec")
     nb = c.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).cast("int").alias("n_blk"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from storylens.operators import lexicon as L
 from storylens.operators import score as S
-from storylens.operators.pairing import contrast_pairs
+from storylens.operators.pairing import contrast_pairs, nearest_partners
 
 
 def _lex(spark, rows):
@@ -94,11 +94,43 @@ def test_pairing_equals_sequential(spark, seed, n_low, n_high):
         j = len(sim[i]) - 1 - int(np.argmax(sim[i][::-1]))
         want.add((f"l{i}", f"h{j}") if n_low <= n_high else (f"l{j}", f"h{i}"))
         sim[:, j] = -np.inf
-    for block in (512, 2):  # one block, and several that contend for partners
-        got = {(r["low_word"], r["high_word"]) for r in contrast_pairs(low, high, block=block).collect()}
+    # one block, and several that contend for partners; long lists, and lists that are used up
+    for block, size, segment in ((512, 32, 32), (2, 1, 1)):
+        got = {(r["low_word"], r["high_word"]) for r in contrast_pairs(low, high, block, size, segment).collect()}
         assert got == want
 
 
+def test_pairing_of_equal_vectors(spark):
+    """All lists are alike, so each partner is asked for by every chooser."""
+    schema = "dim string, word string, ord long, vec array<double>"
+    low = spark.createDataFrame([("d", f"l{i}", i, [0.0, 0.0] if i % 3 == 0 else [1.0, 1.0]) for i in range(9)], schema)
+    high = spark.createDataFrame([("d", f"h{i}", i, [1.0, 1.0]) for i in range(9)], schema)
+    got = {(r["low_word"], r["high_word"]) for r in contrast_pairs(low, high, block=4, size=2).collect()}
+    assert got == {(f"l{i}", f"h{8 - i}") for i in range(9)}
+
+
+@pytest.mark.parametrize("bad", [[float("nan"), 1.0], None])
+def test_pairing_leaves_out_vectors_that_are_not_finite(spark, bad):
+    """In either pole, and in both: the rest is paired as without them."""
+    schema = "dim string, word string, ord long, vec array<double>"
+    good_low = [("d", "a", 0, [1.0, 0.0]), ("d", "b", 2, [0.0, 1.0])]
+    good_high = [("d", "x", 0, [1.0, 0.1]), ("d", "y", 2, [0.2, 1.0]), ("d", "z", 3, [-1.0, 0.0])]
+    for low, high in ((good_low + [("d", "bad", 1, bad)], good_high),
+                      (good_low, good_high + [("d", "bad", 1, bad), ("e", "only", 0, [float("inf"), 0.0])])):
+        got = {(r["low_word"], r["high_word"]) for r in contrast_pairs(
+            spark.createDataFrame(low, schema), spark.createDataFrame(high, schema)).collect()}
+        assert got == {("a", "x"), ("b", "y")}
+    # with two good partners and three choosers the good ones choose: the poles are counted without the bad
+    got = {(r["low_word"], r["high_word"]) for r in contrast_pairs(
+        spark.createDataFrame(good_low + [("d", "bad", 1, bad)], schema), spark.createDataFrame(good_high[:2], schema)).collect()}
+    assert got == {("a", "x"), ("b", "y")}
+    assert contrast_pairs(spark.createDataFrame([("d", "bad", 1, bad)], schema),
+                          spark.createDataFrame(good_high, schema)).count() == 0
+    near = nearest_partners(spark.createDataFrame(good_low, schema).selectExpr("dim", "ord cidx", "vec"),
+                            spark.createDataFrame(good_high + [("d", "bad", 1, bad)], schema).selectExpr("dim", "ord pidx", "vec"))
+    assert {(r["cidx"], r["pidx"]) for r in near.collect()} == {(0, 0), (2, 2)}
+
+
 def test_pairing_ties(spark):
     # identical partners: the later partner wins a tie
     schema = "dim string, word string, ord long, vec array<double>"
