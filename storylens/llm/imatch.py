@@ -1,18 +1,21 @@
 """I-Match document fingerprints, with DataFrame functions alone.
 
 The lexicon holds the terms whose inverse document frequency lies in a band:
-those in one of ``RARE`` documents at least and one of ``COMMON`` at most.
-``SUBSETS`` randomised subsets take each term by its own hash, at one of four
-rates, so that short and long texts find subsets that suit them. A text's
-fingerprint is the hash, for each subset, of its distinct sorted terms in it.
-
-Size bound of the broadcast lexicon: a term in one of RARE documents is
-counted N / RARE times, and all documents have N x (mean distinct terms)
-counts, so it has RARE x (mean distinct terms) terms at most, however many
-documents there are. Terms over ``TERM_CHARS`` characters are left out of it.
-
-Likeness of two fingerprints: of the subsets that either text has terms in, the
-share with equal hashes; 1 if neither has any.
+those in one of ``RARE`` different texts at least and one of ``COMMON`` at most
+(copies of a text count once). Each band term is in one of ``DEALT`` subsets of
+each of ``DEALS`` random deals of the lexicon, and by its own hash in further
+subsets at lower rates, which suit long texts. A text's fingerprint is the hash,
+for each subset, of its distinct sorted terms in it, and one more of all its
+distinct sorted terms, whatever their frequency.
+
+Size bound of the broadcast lexicon: a term in one of RARE texts is counted
+N / RARE times, and all N texts have N x (mean distinct terms) counts, so it has
+RARE x (mean distinct terms) terms at most, of RARE x (mean text length) bytes,
+however many documents there are.
+
+Likeness of two fingerprints: of each rate's subsets in which either text has
+terms, the share with equal hashes; then the mean over rates. If neither text
+has a band term, 1 if all their own terms are equal (or they have none), else 0.
 
 Documents are dealt by quantiles of doc_id, so a window finds the next one in
 its part, and the first document of the following part is added at the end.
@@ -31,11 +34,14 @@ from storylens.llm.common import prepare, shuffle_width, staged, texts
 
 RARE = 2000
 COMMON = 20
-TERM_CHARS = 64
-SUBSETS = 64
-# First three hex digits of a term's hash are below this in subset k (k mod 4):
-# one in 32, 128, 512 and 2048 terms.
-BELOW = ("080", "020", "008", "002")
+# Deals of all band terms to so many subsets each: a term is in one of each deal.
+DEALS, DEALT = 2, 32
+# Further subsets, and their rates: first three hex digits of a term's hash below.
+MORE = 16
+BELOW = ("020", "008", "002")
+# Subsets of one rate stand together; the last hash is that of all terms.
+RATES = [(0, DEALS * DEALT), *[(DEALS * DEALT + i * MORE, MORE) for i in range(len(BELOW))]]
+SUBSETS = DEALS * DEALT + MORE * len(BELOW)
 # A subset's hash: so many hex digits; these zeros where it has no term.
 DIGITS = 8
 EMPTY = "0" * DIGITS
@@ -48,15 +54,28 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(words), "")
 
 
+def _hash(salt, term: Column, digits: int) -> Column:
+    return F.substring(F.md5(F.concat(salt, F.lit(":"), term).cast("binary")), 1, digits)
+
+
+def subsets_of(term: Column) -> Column:
+    """Numbers of the subsets that take a band term."""
+    dealt = [F.conv(_hash(F.lit(f"deal {i}"), term, 4), 16, 10).cast("int") % DEALT + i * DEALT for i in range(DEALS)]
+    more = F.sequence(F.lit(DEALS * DEALT), F.lit(SUBSETS - 1))
+    below = F.array(*[F.lit(b) for b in BELOW])
+    taken = F.filter(more, lambda k: _hash(k.cast("string"), term, 3) < F.get(
+        below, F.floor((k - DEALS * DEALT) / MORE).cast("int")))
+    return F.concat(F.array(*dealt), taken)
+
+
 def lexicon(docs: DataFrame) -> DataFrame:
-    """``term, k``: terms of the band in each subset k that takes them."""
-    n = docs.count()
-    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = df.where((F.col("df") * RARE >= n) & (F.col("df") * COMMON <= n) & (F.length("term") <= TERM_CHARS))
-    each = band.select("term", F.explode(F.sequence(F.lit(0), F.lit(SUBSETS - 1))).alias("k"))
-    digits = F.substring(F.md5(F.concat(F.col("k").cast("string"), F.lit(":"), F.col("term")).cast("binary")), 1, 3)
-    below = F.element_at(F.array(*[F.lit(b) for b in BELOW]), F.col("k") % len(BELOW) + 1)
-    return each.where(digits < below)
+    """``term, ks``: terms of the band, and the subsets that take each."""
+    each = docs.select("text").distinct().select(F.explode(F.concat(F.array(F.lit("")), terms(F.col("text")))).alias("term"))
+    df = staged(each.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    # the empty term is counted once for each different text
+    n = df.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    band = df.where((F.col("term") != "") & (F.col("df") * RARE >= n) & (F.col("df") * COMMON <= n))
+    return band.select("term", subsets_of(F.col("term")).alias("ks"))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -91,11 +110,24 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among subsets where either has terms."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
-    full = F.size(F.filter(both, lambda x: (x["a"] != EMPTY) | (x["b"] != EMPTY)))
-    same = F.size(F.filter(both, lambda x: (x["a"] != EMPTY) & (x["a"] == x["b"])))
-    return F.when(full == 0, F.lit(1.0)).otherwise(same / full)
+    """Mean over rates of the share of equal hashes among subsets where either
+    has terms; see the module."""
+    shares = []
+    for first, many in RATES:
+        both = F.arrays_zip(F.slice(a, first + 1, many).alias("a"), F.slice(b, first + 1, many).alias("b"))
+        full = F.filter(both, lambda x: (x["a"] != EMPTY) | (x["b"] != EMPTY))
+        same = F.size(F.filter(full, lambda x: x["a"] == x["b"]))
+        shares.append(F.when(F.size(full) > 0, same / F.size(full)))
+    filled = F.filter(F.array(*shares), lambda x: x.isNotNull())
+    total = F.aggregate(filled, F.lit(0.0), lambda acc, x: acc + x)
+    whole = F.when(F.element_at(a, -1) == F.element_at(b, -1), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(F.size(filled) > 0, total / F.size(filled)).otherwise(whole)
+
+
+def _whole(own: Column) -> Column:
+    """The hash of all terms."""
+    joined = F.array_join(F.sort_array(own), " ")
+    return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.substring(F.md5(joined.cast("binary")), 1, DIGITS))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,18 +138,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # bounded as the module says
     lex = F.broadcast(staged(lexicon(docs), "lexicon"))
     rows = in_order(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    about = F.concat_ws(":", F.char_length("text").cast("string"), F.sha2(F.col("edited").cast("binary"), 256))
-    rows = rows.select("part", "at", "extra", "doc_id", terms(F.col("text")).alias("own"),
-                       terms(F.col("edited")).alias("other"), about.alias("about"))
+    rows = rows.select("part", "at", "extra", "doc_id", terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"),
+                       F.char_length("text").cast("string").alias("n_chars"),
+                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    about = F.concat_ws(":", "n_chars", "edited_sha256", _whole(F.col("own")), _whole(F.col("other")))
     # one row for each term of the text (side 0), of the edited text (1), and
     # one that carries what is known of the document (2)
     pos = rows.select("part", "at", "extra", "doc_id", F.size("own").alias("n0"),
                       (F.size("own") + F.size("other")).alias("n1"),
-                      F.posexplode(F.concat("own", "other", F.array("about"))).alias("pos", "term"))
+                      F.posexplode(F.concat("own", "other", F.array(about))).alias("pos", "term"))
     side = F.when(F.col("pos") < F.col("n0"), 0).when(F.col("pos") < F.col("n1"), 1).otherwise(2)
     each = pos.select("part", "at", "extra", "doc_id", side.alias("side"), F.col("term"))
-    met = each.join(lex, "term", "left").where("k is not null or side = 2").select(
-        "part", "at", "extra", "doc_id", "side", F.when(F.col("side") == 2, -1).otherwise(F.col("k")).alias("k"), "term")
+    met = each.join(lex, "term", "left").where("ks is not null or side = 2").select(
+        "part", "at", "extra", "doc_id", "side", "term",
+        F.explode(F.when(F.col("side") == 2, F.array(F.lit(-1))).otherwise(F.col("ks"))).alias("k"))
     subset = met.groupBy("part", "at", "extra", "doc_id", "side", "k").agg(
         F.array_join(F.sort_array(F.collect_set("term")), " ").alias("terms"))
     hashed = subset.select("part", "at", "extra", "doc_id", "side", "k", F.when(
@@ -125,22 +159,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc = hashed.groupBy("part", "at", "extra", "doc_id").agg(
         F.max(F.when(F.col("side") == 2, F.col("h"))).alias("about"),
         *[F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("k", "h")))).alias(f"m{s}") for s in (0, 1)])
+    doc = doc.withColumn("about", F.split("about", ":"))
 
-    def filled(m: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-                           lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(EMPTY)))
+    def filled(m: str, whole: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
+                            lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(EMPTY)))
+        return F.concat(found, F.array(F.col("about")[whole]))
 
-    doc = doc.select("part", "at", "extra", "doc_id", "about", filled("m0").alias("f0"), filled("m1").alias("f1"))
+    doc = doc.select("part", "at", "extra", "doc_id", "about", filled("m0", 2).alias("f0"), filled("m1", 3).alias("f1"))
     following = F.lead("f0").over(Window.partitionBy("part").orderBy("at"))
     doc = doc.withColumn("f2", F.coalesce(following, "f0")).where("extra = 0")
     return doc.select(
-        "doc_id", F.substring_index("about", ":", 1).cast("long").alias("n_chars"),
-        F.substring_index("about", ":", -1).alias("edited_sha256"),
+        "doc_id", F.col("about")[0].cast("long").alias("n_chars"), F.col("about")[1].alias("edited_sha256"),
         F.array_join("f0", "").alias("fingerprint"), F.array_join("f1", "").alias("edited_fingerprint"),
         likeness(F.col("f0"), F.col("f1")).alias("near_edited"), likeness(F.col("f0"), F.col("f2")).alias("near_next"))
 
 
 _WORDS = "list_distinct(regexp_extract_all(translate({0}, '" + _UPPER + "', '" + _UPPER.lower() + "'), '[^\\x20\\x09-\\x0D]+'))"
+_DEALT = [f"('0x' || substr(md5('deal {i}:' || term), 1, 4))::INT % {DEALT} + {i * DEALT} = k" for i in range(DEALS)]
+_MORE = " WHEN ".join(f"k < {first + many} THEN substr(md5(k::VARCHAR || ':' || term), 1, 3) < '{b}'"
+                      for (first, many), b in zip(RATES[1:], BELOW, strict=True))
+
+
+def _likeness(other: str) -> str:
+    """SQL for the likeness of the hash lists ``l`` and ``other``."""
+    shares = []
+    for first, many in RATES:
+        z = f"list_zip(l[{first + 1}:{first + many}], {other}[{first + 1}:{first + many}])"
+        full = f"list_filter({z}, lambda x: x[1] <> '{EMPTY}' OR x[2] <> '{EMPTY}')"
+        shares.append(f"len(list_filter({full}, lambda x: x[1] = x[2]))::DOUBLE / nullif(len({full}), 0)")
+    return f"coalesce(list_avg([{', '.join(shares)}]), CASE WHEN l[-1] = {other}[-1] THEN 1.0 ELSE 0.0 END)::DOUBLE"
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id),
@@ -148,27 +198,24 @@ n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id),
              coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
 e AS (SELECT doc_id, next_id, text, length(text) AS n_chars,
              left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) AS edited FROM n),
-t AS (SELECT term, count(*) AS df FROM (SELECT unnest({_WORDS.format('text')}) AS term FROM d) GROUP BY term),
+u AS (SELECT DISTINCT text FROM d),
+t AS (SELECT term, count(*) AS df FROM (SELECT unnest({_WORDS.format('text')}) AS term FROM u) GROUP BY term),
 lex AS (SELECT term, k FROM t, range(0, {SUBSETS}) AS r(k)
-        WHERE df * {RARE} >= (SELECT count(*) FROM d) AND df * {COMMON} <= (SELECT count(*) FROM d)
-          AND length(term) <= {TERM_CHARS}
-          AND substr(md5(k::VARCHAR || ':' || term), 1, 3) < ['{BELOW[0]}', '{BELOW[1]}', '{BELOW[2]}', '{BELOW[3]}'][k % 4 + 1]),
+        WHERE df * {RARE} >= (SELECT count(*) FROM u) AND df * {COMMON} <= (SELECT count(*) FROM u)
+          AND CASE WHEN k < {DEALS * DEALT} THEN {' OR '.join(_DEALT)} WHEN {_MORE} END),
 w AS (SELECT doc_id, 0 AS side, unnest({_WORDS.format('text')}) AS term FROM e
       UNION ALL SELECT doc_id, 1, unnest({_WORDS.format('edited')}) FROM e),
 h AS (SELECT doc_id, side, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {DIGITS}) AS h
-      FROM w JOIN lex USING (term) GROUP BY doc_id, side, k),
+      FROM w JOIN lex USING (term) GROUP BY doc_id, side, k
+      UNION ALL SELECT doc_id, side, {SUBSETS}, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {DIGITS})
+      FROM w GROUP BY doc_id, side),
 g AS (SELECT doc_id, side, k, coalesce(h, '{EMPTY}') AS h
-      FROM (SELECT doc_id, side, k FROM d, range(0, {SUBSETS}) AS r(k), (VALUES (0), (1)) AS s(side)) AS a
+      FROM (SELECT doc_id, side, k FROM d, range(0, {SUBSETS + 1}) AS r(k), (VALUES (0), (1)) AS s(side)) AS a
       LEFT JOIN h USING (doc_id, side, k)),
 f AS (SELECT doc_id, side, string_agg(h, '' ORDER BY k) AS f, list(h ORDER BY k) AS l FROM g GROUP BY doc_id, side),
 s AS (SELECT e.doc_id, n_chars, sha256(edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
-             list_zip(a.l, b.l) AS ze, list_zip(a.l, c.l) AS zn
+             a.l, b.l AS le, c.l AS ln
       FROM e JOIN f AS a ON a.doc_id = e.doc_id AND a.side = 0 JOIN f AS b ON b.doc_id = e.doc_id AND b.side = 1
-      JOIN f AS c ON c.doc_id = e.next_id AND c.side = 0),
-c AS (SELECT *, len(list_filter(ze, lambda x: x[1] <> '{EMPTY}' OR x[2] <> '{EMPTY}')) AS fe,
-             len(list_filter(ze, lambda x: x[1] <> '{EMPTY}' AND x[1] = x[2])) AS se,
-             len(list_filter(zn, lambda x: x[1] <> '{EMPTY}' OR x[2] <> '{EMPTY}')) AS fn,
-             len(list_filter(zn, lambda x: x[1] <> '{EMPTY}' AND x[1] = x[2])) AS sn FROM s)
+      JOIN f AS c ON c.doc_id = e.next_id AND c.side = 0)
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-       CASE WHEN fe = 0 THEN 1.0::DOUBLE ELSE se::DOUBLE / fe END AS near_edited,
-       CASE WHEN fn = 0 THEN 1.0::DOUBLE ELSE sn::DOUBLE / fn END AS near_next FROM c"""
+       {_likeness('le')} AS near_edited, {_likeness('ln')} AS near_next FROM s"""

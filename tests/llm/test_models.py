@@ -233,3 +233,36 @@ def test_imatch_of_repeated_and_empty(spark):
     assert imatch.fingerprints(odd.empty(spark)).count() == 0
     one = imatch.fingerprints(odd.frame(spark, [(1, "a b c d", "e", "s", 1)], 1)).first()
     assert one["near_next"] == 1.0
+
+
+def test_imatch_covers_every_term_and_counts_copies_once(spark):
+    """A text of which half of all rows are copies keeps its band terms; texts of
+    long or rare words alone have fingerprints of their own."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = [" ".join(rng.sample(words, 8)) for _ in range(100)] + ["copied text " + " ".join(words[:12])] * 100
+    texts += ["x" * 300, "y" * 300, "x" * 300 + " " + "y" * 300, "z " * 40]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = imatch.fingerprints(odd.frame(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["fingerprint"], set()).add(" ".join(sorted(set(texts[r["doc_id"]].split()))))
+    assert all(len(x) == 1 for x in by.values())
+    copied = next(r for r in got if r["doc_id"] == 100)
+    subsets = [copied["fingerprint"][i:i + imatch.DIGITS] for i in range(0, len(copied["fingerprint"]), imatch.DIGITS)]
+    assert len(subsets) == imatch.SUBSETS + 1 and sum(h != imatch.EMPTY for h in subsets) > 4
+    lex = {r["term"]: r["ks"] for r in imatch.lexicon(imatch.texts(odd.frame(spark, rows))).collect()}
+    assert {"x" * 300, "y" * 300, "z"} <= set(lex)
+    for ks in lex.values():
+        assert [sum(i * imatch.DEALT <= k < (i + 1) * imatch.DEALT for k in ks) for i in range(imatch.DEALS)] == [1] * imatch.DEALS
+
+
+def test_imatch_query_equals_its_twin(spark, sf_small):
+    from storylens.llm import queries
+
+    got = queries.QUERIES["op7_imatch_fingerprints"](spark, sf_small).collect()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_small}/documents.parquet'")
+    want = {r[0]: r for r in con.execute(queries.ORACLE["op7_imatch_fingerprints"]).fetchall()}
+    assert {r["doc_id"]: tuple(r)[:5] for r in got} == {k: v[:5] for k, v in want.items()}
+    assert all(math.isclose(r[i], want[r["doc_id"]][i], abs_tol=1e-12) for r in got for i in (5, 6))
