@@ -47,9 +47,9 @@ def _write_source(spark, df, name: str, parts: int = 4) -> str:
 SELECT writer, p_ind, s_ind, s_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_words
 FROM fx_stories"""))
 def t02(spark, sf):
-    """Stories arrive as files; each micro-batch's result is
-    committed to its own batch folder (overwrite), then the run is replayed
-    with the same checkpoint, which must add nothing."""
+    """Stories arrive as files, whose results are committed batch by
+    batch; then the run is replayed with the same checkpoint folder, and with a
+    new one and another batch size, which must add nothing."""
     st = fx.stories(spark, sf).select("writer", "p_ind", "s_ind", "s_id", "text")
     src = _write_source(spark, st, "t02-src")
     out = shared_dir(spark, f"t02-out-{uuid.uuid4().hex}")
@@ -59,8 +59,8 @@ def t02(spark, sf):
         return batch.select("writer", "p_ind", "s_ind", "s_id", F.size(whitespace_words("text")).cast("bigint").alias("n_words"))
 
     T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
-    res = T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)  # replay: no new rows
-    return res.drop("batch_id")
+    T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
+    return T.run_batches(spark, src, st.schema, out, f"{ckpt}-new", fn, files_per_batch=3)
 
 
 @query("t03_incremental_scoring", with_ctes(["fx_stories", "fx_lexicon"],

@@ -2,11 +2,11 @@
 
 * T01: finished stories are skipped with a ``left_anti`` join on their key.
 * T02: results are committed per micro-batch with Structured Streaming
-  (file source, ``trigger(availableNow=True)``, ``foreachBatch``). Each batch
-  overwrites its own ``batch_id=<n>`` folder, so a batch replayed after a
-  crash between the write and the checkpoint commit rewrites the same rows
-  instead of appending duplicates; the streaming checkpoint is the done list
-  of input files.
+  (file source, ``trigger(availableNow=True)``, ``foreachBatch``) to a commit
+  log (``commits.py``). A batch writes a folder of its own, and one manifest
+  makes it visible and names the source files it was made of. Files that a
+  manifest names are done: a replayed batch, a run with a new checkpoint folder
+  or another batch size adds only what is missing.
 * T03: new story files are scored against static lexicon/vector word scores
   (prepared once, written to the shared folder) inside ``foreachBatch``.
 """
@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
 from storylens.operators.attrs import all_attrs
 from storylens.operators.score import score_with_table
+from storylens.streaming.commits import CommitLog
 
 
 def skip_finished(df: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("writer", "p_ind")) -> DataFrame:
@@ -30,21 +31,32 @@ def skip_finished(df: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("writ
 
 
 def done_stories(spark: SparkSession, out_path: str, keys: tuple[str, ...] = ("writer", "p_ind", "s_ind")) -> DataFrame:
-    """The done list of a job that does not stream, from committed results;
-    empty only if there is no such folder yet. A store that cannot be read
-    raises."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.parquet(out_path).select(*keys).distinct()
-    return spark.createDataFrame([], ", ".join(f"{k} {'string' if k == 'writer' else 'long'}" for k in keys))
+    """The done list of a job that does not stream, from a table that
+    ``run_batches`` committed; empty if nothing is committed yet. A store that
+    cannot be read raises."""
+    schema = ", ".join(f"{k} {'string' if k == 'writer' else 'long'}" for k in keys)
+    return CommitLog(spark, out_path).read(spark.createDataFrame([], schema).schema).distinct()
 
 
-def idempotent_batch_writer(out_path: str, fn: Callable[[DataFrame, int], DataFrame]):
-    """A ``foreachBatch`` function that writes ``fn(batch)`` to the
-    batch's own folder in overwrite mode (replay-safe)."""
+_FILE = "_source_file"
+
+
+def committing_writer(log: CommitLog, fn: Callable[[DataFrame, int], DataFrame]):
+    """A ``foreachBatch`` function for batches with their source file in
+    ``_source_file``. Files that a commit names are left out, so a batch that is
+    replayed after a crash between its commit and the checkpoint adds nothing,
+    and one that crashed before its commit was never seen."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fn(batch, batch_id).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+        # one row for each file of the batch
+        files = [r[0] for r in batch.select(_FILE).distinct().collect()]
+        done = log.done()
+        new = [f for f in files if f not in done]
+        if not new:
+            return
+        if len(new) < len(files):
+            batch = batch.where(F.col(_FILE).isin(new))
+        log.commit(log.write(fn(batch.drop(_FILE), batch_id)), new)
 
     return write
 
@@ -52,21 +64,25 @@ def idempotent_batch_writer(out_path: str, fn: Callable[[DataFrame, int], DataFr
 def run_batches(spark: SparkSession, source_path: str, schema: StructType | str, out_path: str,
                 checkpoint_path: str, fn: Callable[[DataFrame, int], DataFrame],
                 files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Process every new file of `source_path` once, batch by batch, and
-    return the committed table. Re-running with the same checkpoint adds
-    nothing; a replayed batch overwrites its own output."""
+    """Process every file of `source_path` that no commit of `out_path`
+    names, batch by batch, and return the committed table. The checkpoint folder
+    only spares finding out what is done: with a new one, or another batch size,
+    nothing is added twice. An empty source, or one of empty files, gives an
+    empty table of the columns of `fn`."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    log = CommitLog(spark, out_path)
     q = (
-        reader.load(source_path).writeStream
-        .foreachBatch(idempotent_batch_writer(out_path, fn))
+        reader.load(source_path).select("*", F.col("_metadata.file_path").alias(_FILE)).writeStream
+        .foreachBatch(committing_writer(log, fn))
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    empty = spark.createDataFrame([], schema)
+    return log.read(fn(empty, 0).schema)
 
 
 def scoring_batch(word_scores: DataFrame, modes: DataFrame, dims=DIMENSIONS, sms=SCORE_METHODS):
@@ -85,4 +101,4 @@ def scoring_batch(word_scores: DataFrame, modes: DataFrame, dims=DIMENSIONS, sms
     return fn
 
 
-__all__ = ["ATTR_METHODS", "done_stories", "run_batches", "scoring_batch", "skip_finished"]
+__all__ = ["ATTR_METHODS", "committing_writer", "done_stories", "run_batches", "scoring_batch", "skip_finished"]
