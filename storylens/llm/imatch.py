@@ -1,8 +1,10 @@
 """I-Match document fingerprints, with DataFrame functions alone.
 
 The lexicon holds the terms whose inverse document frequency lies in a band:
-those in one of ``RARE`` different texts at least and one of ``COMMON`` at most
-(copies of a text count once). Each band term is in one of ``DEALT`` subsets of
+those in one of ``RARE`` texts at least and one of ``COMMON`` at most. A text
+that is one in ``COPIED`` of all rows or more counts once however often it is
+there (rarer copies, each under 1 / COPIED of all rows, count as texts: they
+cannot take a term over a bound that is far higher). Each band term is in one of ``DEALT`` subsets of
 each of ``DEALS`` random deals of the lexicon, and by its own hash in further
 subsets at lower rates, which suit long texts. A text's fingerprint is the hash,
 for each subset, of its distinct sorted terms in it, and one more of all its
@@ -34,6 +36,8 @@ from storylens.llm.common import prepare, shuffle_width, staged, texts
 
 RARE = 2000
 COMMON = 20
+# At most so many texts are one in so many of all rows: the bound of a broadcast.
+COPIED = 1 << 16
 # Deals of all band terms to so many subsets each: a term is in one of each deal.
 DEALS, DEALT = 2, 32
 # Further subsets, and their rates: first three hex digits of a term's hash below.
@@ -44,6 +48,8 @@ RATES = [(0, DEALS * DEALT), *[(DEALS * DEALT + i * MORE, MORE) for i in range(l
 SUBSETS = DEALS * DEALT + MORE * len(BELOW)
 # A subset's hash: so many hex digits; these zeros where it has no term.
 DIGITS = 8
+# Over the number of any subset.
+SIDE = 1000
 EMPTY = "0" * DIGITS
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -70,9 +76,15 @@ def subsets_of(term: Column) -> Column:
 
 def lexicon(docs: DataFrame) -> DataFrame:
     """``term, ks``: terms of the band, and the subsets that take each."""
-    each = docs.select("text").distinct().select(F.explode(F.concat(F.array(F.lit("")), terms(F.col("text")))).alias("term"))
-    df = staged(each.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-    # the empty term is counted once for each different text
+    keyed = docs.select("text", F.md5(F.col("text").cast("binary")).alias("h"))
+    copies = staged(keyed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    copied = F.broadcast(copies.where(F.col("copies") * COPIED >= docs.count()))
+    # a text's copies have a weight of 1 together; sums are rounded to whole texts
+    weight = F.lit(1.0) / F.coalesce("copies", F.lit(1))
+    each = keyed.join(copied, "h", "left").select(weight.alias("w"), F.explode(F.concat(
+        F.array(F.lit("")), terms(F.col("text")))).alias("term"))
+    df = staged(each.groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("df")), "frequencies")
+    # every text has the empty term
     n = df.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     band = df.where((F.col("term") != "") & (F.col("df") * RARE >= n) & (F.col("df") * COMMON <= n))
     return band.select("term", subsets_of(F.col("term")).alias("ks"))
@@ -138,27 +150,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # bounded as the module says
     lex = F.broadcast(staged(lexicon(docs), "lexicon"))
     rows = in_order(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("part", "at", "extra", "doc_id", terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"),
+    rows = rows.select("part", "at", F.col("extra").cast("string").alias("extra"), "doc_id", terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("other"),
                        F.char_length("text").cast("string").alias("n_chars"),
                        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    about = F.concat_ws(":", "n_chars", "edited_sha256", _whole(F.col("own")), _whole(F.col("other")))
+    about = F.concat_ws(":", "n_chars", "edited_sha256", _whole(F.col("own")), _whole(F.col("other")), "extra",
+                        F.col("doc_id").cast("string"))
     # one row for each term of the text (side 0), of the edited text (1), and
     # one that carries what is known of the document (2)
-    pos = rows.select("part", "at", "extra", "doc_id", F.size("own").alias("n0"),
-                      (F.size("own") + F.size("other")).alias("n1"),
+    pos = rows.select("part", "at", F.size("own").alias("n0"), (F.size("own") + F.size("other")).alias("n1"),
                       F.posexplode(F.concat("own", "other", F.array(about))).alias("pos", "term"))
     side = F.when(F.col("pos") < F.col("n0"), 0).when(F.col("pos") < F.col("n1"), 1).otherwise(2)
-    each = pos.select("part", "at", "extra", "doc_id", side.alias("side"), F.col("term"))
+    each = pos.select("part", "at", side.alias("side"), F.col("term"))
     met = each.join(lex, "term", "left").where("ks is not null or side = 2").select(
-        "part", "at", "extra", "doc_id", "side", "term",
-        F.explode(F.when(F.col("side") == 2, F.array(F.lit(-1))).otherwise(F.col("ks"))).alias("k"))
-    subset = met.groupBy("part", "at", "extra", "doc_id", "side", "k").agg(
-        F.array_join(F.sort_array(F.collect_set("term")), " ").alias("terms"))
-    hashed = subset.select("part", "at", "extra", "doc_id", "side", "k", F.when(
-        F.col("side") == 2, F.col("terms")).otherwise(F.substring(F.md5(F.col("terms").cast("binary")), 1, DIGITS)).alias("h"))
-    doc = hashed.groupBy("part", "at", "extra", "doc_id").agg(
-        F.max(F.when(F.col("side") == 2, F.col("h"))).alias("about"),
-        *[F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("k", "h")))).alias(f"m{s}") for s in (0, 1)])
+        "part", "at", "side", "term", F.explode(F.when(F.col("side") == 2, F.array(F.lit(0))).otherwise(F.col("ks"))).alias("k"))
+    # side and subset in one number: fewer bytes to sort
+    packed = met.select("part", "at", (F.col("side") * SIDE + F.col("k")).alias("k"), "term")
+    subset = packed.groupBy("part", "at", "k").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("terms"))
+    is_about = F.col("k") >= 2 * SIDE
+    hashed = subset.select("part", "at", "k", F.when(is_about, F.col("terms")).otherwise(
+        F.substring(F.md5(F.col("terms").cast("binary")), 1, DIGITS)).alias("h"))
+    doc = hashed.groupBy("part", "at").agg(
+        F.max(F.when(is_about, F.col("h"))).alias("about"),
+        *[F.map_from_entries(F.collect_list(F.when(F.floor(F.col("k") / SIDE) == s, F.struct(
+            (F.col("k") % SIDE).alias("k"), "h")))).alias(f"m{s}") for s in (0, 1)])
     doc = doc.withColumn("about", F.split("about", ":"))
 
     def filled(m: str, whole: int) -> Column:
@@ -166,7 +180,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                             lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(EMPTY)))
         return F.concat(found, F.array(F.col("about")[whole]))
 
-    doc = doc.select("part", "at", "extra", "doc_id", "about", filled("m0", 2).alias("f0"), filled("m1", 3).alias("f1"))
+    doc = doc.select("part", "at", F.col("about")[4].cast("int").alias("extra"), F.try_element_at("about", F.lit(6)).cast(
+        "long").alias("doc_id"), "about", filled("m0", 2).alias("f0"), filled("m1", 3).alias("f1"))
     following = F.lead("f0").over(Window.partitionBy("part").orderBy("at"))
     doc = doc.withColumn("f2", F.coalesce(following, "f0")).where("extra = 0")
     return doc.select(
@@ -198,10 +213,10 @@ n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id),
              coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
 e AS (SELECT doc_id, next_id, text, length(text) AS n_chars,
              left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) AS edited FROM n),
-u AS (SELECT DISTINCT text FROM d),
-t AS (SELECT term, count(*) AS df FROM (SELECT unnest({_WORDS.format('text')}) AS term FROM u) GROUP BY term),
+u AS (SELECT text, CASE WHEN count(*) * {COPIED} >= (SELECT count(*) FROM d) THEN 1 ELSE count(*) END AS copies FROM d GROUP BY text),
+t AS (SELECT term, sum(copies) AS df FROM (SELECT copies, unnest({_WORDS.format('text')}) AS term FROM u) GROUP BY term),
 lex AS (SELECT term, k FROM t, range(0, {SUBSETS}) AS r(k)
-        WHERE df * {RARE} >= (SELECT count(*) FROM u) AND df * {COMMON} <= (SELECT count(*) FROM u)
+        WHERE df * {RARE} >= (SELECT sum(copies) FROM u) AND df * {COMMON} <= (SELECT sum(copies) FROM u)
           AND CASE WHEN k < {DEALS * DEALT} THEN {' OR '.join(_DEALT)} WHEN {_MORE} END),
 w AS (SELECT doc_id, 0 AS side, unnest({_WORDS.format('text')}) AS term FROM e
       UNION ALL SELECT doc_id, 1, unnest({_WORDS.format('edited')}) FROM e),
