@@ -12,12 +12,8 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from storylens.functions.indexing import cumulative_sum, sequential_index
 
@@ -113,66 +109,68 @@ def spearman_t(r: Column, n: Column) -> Column:
 
 # --- t distribution ---------------------------------------------------------
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = tiny if abs(d) < tiny else d
-    d = 1.0 / d
-    h = d
-    for m in range(1, 400):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = tiny if abs(d) < tiny else d
-        c = 1.0 + aa / c
-        c = tiny if abs(c) < tiny else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return h
-
-
-def reg_inc_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1.0 - x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p_value(t: float, dof: float) -> float:
-    """Two-sided p of Student's t: I_{dof/(dof+t^2)}(dof/2, 1/2)."""
-    if t is None or dof is None or not np.isfinite(dof) or dof <= 0 or (isinstance(t, float) and math.isnan(t)):
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return reg_inc_beta(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-@pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Vectorised over result rows (a few dozen per report)."""
-    out = [
-        None if (pd.isna(a) or pd.isna(b)) else t_two_sided_p_value(float(a), float(b))
-        for a, b in zip(t, dof)
-    ]
-    return pd.Series(out, dtype="float64")
+# Coefficients of the Lanczos approximation for g = 7.
+LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+           12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
+
+
+def log_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x >= 1/2."""
+    z = x - 1.0
+    total = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:], 1):
+        total = total + F.lit(c) / (z + float(i))
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(total)
+
+
+def log_beta_half(a: Column) -> Column:
+    """ln B(a, 1/2) for a >= 1/2; for large a by the expansion of the ratio of
+    the gamma functions, whose difference would cancel."""
+    far = 0.5 * F.log(a) - 1.0 / (8.0 * a) + 1.0 / (192.0 * a * a * a)
+    return F.lit(0.5 * math.log(math.pi)) - F.when(a > 100.0, far).otherwise(log_gamma(a + 0.5) - log_gamma(a))
+
+
+def beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function by the modified Lentz
+    recurrence over a fixed sequence of steps: 60 and four times the root of
+    the larger parameter, which it needs by then where x < (a+1) / (a+b+2)."""
+    n = 60 + F.ceil(4.0 * F.sqrt(F.greatest(a, b))).cast("int")
+
+    def kept(v: Column) -> Column:  # off zero
+        return F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def half(s: Column, k: Column) -> Column:
+        """``s`` with c and d after the coefficient k."""
+        d = 1.0 / kept(1.0 + k * s["d"])
+        c = kept(1.0 + k / s["c"])
+        return F.struct(s["a"].alias("a"), s["b"].alias("b"), s["x"].alias("x"), c.alias("c"), d.alias("d"),
+                        (s["h"] * d * c).alias("h"))
+
+    def even(s: Column, m: Column) -> Column:
+        return half(s, m * (s["b"] - m) * s["x"] / ((s["a"] - 1.0 + 2.0 * m) * (s["a"] + 2.0 * m)))
+
+    def odd(s: Column, m: Column) -> Column:
+        return half(s, -(s["a"] + m) * (s["a"] + s["b"] + m) * s["x"] / ((s["a"] + 2.0 * m) * (s["a"] + 1.0 + 2.0 * m)))
+
+    first = 1.0 / kept(1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(a.alias("a"), b.alias("b"), x.alias("x"), F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    # steps 2m and 2m + 1 have coefficients of two forms
+    steps = F.sequence(F.lit(2), 2 * n + 1)
+    return F.aggregate(steps, start, lambda s, k: F.when(k % 2 == 0, even(s, (k / 2).cast("double"))).otherwise(
+        odd(s, F.floor(k / 2).cast("double"))), lambda s: s["h"])
+
+
+def t_p_value(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t, I_x(dof/2, 1/2) at x = dof / (dof + t^2).
+    Null without t or a positive dof; 0 for an infinite t."""
+    a, b = dof / 2.0, F.lit(0.5)
+    y = t * t / (dof + t * t)  # 1 - x, without cancellation
+    scale = F.exp(-a * F.log1p(t * t / dof) + 0.5 * F.log(y) - log_beta_half(a))
+    below = 1.0 - y < (a + 1.0) / (a + 2.5)
+    p = F.when(below, scale * beta_fraction(a, b, 1.0 - y) / a).otherwise(1.0 - scale * 2.0 * beta_fraction(b, a, y))
+    known = t.isNotNull() & ~F.isnan(t) & (dof > 0)
+    return F.when(known, F.when(t == 0, F.lit(1.0)).when(F.abs(t) == F.lit(float("inf")), F.lit(0.0)).otherwise(p))
 
 
 def two_sample_t(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> tuple[Column, Column]:

@@ -35,7 +35,8 @@ def best_sm() -> Column:
 
 
 def at_best_sm(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("sm") == best_sm())
+    # the list of methods prunes partitions of a stored grid, which the choice by dimension cannot
+    return df.filter(F.col("sm").isin(sorted(set(BEST_SM.values()))) & (F.col("sm") == best_sm()))
 
 
 def pov_crosstab(info: DataFrame, labels: list[str] = POV_LABELS) -> DataFrame:

@@ -104,24 +104,29 @@ def word_score_table(lex: DataFrame, vectors: DataFrame | None = None, dims: lis
     return out
 
 
-def _coords(dims: list[str], sms: list[str]) -> list[tuple[str, str]]:
+def coordinates(dims: list[str], sms: list[str]) -> list[tuple[str, str]]:
     return [(d, m) for d in dims for m in sms]
 
 
-def wide_word_scores(word_scores: DataFrame, dims: list[str], sms: list[str]) -> DataFrame:
+def _dims_of(coords: list[tuple[str, str]], sm: str) -> list[str]:
+    return [d for d, m in coords if m == sm]
+
+
+def wide_word_scores(word_scores: DataFrame, coords: list[tuple[str, str]]) -> DataFrame:
     """One row per word, one column ``k<i>`` per (dim, sm) coordinate."""
     cols = [
         F.max(F.when((F.col("dim") == d) & (F.col("sm") == m), F.col("wscore"))).alias(f"k{i}")
-        for i, (d, m) in enumerate(_coords(dims, sms))
+        for i, (d, m) in enumerate(coords)
     ]
-    return word_scores.filter(F.col("dim").isin(dims) & F.col("sm").isin(sms)).groupBy("w").agg(*cols)
+    return word_scores.filter(F.col("dim").isin([d for d, _ in coords]) & F.col("sm").isin([m for _, m in coords])).groupBy(
+        "w").agg(*cols)
 
 
 def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
                      dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS,
-                     sms: list[str] = SCORE_METHODS) -> DataFrame:
+                     sms: list[str] = SCORE_METHODS, coords: list[tuple[str, str]] | None = None) -> DataFrame:
     """Score stories against a prepared word-score table; every story gets
-    every coordinate.
+    every coordinate (``coords``: some pairs of dims x sms).
 
     avg: graded lexicon -> mean score of found words, none found -> 0;
     unipolar lexicon -> sum of found scores / number of attributes, empty -> 0.
@@ -132,8 +137,8 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     broadcasts it below its own size threshold, else AQE splits skewed words),
     and the products are summed per (story, am).
     """
-    coords = _coords(dims, sms)
-    wide = wide_word_scores(word_scores, dims, sms).checkpoint()
+    coords = coords or coordinates(dims, sms)
+    wide = wide_word_scores(word_scores, coords).checkpoint()
     j = attr_word_counts(attrs.filter(F.col("am").isin(ams))).join(wide, "w", "left")
     n = F.col("n")
     aggs = [F.sum(n).alias("n_all")]
@@ -164,15 +169,23 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
 
 def score_stories(stories: DataFrame, attrs: DataFrame, lex: DataFrame, vectors: DataFrame | None = None,
                   dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS, sms: list[str] = SCORE_METHODS,
-                  use_contrast: bool = True) -> DataFrame:
-    """C14: one row per (story, am, dim, sm).
+                  use_contrast: bool = True, coords: list[tuple[str, str]] | None = None) -> DataFrame:
+    """C14: one row per (story, am, dim, sm). With ``coords``, some pairs of
+    dims x sms, nothing is computed for other pairs.
 
     stories: ``(s_key, ...)`` - every story gets every coordinate.
     attrs: ``(s_key, am, attr)`` exploded attribute lists (duplicates kept).
     lex: ``(dim, word, score, ord)``; vectors: ``(word, vec)``.
     """
-    ws = word_score_table(lex, vectors, dims, sms, use_contrast)
-    return score_with_table(stories, attrs, ws, lexicon_modes(lex), dims, ams, sms)
+    coords = coords or coordinates(dims, sms)
+    parts = []
+    for sm in dict.fromkeys(m for _, m in coords):
+        own = _dims_of(coords, sm)
+        parts.append(word_score_table(lex.filter(F.col("dim").isin(own)), vectors, own, [sm], use_contrast))
+    ws = parts[0]
+    for p in parts[1:]:
+        ws = ws.unionByName(p)
+    return score_with_table(stories, attrs, ws, lexicon_modes(lex), ams=ams, coords=coords)
 
 
 def blank_meaningless(scores: DataFrame) -> DataFrame:

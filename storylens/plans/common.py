@@ -3,14 +3,17 @@ tables, the score grid and z-scores, plus output rounding."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
+from storylens.constants import ATTR_METHODS, BEST_SM, DIMENSIONS, SCORE_METHODS
 from storylens.operators import attrs as A
 from storylens.operators.analysis import zscores
-from storylens.operators.score import blank_meaningless, score_stories
+from storylens.operators.score import blank_meaningless, coordinates, score_stories
+from storylens.session import shared_dir
 from storylens.sources import fixtures as fx
 
 DIGITS = 6
@@ -44,19 +47,35 @@ def attrs_for(spark: SparkSession, sf: str, ams: list[str] = ATTR_METHODS) -> Da
     return out
 
 
+# The best score method of each dimension.
+BEST = [(d, BEST_SM[d]) for d in DIMENSIONS]
+
+
 def grid_scores(spark: SparkSession, sf: str, dims=DIMENSIONS, ams=ATTR_METHODS, sms=SCORE_METHODS,
-                use_contrast: bool = True, blank: bool = True) -> DataFrame:
+                use_contrast: bool = True, blank: bool = True, parts: list | None = None) -> DataFrame:
     """C14 over the fixture stories with P11 applied:
-    ``(s_key, p_ind, s_ind, writer, s_id, s_pov, p_pov, am, dim, sm, score)``."""
-    stories = fx.stories(spark, sf)
-    vec = fx.vectors(spark, sf) if any(s in ("axis", "sim") for s in sms) else None
-    s = score_stories(stories, attrs_for(spark, sf, list(ams)), fx.lexicon(spark, sf), vec,
-                      list(dims), list(ams), list(sms), use_contrast)
-    s = blank_meaningless(s) if blank else s
-    # the score table is the analysis input: written once (reliable
-    # checkpoint in the shared folder) and read by every later step
-    return s.checkpoint()
+    ``(s_key, p_ind, s_ind, writer, s_id, s_pov, p_pov, am, dim, sm, score)``.
+
+    ``parts``: ``(ams, [(dim, sm), ...])``, the coordinates that are asked for;
+    others are not computed. The score table is the analysis input: written
+    once, as Parquet by (am, sm) in the shared folder, and read by every later
+    step, which prunes partitions and columns."""
+    asked = parts or [(list(ams), coordinates(list(dims), list(sms)))]
+    stories, lex = fx.stories(spark, sf), fx.lexicon(spark, sf)
+    path = shared_dir(spark, f"grid-{uuid.uuid4().hex}")
+    for own, coords in asked:
+        vec = fx.vectors(spark, sf) if any(m in ("axis", "sim") for _, m in coords) else None
+        s = score_stories(stories, attrs_for(spark, sf, own), lex, vec, ams=own, use_contrast=use_contrast, coords=coords)
+        s = blank_meaningless(s) if blank else s
+        s.write.partitionBy("am", "sm").mode("append").parquet(path)
+    return spark.read.schema(s.schema).parquet(path).select(*s.columns)
 
 
 def grid_z(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return zscores(grid_scores(spark, sf, **kw))
+
+
+def best_z(spark: SparkSession, sf: str, ams=("comet",)) -> DataFrame:
+    """Z-scores at each dimension's best method. They are pooled inside a
+    coordinate, so other coordinates are not needed."""
+    return grid_z(spark, sf, parts=[(list(ams), BEST)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from storylens.constants import BOOTSTRAP_RESAMPLES
+from storylens.constants import ATTR_METHODS, BOOTSTRAP_RESAMPLES, DIMENSIONS
 from storylens.operators import analysis as N
 from storylens.operators import matched as M
 from storylens.operators.analysis import LABEL_COLS
@@ -12,7 +12,7 @@ from storylens.plans import common as C
 from storylens.plans.oracle_fixtures import with_ctes
 from storylens.plans.q_score import grid_sql
 from storylens.plans.registry import query
-from storylens.plans.sqlparts import SQL_Z
+from storylens.plans.sqlparts import SQL_Z, sql_t_p
 from storylens.sources import fixtures as fx
 
 BEST = "CASE WHEN dim IN ('appearance', 'intellect') THEN 'sim' ELSE 'axis' END"
@@ -119,7 +119,7 @@ WHERE z_score IS NOT NULL AND ((am = 'all' AND sm = 'avg') OR (am IN ('comet', '
 def n08(spark, sf):
     """Mean and 95 % bootstrap interval (1000 Poisson resamples) by
     (dim, am, sm, POV, writer) for all/avg, comet/best and sub/best z-scores."""
-    return M.pov_writer_intervals(C.grid_z(spark, sf))
+    return M.pov_writer_intervals(C.grid_z(spark, sf, parts=[(["all"], [(d, "avg") for d in DIMENSIONS]), (["comet", "sub"], C.BEST)]))
 
 
 # --- N09-N17: correlations, t-tests, tables -------------------------------------
@@ -143,7 +143,7 @@ WHERE a.writer = 'human' AND a.sm = 'avg' AND b.sm = {BEST.replace('dim', 'b.dim
        floats=["sp_corr"])
 def n09(spark, sf):
     """Spearman between the avg and the best score method, human stories."""
-    return N.method_agreement(C.grid_scores(spark, sf))
+    return N.method_agreement(C.grid_scores(spark, sf, parts=[(ATTR_METHODS, [(d, "avg") for d in DIMENSIONS] + C.BEST)]))
 
 
 def _n10_src(x: str, y: str) -> str:
@@ -159,7 +159,7 @@ WHERE a.writer = 'human' AND a.dim IN ('appearance', 'intellect') AND a.sm IN ('
     for x, y in (("all", "sub"), ("all", "comet"), ("sub", "comet")))), floats=["sp_corr"])
 def n10(spark, sf):
     """Spearman between attribute methods for appearance and intellect."""
-    return N.attr_method_agreement(C.grid_z(spark, sf)).select("dim", "sm", "pair", "n", "sp_corr")
+    return N.attr_method_agreement(C.grid_z(spark, sf, dims=["appearance", "intellect"], sms=["avg", "sim"])).select("dim", "sm", "pair", "n", "sp_corr")
 
 
 def _t_sql(where: str, gcol: str, a: str, b: str) -> str:
@@ -179,7 +179,7 @@ FROM (SELECT dim, am,
 @query("n11_ttest_writers", zsql(_t_sql("", "writer", "human", "gpt-3.5")), floats=["t", "dof"])
 def n11(spark, sf):
     """Equal-variance t-test, human vs machine z-scores at the best method."""
-    return N.ttest_writers(C.grid_z(spark, sf))
+    return N.ttest_writers(C.best_z(spark, sf, ATTR_METHODS))
 
 
 SQL_PROMPT_MEANS = f"""
@@ -190,7 +190,7 @@ WHERE z_score IS NOT NULL AND sm = {BEST} GROUP BY writer, dim, am, p_ind"""
 @query("n12_prompt_means", zsql(SQL_PROMPT_MEANS), floats=["z_mean"])
 def n12(spark, sf):
     """Per-prompt mean z-score per writer at the best method."""
-    return N.prompt_means(C.grid_z(spark, sf))
+    return N.prompt_means(C.best_z(spark, sf, ATTR_METHODS))
 
 
 @query("n13_paired_ttest", zsql(f"""
@@ -204,21 +204,21 @@ FROM (SELECT h.dim, h.am, h.z_mean - m.z_mean AS d
 GROUP BY dim, am"""), floats=["t", "dof"])
 def n13(spark, sf):
     """Paired t-test of per-prompt means over prompts on both sides."""
-    return N.paired_ttest(C.grid_z(spark, sf))
+    return N.paired_ttest(C.best_z(spark, sf, ATTR_METHODS))
 
 
 @query("n14_ttest_female_male_human", zsql(_t_sql("AND writer = 'human'", "s_pov", "TP-F", "TP-M")),
        floats=["t", "dof"])
 def n14(spark, sf):
     """TP-F vs TP-M t-test within human stories."""
-    return N.ttest_female_male(C.grid_z(spark, sf), "human")
+    return N.ttest_female_male(C.best_z(spark, sf, ATTR_METHODS), "human")
 
 
 @query("n15_ttest_female_male_machine", zsql(_t_sql("AND writer = 'gpt-3.5'", "s_pov", "TP-F", "TP-M")),
        floats=["t", "dof"])
 def n15(spark, sf):
     """TP-F vs TP-M t-test within machine stories."""
-    return N.ttest_female_male(C.grid_z(spark, sf), "gpt-3.5")
+    return N.ttest_female_male(C.best_z(spark, sf, ATTR_METHODS), "gpt-3.5")
 
 
 def _table_sql(am: str, cell: bool = True) -> str:
@@ -232,13 +232,13 @@ GROUP BY dim, writer, s_pov""")
 @query("n16_pov_table_comet", _table_sql("comet"), floats=["z_mean", "z_std"])
 def n16(spark, sf):
     """Mean and sample std of z by POV and writer at comet/best."""
-    return N.pov_table(C.grid_z(spark, sf), "comet")
+    return N.pov_table(C.best_z(spark, sf), "comet")
 
 
 @query("n17_pov_table_sub", _table_sql("sub"), floats=["z_mean", "z_std"])
 def n17(spark, sf):
     """The same table at sub/best."""
-    return N.pov_table(C.grid_z(spark, sf), "sub")
+    return N.pov_table(C.best_z(spark, sf, ["sub"]), "sub")
 
 
 @query("p12_mean_std_cell", zsql(f"""
@@ -247,14 +247,19 @@ FROM z WHERE am = 'comet' AND sm = {BEST} AND s_pov IN ('TP-M', 'TP-F', 'FP', 'O
 GROUP BY dim, writer, s_pov"""))
 def p12(spark, sf):
     """The ``mean (std)`` cell text with two decimals."""
-    return N.pov_table(C.grid_z(spark, sf), "comet").select("dim", "writer", "s_pov", "cell")
+    return N.pov_table(C.best_z(spark, sf), "comet").select("dim", "writer", "s_pov", "cell")
 
 
-@query("u03_ttest_p_values")
+SQL_N11 = _t_sql("", "writer", "human", "gpt-3.5")
+
+
+@query("u03_ttest_p_values", zsql("SELECT n.*, tp.p FROM n11 n JOIN tp USING (dim, am)",
+                                  [("n11", SQL_N11), *sql_t_p("SELECT dim, am, t, dof FROM n11", "dim, am")]),
+       floats=["t", "dof", "p"])
 def u03(spark, sf):
-    """Two-sided p-values of the N11 t statistics (t distribution via the
-    regularised incomplete beta, a pandas UDF over the result rows)."""
-    return N.with_p_value(N.ttest_writers(C.grid_z(spark, sf)))
+    """Two-sided p-values of the N11 t statistics (t distribution by the
+    incomplete beta function, a column expression)."""
+    return N.with_p_value(N.ttest_writers(C.best_z(spark, sf, ATTR_METHODS)))
 
 
 # --- N18-N26: matched sampling and control ---------------------------------------
@@ -290,14 +295,14 @@ SQL_N19 = _sample_sql(PID_KEYS, "writer, dim, p_ind AS pid")
 def n18(spark, sf):
     """5 draws of 2 stories per (POV, prompt) and writer; mean and
     population std per draw, averaged over draws (seeded hash order)."""
-    base = M.comet_best(C.grid_z(spark, sf)).withColumnRenamed("s_pov", "pov").withColumnRenamed("p_ind", "pid")
+    base = M.comet_best(C.best_z(spark, sf)).withColumnRenamed("s_pov", "pov").withColumnRenamed("p_ind", "pid")
     return M.sample_group_stats(base, ["writer", "dim", "pov", "pid"], seed=SEED)
 
 
 @query("n19_sample_prompt", zsql(SQL_N19), floats=["mean", "std"])
 def n19(spark, sf):
     """The same sampling within prompts, POV ignored."""
-    base = M.comet_best(C.grid_z(spark, sf)).withColumnRenamed("p_ind", "pid")
+    base = M.comet_best(C.best_z(spark, sf)).withColumnRenamed("p_ind", "pid")
     return M.sample_group_stats(base, ["writer", "dim", "pid"], seed=SEED)
 
 
@@ -320,13 +325,13 @@ MATCH_FLOATS = ["human_mean", "human_std", "gpt_mean", "gpt_std", "mean_diff", "
 def n20(spark, sf):
     """N20 + N21: writers matched on (POV, prompt), stacked over dims, with
     the human - machine differences."""
-    return M.matched_differences(C.grid_z(spark, sf), by_pov=True, seed=SEED)
+    return M.matched_differences(C.best_z(spark, sf), by_pov=True, seed=SEED)
 
 
 @query("n21_match_prompt_differences", zsql(SQL_N21), floats=MATCH_FLOATS)
 def n21(spark, sf):
     """N20 + N21 matched on prompt only: ``mean_diff``, ``std_diff``."""
-    return M.matched_differences(C.grid_z(spark, sf), by_pov=False, seed=SEED)
+    return M.matched_differences(C.best_z(spark, sf), by_pov=False, seed=SEED)
 
 
 @query("n22_difference_summary", zsql(f"""
@@ -335,7 +340,7 @@ FROM ({SQL_N20}) GROUP BY ROLLUP (dim, pov) HAVING dim IS NOT NULL"""), floats=[
 def n22(spark, sf):
     """Mean and sample std of the differences by (dim, POV) and by dim,
     one grouping-sets aggregation."""
-    return M.difference_summary(M.matched_differences(C.grid_z(spark, sf), by_pov=True, seed=SEED))
+    return M.difference_summary(M.matched_differences(C.best_z(spark, sf), by_pov=True, seed=SEED))
 
 
 def _box_sql(keys: str, src: str, pov_null: bool) -> str:
@@ -356,7 +361,7 @@ GROUP BY {keys}, q1, med, q3"""
 def n23(spark, sf):
     """Box-plot statistics of the matched differences by (dim, POV) and,
     for the prompt-matched table, by dim (``pov`` null)."""
-    z = C.grid_z(spark, sf)
+    z = C.best_z(spark, sf)
     a = M.box_stats(M.matched_differences(z, by_pov=True, seed=SEED), ["dim", "pov"])
     b = M.box_stats(M.matched_differences(z, by_pov=False, seed=SEED), ["dim"]).withColumn(
         "pov", F.lit(None).cast("string"))
@@ -376,7 +381,7 @@ SELECT trial, dim, p_ind, s_id, z_score, CASE WHEN rn <= n // 2 THEN 1 ELSE 2 EN
 @query("n24_split_halves", zsql(f"SELECT trial, dim, p_ind, s_id, half FROM ({SQL_N24})"))
 def n24(spark, sf):
     """Prompts with >= 4 scored human stories, shuffled and split in halves."""
-    return M.split_halves(C.grid_z(spark, sf), seed=SEED).select(
+    return M.split_halves(C.best_z(spark, sf), seed=SEED).select(
         F.col("trial").cast("bigint"), "dim", "p_ind", "s_id", "half")
 
 
@@ -401,7 +406,7 @@ SELECT trial, dim, p_ind, half, avg(z_score) AS zm FROM ({SQL_N24}) GROUP BY tri
 def n25(spark, sf):
     """Per trial and dim, mean over prompts of half1 - half2 (control) and
     of half1 - machine."""
-    return M.control_differences(C.grid_z(spark, sf), seed=SEED).withColumn("trial", F.col("trial").cast("bigint"))
+    return M.control_differences(C.best_z(spark, sf), seed=SEED).withColumn("trial", F.col("trial").cast("bigint"))
 
 
 @query("n26_trial_summary", zsql(_bootstrap_sql(
@@ -409,7 +414,7 @@ def n25(spark, sf):
     [SQL_STREAM, SQL_HM]), floats=["mean", "ci_lo", "ci_hi"])
 def n26(spark, sf):
     """Mean and bootstrap interval of the N25 differences per (dim, type)."""
-    return M.trial_summary(M.control_differences(C.grid_z(spark, sf), seed=SEED))
+    return M.trial_summary(M.control_differences(C.best_z(spark, sf), seed=SEED))
 
 
 # --- score files: S12 sink -> S11 scan -> N05 attach ----------------------------

@@ -10,7 +10,7 @@ from storylens.operators import evaluate as X
 from storylens.plans.oracle_fixtures import with_ctes
 from storylens.plans.q_analysis import _sp_sql
 from storylens.plans.registry import query
-from storylens.plans.sqlparts import SQL_PAIRS, _unit, sql_axis
+from storylens.plans.sqlparts import SQL_PAIRS, _unit, sql_axis, sql_t_p
 from storylens.session import shared_dir
 from storylens.sources import fixtures as fx
 from storylens.sources import io
@@ -112,7 +112,21 @@ def x04n(spark, sf):
     return X.eval_axis(split, fx.vectors(spark, sf), use_contrast=False)
 
 
-@query("x05_spearman_p_values")
+def _p_sql(src: str) -> tuple[str, list[tuple[str, str]]]:
+    """Rows of ``src`` (dim, trial, method, n, sp_corr) with their p-values."""
+    t = """SELECT dim, method, trial, sp_corr * sqrt((n - 2) / (1 - sp_corr * sp_corr)) AS t, CAST(n - 2 AS DOUBLE) AS dof
+FROM ev WHERE abs(sp_corr) < 1 AND n > 2"""
+    body = """SELECT ev.dim, ev.trial, ev.method, ev.n, ev.sp_corr, CASE WHEN abs(ev.sp_corr) >= 1 THEN 0.0 ELSE tp.p END AS sp_p
+FROM ev LEFT JOIN tp USING (dim, method, trial)"""
+    return body, [("ev", src), *sql_t_p(t, "dim, method, trial")]
+
+
+SQL_SIM = f"SELECT dim, trial, 'sim' AS method, n, sp_corr FROM ({_sp_sql('SELECT * FROM pred_sim', 'dim, trial')})"
+P_SIM, P_SIM_CTES = _p_sql(SQL_SIM)
+
+
+@query("x05_spearman_p_values", with_ctes(["fx_lexicon", "fx_vocab"], P_SIM, EVAL_BASE + SQL_X03 + P_SIM_CTES, recursive=True),
+       floats=["sp_corr", "sp_p"])
 def x05(spark, sf):
     """Spearman correlation with its two-sided p (t distribution, n-2
     d.f.) for the sim method."""
@@ -120,7 +134,15 @@ def x05(spark, sf):
     return X.with_spearman_p(X.eval_sim(split, fx.vectors(spark, sf)))
 
 
-@query("x06_s16_method_trials")
+P_ALL, P_ALL_CTES = _p_sql(f"""{SQL_SIM}
+UNION ALL SELECT dim, trial, 'axis_with_con' AS method, n, sp_corr FROM ({_sp_sql('SELECT * FROM pred_axc', 'dim, trial')})
+UNION ALL SELECT dim, trial, 'axis_no_con' AS method, n, sp_corr FROM ({_sp_sql('SELECT * FROM pred_axn', 'dim, trial')})""")
+_AXN = [c for c in _axis_eval_ctes(False, "axn") if c[0] not in ("bnd", "poles", "upoles")]
+
+
+@query("x06_s16_method_trials", with_ctes(
+    ["fx_lexicon", "fx_vocab"], P_ALL, EVAL_BASE + SQL_X03 + _axis_eval_ctes(True, "axc") + _AXN + P_ALL_CTES, recursive=True),
+    floats=["sp_corr", "sp_p"])
 def x06(spark, sf):
     """X06 + S16: all methods x 5 trials x dims, written one folder per
     (dim, method) and read back."""

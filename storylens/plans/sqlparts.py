@@ -204,3 +204,29 @@ LEFT JOIN vfound f ON f.s_key = g.s_key AND f.am = g.am AND f.dim = g.dim AND f.
 
 SQL_ATTRS_SUB = "SELECT s_key, 'sub' AS am, attr FROM ({e02}) UNION ALL SELECT s_key, 'sub' AS am, attr FROM ({e03})"
 SQL_ATTRS_COMET = "SELECT s_key, 'comet' AS am, attr FROM ({e06})"
+
+
+def sql_t_p(src: str, keys: str, name: str = "tp") -> list[tuple[str, str]]:
+    """Recursive CTEs ``<name>(keys, p)``: two-sided p of Student's t for rows
+    ``keys, t, dof`` by the continued fraction of the incomplete beta function."""
+    swap = "1 - y >= (a + 1) / (a + 2.5)"
+    k = ", ".join(f"q.{c.strip()}" for c in keys.split(","))
+    return [
+        (f"{name}_in", f"""SELECT {keys}, CAST(t AS DOUBLE) AS t, dof / 2 AS a, t * t / (dof + t * t) AS y,
+       -dof / 2 * ln(1 + t * t / dof) + 0.5 * ln(t * t / (dof + t * t)) - lgamma(0.5) - lgamma(dof / 2) + lgamma(dof / 2 + 0.5) AS ls
+FROM ({src}) WHERE t IS NOT NULL AND NOT isnan(t) AND t <> 0 AND dof > 0"""),
+        (f"{name}_ab", f"""SELECT {keys}, ls, {swap} AS sw, CASE WHEN {swap} THEN 0.5 ELSE a END AS a,
+       CASE WHEN {swap} THEN a ELSE 0.5 END AS b, CASE WHEN {swap} THEN y ELSE 1 - y END AS x FROM {name}_in"""),
+        (f"{name}_cf", f"""
+SELECT {keys}, ls, sw, a, b, x, 0 AS m, CAST(1 AS DOUBLE) AS c, CAST(1 / (1 - (a + b) * x / (a + 1)) AS DOUBLE) AS d,
+       CAST(1 / (1 - (a + b) * x / (a + 1)) AS DOUBLE) AS h FROM {name}_ab
+UNION ALL
+SELECT {keys}, ls, sw, a, b, x, m, (1 + k2 / c), 1 / (1 + k2 * d), h * (1 + k2 / c) / (1 + k2 * d) FROM (
+  SELECT * REPLACE (1 + k1 / c AS c, 1 / (1 + k1 * d) AS d, h * (1 + k1 / c) / (1 + k1 * d) AS h),
+         -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m)) AS k2 FROM (
+    SELECT * REPLACE (m + 1 AS m), (m + 1) * (b - m - 1) * x / ((a + 1 + 2 * m) * (a + 2 + 2 * m)) AS k1
+    FROM {name}_cf WHERE m < 60 + ceil(4 * sqrt(greatest(a, b)))))"""),
+        (name, f"""SELECT {k}, CASE WHEN q.t = 0 THEN 1.0 ELSE r.p END AS p FROM ({src}) q LEFT JOIN (
+  SELECT {keys}, CASE WHEN sw THEN 1 - exp(ls) * 2 * max_by(h, m) ELSE exp(ls) * max_by(h, m) / a END AS p
+  FROM {name}_cf GROUP BY {keys}, sw, ls, a) r ON {" AND ".join(f"r.{c.strip()} = q.{c.strip()}" for c in keys.split(","))}"""),
+    ]

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from storylens.functions.stats import average_ranks, spearman, t_two_sided_p_value
+from storylens.functions.stats import average_ranks, spearman, t_p_value
 from storylens.operators import matched as M
 
 
@@ -24,13 +24,40 @@ def test_spearman_constant_and_perfect(spark):
     assert got["a"] == pytest.approx(1.0) and got["b"] is None
 
 
-def test_t_p_values_known_points():
+def _p(spark, cases):
+    df = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate(cases)], "i int, t double, dof double")
+    return [r["p"] for r in df.withColumn("p", t_p_value(F.col("t"), F.col("dof"))).orderBy("i").collect()]
+
+
+def test_t_p_values_known_points(spark):
     # published two-sided critical values: t(0.05, 10) = 2.228, t(0.01, 20) = 2.845, t(0.05, 1) = 12.706
-    assert t_two_sided_p_value(2.228, 10) == pytest.approx(0.05, abs=2e-4)
-    assert t_two_sided_p_value(2.845, 20) == pytest.approx(0.01, abs=1e-4)
-    assert t_two_sided_p_value(12.706, 1) == pytest.approx(0.05, abs=1e-4)
-    assert t_two_sided_p_value(0.0, 5) == pytest.approx(1.0)
-    assert math.isnan(t_two_sided_p_value(float("nan"), 5))
+    got = _p(spark, [(2.228, 10.0), (2.845, 20.0), (12.706, 1.0), (0.0, 5.0), (float("inf"), 3.0)])
+    assert got == pytest.approx([0.05, 0.01, 0.05, 1.0, 0.0], abs=2e-4)
+    assert _p(spark, [(float("nan"), 5.0), (None, 5.0), (1.0, 0.0), (1.0, None), (1.0, -2.0)]) == [None] * 5
+
+
+def test_t_p_values_against_integration(spark):
+    """Twice the tail of the density by Simpson's rule, in the angle t = sqrt(dof) tan(u)."""
+    cases = [(t, d) for t in (1e-6, 0.1, 0.8, 1.0, 2.5, 6.0, 30.0) for d in (1.0, 2.0, 3.5, 30.0, 199.0, 201.0, 5000.0, 2e6)]
+
+    def tail(t, d):
+        n, low = 4000, math.atan(t / math.sqrt(d))
+        # beyond this the integrand is under 1e-40 of its largest value
+        high = min(math.pi / 2, low + 14 / math.sqrt(d))
+        h = (high - low) / n
+        f = [max(math.cos(low + i * h), 0.0) ** (d - 1) for i in range(n + 1)]
+        total = h / 3 * (f[0] + f[-1] + 4 * sum(f[1::2]) + 2 * sum(f[2:-1:2]))
+        ratio = math.lgamma((d + 1) / 2) - math.lgamma(d / 2)
+        return 2 * math.exp(ratio) / math.sqrt(math.pi) * total
+
+    for (t, d), p in zip(cases, _p(spark, cases), strict=True):
+        want = tail(t, d)
+        assert p == pytest.approx(want, rel=1e-6, abs=1e-280), (t, d)
+
+
+def test_t_p_value_runs_without_python(spark):
+    plan = spark.range(1).select(t_p_value(F.lit(1.0), F.col("id") + 3.0))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
 
 
 def _z(spark, rows):
