@@ -48,8 +48,8 @@ RATES = [(0, DEALS * DEALT), *[(DEALS * DEALT + i * MORE, MORE) for i in range(l
 SUBSETS = DEALS * DEALT + MORE * len(BELOW)
 # A subset's hash: so many hex digits; these zeros where it has no term.
 DIGITS = 8
-# Over the number of any subset.
-SIDE = 1000
+# Digits of a subset's number.
+NUMBER = 3
 EMPTY = "0" * DIGITS
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -75,7 +75,8 @@ def subsets_of(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """``term, ks``: terms of the band, and the subsets that take each."""
+    """``term, ks``: terms of the band, and the numbers of the subsets that take
+    each, ``NUMBER`` digits a subset."""
     keyed = docs.select("text", F.md5(F.col("text").cast("binary")).alias("h"))
     copies = staged(keyed.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     copied = F.broadcast(copies.where(F.col("copies") * COPIED >= docs.count()))
@@ -87,7 +88,8 @@ def lexicon(docs: DataFrame) -> DataFrame:
     # every text has the empty term
     n = df.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     band = df.where((F.col("term") != "") & (F.col("df") * RARE >= n) & (F.col("df") * COMMON <= n))
-    return band.select("term", subsets_of(F.col("term")).alias("ks"))
+    numbers = F.transform(subsets_of(F.col("term")), lambda k: F.lpad(k.cast("string"), NUMBER, "0"))
+    return band.select("term", F.array_join(numbers, "").alias("ks"))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -142,6 +144,26 @@ def _whole(own: Column) -> Column:
     return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.substring(F.md5(joined.cast("binary")), 1, DIGITS))
 
 
+def _entries(met: Column) -> Column:
+    """Sorted strings of a subset's number and a term, of all subsets and terms."""
+    return F.sort_array(F.flatten(F.transform(met, lambda x: F.transform(
+        F.sequence(F.lit(1), F.length(x["ks"]), F.lit(NUMBER)), lambda i: F.concat(F.substring(x["ks"], i, F.lit(NUMBER)), x["term"])))))
+
+
+def _hashes(entries: Column) -> Column:
+    """Number and hash of each subset that has terms. Neighbours of one subset are
+    joined by spaces, subsets by line breaks; terms have neither."""
+    before = F.slice(F.concat(F.array(F.lit("")), entries), F.lit(1), F.size(entries))
+    after = F.lit(NUMBER + 1)
+    pieces = F.zip_with(entries, before, lambda x, p: F.when(
+        F.left(x, F.lit(NUMBER)) == F.left(p, F.lit(NUMBER)), F.concat(F.lit(" "), F.substring(x, after, F.length(x)))).otherwise(
+        F.concat(F.lit("\n"), x)))
+    subsets = F.array_remove(F.split(F.array_join(pieces, ""), "\n"), "")
+    return F.transform(subsets, lambda g: F.struct(
+        F.left(g, F.lit(NUMBER)).cast("int").alias("k"),
+        F.substring(F.md5(F.substring(g, after, F.length(g)).cast("binary")), 1, DIGITS).alias("h")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next`` of every row of ``docs``."""
@@ -161,24 +183,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                       F.posexplode(F.concat("own", "other", F.array(about))).alias("pos", "term"))
     side = F.when(F.col("pos") < F.col("n0"), 0).when(F.col("pos") < F.col("n1"), 1).otherwise(2)
     each = pos.select("part", "at", side.alias("side"), F.col("term"))
-    met = each.join(lex, "term", "left").where("ks is not null or side = 2").select(
-        "part", "at", "side", "term", F.explode(F.when(F.col("side") == 2, F.array(F.lit(0))).otherwise(F.col("ks"))).alias("k"))
-    # side and subset in one number: fewer bytes to sort
-    packed = met.select("part", "at", (F.col("side") * SIDE + F.col("k")).alias("k"), "term")
-    subset = packed.groupBy("part", "at", "k").agg(F.array_join(F.sort_array(F.collect_set("term")), " ").alias("terms"))
-    is_about = F.col("k") >= 2 * SIDE
-    hashed = subset.select("part", "at", "k", F.when(is_about, F.col("terms")).otherwise(
-        F.substring(F.md5(F.col("terms").cast("binary")), 1, DIGITS)).alias("h"))
-    doc = hashed.groupBy("part", "at").agg(
-        F.max(F.when(is_about, F.col("h"))).alias("about"),
-        *[F.map_from_entries(F.collect_list(F.when(F.floor(F.col("k") / SIDE) == s, F.struct(
-            (F.col("k") % SIDE).alias("k"), "h")))).alias(f"m{s}") for s in (0, 1)])
-    doc = doc.withColumn("about", F.split("about", ":"))
+    met = each.join(lex, "term", "left").where("ks is not null or side = 2")
+    # a row for each band term of a text is all that is sorted
+    doc = met.groupBy("part", "at").agg(
+        F.split(F.max(F.when(F.col("side") == 2, F.col("term"))), ":").alias("about"),
+        *[F.collect_list(F.when(F.col("side") == s, F.struct("ks", "term"))).alias(f"m{s}") for s in (0, 1)])
+    doc = doc.select("part", "at", "about", *[_entries(F.col(f"m{s}")).alias(f"m{s}") for s in (0, 1)])
+    doc = doc.select("part", "at", "about", *[_hashes(F.col(f"m{s}")).alias(f"m{s}") for s in (0, 1)])
 
     def filled(m: str, whole: int) -> Column:
-        found = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)),
-                            lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(EMPTY)))
-        return F.concat(found, F.array(F.col("about")[whole]))
+        own = F.col(m)  # named twice: a single use inside a lambda would be computed once for each element
+        absent = F.array_except(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), F.transform(own, lambda x: x["k"]))
+        found = F.sort_array(F.concat(own, F.transform(absent, lambda k: F.struct(k.alias("k"), F.lit(EMPTY).alias("h")))))
+        return F.concat(F.transform(found, lambda x: x["h"]), F.array(F.col("about")[whole]))
 
     doc = doc.select("part", "at", F.col("about")[4].cast("int").alias("extra"), F.try_element_at("about", F.lit(6)).cast(
         "long").alias("doc_id"), "about", filled("m0", 2).alias("f0"), filled("m1", 3).alias("f1"))

@@ -251,7 +251,7 @@ def test_imatch_covers_every_term_and_counts_copies_once(spark):
     copied = next(r for r in got if r["doc_id"] == 100)
     subsets = [copied["fingerprint"][i:i + imatch.DIGITS] for i in range(0, len(copied["fingerprint"]), imatch.DIGITS)]
     assert len(subsets) == imatch.SUBSETS + 1 and sum(h != imatch.EMPTY for h in subsets) > 4
-    lex = {r["term"]: r["ks"] for r in imatch.lexicon(imatch.texts(odd.frame(spark, rows))).collect()}
+    lex = {r["term"]: [int(r["ks"][i:i + imatch.NUMBER]) for i in range(0, len(r["ks"]), imatch.NUMBER)] for r in imatch.lexicon(imatch.texts(odd.frame(spark, rows))).collect()}
     assert {"x" * 300, "y" * 300, "z"} <= set(lex)
     for ks in lex.values():
         assert [sum(i * imatch.DEALT <= k < (i + 1) * imatch.DEALT for k in ks) for i in range(imatch.DEALS)] == [1] * imatch.DEALS
