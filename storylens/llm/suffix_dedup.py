@@ -360,31 +360,64 @@ class BlindTrie:
                 yield node[1]
 
 
+def multikey_quicksort(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings of a few characters (``chars``: depth x string), and for
+    each place of it whether the string differs from the one before.
+
+    All open groups are parted at once: each takes the median of three of its
+    characters as pivot, one stable counting pass puts its strings that are less,
+    equal and greater there behind one another, and the equal ones move one
+    character on. A group is closed when it has one string or no character left."""
+    deep, n = chars.shape
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    if n < 2:
+        return order, new
+    # open strings, their places in ``order``, and where each group begins among them
+    own, place, first, depth = order.copy(), np.arange(n), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(first):
+        size = np.diff(np.append(first, len(own)))
+        group = np.repeat(np.arange(len(first)), size)
+        key = chars[depth[group], own]
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        kind = (key >= pivot).astype(np.int8) + (key > pivot)
+        counts = np.empty((len(first), 3), np.int64)
+        to = np.empty(len(own), np.int64)
+        before = first.copy()  # where the next kind of each group goes
+        for k in range(3):
+            mine = kind == k
+            seen = np.cumsum(mine)
+            at_start = seen[first] - mine[first]
+            counts[:, k] = seen[np.append(first[1:], len(own)) - 1] - at_start
+            to[mine] = (before - at_start)[group[mine]] + seen[mine] - 1
+            before = before + counts[:, k]
+        moved = np.empty_like(own)
+        moved[to] = own
+        order[place] = moved
+        begins = first[:, None] + np.cumsum(counts, 1) - counts
+        new[place[begins[counts > 0]]] = True
+        deeper = depth[:, None] + np.array([0, 1, 0])
+        open_ = (counts > 1) & (deeper < deep)
+        left = _flat(begins[open_], counts[open_])
+        own, place, depth = moved[left], place[left], deeper[open_]
+        first = np.cumsum(counts[open_]) - counts[open_]
+    return order, new
+
+
 def sorted_strings(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW,
                    ) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the ``length``-byte strings at ``starts``: their order,
-    and for each place of it whether the string differs from the one before."""
+    and for each place of it whether the string differs from the one before.
+    Multikey quicksort orders them to ``shallow`` bytes, by characters of 8 bytes;
+    blind tries order what is still together."""
     n = len(starts)
-    order, new = np.arange(n), np.zeros(n, bool)
     if not n:
-        return order, new
-    new[0] = True
+        return np.arange(0), np.zeros(0, bool)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    for depth in range(0, shallow, 8):  # split by a character, go on inside equal ones
-        group = np.cumsum(new)
-        size = np.bincount(group)[group]
-        open_ = np.flatnonzero(size > 1)
-        if not len(open_):
-            return order, new
-        own = order[open_]
-        key = np.ascontiguousarray(words[starts[own] + depth]).view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((key, group[open_]))
-        order[open_] = own[by]
-        key, g = key[by], group[open_][by]
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
-        new[open_] |= first
+    chars = np.stack([np.ascontiguousarray(words[starts + d]).view(">u8").ravel().astype(np.uint64) for d in range(0, shallow, 8)])
+    order, new = multikey_quicksort(chars)
     raw = text.tobytes()
     edges = np.append(np.flatnonzero(new), n)
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

@@ -240,3 +240,16 @@ def test_near_duplicates_of_repeated_and_empty(spark):
     assert got == [(-1, None), (-1, None), (1, 1), (1, 1), (1, 1), (2, 2)]
     assert sorted(r["doc_id"] or -1 for r in S.deduplicated(odd.repeated(spark)).collect()) == [-1, 1, 2]
     assert S.near_duplicates(odd.empty(spark)).count() == 0 and S.deduplicated(odd.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("deep", [1, 2, 3])
+def test_multikey_quicksort(deep):
+    """Order and borders against sorted tuples: few and many different characters, all equal, one, none."""
+    rng = np.random.default_rng(deep)
+    for n, high in ((0, 2), (1, 2), (2, 1), (50, 1), (500, 2), (500, 3), (500, 2**62), (3000, 20)):
+        chars = rng.integers(0, high, (deep, n)).astype(np.uint64)
+        order, new = D.multikey_quicksort(chars)
+        assert sorted(order.tolist()) == list(range(n))
+        rows = [tuple(chars[:, i].tolist()) for i in order]
+        assert rows == sorted(rows)
+        assert new.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(n)]
