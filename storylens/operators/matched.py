@@ -11,8 +11,9 @@ all stories is still spread over many tasks.
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,24 +149,20 @@ def control_differences(z: DataFrame, n_trials: int = SAMPLE_TRIALS, seed: int =
 
 # --- bootstrap ----------------------------------------------------------------
 
-# Resampling weights, computable in any engine: row k, replicate r has the
-# number u = seed(k) * STEP^r mod PRIME (a MINSTD stream of its own), and the
-# weight is the count of CUTS that u reaches: Poisson(1) by its inverse CDF.
+# A resample draws n of a group's n rows with replacement. Rows are dealt to
+# blocks by a hash of their key, and a block orders its own. The n draws of a
+# replicate go down a binary tree over the blocks' counts: a node with m draws
+# hands a binomial share to its left half, by a generator that is seeded with the
+# group, the node and the seed, so all blocks under a node agree without meeting.
+# A block with m draws takes them from number streams of its rows (row k,
+# replicate r: seed(k) * STEP^r mod PRIME; more draws than rows go on with the
+# seeds times MORE), and such a number modulo the block's rows is the row drawn.
 PRIME = 2**31 - 1
 STEP = 48271
-
-
-def poisson_cuts() -> list[int]:
-    """Smallest numbers below PRIME whose Poisson(1) weight is 1, 2, ..."""
-    cuts, p, cdf, k = [], math.exp(-1.0), 0.0, 0
-    while True:
-        cdf += p
-        k += 1
-        p /= k
-        cut = math.ceil(cdf * PRIME)
-        if cut >= PRIME:
-            return cuts
-        cuts.append(cut)
+MORE = 69621
+# Rows of a block, about, and blocks of a group at most.
+BLOCK = 1 << 15
+MAX_BLOCKS = 1 << 16
 
 
 def steps(resamples: int) -> np.ndarray:
@@ -177,63 +174,110 @@ def steps(resamples: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-# Groups whose sums a task holds before it hands them on.
-HELD_GROUPS = 512
+def tree_path(sizes: np.ndarray, block: int) -> list[tuple[int, int, int, int]]:
+    """The way down to a block: for each node ``(first, last, rows on the left,
+    rows)``; ``sizes``: rows of each block."""
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    lo, hi, out = 0, len(sizes), []
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        out.append((lo, hi, int(before[mid] - before[lo]), int(before[hi] - before[lo])))
+        lo, hi = (lo, mid) if block < mid else (mid, hi)
+    return out
+
+
+def dealt_draws(group: str, block: int, path: list[tuple[int, int, int, int]], n: int, resamples: int, seed: int) -> np.ndarray:
+    """Draws of each replicate that go to a block of a group of n rows."""
+    m = np.full(resamples, n, np.int64)
+    for lo, hi, left, rows in path:
+        key = int.from_bytes(hashlib.md5(f"{group}:{seed}:{lo}:{hi}".encode()).digest())
+        share = np.random.Generator(np.random.Philox(key=key)).binomial(m, left / rows)
+        m = share if block < (lo + hi) // 2 else m - share
+    return m
+
+
+def block_sums(seeds: np.ndarray, values: np.ndarray, m: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Sum of the values that each replicate draws: m[r] of the block's rows."""
+    total, n, most = np.zeros(len(m)), len(seeds), int(m.max(initial=0))
+    for at in range(0, most, 256):
+        draw = np.arange(at, min(at + 256, most))
+        own = seeds[draw % n]
+        for turn in np.unique(draw // n).tolist():
+            own = np.where(draw // n == turn, own * pow(MORE, turn, PRIME) % PRIME, own)
+        row = own[:, None] * step[None, :] % PRIME % n
+        total += np.where(draw[:, None] < m[None, :], values[row], 0.0).sum(0)
+    return total
+
+
+def _paths(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "_b", "_at", "_n", "_path"]
+        for b in batches:
+            for row in b.to_pylist():
+                sizes = np.array([x["_c"] for x in row["_sizes"]], np.int64)
+                blocks = [x["_b"] for x in row["_sizes"]]
+                many = len(blocks)
+                ways = [[dict(zip(("lo", "hi", "left", "rows"), x, strict=True)) for x in tree_path(sizes, i)] for i in range(many)]
+                kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("lo", "hi", "left", "rows")]))
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([row[k]] * many, pa.string()) for k in keys], pa.array(blocks, pa.int64()),
+                     pa.array(range(many), pa.int64()), pa.array([int(sizes.sum())] * many), pa.array(ways, kind)], names)
 
+    return run
 
-def _replicate_sums(n_keys: int, resamples: int, names: list[str]):
-    """Per task and group: sums of weights and of weight x value of each
-    replicate. A task emits (its groups) x replicates rows, never rows x
-    replicates."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, cuts, held = steps(resamples), np.array(poisson_cuts()), {}
+def _block(keys: list[str], resamples: int, seed: int):
+    step = steps(resamples)
 
-        def flush():
-            for key, (w, wv) in held.items():
-                cols = [pa.array([k] * resamples) if k is not None else pa.nulls(resamples, pa.string()) for k in key]
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(np.arange(1, resamples + 1)), pa.array(w), pa.array(wv)], [*names, "_r", "_sw", "_swv"])
-
-        for b in batches:
-            groups: dict = {}
-            for i, key in enumerate(zip(*[b.column(j).to_pylist() for j in range(n_keys)], strict=True)):
-                groups.setdefault(key, []).append(i)
-            seed, value = b.column(n_keys).to_numpy(), b.column(n_keys + 1).to_numpy()
-            for key, rows in groups.items():
-                if key not in held:
-                    if len(held) >= HELD_GROUPS:
-                        yield from flush()
-                        held.clear()
-                    held[key] = (np.zeros(resamples, np.int64), np.zeros(resamples))
-                for at in range(0, len(rows), 256):
-                    own = rows[at:at + 256]
-                    w = np.searchsorted(cuts, seed[own][:, None] * step[None, :] % PRIME, "right")
-                    held[key][0][:] += w.sum(0)
-                    held[key][1][:] += value[own] @ w
-        yield from flush()
+    def run(rows: pa.Table, way: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_seed", "ascending"), ("_k", "ascending")])
+        first = way.slice(0, 1).to_pylist()[0]
+        path = [(x["lo"], x["hi"], x["left"], x["rows"]) for x in first["_path"]]
+        m = dealt_draws("|".join(map(str, (first[k] for k in keys))), first["_at"], path, first["_n"], resamples, seed)
+        total = block_sums(rows.column("_seed").to_numpy(), rows.column("_v").to_numpy(), m, step)
+        return pa.Table.from_arrays(
+            [*[pa.array([first[k]] * resamples, pa.string()) for k in keys], pa.array(np.arange(1, resamples + 1)),
+             pa.array(m), pa.array(total)], [*keys, "_r", "_m", "_s"])
 
     return run
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row_key: str,
-                   resamples: int = BOOTSTRAP_RESAMPLES, seed: int = DEFAULT_SEED,
-                   level: float = 0.95) -> DataFrame:
-    """Group mean with a percentile bootstrap interval.
-
-    Weights depend on (row key, seed, replicate) alone, not on partitioning.
-    Replicates without any weight have no mean and are left out."""
+def replicate_sums(df: DataFrame, keys: list[str], value: str, row_key: str, resamples: int = BOOTSTRAP_RESAMPLES,
+                   seed: int = DEFAULT_SEED, block: int = BLOCK) -> DataFrame:
+    """``keys, _r, _m, _s``: draws and sum of the drawn values for each block and
+    replicate. A group's draws add up to its rows in every replicate."""
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(row_key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 7), 16, 10)
     d = df.filter(F.col(value).isNotNull()).select(
         *[F.col(k).cast("string").alias(k) for k in keys], (number.cast("long") + 1).alias("_seed"),
-        F.col(value).cast("double").alias("_v"))
+        F.col(row_key).cast("string").alias("_k"), F.col(value).cast("double").alias("_v"))
+    many = F.least(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.lit(MAX_BLOCKS)).cast("int")
+    groups = d.groupBy(*keys).agg(many.alias("_many")).select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "_many")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)))
+    dealt = d.join(groups, same).select(*keys, "_seed", "_k", "_v", F.pmod(
+        F.xxhash64("_k"), F.col("_many")).cast("long").alias("_b"))
+    # MAX_BLOCKS counts of a group at most
+    sizes = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_b", "_c"))).alias("_sizes"))
+    kind = "array<struct<lo: long, hi: long, left: long, rows: long>>"
+    ways = sizes.mapInArrow(_paths(keys), ", ".join([*[f"{k} string" for k in keys], f"_b long, _at long, _n long, _path {kind}"]))
+    schema = ", ".join([*[f"{k} string" for k in keys], "_r long, _m long, _s double"])
+    return dealt.groupBy(*keys, "_b").cogroup(ways.groupBy(*keys, "_b")).applyInArrow(_block(keys, resamples, seed), schema)
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, row_key: str,
+                   resamples: int = BOOTSTRAP_RESAMPLES, seed: int = DEFAULT_SEED,
+                   level: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """Group mean with a percentile bootstrap interval, from resamples
+    of n of n rows. Draws depend on row keys, the group and the seed alone, not
+    on partitioning."""
+    d = df.filter(F.col(value).isNotNull()).select(*[F.col(k).cast("string").alias(k) for k in keys],
+                                                   F.col(value).cast("double").alias("_v"))
     mean = d.groupBy(*keys).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
-    schema = ", ".join([*[f"{k} string" for k in keys], "_r long, _sw long, _swv double"])
-    sums = d.mapInArrow(_replicate_sums(len(keys), resamples, keys), schema)
-    rep = sums.groupBy(*keys, "_r").agg(F.try_divide(F.sum("_swv"), F.sum("_sw").cast("double")).alias("_m"))
+    sums = replicate_sums(df, keys, value, row_key, resamples, seed, block)
+    rep = sums.groupBy(*keys, "_r").agg((F.sum("_s") / F.sum("_m")).alias("_mean"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ci = rep.filter(F.col("_m").isNotNull()).groupBy(*keys).agg(
-        F.percentile(F.col("_m"), F.lit(lo)).alias("ci_lo"), F.percentile(F.col("_m"), F.lit(hi)).alias("ci_hi"))
+    ci = rep.groupBy(*keys).agg(
+        F.percentile(F.col("_mean"), F.lit(lo)).alias("ci_lo"), F.percentile(F.col("_mean"), F.lit(hi)).alias("ci_hi"))
     return mean.join(ci, keys, "left")
 
 

@@ -91,22 +91,29 @@ def n07(spark, sf):
 
 
 def _bootstrap_sql(src: str, keys: str, seed: int) -> str:
-    """Bootstrap intervals of ``src`` (keys, _k: row key as text, _v)."""
-    weight = " + ".join(f"CAST(u >= {c} AS BIGINT)" for c in M.poisson_cuts())
+    """Bootstrap intervals of ``src`` (keys, _k: row key as text, _v), for groups
+    of one block."""
     k = keys.split(", ")
+    same = " AND ".join(f"x.{c} IS NOT DISTINCT FROM d.{c}" for c in k)
     return f"""
 SELECT {", ".join("m." + c for c in k)}, m.mean, m.n, c.ci_lo, c.ci_hi
 FROM (SELECT {keys}, avg(_v) AS mean, count(*) AS n FROM ({src}) GROUP BY {keys}) m
 LEFT JOIN (
   SELECT {keys}, quantile_cont(_m, 0.025) AS ci_lo, quantile_cont(_m, 0.975) AS ci_hi FROM (
-    SELECT {keys}, r, sum(w * _v) / nullif(sum(w), 0) AS _m FROM (
-      SELECT {keys}, r, _v, {weight} AS w FROM (
-        SELECT {keys}, s.r, _v, (1 + CAST('0x' || substr(md5(_k || ':{seed}'), 1, 7) AS BIGINT)) * s.a % {M.PRIME} AS u
-        FROM ({src}) CROSS JOIN stream s WHERE s.r >= 1))
-    GROUP BY {keys}, r) WHERE _m IS NOT NULL GROUP BY {keys}) c
+    SELECT {", ".join("d." + c for c in k)}, d.r, avg(x._v) AS _m FROM (
+      SELECT {keys}, s.r, u * s.a % {M.PRIME} % n AS i FROM ({_numbered_sql(src, keys, seed)}) CROSS JOIN stream s WHERE s.r >= 1) d
+    JOIN ({_numbered_sql(src, keys, seed)}) x ON x.i = d.i AND {same}
+    GROUP BY {", ".join("d." + c for c in k)}, d.r) GROUP BY {keys}) c
 ON {" AND ".join(f"c.{c} = m.{c}" for c in k)}"""
 
 
+def _numbered_sql(src: str, keys: str, seed: int) -> str:
+    """Rows of one block: number stream seed ``u``, place ``i`` and rows ``n``."""
+    return f"""
+SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY u, _k) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n
+FROM (SELECT {keys}, _k, _v, 1 + CAST('0x' || substr(md5(_k || ':{seed}'), 1, 7) AS BIGINT) AS u FROM ({src}))"""
+
+
 SQL_STREAM = ("stream(r, a)", f"""
 SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL
 SELECT r + 1, a * {M.STEP} % {M.PRIME} FROM stream WHERE r < {BOOTSTRAP_RESAMPLES}""")
@@ -117,7 +124,7 @@ SELECT dim, am, sm, s_pov, writer, concat_ws('|', writer, s_id) AS _k, z_score A
 WHERE z_score IS NOT NULL AND ((am = 'all' AND sm = 'avg') OR (am IN ('comet', 'sub') AND sm = {BEST}))""",
     "dim, am, sm, s_pov, writer", M.DEFAULT_SEED), [SQL_STREAM]), floats=["mean", "ci_lo", "ci_hi"])
 def n08(spark, sf):
-    """Mean and 95 % bootstrap interval (1000 Poisson resamples) by
+    """Mean and 95 % bootstrap interval (1000 resamples of n of n) by
     (dim, am, sm, POV, writer) for all/avg, comet/best and sub/best z-scores."""
     return M.pov_writer_intervals(C.grid_z(spark, sf, parts=[(["all"], [(d, "avg") for d in DIMENSIONS]), (["comet", "sub"], C.BEST)]))
 

@@ -107,3 +107,42 @@ def test_zscores_mean_zero_std_one(spark):
     z = [r["z_score"] for r in zscores(s).collect() if r["z_score"] is not None]
     assert sum(z) / len(z) == pytest.approx(0.0, abs=1e-12)
     assert (sum(v * v for v in z) / len(z)) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("block", [1 << 15, 8])
+def test_resamples_draw_n_of_n(spark, block):
+    """Draws of every replicate add up to the group's rows, in one block and over
+    a tree of many; and every drawn value is one of the group's."""
+    sizes = {"one": 1, "five": 5, "many": 101, None: 7}
+    rows = [(g, f"{g}-{i}", float(2 ** (i % 40))) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k string, v double")
+    got = M.replicate_sums(df, ["g"], "v", "k", resamples=50, block=block).groupBy("g", "_r").agg(
+        F.sum("_m").alias("m"), F.sum("_s").alias("s"), F.count(F.lit(1)).alias("blocks")).collect()
+    assert len(got) == 50 * len(sizes) and all(r["m"] == sizes[r["g"]] for r in got)
+    assert {r["s"] for r in got if r["g"] == "one"} == {1.0}
+    assert all(bin(int(r["s"])).count("1") <= 5 for r in got if r["g"] == "five") and len({r["s"] for r in got if r["g"] == "five"}) > 10
+    assert max(r["blocks"] for r in got if r["g"] == "many") == (1 if block > 100 else 13)
+
+
+def test_resamples_do_not_depend_on_partitioning(spark):
+    df = spark.range(300).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("k"), F.rand(3).alias("v")).checkpoint()
+    a, b = ({(r["_r"], r["_m"], round(r["_s"], 9)) for r in M.replicate_sums(x, ["g"], "v", "k", 20, block=40).collect()}
+            for x in (df.repartition(1), df.repartition(7)))
+    assert a == b
+
+
+def test_bootstrap_spread_is_that_of_the_mean(spark):
+    """Standard deviation of replicate means: that of the mean of n draws; one row has no spread."""
+    import numpy as np
+
+    values = [float(x) for x in np.random.default_rng(2).normal(size=200)]
+    df = spark.createDataFrame([("g", str(i), v) for i, v in enumerate(values)] + [("h", "0", 4.0)], "g string, k string, v double")
+    for block in (1 << 15, 16):
+        rep = M.replicate_sums(df, ["g"], "v", "k", 1000, block=block).groupBy("g", "_r").agg(
+            (F.sum("_s") / F.sum("_m")).alias("m")).groupBy("g").agg(F.avg("m").alias("a"), F.stddev("m").alias("s")).collect()
+        g = {r["g"]: r for r in rep}
+        want = np.std(values) / math.sqrt(200)
+        assert abs(g["g"]["a"] - np.mean(values)) < 4 * want / math.sqrt(1000) and abs(g["g"]["s"] / want - 1) < 0.1
+        assert g["h"]["s"] == 0
+    ci = {r["g"]: r for r in M.bootstrap_mean(df, ["g"], "v", "k").collect()}
+    assert ci["h"]["ci_lo"] == ci["h"]["ci_hi"] == 4.0 and ci["g"]["ci_lo"] < np.mean(values) < ci["g"]["ci_hi"]
