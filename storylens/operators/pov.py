@@ -34,20 +34,33 @@ def largest_cluster(mentions: DataFrame) -> DataFrame:
     return best.select("s_key", F.col("b.cluster_id").alias("cluster_id"), F.col("b.n").alias("n"))
 
 
+def tokens_array(tokens: DataFrame) -> str:
+    """Type of a story's token array."""
+    kinds = dict(tokens.dtypes)
+    return f"array<struct<pos: {kinds['pos']}, text: {kinds['text']}>>"
+
+
 def mention_surfaces(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     """Surface of each mention = tokens ``start..end`` (inclusive) joined
     by one space, plus the half-open span (``(s, s)`` for one token, else
-    ``(s, e + 1)``). Spans are short: each is expanded to its positions and
-    equi-joined to the tokens."""
-    pos = mentions.select(
-        "s_key", "cluster_id", "mention_no", "start", "end",
-        F.explode(F.sequence("start", "end")).alias("pos"),
-    )
-    t = tokens.select("s_key", "pos", "text")
-    j = pos.join(t, ["s_key", "pos"], "left")
-    g = j.groupBy("s_key", "cluster_id", "mention_no", "start", "end").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t")
-    )
+    ``(s, e + 1)``). A story's tokens and its spans are one row each; they meet
+    on the story, and each span is sliced out of the token array by its offsets
+    (stories whose positions have gaps are searched instead). A mention without
+    tokens has an empty surface."""
+    t = tokens.groupBy("s_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t"))
+    spans = mentions.groupBy("s_key").agg(
+        F.collect_list(F.struct("cluster_id", "mention_no", "start", "end")).alias("_m"))
+    first, last = F.col("_t")[0]["pos"], F.element_at("_t", -1)["pos"]
+    g = spans.join(t, "s_key", "left").withColumn("_dense", F.size("_t") == last - first + 1).withColumn("_first", first).select(
+        "s_key", "_t", "_dense", "_first", F.explode("_m").alias("_s")).select(
+        "s_key", "_t", "_dense", "_first", "_s.*")
+    # a span may begin before the first token or end after the last
+    at = F.greatest(F.col("start") - F.col("_first"), F.lit(0))
+    many = F.greatest(F.col("end") - F.greatest("start", "_first") + 1, F.lit(0))
+    sliced = F.slice("_t", (at + 1).cast("int"), many.cast("int"))
+    searched = F.filter("_t", lambda x: x["pos"].between(F.col("start"), F.col("end")))
+    g = g.withColumn("_t", F.when(F.col("_dense"), sliced).otherwise(F.coalesce(searched, F.array().cast(
+        tokens_array(tokens)))))
     return g.select(
         "s_key", "cluster_id", "mention_no", "start", "end",
         F.array_join(F.col("_t.text"), " ").alias("surface"),

@@ -8,6 +8,7 @@ Sinks write partitioned tables; the resumable forms live in
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -167,21 +168,79 @@ def _story_dir_glob(spark: SparkSession, path: str) -> str:
     return f"{base}/*/" if _list_dirs(spark, base) else base
 
 
+def _pieces(batches):
+    """Lines of whole splits, in order, to records and parts of records."""
+    key, odd, lines, seq, here, out = None, False, [], 0, True, []
+
+    def close():
+        if lines:  # the record goes on in the next split
+            out.append((*key, seq, "\n".join(lines), "opens" if here else "inside"))
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("_file", "_split", "_odd", "value")]
+        for file, split, starts_odd, text in zip(*columns, strict=True):
+            if (file, split) != key:
+                close()
+                key, odd, lines, seq, here = (file, split), starts_odd, [], 0, not starts_odd
+            lines.append(text)
+            odd ^= bool(text.count('"') % 2)
+            if not odd:
+                out.append((file, split, seq, "\n".join(lines), "whole" if here else "ends"))
+                lines, seq, here = [], seq + 1, True
+        yield _piece_batch(out)
+        out = []
+    close()
+    yield _piece_batch(out)
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                                      ["_file", "_split", "_seq", "record", "kind"])
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """Records of multi-line CSV files from ``spark.read.text`` lines:
+    ``(_file, _row, record)``, ``_row`` by place in the file.
+
+    Files are split. A line ends a record if an even number of quotes stands
+    before its end (doubled quotes count twice), so each split reports the parity
+    of its quotes, a prefix over a file's splits tells whether a split begins
+    inside quotes, and its lines are then cut where they close. A record over a
+    border is put together from its parts, two for each split at most."""
+    d = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # one row for each split of a file: small windows, and the bound of the broadcast
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    odd = d.groupBy("_file", "_split").agg(F.sum(quotes).alias("_q")).select(
+        "_file", "_split", (F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2 == 1).alias("_odd"))
+    pieces = d.join(F.broadcast(odd), ["_file", "_split"]).mapInArrow(
+        _pieces, "_file string, _split long, _seq long, record string, kind string")
+    so_far = Window.partitionBy("_file").orderBy("_split", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    parts = pieces.filter("kind != 'whole'").withColumn("_own", F.sum((F.col("kind") == "opens").cast("int")).over(so_far))
+    joined = parts.groupBy("_file", "_own").agg(F.array_sort(F.collect_list(F.struct("_split", "_seq", "record"))).alias("_p"))
+    joined = joined.select("_file", F.struct(F.col("_p")[0]["_split"].alias("_split"), F.col("_p")[0]["_seq"].alias("_seq")).alias("_row"),
+                           F.array_join(F.col("_p.record"), "\n").alias("record"))
+    whole = pieces.filter("kind = 'whole'").select("_file", F.struct("_split", "_seq").alias("_row"), "record")
+    return whole.union(joined).withColumn("record", F.regexp_replace("record", r"\r$", "")).filter("record != ''")
+
+
 def read_csv_rows(spark: SparkSession, path: str, schema, prefix: str = "prompts") -> DataFrame:
     """Headerless multi-line CSV rows with the source file and row order kept:
     of files whose name up to the first ``_`` is `prefix`, or of the range
-    folders ``<prefix>_range=...`` that the sinks here write."""
-    reader = (
-        spark.read.schema(schema)
-        .option("multiLine", "true").option("escape", '"').option("header", "false")
-    )
+    folders ``<prefix>_range=...`` that the sinks here write. Fields with line
+    breaks or quotes are quoted, quotes inside them doubled; one large file is
+    read by many tasks."""
+    reader = spark.read.option("lineSep", "\n")
     base = path.rstrip("/")
     if any(d.rsplit("/", 1)[-1].startswith(f"{prefix}_range=") for d in _list_dirs(spark, base)):
-        d = reader.csv(f"{base}/{prefix}_range=*/")
+        lines = reader.text(f"{base}/{prefix}_range=*/")
     else:
-        d = reader.option("pathGlobFilter", f"{prefix}_*").csv(_story_dir_glob(spark, base))
-    # a multi-line CSV file is never split, so the id order inside a file is row order
-    return d.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
+        lines = reader.option("pathGlobFilter", f"{prefix}_*").text(_story_dir_glob(spark, base))
+    ddl = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    parsed = F.from_csv("record", ddl, {"escape": '"', "multiLine": "true"})
+    d = csv_records(lines).withColumn("_r", parsed)
+    return d.select("_r.*", "_file", "_row")
 
 
 def last_read_wins(df: DataFrame, keys: list[str]) -> DataFrame:

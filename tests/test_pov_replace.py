@@ -149,3 +149,22 @@ def test_replacement_spark_matches_walk(spark, sf_small):
         assert out[key] == want
         checked += 1
     assert checked > 100
+
+
+def test_mention_surfaces_are_sliced_from_a_story(spark):
+    """Dense positions, gaps, spans beyond the tokens, and a story without any; no join on positions."""
+    from storylens.operators.pov import mention_surfaces
+
+    tokens = spark.createDataFrame([(1, i, w) for i, w in enumerate("the old man went home".split(), 3)] +
+                                   [(2, i, w) for i, w in ((0, "a"), (5, "b"), (9, "c"))], "s_key long, pos int, text string")
+    spans = [(1, 0, 0, 3, 5), (1, 0, 1, 7, 7), (1, 1, 0, 1, 3), (1, 1, 1, 6, 20), (1, 2, 0, 0, 1), (1, 2, 1, 30, 31), (2, 0, 0, 1, 9), (3, 0, 0, 0, 0)]
+    mentions = spark.createDataFrame(spans, "s_key long, cluster_id int, mention_no int, start int, end int")
+    out = mention_surfaces(tokens, mentions)
+    words = {(r["s_key"], r["pos"]): r["text"] for r in tokens.collect()}
+    for r in out.collect():
+        want = " ".join(words[r["s_key"], p] for p in range(r["start"], r["end"] + 1) if (r["s_key"], p) in words)
+        assert r["surface"] == want and r["span_start"] == r["start"]
+        assert r["span_end"] == (r["start"] if r["start"] == r["end"] else r["end"] + 1)
+    assert out.count() == len(spans)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "pos" not in next(x for x in plan.splitlines() if "Join" in x)
