@@ -38,14 +38,23 @@ def _strip(col) -> "F.Column":
 
 # --- S01 / S02: text lines ----------------------------------------------------
 
+def _below(spark: SparkSession, path: str) -> "F.Column":
+    """Path of a row's file below `path` (of the file itself: its name)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath().rstrip("/")
+    full = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[a-zA-Z0-9+.-]+:(//[^/]*)?", ""),
+                                  F.lit("+"), F.lit("%2B")))
+    return F.when(full.startswith(root + "/"), F.substring(full, len(root) + 2, 1 << 20)).otherwise(F.col("_metadata.file_name"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every file under `path`: ``(file, line_no, text)``, 0-based
-    line numbers in file order. Large files are split; a line's number is its
+    """Lines of every file under `path`: ``(file, line_no, text)``, ``file`` by
+    its path below `path`, 0-based line numbers in file order. Large files are split; a line's number is its
     place in its split plus the lines of the file's splits before it. The
     scan is stored with its places first, so both come from the same splits."""
     ensure_checkpoint_dir(spark)
-    d = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+    d = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path).select(
+        _below(spark, path).alias("file"), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text")).checkpoint()
     splits = d.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     # a row for each split: the window is over the splits of one file

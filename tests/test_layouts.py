@@ -62,3 +62,14 @@ def test_lines_of_split_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert rows == [("a.txt", i, t) for i, t in enumerate(lines)] + [
         ("b.txt", 0, "one\r"), ("b.txt", 1, ""), ("b.txt", 2, "two")]
+
+
+def test_lines_of_files_with_equal_names_stay_apart(spark, tmp_path):
+    for side in ("prompts", "stories"):
+        for folder in ("a", "b c+d"):
+            (tmp_path / side / folder).mkdir(parents=True)
+            (tmp_path / side / folder / "x.txt").write_text("\n".join(f"{side} {folder} {i}" for i in range(3)) + "\n")
+    lines = {(r["file"], r["line_no"]): r["text"] for r in io.read_lines(spark, str(tmp_path / "prompts")).collect()}
+    assert lines == {(f"{f}/x.txt", i): f"prompts {f} {i}" for f in ("a", "b c+d") for i in range(3)}
+    one = io.read_lines(spark, str(tmp_path / "stories" / "a" / "x.txt")).collect()
+    assert {r["file"] for r in one} == {"x.txt"} and len(one) == 3
