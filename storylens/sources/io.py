@@ -111,17 +111,98 @@ def parse_story_mapping(doc: DataFrame, col: str = "value") -> DataFrame:
     return s.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "prompt", "story")
 
 
+_STRINGS = "_file string, _split long, _seq long, kind string, key boolean, keys long, elems long, base long, parts array<string>"
+
+
+def _strings(batches):
+    """Pieces between quotes of whole splits, in order, to strings and parts of
+    strings, with how many keys and list elements began in the split so far."""
+    at, out = None, []
+    inside = here = key = False
+    parts, seq, keys, elems, base = [], 0, 0, 0, None
+
+    def put(kind):
+        out.append((*at, seq, kind, key if here else None, keys, elems, base, parts))
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("_file", "_split", "_odd", "value")]
+        for file, split, starts_inside, piece in zip(*columns, strict=True):
+            if (file, split) != at:
+                if at is not None and inside:
+                    put("opens" if here else "inside")
+                at, inside, here = (file, split), starts_inside, False
+                parts, seq, keys, elems, base = [], 0, 0, 0, None
+            if inside:
+                parts.append(piece)
+                if (len(piece) - len(piece.rstrip("\\"))) % 2 == 0:  # else the quote is escaped
+                    put("whole" if here else "ends")
+                    inside, here, parts, seq = False, True, [], seq + 1
+            else:  # what stands before a string tells what it is
+                mark = max("[]{", key=piece.rfind)
+                key = mark != "[" and mark in piece
+                if key:
+                    keys, base = keys + 1, elems
+                else:
+                    elems += 1
+                inside = here = True
+        yield _string_batch(out)
+        out = []
+    if at is not None and inside:
+        put("opens" if here else "inside")
+    yield _string_batch(out)
+
+
+def _string_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                                      [c.split()[0] for c in _STRINGS.split(", ")])
+
+
 def read_story_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """S03 on JSON object files (prompt -> [stories]). One file is one object
-    (read whole by one task, files in parallel); prompts are numbered in
-    file-name order, then object order, by a dense global index."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
-    m = d.select("_f", F.from_json("value", MapType(StringType(), ArrayType(StringType()))).alias("m"))
-    e = m.select("_f", F.posexplode(F.map_entries("m")).alias("_lp", "kv"))
-    keys = sequential_index(e.select("_f", "_lp").distinct(), ["_f", "_lp"], "p_ind")
-    s = e.join(keys, ["_f", "_lp"]).select(
-        "p_ind", F.col("kv.key").alias("prompt"), F.posexplode("kv.value").alias("s_ind", "story"))
-    return s.select(F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "prompt", "story")
+    """S03 on JSON object files (prompt -> [stories]), each read by many tasks:
+    ``(p_ind, s_ind, prompt, story)``, prompts numbered in file-name order, then
+    object order, a prompt that stands twice as two.
+
+    Files are split at quotes. A split reports the parity of its quotes that no
+    backslash escapes, a prefix over a file's splits tells whether a split begins
+    inside a string, and the marks between strings tell keys (after ``{`` or
+    ``]``) from list elements. Splits count both, sums over earlier splits give
+    the indices, and stories meet their prompt in a join, so neither an object
+    nor a prompt's list is ever one row."""
+    ensure_checkpoint_dir(spark)
+    d = spark.read.option("lineSep", '"').text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), "value")
+    splits = Window.partitionBy("_file").orderBy("_split")
+    before = splits.rowsBetween(Window.unboundedPreceding, -1)
+    closes = (F.length(F.regexp_extract("value", r"(\\*)$", 1)) % 2 == 0).cast("int")
+    # one row for each split of a file: small windows, and the bound of the broadcasts
+    odd = d.groupBy("_file", "_split").agg(F.sum(closes).alias("_q")).select(
+        "_file", "_split", (F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2 == 1).alias("_odd"))
+    found = d.join(F.broadcast(odd), ["_file", "_split"]).mapInArrow(_strings, _STRINGS).checkpoint()
+    n = found.groupBy("_file", "_split").agg(F.max("keys").alias("keys"), F.max("elems").alias("elems"), F.max("base").alias("base"))
+    n = n.select("_file", "_split", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("keys", "elems")], "base")
+    n = n.select("_file", "_split", "_keys", "_elems", F.max(F.col("base") + F.col("_elems")).over(before).alias("_base"))
+    # a string over a border is put together from its parts
+    so_far = Window.partitionBy("_file").orderBy("_split", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    cut = found.filter("kind != 'whole'").withColumn("_own", F.sum((F.col("kind") == "opens").cast("int")).over(so_far))
+    joined = cut.groupBy("_file", "_own").agg(
+        F.array_sort(F.collect_list(F.struct("_split", "_seq", "parts"))).alias("_p"),
+        F.max(F.when(F.col("kind") == "opens", F.struct("_split", "key", "keys", "elems", "base"))).alias("_o"),
+        F.max(F.col("kind") == "ends").alias("_closed"))
+    # the end of a file looks like the opening of one more string
+    joined = joined.filter("_closed").select("_file", "_o.*", F.flatten(F.col("_p.parts")).alias("parts"))
+    strings = found.filter("kind = 'whole'").select(*joined.columns).union(joined).join(F.broadcast(n), ["_file", "_split"])
+    text = F.from_json(F.concat(F.lit('["'), F.array_join("parts", '"'), F.lit('"]')), "array<string>")[0]
+    strings = strings.select("_file", "key", (F.col("_keys") + F.col("keys") - 1).alias("_p"), (
+        F.col("_elems") + F.col("elems") - 1 - F.coalesce(F.col("base") + F.col("_elems"), F.col("_base"))).alias("s_ind"),
+        text.alias("text"))
+    prompts = strings.filter("key").select("_file", "_p", F.col("text").alias("prompt"))
+    # one row for each file
+    files = prompts.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    prompts = prompts.join(F.broadcast(files), "_file").withColumn("p_ind", F.col("_first") + F.col("_p"))
+    return strings.filter("not key").join(prompts, ["_file", "_p"]).select(
+        F.col("p_ind").cast("int"), F.col("s_ind").cast("int"), "prompt", F.col("text").alias("story"))
 
 
 def write_story_mapping_objects(stories: DataFrame, path: str, prompts_per_file: int = 1000) -> None:
