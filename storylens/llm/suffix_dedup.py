@@ -15,9 +15,9 @@ bytes that also starts in a document with a smaller doc_id.
    one bucket: its strings are sent one by one, to the buckets of their own
    hashes, where equal ones meet.
 4. A bucket sorts the suffixes of its stretches by deep-shallow sorting:
-   a library sort per level of 8-byte characters, in place of multikey
-   quicksort, to ``SHALLOW`` bytes, then blind tries put the remaining groups
-   in order. Neighbours that agree on LENGTH
+   multikey quicksort by characters of 8 bytes, all open groups parted at
+   once, to ``SHALLOW`` bytes, then blind tries put the remaining groups in
+   order. Neighbours that agree on LENGTH
    bytes are one string; its smallest doc_id goes back to the chunks.
 5. Each chunk marks and cuts its documents.
 
