@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from storylens.constants import CHARACTER_PRONOUNS, PLACEHOLDER_PREFIX
 from storylens.operators import cleaning as P
 from storylens.operators import pov as V
 from storylens.operators import replace as R
-from storylens.operators.annotate import TOKENS_SCHEMA, annotate
+from storylens.operators.annotate import TOKENS_SCHEMA, annotate_with_model
 from storylens.plans.oracle_fixtures import CTES, with_ctes
 from storylens.plans.registry import query
 from storylens.sources import fixtures as fx
@@ -197,28 +196,30 @@ def a03(spark, sf):
 
 # --- U01 ------------------------------------------------------------------------
 
-def _fixture_parser(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A stand-in parser with the fixture's token rules (whitespace tokens,
-    32-token sentences, heap-shaped heads)."""
-    tags = ["VBD", "JJ", "VBZ", "NN", "NN"]
-    deps = {0: "nsubj", 1: "amod", 2: "poss", 3: "nsubjpass"}
-    for pdf in batches:
+def _load_fixture_parser():
+    """A stand-in model: the fixture's tags and dependencies."""
+    return {"tags": ["VBD", "JJ", "VBZ", "NN", "NN"], "deps": {0: "nsubj", 1: "amod", 2: "poss", 3: "nsubjpass"}}
+
+
+def _run_fixture_parser(model, texts: list[str]) -> list[list[tuple]]:
+    """Whitespace tokens, 32-token sentences, heap-shaped heads."""
+    out = []
+    for text in texts:
         rows = []
-        for key, text in zip(pdf["s_key"], pdf["text"]):
-            for pos, tok in enumerate((text or "").split()):
-                k = pos % 32 + 1
-                head = pos if k == 1 else (pos // 32) * 32 + k // 2 - 1
-                dep = "ROOT" if k == 1 else deps.get(pos % 7, "dep")
-                rows.append((key, pos // 32, pos, tok, tags[pos % 5], dep, head))
-        yield pd.DataFrame(rows, columns=["s_key", "sent_id", "pos", "text", "tag", "dep", "head_pos"]).astype(
-            {"s_key": "int64", "sent_id": "int32", "pos": "int32", "head_pos": "int32"})
+        for pos, tok in enumerate(text.split()):
+            k = pos % 32 + 1
+            head = pos if k == 1 else (pos // 32) * 32 + k // 2 - 1
+            dep = "ROOT" if k == 1 else model["deps"].get(pos % 7, "dep")
+            rows.append((pos // 32, pos, tok, model["tags"][pos % 5], dep, head))
+        out.append(rows)
+    return out
 
 
 @query("u01_annotate_tokens", with_ctes(["fx_tokens"], "SELECT * FROM fx_tokens"))
 def u01(spark, sf):
-    """Stories annotated by a caller-supplied function in mapInPandas
-    (here a stand-in parser with the fixture's rules)."""
-    return annotate(fx.stories(spark, sf), _fixture_parser, TOKENS_SCHEMA)
+    """Stories annotated by a caller-supplied model (here a stand-in
+    parser with the fixture's rules), loaded once a worker."""
+    return annotate_with_model(fx.stories(spark, sf), "fixture-parser", _load_fixture_parser, _run_fixture_parser, TOKENS_SCHEMA)
 
 
 __all__ = ["CTES"]
