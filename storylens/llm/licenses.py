@@ -10,17 +10,25 @@ compared with the template's from the agreed start, and a template counts only
 if one of its mandatory key phrases stands in that stretch and enough of its
 words agree.
 
+Whole licence texts (files of a folder, ``FOLDER`` unless told) are indexed in
+blocks of ``BLOCK`` words, each with its own rarest words, so a text with words
+added or left out still agrees block by block. A licence counts if its title,
+its mandatory key phrase, stands in the document and ``WHOLE`` of its blocks are
+found; its label is the file's name with ``-text``. Without the folder there are
+no such labels.
+
 Base labels: places where a phrase's words stand consecutively. The phrases
 are looked up by their rarest word in the same per-document postings.
 
 Null and empty texts have no words, labels or places; repeated rows each get
-their own result; all columns are kept. Of equal idf the smaller word is
+their own result; columns are kept, but ``licenses`` is replaced. Of equal idf the smaller word is
 indexed first. With an empty table no word has a frequency.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -95,6 +103,31 @@ VOTES = 2
 AGREE = 0.6
 
 
+# Whole licence texts: their folder, words of a block, of a title, and the share
+# of blocks that must be found.
+FOLDER = "/usr/share/common-licenses"
+BLOCK = 64
+TITLE = 4
+WHOLE = 0.9
+
+
+def whole_texts(folder: str = FOLDER) -> tuple[tuple[str, str], ...]:
+    """Label and text of each licence file of a folder of the driver; of files
+    with equal texts the one of the longest name."""
+    by_text: dict[str, str] = {}
+    if os.path.isdir(folder):
+        for name in sorted(os.listdir(folder), key=lambda n: (len(n), n)):
+            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                by_text[f.read()] = name
+    return tuple(sorted((f"{name.lower()}-text", t) for t, name in by_text.items()))
+
+
+def blocks_of(words: list[bytes]) -> list[list[bytes]]:
+    """Blocks of ``BLOCK`` words; the last has what is left besides."""
+    many = max(1, len(words) // BLOCK)
+    return [words[i * BLOCK:(i + 1) * BLOCK if i < many - 1 else len(words)] for i in range(many)]
+
+
 def phrase(text: str) -> tuple[bytes, ...]:
     return tuple(alnum_words(text))
 
@@ -104,24 +137,28 @@ class Index:
     of each template only its first positions by rank: as many as may disagree,
     and ``VOTES`` more."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, rank: dict[bytes, tuple] | None = None):
+    def __init__(self, templates=TEMPLATES, base=BASE, rank: dict[bytes, tuple] | None = None, whole=()):
         self.templates = [(label, alnum_words(t), [phrase(k) for k in keys]) for label, t, keys in templates]
         self.base = [(phrase(p), label) for p, label in base]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, words, _) in enumerate(self.templates):
-            places = list(enumerate(words))
-            if rank is not None:
-                may_differ = sum((n + 1) / len(words) >= AGREE for n in range(len(words))) - 1
-                places = sorted(places, key=lambda x: rank[x[1]])[:may_differ + VOTES]
-            for at, w in places:
+            for at, w in indexed(words, rank):
                 self.postings[w].append((i, at))
-        self.vocabulary = frozenset(self.postings) | {w for p, _ in self.base for w in p}
+        self.whole = []
+        for label, t in whole:
+            words = alnum_words(t)
+            if len(words) >= TITLE:
+                blocks = [(b, indexed(b, rank)) for b in blocks_of(words)]
+                self.whole.append((label, tuple(words[:TITLE]), blocks))
+        self.vocabulary = frozenset(self.postings) | {w for p, _ in self.base for w in p} | {
+            w for _, _, blocks in self.whole for b, _ in blocks for w in b}
+        self.searched = frozenset(self.postings) | {w for p, _ in self.base for w in p}
         self.distinct = [len(set(words)) for _, words, _ in self.templates]
 
     def scan(self, words: list[bytes]) -> tuple:
         """``(places, base labels, matches)``; places: starts of base phrases;
         matches: label, share of agreeing words, start and end."""
-        present = self.vocabulary.intersection(words)
+        present = self.searched.intersection(words)
         where: dict[bytes, list[int]] = {w: [] for w in present}
         if present:
             for at, w in enumerate(words):
@@ -149,17 +186,57 @@ class Index:
             share = same / len(template)
             if share >= AGREE and any(stands(k, stretch) for k in keys):
                 best[i] = max(best.get(i, (0.0, 0, 0)), (share, -lo, hi))
-        return places, labels, [(self.templates[i][0], s, -lo, hi) for i, (s, lo, hi) in best.items()]
+        found = [(self.templates[i][0], s, -lo, hi) for i, (s, lo, hi) in best.items()]
+        return places, labels, found + self.scan_whole(words)
+
+    def scan_whole(self, words: list[bytes]) -> list[tuple]:
+        """Matches of whole licence texts: label, share of blocks found, start
+        and end of the stretch that holds them."""
+        out, present = [], None
+        for label, title, blocks in self.whole:
+            if present is None:
+                present = set(words)
+            if not present.issuperset(title) or not stands(title, words):
+                continue
+            where = defaultdict(list)
+            for at, w in enumerate(words):
+                where[w].append(at)
+            starts = []
+            for block, places in blocks:
+                votes = Counter(doc_at - at for at, w in places for doc_at in where.get(w, ()))
+                good = [start for start, n in votes.items() if n >= VOTES and agreement(words, block, start) >= AGREE]
+                if good:
+                    starts.append((min(good), len(block)))
+            if len(starts) >= WHOLE * len(blocks):
+                out.append((label, len(starts) / len(blocks), max(0, min(s for s, _ in starts)),
+                            min(len(words), max(s + n for s, n in starts))))
+        return out
+
+
+def indexed(words: list[bytes], rank: dict[bytes, tuple] | None) -> list[tuple[int, bytes]]:
+    """Positions that are indexed: the first by rank, as many as may disagree and
+    ``VOTES`` more; all without ``rank``."""
+    places = list(enumerate(words))
+    if rank is None:
+        return places
+    may_differ = sum((n + 1) / len(words) >= AGREE for n in range(len(words))) - 1
+    return sorted(places, key=lambda x: rank[x[1]])[:may_differ + VOTES]
+
+
+def agreement(words: list[bytes], template: list[bytes], start: int) -> float:
+    """Share of a template's words that agree with the document's from a start."""
+    lo, hi = max(start, 0), min(start + len(template), len(words))
+    return sum(a == b for a, b in zip(words[lo:hi], template[lo - start:], strict=False)) / len(template)
 
 
 def stands(p: tuple[bytes, ...], words: list[bytes]) -> bool:
     return any(words[i] == p[0] and tuple(words[i:i + len(p)]) == p for i in range(len(words) - len(p) + 1))
 
 
-def word_frequencies(docs: DataFrame, templates=TEMPLATES, base=BASE) -> tuple[dict[bytes, int], int]:
+def word_frequencies(docs: DataFrame, templates=TEMPLATES, base=BASE, whole=()) -> tuple[dict[bytes, int], int]:
     """Documents that hold each licence word, and all documents: counted over
     the whole table; as many rows as the templates have words."""
-    vocabulary = Index(templates, base).vocabulary
+    vocabulary = Index(templates, base, whole=whole).vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -176,21 +253,23 @@ def word_frequencies(docs: DataFrame, templates=TEMPLATES, base=BASE) -> tuple[d
     return {w: n for w, n in got.items() if w is not None}, got.get(None, 0)
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, base=BASE, whole=None) -> DataFrame:
     """``docs`` with a struct ``licenses``: ``n_words, n_base, first_word,
     last_word, base_labels`` and ``labels`` (sorted arrays), ``score`` (best
     share of agreeing template words; 1 if a base phrase stands alone; else
-    0), ``matches`` (label, share, start, end in words)."""
+    0), ``matches`` (label, share, start, end in words). ``whole``: labels and
+    texts of whole licences, those of ``FOLDER`` unless told."""
     prepare(docs.sparkSession)
-    df, n_docs = word_frequencies(docs, templates, base)
-    vocabulary = Index(templates, base).vocabulary
+    whole = whole_texts() if whole is None else whole
+    df, n_docs = word_frequencies(docs, templates, base, whole)
+    vocabulary = Index(templates, base, whole=whole).vocabulary
     rank = {w: (-math.log((n_docs + 1) / (df.get(w, 0) + 1)), w) for w in vocabulary}
 
     @F.pandas_udf("n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
                   "labels array<string>, score double, "
                   "matches array<struct<label string, share double, start long, end long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = Index(templates, base, rank)
+        index = Index(templates, base, rank, whole)
         for s in batches:
             rows = []
             for t in s:

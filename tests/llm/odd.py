@@ -3,7 +3,8 @@ texts, ties, repeated rows, and columns whose names the operators use inside."""
 
 import random
 
-CLASH = ["row", "word", "n", "score", "fp", "part", "k", "data", "chunk", "label", "stats", "node", "key", "first", "at"]
+CLASH = ["row", "word", "n", "score", "fp", "part", "k", "data", "chunk", "label", "stats", "node", "key", "first", "at",
+         "tree", "leaf", "seen", "pii", "licenses", "contamination", "piece_ids", "decoded_text", "quality_score", "__row", "__fp"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 

@@ -141,3 +141,53 @@ def test_license_index_finds_every_agreeing_stretch():
 def test_licenses_of_repeated_and_empty(spark):
     assert L.scan(odd.repeated(spark)).where(F.col("licenses.n_base") == 0).count() == 6
     assert L.scan(odd.empty(spark)).count() == 0
+
+
+# --- whole licence texts --------------------------------------------------------------
+
+def _brute_whole(words, text):
+    """Share of a licence's blocks that agree somewhere, over all starts."""
+    own = alnum_words(text)
+    title = own[:L.TITLE]
+    if not any(words[i:i + len(title)] == title for i in range(len(words))):
+        return 0.0
+    blocks = L.blocks_of(own)
+    return sum(any(L.agreement(words, b, at) >= L.AGREE for at in range(-len(b) + 1, len(words)))
+               for b in blocks) / len(blocks)
+
+
+def _licences(n=3, words=400):
+    rng = random.Random(3)
+    return tuple((f"own-{k}-text", f"the own licence number{k} version " + " ".join(
+        "".join(rng.choices("abcdefgh", k=rng.randint(1, 3))) for _ in range(words))) for k in range(n))
+
+
+def test_whole_licences_against_brute_force(spark):
+    whole = _licences()
+    a, b = (t.split() for _, t in whole[:2])
+    edited = [w if i % 9 else "changed" for i, w in enumerate(a)]
+    added = a[:5] + [x for i, w in enumerate(a[5:]) for x in ([w, "more"] if i % 100 == 50 else [w])]
+    texts = [" ".join(a), "before it\n" + " ".join(a) + " and after", " ".join(a[:250]), " ".join(edited), " ".join(added),
+             " ".join(a + ["then"] + b), " ".join(a[6:]), " ".join(b).upper(), "", " ".join(a[:5]), " ".join(a[::-1])]
+    docs = odd.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: set(r["licenses"]["labels"]) for r in L.scan(docs, whole=whole).collect()}
+    for i, t in enumerate(texts):
+        w = alnum_words(t)
+        want = {label for label, text in whole if _brute_whole(w, text) >= L.WHOLE}
+        assert {x for x in got[i] if x.startswith("own-")} == want, i
+    assert got[0] == {"own-0-text"} and got[5] == {"own-0-text", "own-1-text"} and not got[2] and not got[6]
+
+
+def test_licence_files_are_named(spark):
+    whole = dict(L.whole_texts())
+    if not whole:
+        pytest.skip("this machine has no licence files")
+    docs = odd.frame(spark, [(i, "/* file */\n" + t + "\ncode();", "en", "s", 1) for i, t in enumerate(whole.values())])
+    got = {r["doc_id"]: r["licenses"]["labels"] for r in L.scan(docs).collect()}
+    for i, label in enumerate(whole):
+        assert label in got[i]
+    assert {"gpl-3-text", "mpl-2.0-text", "apache-2.0-text"} <= set(whole)
+
+
+def test_a_folder_that_is_missing_gives_no_whole_licences(tmp_path):
+    assert L.whole_texts(str(tmp_path / "none")) == ()
