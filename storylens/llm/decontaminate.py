@@ -14,7 +14,8 @@ over all documents, so no broadcast grows with the benchmark.
 
 Null and empty texts have no words and no hits, items without words have no
 window, equal windows of several items count for each of them; every input
-row, repeated ones too, is kept with all its columns.
+row, repeated ones too, is kept with its columns; one called ``contamination``
+is replaced, and ``__all`` and ``__hits1``, ``__hits2``, ... are lost.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ batch and is bounded. A model whose pieces do cross markers is applied to
 whole texts. One pass, no shuffle.
 
 Null texts count as empty ones: no ids, empty decoded text. Every input row,
-repeated ones too, keeps all its columns.
+repeated ones too, keeps its columns; ``piece_ids`` and ``decoded_text`` are
+replaced, and one called ``__pieces`` is lost.
 """
 
 from __future__ import annotations

@@ -269,9 +269,10 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
     """One row of each component, with all its columns: that of the smallest
     doc_id (a null one counts as larger than any), of repeated rows the first."""
     prepare(docs.sparkSession)
-    rows = staged(docs.select("*", F.monotonically_increasing_id().alias("__row"),
-                              fingerprints(F.col("text"), shingle).alias("__fp")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    kept = components_of(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(order).alias("first")), distance)
-    kept = kept.where(F.col("first") == F.col("least")).select(F.col("least.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row", "__fp")
+    # the rows' own columns stand in a struct, so none of their names can clash
+    rows = staged(docs.select(F.struct(*docs.columns).alias("own"), F.monotonically_increasing_id().alias("at"),
+                              fingerprints(F.col("text"), shingle).alias("fp")), "fingerprints")
+    order = F.struct(F.col("own.doc_id").isNull().alias("none"), F.col("own.doc_id").alias("id"), F.col("at").alias("row"))
+    kept = components_of(rows.groupBy("fp").agg(F.min(order).alias("first")), distance)
+    kept = kept.where(F.col("first") == F.col("least")).select(F.col("least.row").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("own.*")
