@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from storylens.constants import GENERATION_INSTRUCTION, GENERATION_ROLE, WRITERS
+from storylens.constants import GENERATION_INSTRUCTION, GENERATION_ROLE, TAG_PATTERN, WRITERS
 from storylens.functions import text as T
 from storylens.operators import cleaning as P
 from storylens.operators import attrs as A
@@ -18,11 +18,10 @@ from storylens.session import shared_dir
 from storylens.sources import fixtures as fx
 from storylens.sources import io
 
-TAG_RE = r"(\[|\()(\s[A-Za-z][A-Za-z]\s)(\]|\))"
 SQL_ROLE = "'" + GENERATION_ROLE.replace("'", "''") + "'"
 SQL_INSTRUCTION = "'" + GENERATION_INSTRUCTION.replace("'", "''") + "'"
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-SQL_CLEAN_PROMPT = STRIP.format(x=f"regexp_replace(prompt, '{TAG_RE}', '', 'g')")
+SQL_CLEAN_PROMPT = STRIP.format(x=f"regexp_replace(prompt, '{TAG_PATTERN}', '', 'g')")
 
 
 def _scratch(spark, name: str) -> str:
