@@ -28,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with null texts as empty ones. Other columns are left
-    behind, so their names cannot clash with a result's."""
+    behind, so their names cannot clash with a result's. A doc_id that is text
+    is read as a whole number; one that is none is an error."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
