@@ -492,10 +492,16 @@ class Strings:
         raw = x.tobytes()
         self.raw = [raw[a:b] for a, b in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True)]
         x, at, self.first = byte_rows(self.raw, depth)
-        code = np.zeros(len(at), np.int64)
+        # in place and by slices: a chunk has many bytes, and each array here is 8 times as large
+        code = np.zeros(len(x) - depth, np.int64)
         for d in range(depth, -1, -1):
-            code = code << 8 | x[at - d]
+            code <<= 8
+            code |= x[depth - d:len(x) - d]
+        at -= depth
+        code = code[at]
+        del x, at
         coded = pa.array(code).dictionary_encode()
+        del code
         keys = coded.dictionary.to_numpy()
         self.place = coded.indices.to_numpy()
         bucket = _bucket(keys, split, buckets)
