@@ -1,29 +1,19 @@
-"""Greedy contrast pairs, computed exactly in parallel rounds.
+"""Greedy contrast pairs, computed exactly in rounds over the lexicon.
 
 Sequential definition: the smaller pole (the low pole on a tie) chooses; in
 lexicon order each chooser takes its most similar partner that no earlier
-chooser has taken. That is a serial dictatorship, so it equals the result of
-proposal rounds in which
-
-  (a) every free chooser i proposes to its best partner among those whose
-      holder is empty or has a later position than i;
-  (b) each partner keeps the earliest proposer or its current holder;
-  (c) displaced holders become free again; repeat until nobody is free.
-
-Holders only move to earlier choosers, so no rejection list is needed.
-Ties: similarity descending, then partner position descending.
-
-A chooser works down a bounded preference list: its ``LIST`` best partners
-that were open to it when the list was made. A partner that is closed to a
-chooser (held by an earlier one) stays closed, so a list that is used up is
-replaced by one over the partners that are still open, and nothing is missed.
-Only making lists multiplies vectors: choosers without a list are dealt into
-blocks, each block meets the partner pole of its dimension (one replica per
-block, no chooser x partner rows are ever emitted), settles its choosers in
-order and gives each the list of what earlier ones of the block left open. The
-rounds themselves cogroup lists with holders, no vectors at all, ``SEGMENT``
-blocks to a task, so that few choosers lose a partner to another task. Round state is a
-table of one row per held partner, cut from its lineage with a reliable
+chooser has taken. Ties: similarity descending, then partner position
+descending.
+
+What a chooser takes depends on earlier choosers alone, so the choosers of a
+dimension are dealt into runs in lexicon order, and a round settles one run of
+every dimension for good: it meets the partners that earlier rounds left open,
+and its choosers take theirs in order, ``size`` rows of the matrix product at
+a time. No pair rows and no preference lists are made, so choosers that want
+the same partners (near copies) cost no more rounds than others: there are as
+many rounds as runs, ``block * segment`` choosers to a run, however much they
+contend. After each block the partners that it took leave the matrix. A round
+leaves one row per settled chooser, cut from its lineage with a reliable
 checkpoint. Poles of every size take this path.
 
 Words whose vector is null or has a null, NaN or infinite element have no
@@ -34,101 +24,89 @@ the smaller pole is chosen. Zero vectors have similarity 0 to all.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storylens.functions.indexing import sequential_index
 from storylens.functions.vectors import as_double, finite, unit
 from storylens.session import ensure_checkpoint_dir
 
-# Free choosers that one task settles in a round, and choosers of a matrix product.
-BLOCK = 2048
-ROWS = 128
-# Partners on a preference list.
-LIST = 32
-# Blocks whose choosers' lists are settled in one task.
+# Choosers after which taken partners leave the matrix, and blocks that a round settles.
+BLOCK = 512
 SEGMENT = 32
+# Choosers of a matrix product.
+ROWS = 64
+# Choosers and partners of one task of the nearest-partner search.
+TILE = 16384
 
 _PROPOSAL_SCHEMA = "dim string, cidx long, pidx long, sim double"
-_LIST_SCHEMA = "dim string, cidx long, prefs array<struct<pidx: long, sim: double>>"
-
-
-def _best_partner(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-    if choosers.empty or partners.empty:
-        return pd.DataFrame({
-            "dim": pd.Series([], dtype=object), "cidx": pd.Series([], dtype="int64"),
-            "pidx": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64"),
-        })
-    p = partners.sort_values("pidx", ascending=False)
-    pv = np.vstack(p["vec"].to_numpy()).astype(np.float64)
-    cv = np.vstack(choosers["vec"].to_numpy()).astype(np.float64)
-    sims = cv @ pv.T
-    holder = p["holder"].to_numpy(dtype=np.float64)  # NaN when free
-    cidx = choosers["cidx"].to_numpy(dtype=np.float64)
-    eligible = np.isnan(holder)[None, :] | (holder[None, :] > cidx[:, None])
-    masked = np.where(eligible, sims, -np.inf)
-    best = masked.argmax(axis=1)  # first max = largest pidx among ties
-    ok = np.isfinite(masked[np.arange(len(best)), best])
-    return pd.DataFrame(
-        {
-            "dim": choosers["dim"].to_numpy()[ok],
-            "cidx": choosers["cidx"].to_numpy()[ok].astype(np.int64),
-            "pidx": p["pidx"].to_numpy()[best[ok]].astype(np.int64),
-            "sim": sims[np.arange(len(best)), best][ok],
-        }
-    )
 
 
-def _listed(size: int):
-    """Preference lists of a block: its choosers, in lexicon order, each get the
-    ``size`` best partners that no earlier chooser holds or has on top of its
-    list. Such a partner goes to that chooser or to a still earlier one, so
-    leaving it out is final."""
-
-    def run(choosers: pd.DataFrame, partners: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(choosers) and len(partners):
-            c, p = choosers.sort_values("cidx"), partners.sort_values("pidx", ascending=False)
-            cv, pv = (np.vstack(x["vec"].to_numpy()).astype(np.float64) for x in (c, p))
-            holder = p["holder"].fillna(np.inf).to_numpy(dtype=np.float64)
-            pidx = p["pidx"].to_numpy()
-            for i, (dim, cidx) in enumerate(zip(c["dim"], c["cidx"])):
-                if i % ROWS == 0:
-                    sims = cv[i:i + ROWS] @ pv.T
-                open_ = np.flatnonzero(holder > cidx)
-                if not len(open_):
-                    continue
-                own = sims[i % ROWS, open_]
-                if len(own) > size:
-                    best = np.flatnonzero(own >= np.partition(own, len(own) - size)[len(own) - size])
-                else:
-                    best = np.arange(len(own))
-                # a stable sort: among ties the largest pidx comes first
-                best = best[np.argsort(-own[best], kind="stable")][:size]
-                holder[open_[best[0]]] = cidx
-                rows.append((dim, int(cidx), [{"pidx": int(pidx[open_[k]]), "sim": float(own[k])} for k in best]))
-        return pd.DataFrame(rows, columns=["dim", "cidx", "prefs"])
+def _matrix(table: pa.Table) -> np.ndarray:
+    """Vectors of a group as one matrix, without an object per row."""
+    return table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+
+def _chosen(dim, cidx, pidx, sim) -> pa.Table:
+    return pa.table({"dim": pa.array([dim] * len(cidx), pa.string()), "cidx": pa.array(cidx, pa.int64()),
+                     "pidx": pa.array(pidx, pa.int64()), "sim": pa.array(sim, pa.float64())})
+
+
+def _settled(block: int, size: int):
+    """A run's choosers, in lexicon order, each take their best open partner."""
+
+    def run(choosers: pa.Table, partners: pa.Table) -> pa.Table:
+        if not len(choosers) or not len(partners):
+            return _chosen(None, [], [], [])
+        dim = choosers["dim"][0].as_py()
+        choosers = choosers.sort_by("cidx")
+        # the first maximum is the largest position among ties
+        partners = partners.sort_by([("pidx", "descending")])
+        cidx, pidx = choosers["cidx"].to_numpy(), partners["pidx"].to_numpy()
+        cv, pv = _matrix(choosers), _matrix(partners)
+        taken, value = np.zeros(len(cidx), dtype=np.int64), np.full(len(cidx), -np.inf)
+        for start in range(0, len(cidx), block):
+            if not len(pidx):
+                break
+            free = np.ones(len(pidx), dtype=bool)
+            end = min(start + block, len(cidx))
+            for i in range(start, end, size):
+                sims = cv[i:min(i + size, end)] @ pv.T
+                sims[:, ~free] = -np.inf
+                best = sims.argmax(axis=1)
+                for k, j in enumerate(best):
+                    if not free[j]:  # an earlier row of this product took it
+                        sims[k, best[:k]] = -np.inf
+                        j = sims[k].argmax()
+                        if sims[k, j] == -np.inf:  # nothing is left
+                            continue
+                        best[k] = j
+                    free[j] = False
+                    taken[i + k], value[i + k] = pidx[j], sims[k, j]
+            pidx, pv = pidx[free], pv[free]
+        got = value > -np.inf
+        return _chosen(dim, cidx[got], taken[got], value[got])
 
     return run
 
 
-def _propose(choosers: pd.DataFrame, holders: pd.DataFrame) -> pd.DataFrame:
-    """A block's choosers, in lexicon order, each take the first partner of their
-    list that is open; without one ``pidx`` is null: the list is used up."""
-    rows = []
-    if len(choosers):
-        held = dict(zip(holders["pidx"], holders["holder"])) if len(holders) else {}
-        c = choosers.sort_values("cidx")
-        for dim, cidx, prefs in zip(c["dim"], c["cidx"], c["prefs"]):
-            best = next((x for x in prefs if held.get(x["pidx"], np.inf) > cidx), None)
-            if best is not None:
-                held[best["pidx"]] = cidx
-            rows.append((dim, cidx, *((best["pidx"], best["sim"]) if best else (None, None))))
-    out = pd.DataFrame(rows, columns=["dim", "cidx", "pidx", "sim"])
-    return out.astype({"pidx": "Int64", "sim": "Float64"})
+def _nearest(choosers: pa.Table, partners: pa.Table) -> pa.Table:
+    """The best partner of each chooser among the partners of one tile."""
+    if not len(choosers) or not len(partners):
+        return _chosen(None, [], [], [])
+    partners = partners.sort_by([("pidx", "descending")])
+    cv, pv = _matrix(choosers), _matrix(partners)
+    pidx = partners["pidx"].to_numpy()
+    best, value = np.zeros(len(cv), dtype=np.int64), np.zeros(len(cv))
+    for i in range(0, len(cv), ROWS):
+        sims = cv[i:i + ROWS] @ pv.T
+        top = sims.argmax(axis=1)
+        best[i:i + ROWS], value[i:i + ROWS] = pidx[top], sims[np.arange(len(top)), top]
+    return _chosen(choosers["dim"][0].as_py(), choosers["cidx"].to_numpy(), best, value)
 
 
-def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: int = LIST,
+def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: int = ROWS,
                    segment: int = SEGMENT) -> DataFrame:
     """Greedy contrast pairs per dimension.
 
@@ -139,65 +117,40 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: in
     low, high = (x.filter(finite("vec")) for x in (low, high))
     lo = low.select("dim", "word", "ord", unit(as_double("vec")).alias("vec"), F.lit("low").alias("side"))
     hi = high.select("dim", "word", "ord", unit(as_double("vec")).alias("vec"), F.lit("high").alias("side"))
-    sizes = (
-        lo.groupBy("dim").agg(F.count(F.lit(1)).alias("n_low"))
-        .join(hi.groupBy("dim").agg(F.count(F.lit(1)).alias("n_high")), "dim")
-        .withColumn("chooser", F.when(F.col("n_low") <= F.col("n_high"), "low").otherwise("high"))
-        .withColumn("n_seg", F.ceil(F.least("n_low", "n_high") / F.lit(block * segment)).cast("int"))
-    ).checkpoint()
+    both = lo.unionByName(hi).checkpoint()
+    sizes = both.groupBy("dim").agg(
+        F.count_if(F.col("side") == "low").alias("n_low"), F.count_if(F.col("side") == "high").alias("n_high"),
+    ).filter("n_low > 0 and n_high > 0").withColumn(
+        "chooser", F.when(F.col("n_low") <= F.col("n_high"), "low").otherwise("high"))
     # one row for each of the dimensions
-    both = lo.unionByName(hi).join(F.broadcast(sizes.select("dim", "chooser")), "dim")
+    both = both.join(F.broadcast(sizes.select("dim", "chooser")), "dim")
     # the lexicon position is the priority (choosers) and the tie-break (partners)
     choosers = both.filter(F.col("side") == F.col("chooser")).select(
-        "dim", F.col("ord").alias("cidx"), F.col("word").alias("cword"), "vec").checkpoint()
+        "dim", F.col("ord").alias("cidx"), F.col("word").alias("cword"), "vec")
     partners = both.filter(F.col("side") != F.col("chooser")).select(
-        "dim", F.col("ord").alias("pidx"), F.col("word").alias("pword"), "vec").checkpoint()
+        "dim", F.col("ord").alias("pidx"), F.col("word").alias("pword"), "vec")
     # fresh attribute ids for the two sides (same lineage, joined below)
     choosers = choosers.toDF(*choosers.columns)
     partners = partners.toDF(*partners.columns)
 
-    # lists are short and have no vectors, so many choosers are settled in one task
-    segments = sizes.select("dim", "n_seg")
-    holders = spark.createDataFrame([], "dim string, pidx long, holder long, sim double")
-    lists = None
-    without = choosers.select("dim", "cidx")  # choosers that need a list
-    n_choosers = n_without = choosers.count()
-    n_held = total = generation = 0
-    # the chooser side is the smaller one and all similarities are finite, so
-    # every chooser ends up holding a partner
-    while n_held < n_choosers:
-        free = choosers.join(holders.select("dim", F.col("holder").alias("cidx")), ["dim", "cidx"], "left_anti")
-        if n_without:
-            # one row for each of the dimensions
-            n_blk = F.broadcast(without.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n_blk")))
-            need = free.join(without, ["dim", "cidx"]).join(n_blk, "dim").select(
-                "dim", "cidx", "vec", F.pmod(F.hash("cidx"), F.col("n_blk")).alias("blk"))
-            replicas = partners.join(n_blk, "dim").select(
-                "dim", "pidx", "vec", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk")).join(
-                holders.select("dim", "pidx", "holder"), ["dim", "pidx"], "left")
-            made = need.groupBy("dim", "blk").cogroup(replicas.groupBy("dim", "blk")).applyInPandas(
-                _listed(size), _LIST_SCHEMA).checkpoint()
-            made, generation = made.withColumn("generation", F.lit(generation)), generation + 1
-            lists = made if lists is None else lists.unionByName(made)
-        latest = lists.groupBy("dim", "cidx").agg(F.max_by("prefs", "generation").alias("prefs"))
-        waiting = free.select("dim", "cidx").join(latest, ["dim", "cidx"]).join(F.broadcast(segments), "dim").select(
-            "dim", "cidx", "prefs", F.pmod(F.hash("cidx"), F.col("n_seg")).alias("seg"))
-        known = holders.join(F.broadcast(segments), "dim").select(
-            "dim", "pidx", "holder", F.explode(F.sequence(F.lit(0), F.col("n_seg") - 1)).alias("seg"))
-        # the state is cut from its lineage every round
-        proposed = waiting.groupBy("dim", "seg").cogroup(known.groupBy("dim", "seg")).applyInPandas(
-            _propose, _PROPOSAL_SCHEMA).checkpoint()
-        merged = holders.select("dim", "pidx", F.col("holder").alias("cidx"), "sim").unionByName(
-            proposed.filter("pidx is not null"))
-        holders = merged.groupBy("dim", "pidx").agg(
-            F.min_by(F.struct("cidx", "sim"), F.col("cidx")).alias("h")
-        ).select("dim", "pidx", F.col("h.cidx").alias("holder"), F.col("h.sim").alias("sim")).checkpoint()
-        before = n_held, total
-        n_held, total = holders.agg(F.count(F.lit(1)), F.coalesce(F.sum("holder"), F.lit(0))).first()
-        without = proposed.filter("pidx is null").select("dim", "cidx")
-        n_without = without.count()
-        if not n_without and (n_held, total) == before:
-            raise RuntimeError("contrast pairing stands still: a round changed nothing")
+    # runs of choosers in lexicon order, from a dense rank in each dimension
+    ranks = sequential_index(choosers.select("dim", "cidx").distinct(), ["dim", "cidx"], "rank").checkpoint()
+    firsts = ranks.groupBy("dim").agg(F.min("rank").alias("first"))
+    runs = ranks.join(F.broadcast(firsts), "dim").select(
+        "dim", "cidx", F.expr(f"(rank - first) div {block * segment}").alias("run"))
+    queued = choosers.join(runs, ["dim", "cidx"]).select("dim", "cidx", "vec", "run").checkpoint()
+    n_runs = (queued.agg(F.max("run")).first()[0] or 0) + 1
+
+    holders = spark.createDataFrame([], _PROPOSAL_SCHEMA)
+    for run in range(n_runs):
+        mine = queued.filter(F.col("run") == run).select("dim", "cidx", "vec")
+        # a dimension whose choosers are all settled needs no partners
+        open_ = partners.select("dim", "pidx", "vec").join(holders.select("dim", "pidx"), ["dim", "pidx"], "left_anti").join(
+            F.broadcast(mine.select("dim").distinct()), "dim", "left_semi")
+        settled = mine.groupBy("dim").cogroup(open_.groupBy("dim")).applyInArrow(
+            _settled(block, size), _PROPOSAL_SCHEMA).checkpoint()
+        holders = holders.unionByName(settled)
+    holders = holders.withColumnRenamed("cidx", "holder")
 
     pairs = (
         holders.join(choosers.select("dim", F.col("cidx").alias("holder"), "cword"), ["dim", "holder"])
@@ -212,20 +165,29 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: in
     )
 
 
-def nearest_partners(choosers: DataFrame, partners: DataFrame, block: int = 512) -> DataFrame:
+def nearest_partners(choosers: DataFrame, partners: DataFrame, tile: int = TILE) -> DataFrame:
     """C06 without emitting pairs: for each chooser ``(dim, cidx, vec)`` its most
     similar partner ``(dim, pidx, vec)`` by cosine (ties: larger pidx), from a
-    blocked matrix product per dimension. Vectors that are not finite are left
+    matrix product per dimension in tiles of about ``tile`` choosers and as many
+    partners, so that no task holds a pole. Vectors that are not finite are left
     out. Returns ``(dim, cidx, pidx, sim)``."""
     choosers, partners = (x.filter(finite("vec")) for x in (choosers, partners))
     c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec")).toDF("dim", "cidx", "vec")
     p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec")).toDF("dim", "pidx", "vec")
-    nb = c.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).cast("int").alias("n_blk"))
-    c = c.join(F.broadcast(nb), "dim").withColumn("blk", F.pmod(F.hash("cidx"), F.col("n_blk"))).drop("n_blk")
-    reps = p.join(F.broadcast(nb), "dim").select(
-        "dim", "pidx", "vec", F.lit(None).cast("long").alias("holder"),
-        F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)).alias("blk"))
-    return (
-        c.groupBy("dim", "blk").cogroup(reps.groupBy("dim", "blk"))
-        .applyInPandas(_best_partner, _PROPOSAL_SCHEMA)
-    )
+
+    def tiles(df, name):
+        return df.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(name))
+
+    def dealt(idx, n):
+        return F.pmod(F.hash(idx), F.col(n))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    # one row for each of the dimensions
+    n = F.broadcast(tiles(c, "n_c").join(tiles(p, "n_p"), "dim"))
+    c = c.join(n, "dim").select("dim", "cidx", "vec", dealt("cidx", "n_c").alias("ct"), every("n_p").alias("pt"))
+    p = p.join(n, "dim").select("dim", "pidx", "vec", every("n_c").alias("ct"), dealt("pidx", "n_p").alias("pt"))
+    best = c.groupBy("dim", "ct", "pt").cogroup(p.groupBy("dim", "ct", "pt")).applyInArrow(_nearest, _PROPOSAL_SCHEMA)
+    return best.groupBy("dim", "cidx").agg(F.max(F.struct("sim", "pidx")).alias("b")).select(
+        "dim", "cidx", F.col("b.pidx").alias("pidx"), F.col("b.sim").alias("sim"))

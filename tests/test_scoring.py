@@ -109,6 +109,49 @@ def test_pairing_of_equal_vectors(spark):
     assert got == {(f"l{i}", f"h{8 - i}") for i in range(9)}
 
 
+def _jobs(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_pairing_of_near_copies_takes_no_more_rounds(spark):
+    """Choosers that all want the same partners cost as many jobs as others."""
+    schema = "dim string, word string, ord long, vec array<double>"
+    rng = np.random.default_rng(5)
+    spread = rng.normal(size=(2, 60, 16))
+    near = np.ones(16) + 0.01 * rng.normal(size=(2, 60, 16))
+    jobs = {}
+    for name, (lo, hi) in (("spread", spread), ("near", near)):
+        low = spark.createDataFrame([("d", f"l{i}", i, v.tolist()) for i, v in enumerate(lo)], schema)
+        high = spark.createDataFrame([("d", f"h{i}", i, v.tolist()) for i, v in enumerate(hi)], schema)
+        got, jobs[name] = _jobs(spark, name, lambda: contrast_pairs(low, high, block=6, size=2, segment=5).collect())
+        sim = (lo / np.linalg.norm(lo, axis=1, keepdims=True)) @ (hi / np.linalg.norm(hi, axis=1, keepdims=True)).T
+        want = set()
+        for i in range(60):
+            want.add((f"l{i}", f"h{sim[i].argmax()}"))
+            sim[:, sim[i].argmax()] = -np.inf
+        assert {(r["low_word"], r["high_word"]) for r in got} == want
+    assert jobs["near"] <= jobs["spread"] + 3
+
+
+def test_nearest_partners_in_tiles(spark):
+    """Tiles of a pole give what the whole pole gives; among ties the larger position."""
+    rng = np.random.default_rng(6)
+    lo, hi = rng.normal(size=(23, 5)), rng.normal(size=(31, 5))
+    hi[30] = hi[2]
+    low = spark.createDataFrame([("d", i, v.tolist()) for i, v in enumerate(lo)], "dim string, cidx long, vec array<double>")
+    high = spark.createDataFrame([("d", i, v.tolist()) for i, v in enumerate(hi)], "dim string, pidx long, vec array<double>")
+    sim = (lo / np.linalg.norm(lo, axis=1, keepdims=True)) @ (hi / np.linalg.norm(hi, axis=1, keepdims=True)).T
+    want = {i: 30 - int(sim[i, ::-1].argmax()) for i in range(23)}
+    got = nearest_partners(low, high, tile=4).collect()
+    assert {r["cidx"]: r["pidx"] for r in got} == want and len(got) == 23
+    assert all(r["sim"] == pytest.approx(sim[r["cidx"], r["pidx"]]) for r in got)
+
+
 @pytest.mark.parametrize("bad", [[float("nan"), 1.0], None])
 def test_pairing_leaves_out_vectors_that_are_not_finite(spark, bad):
     """In either pole, and in both: the rest is paired as without them."""
