@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +70,30 @@ def sub_attrs(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFr
 
 
 SUB_SCHEMA = "s_key long, ord int, attr string, rule string"
+_SUB_ARROW = pa.schema([("s_key", pa.int64()), ("ord", pa.int32()), ("attr", pa.string()), ("rule", pa.string())])
+# Sentences whose tokens are Python objects at a time, and tokens of them.
+SLICE = 1024
+SLICE_TOKENS = 1 << 16
+
+
+def _sentence_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_TOKENS) -> Iterator[pd.DataFrame]:
+    """Runs of sentences as pandas, bounded in sentences and in tokens (a longer
+    sentence comes alone), whatever the size of an Arrow batch."""
+    for rb in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(rb.column("pos")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < rb.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
+            yield rb.slice(start, end - start).to_pandas()
+            start = end
 
 
 def _sub_batch(prot: list[str]):
     prot_set = np.array(sorted(set(prot)), dtype=object)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in _sentence_slices(batches):
             lens = pdf["pos"].map(len).to_numpy()
             offs = np.concatenate([[0], np.cumsum(lens)[:-1]])
             key = np.repeat(pdf["s_key"].to_numpy(), lens)
@@ -104,7 +121,7 @@ def _sub_batch(prot: list[str]):
             out2 = pd.DataFrame({"s_key": key[m2], "ord": pos[m2].astype(np.int32), "attr": text[parent[m2]],
                                  "rule": "E02"})
             out3 = pd.DataFrame({"s_key": key[m3], "ord": pos[m3].astype(np.int32), "attr": text[m3], "rule": "E03"})
-            yield pd.concat([out2, out3], ignore_index=True)
+            yield pa.RecordBatch.from_pandas(pd.concat([out2, out3], ignore_index=True), schema=_SUB_ARROW, preserve_index=False)
 
     return run
 
@@ -113,12 +130,13 @@ def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS)
     """E04 over the per-sentence form ``(s_key, sent_id, base, pos[], text[],
     tag[], dep[], head[])`` (what an annotator emits; no shuffle needed).
 
-    Arrow batches of sentences are flattened into one array per batch; E02 is
+    Arrow batches of sentences are flattened slice by slice, so a worker's memory
+    does not follow the batch; E02 is
     a lookup of each token's head, and E03's "any ancestor is a protagonist"
     is computed for every token at once by pointer doubling (log2 of the
     sentence length passes), so no per-token climb."""
     cols = s.select("s_key", "base", "pos", "text", "tag", "dep", "head")
-    return cols.mapInPandas(_sub_batch(list(prot)), SUB_SCHEMA)
+    return cols.mapInArrow(_sub_batch(list(prot)), SUB_SCHEMA)
 
 
 def gated_sentences(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:

@@ -9,7 +9,7 @@ Every view covers whole tables and whole texts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -188,18 +188,33 @@ _TAGS = np.array(["VBD", "JJ", "VBZ", "NN", "NN"], dtype=object)
 _DEPS = np.array(["nsubj", "amod", "poss", "nsubjpass", "dep", "dep", "dep"], dtype=object)
 
 
-def _sentence_parser(batches):
-    """Stand-in parser emitting one row per sentence (fixture rules), built
-    from flat numpy arrays per Arrow batch."""
-    import pyarrow as pa
+# Tokens that the stand-in parser holds at a time (a longer text alone).
+PARSER_TOKENS = 1 << 16
+
 
+def _word_chunks(batches, most: int):
+    """Keys and words of consecutive texts, up to ``most`` words at a time
+    whatever the size of an Arrow batch; a longer text comes alone."""
     for rb in batches:
-        keys = rb.column("s_key").to_numpy(zero_copy_only=False)
-        toks, lens = [], []
-        for txt in rb.column("text").to_pylist():
-            w = (txt or "").split()
+        keys, texts = rb.column("s_key"), rb.column("text")
+        at, toks, lens = [], [], []
+        for i in range(rb.num_rows):
+            w = (texts[i].as_py() or "").split()
+            if at and len(toks) + len(w) > most:
+                yield keys.take(pa.array(at)), toks, lens
+                at, toks, lens = [], [], []
+            at.append(i)
             toks.extend(w)
             lens.append(len(w))
+        if at:
+            yield keys.take(pa.array(at)), toks, lens
+
+
+def _sentence_parser(batches, most: int = PARSER_TOKENS):
+    """Stand-in parser emitting one row per sentence (fixture rules), built
+    from flat numpy arrays per chunk of texts."""
+    for keys, toks, lens in _word_chunks(batches, most):
+        keys = keys.to_numpy(zero_copy_only=False)
         lens = np.asarray(lens, dtype=np.int64)
         total = int(lens.sum())
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
@@ -255,8 +270,6 @@ def _mention_model(batches):
     cluster (pos div 11) mod 4), family 2 every 13 tokens (length 1 + pos mod
     4, cluster 4 + (pos div 13) mod 3); ends clamped to the text; mentions
     numbered per cluster by (start, end)."""
-    import pyarrow as pa
-
     for rb in batches:
         out = {k: [] for k in ("s_key", "cluster_id", "mention_no", "start", "end", "surface")}
         for key, txt in zip(rb.column("s_key").to_pylist(), rb.column("text").to_pylist()):
