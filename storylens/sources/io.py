@@ -207,14 +207,25 @@ def read_story_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def write_story_mapping_objects(stories: DataFrame, path: str, prompts_per_file: int = 1000) -> None:
     """S04 in the object form: one JSON object (prompt -> ordered stories) per
-    file of `prompts_per_file` consecutive prompts."""
-    g = group_story_mapping(stories).withColumn("_file", F.floor(F.col("p_ind") / prompts_per_file))
-    obj = g.groupBy("_file").agg(
-        F.to_json(F.map_from_entries(F.transform(
-            F.array_sort(F.collect_list(F.struct("p_ind", "prompt", "stories"))),
-            lambda r: F.struct(r["prompt"], r["stories"])))).alias("value"))
-    obj = obj.withColumn("_file", F.format_string("%09d", F.col("_file")))
-    obj.write.partitionBy("_file").text(path)
+    file of `prompts_per_file` consecutive prompts, a line for each story, so
+    that neither an object nor a prompt's list is ever one row."""
+    d = stories.withColumn("_file", F.coalesce(F.format_string("%09d", F.floor(F.col("p_ind") / prompts_per_file)), F.lit("")))
+    order = Window.partitionBy("_file").orderBy("p_ind", "s_ind")
+    d = d.select("*", F.lag("p_ind").over(order).alias("_before"), F.lead("p_ind").over(order).alias("_after"))
+
+    def text(c):  # a JSON string, or null
+        j = F.to_json(F.array(c))
+        return F.substring(j, F.lit(2), F.length(j) - 2)
+
+    opens = F.col("_before").isNull() | (F.col("_before") != F.col("p_ind"))
+    key = F.when(F.col("prompt").isNull(), F.raise_error(F.lit("a prompt is null")).cast("string")).otherwise(text("prompt"))
+    value = F.concat(
+        F.when(F.col("_before").isNull(), "{").when(opens, "], ").otherwise(", "),
+        F.when(opens, F.concat(key, F.lit(": ["))).otherwise(""),
+        text("story"),
+        F.when(F.col("_after").isNull(), "]}").otherwise(""))
+    # the window leaves each file's rows in order, and the writer keeps it
+    d.select(value.alias("value"), "_file").write.partitionBy("_file").text(path)
 
 
 STORY_LINES_SCHEMA = StructType([
