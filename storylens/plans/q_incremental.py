@@ -36,11 +36,19 @@ def t01(spark, sf):
     return T.skip_finished(st, _done(spark, sf))
 
 
-def _write_source(spark, df, name: str, parts: int = 4) -> str:
-    """New story files for the stream; a prompt's stories are in several."""
+BATCHES = 4
+FILE_CHARS = 1 << 25
+
+
+def _write_source(spark, df, name: str, file_chars: int = FILE_CHARS) -> tuple[str, int]:
+    """New story files for the stream, of about ``file_chars`` characters each,
+    ``BATCHES`` at least; a prompt's stories are in several. Returns the folder
+    and how many files make a batch, so that files, not batches, grow in number."""
     path = shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
-    df.repartition(parts, "s_id").write.parquet(path)
-    return path
+    chars = df.agg(F.sum(F.length("text"))).first()[0] or 0
+    per_batch = max(1, -(-chars // (file_chars * BATCHES)))
+    df.repartition(BATCHES * per_batch, "s_id").write.parquet(path)
+    return path, per_batch
 
 
 @query("t02_batch_commit_replay", with_ctes(["fx_stories"], """
@@ -51,16 +59,16 @@ def t02(spark, sf):
     batch; then the run is replayed with the same checkpoint folder, and with a
     new one and another batch size, which must add nothing."""
     st = fx.stories(spark, sf).select("writer", "p_ind", "s_ind", "s_id", "text")
-    src = _write_source(spark, st, "t02-src")
+    src, per_batch = _write_source(spark, st, "t02-src")
     out = shared_dir(spark, f"t02-out-{uuid.uuid4().hex}")
     ckpt = shared_dir(spark, f"t02-ckpt-{uuid.uuid4().hex}")
 
     def fn(batch, batch_id):
         return batch.select("writer", "p_ind", "s_ind", "s_id", F.size(whitespace_words("text")).cast("bigint").alias("n_words"))
 
-    T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
-    T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
-    return T.run_batches(spark, src, st.schema, out, f"{ckpt}-new", fn, files_per_batch=3)
+    T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=per_batch)
+    T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=per_batch)
+    return T.run_batches(spark, src, st.schema, out, f"{ckpt}-new", fn, files_per_batch=3 * per_batch)
 
 
 @query("t03_incremental_scoring", with_ctes(["fx_stories", "fx_lexicon"],
@@ -70,12 +78,12 @@ def t03(spark, sf):
     """New story files scored batch by batch against static lexicon
     word scores (prepared once); files of committed batches are not read again."""
     st = fx.stories(spark, sf).select("s_key", "p_ind", "s_ind", "writer", "s_id", "s_pov", "p_pov", "text")
-    src = _write_source(spark, st, "t03-src")
+    src, per_batch = _write_source(spark, st, "t03-src")
     out = shared_dir(spark, f"t03-out-{uuid.uuid4().hex}")
     ckpt = shared_dir(spark, f"t03-ckpt-{uuid.uuid4().hex}")
     lex = fx.lexicon(spark, sf)
     ws = word_score_table(lex, None, sms=["avg"]).checkpoint()
     modes = lexicon_modes(lex).checkpoint()
     fn = T.scoring_batch(ws, modes, sms=["avg"])
-    res = T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=1)
+    res = T.run_batches(spark, src, st.schema, out, ckpt, fn, files_per_batch=per_batch)
     return res.select("writer", "s_id", "am", "dim", "sm", "score")
