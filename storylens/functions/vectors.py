@@ -23,6 +23,13 @@ def finite(vec) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to the session's full number of partitions. Vector
+    arithmetic takes time by the row, while partitions coalesced by bytes hold
+    thousands of short vectors each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storylens.functions.indexing import sequential_index
-from storylens.functions.vectors import as_double, finite, unit
+from storylens.functions.vectors import as_double, finite, spread, unit
 from storylens.session import ensure_checkpoint_dir
 
 # Choosers after which taken partners leave the matrix, and blocks that a round settles.
@@ -114,7 +114,7 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: in
     """
     spark = low.sparkSession
     ensure_checkpoint_dir(spark)
-    low, high = (x.filter(finite("vec")) for x in (low, high))
+    low, high = (spread(x, "dim", "word").filter(finite("vec")) for x in (low, high))
     lo = low.select("dim", "word", "ord", unit(as_double("vec")).alias("vec"), F.lit("low").alias("side"))
     hi = high.select("dim", "word", "ord", unit(as_double("vec")).alias("vec"), F.lit("high").alias("side"))
     both = lo.unionByName(hi).checkpoint()
@@ -171,7 +171,7 @@ def nearest_partners(choosers: DataFrame, partners: DataFrame, tile: int = TILE)
     matrix product per dimension in tiles of about ``tile`` choosers and as many
     partners, so that no task holds a pole. Vectors that are not finite are left
     out. Returns ``(dim, cidx, pidx, sim)``."""
-    choosers, partners = (x.filter(finite("vec")) for x in (choosers, partners))
+    choosers, partners = (spread(x, "dim", i).filter(finite("vec")) for x, i in ((choosers, "cidx"), (partners, "pidx")))
     c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec")).toDF("dim", "cidx", "vec")
     p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec")).toDF("dim", "pidx", "vec")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
-from storylens.functions.vectors import as_double, cosine, dot, unit, vector_mean
+from storylens.functions.vectors import as_double, cosine, dot, spread, unit, vector_mean
 from storylens.operators.lexicon import lexicon_modes, poles, seeds
 from storylens.operators.pairing import contrast_pairs
 
@@ -53,7 +53,7 @@ def axes(lex: DataFrame, vectors: DataFrame, use_contrast: bool = True) -> DataF
 
 def centroids(lex: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(dim, centroid)`` = mean of the unit seed vectors."""
-    s = seeds(lex, vectors).select("dim", unit(as_double("vec")).alias("vec"))
+    s = spread(seeds(lex, vectors), "dim", "word").select("dim", unit(as_double("vec")).alias("vec"))
     return vector_mean(s, ["dim"], "vec", "centroid")
 
 
@@ -62,7 +62,7 @@ def vector_word_scores(vectors: DataFrame, axis_df: DataFrame | None, centroid_d
     """``(w, dim, sm, wscore)`` for sm in {axis, sim}: each vocabulary word is
     scored once per dimension. The per-dimension vectors are one row per
     dimension (bounded by the dimension count) and broadcast."""
-    v = vectors.select(F.col("word").alias("w"), as_double("vec").alias("vec"))
+    v = spread(vectors, "word").select(F.col("word").alias("w"), as_double("vec").alias("vec"))
     v = v.select("w", "vec", F.explode(F.array(*[F.lit(d) for d in dims])).alias("dim"))
     out = []
     if axis_df is not None:

@@ -109,6 +109,16 @@ def test_pairing_of_equal_vectors(spark):
     assert got == {(f"l{i}", f"h{8 - i}") for i in range(9)}
 
 
+def test_vector_scores_use_every_partition(spark):
+    """Words in one partition are scored by many tasks."""
+    vec = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(200)], "word string, vec array<double>").coalesce(1)
+    centre = spark.createDataFrame([("d", [0.6, 0.8])], "dim string, centroid array<double>")
+    out = S.vector_word_scores(vec, None, centre, ["d"])
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r["w"]: r["wscore"] for r in out.collect()}
+    assert len(got) == 200 and got["w2"] == pytest.approx(2.0 / 5 ** 0.5)
+
+
 def _jobs(spark, name, run):
     spark.sparkContext.setJobGroup(name, name)
     try:
