@@ -41,6 +41,7 @@ ROWS = 64
 TILE = 16384
 
 _PROPOSAL_SCHEMA = "dim string, cidx long, pidx long, sim double"
+_NEAREST_SCHEMA = "dim string, cidx long, pidx long, sim double, vid long, copies long"
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -94,7 +95,8 @@ def _settled(block: int, size: int):
 def _nearest(choosers: pa.Table, partners: pa.Table) -> pa.Table:
     """The best partner of each chooser among the partners of one tile."""
     if not len(choosers) or not len(partners):
-        return _chosen(None, [], [], [])
+        out, choosers = _chosen(None, [], [], []), choosers.slice(0, 0)
+        return out.append_column("vid", choosers["vid"]).append_column("copies", choosers["copies"])
     partners = partners.sort_by([("pidx", "descending")])
     cv, pv = _matrix(choosers), _matrix(partners)
     pidx = partners["pidx"].to_numpy()
@@ -103,7 +105,8 @@ def _nearest(choosers: pa.Table, partners: pa.Table) -> pa.Table:
         sims = cv[i:i + ROWS] @ pv.T
         top = sims.argmax(axis=1)
         best[i:i + ROWS], value[i:i + ROWS] = pidx[top], sims[np.arange(len(top)), top]
-    return _chosen(choosers["dim"][0].as_py(), choosers["cidx"].to_numpy(), best, value)
+    out = _chosen(choosers["dim"][0].as_py(), choosers["cidx"].to_numpy(), best, value)
+    return out.append_column("vid", choosers["vid"]).append_column("copies", choosers["copies"])
 
 
 def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: int = ROWS,
@@ -172,7 +175,10 @@ def nearest_partners(choosers: DataFrame, partners: DataFrame, tile: int = TILE)
     partners, so that no task holds a pole. Vectors that are not finite are left
     out. Returns ``(dim, cidx, pidx, sim)``."""
     choosers, partners = (spread(x, "dim", i).filter(finite("vec")) for x, i in ((choosers, "cidx"), (partners, "pidx")))
-    c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec")).toDF("dim", "cidx", "vec")
+    # a chooser that comes twice is searched once, and is twice in the result
+    choosers = choosers.groupBy("dim", "cidx", "vec").agg(F.count(F.lit(1)).alias("copies"))
+    c = choosers.select("dim", "cidx", unit(as_double("vec")).alias("vec"), F.xxhash64("vec").alias("vid"), "copies")
+    c = c.toDF(*c.columns)
     p = partners.select("dim", "pidx", unit(as_double("vec")).alias("vec")).toDF("dim", "pidx", "vec")
 
     def tiles(df, name):
@@ -186,8 +192,10 @@ def nearest_partners(choosers: DataFrame, partners: DataFrame, tile: int = TILE)
 
     # one row for each of the dimensions
     n = F.broadcast(tiles(c, "n_c").join(tiles(p, "n_p"), "dim"))
-    c = c.join(n, "dim").select("dim", "cidx", "vec", dealt("cidx", "n_c").alias("ct"), every("n_p").alias("pt"))
+    c = c.join(n, "dim").select("dim", "cidx", "vec", "vid", "copies", dealt("cidx", "n_c").alias("ct"), every("n_p").alias("pt"))
     p = p.join(n, "dim").select("dim", "pidx", "vec", every("n_c").alias("ct"), dealt("pidx", "n_p").alias("pt"))
-    best = c.groupBy("dim", "ct", "pt").cogroup(p.groupBy("dim", "ct", "pt")).applyInArrow(_nearest, _PROPOSAL_SCHEMA)
-    return best.groupBy("dim", "cidx").agg(F.max(F.struct("sim", "pidx")).alias("b")).select(
-        "dim", "cidx", F.col("b.pidx").alias("pidx"), F.col("b.sim").alias("sim"))
+    found = c.groupBy("dim", "ct", "pt").cogroup(p.groupBy("dim", "ct", "pt")).applyInArrow(_nearest, _NEAREST_SCHEMA)
+    best = found.groupBy("dim", "cidx", "vid").agg(
+        F.max(F.struct("sim", "pidx")).alias("b"), F.max("copies").alias("copies"))
+    best = best.select("*", F.explode(F.sequence(F.lit(1), "copies")))
+    return best.select("dim", "cidx", F.col("b.pidx").alias("pidx"), F.col("b.sim").alias("sim"))

@@ -160,6 +160,9 @@ def test_nearest_partners_in_tiles(spark):
     got = nearest_partners(low, high, tile=4).collect()
     assert {r["cidx"]: r["pidx"] for r in got} == want and len(got) == 23
     assert all(r["sim"] == pytest.approx(sim[r["cidx"], r["pidx"]]) for r in got)
+    # a row that comes twice is in the result twice
+    twice = nearest_partners(low.union(low.filter("cidx < 3")), high, tile=4).collect()
+    assert sorted((r["cidx"], r["pidx"]) for r in twice) == sorted([*want.items(), *[(i, want[i]) for i in range(3)]])
 
 
 @pytest.mark.parametrize("bad", [[float("nan"), 1.0], None])
