@@ -124,7 +124,7 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: in
     sizes = both.groupBy("dim").agg(
         F.count_if(F.col("side") == "low").alias("n_low"), F.count_if(F.col("side") == "high").alias("n_high"),
     ).filter("n_low > 0 and n_high > 0").withColumn(
-        "chooser", F.when(F.col("n_low") <= F.col("n_high"), "low").otherwise("high"))
+        "chooser", F.when(F.col("n_low") <= F.col("n_high"), "low").otherwise("high")).checkpoint()
     # one row for each of the dimensions
     both = both.join(F.broadcast(sizes.select("dim", "chooser")), "dim")
     # the lexicon position is the priority (choosers) and the tie-break (partners)
@@ -136,23 +136,30 @@ def contrast_pairs(low: DataFrame, high: DataFrame, block: int = BLOCK, size: in
     choosers = choosers.toDF(*choosers.columns)
     partners = partners.toDF(*partners.columns)
 
-    # runs of choosers in lexicon order, from a dense rank in each dimension
-    ranks = sequential_index(choosers.select("dim", "cidx").distinct(), ["dim", "cidx"], "rank").checkpoint()
-    firsts = ranks.groupBy("dim").agg(F.min("rank").alias("first"))
-    runs = ranks.join(F.broadcast(firsts), "dim").select(
-        "dim", "cidx", F.expr(f"(rank - first) div {block * segment}").alias("run"))
-    queued = choosers.join(runs, ["dim", "cidx"]).select("dim", "cidx", "vec", "run").checkpoint()
-    n_runs = (queued.agg(F.max("run")).first()[0] or 0) + 1
-
-    holders = spark.createDataFrame([], _PROPOSAL_SCHEMA)
+    # a dimension of one run needs no ranks
+    most = sizes.agg(F.max(F.least("n_low", "n_high"))).first()[0] or 0
+    if most <= block * segment:
+        n_runs, queued = 1, choosers.select("dim", "cidx", "vec", F.lit(0).alias("run"))
+    else:
+        # runs of choosers in lexicon order, from a dense rank in each dimension
+        ranks = sequential_index(choosers.select("dim", "cidx").distinct(), ["dim", "cidx"], "rank").checkpoint()
+        firsts = ranks.groupBy("dim").agg(F.min("rank").alias("first"))
+        runs = ranks.join(F.broadcast(firsts), "dim").select(
+            "dim", "cidx", F.expr(f"(rank - first) div {block * segment}").alias("run"))
+        queued = choosers.join(runs, ["dim", "cidx"]).select("dim", "cidx", "vec", "run").checkpoint()
+        n_runs = (queued.agg(F.max("run")).first()[0] or 0) + 1
+
+    holders = None
     for run in range(n_runs):
         mine = queued.filter(F.col("run") == run).select("dim", "cidx", "vec")
-        # a dimension whose choosers are all settled needs no partners
-        open_ = partners.select("dim", "pidx", "vec").join(holders.select("dim", "pidx"), ["dim", "pidx"], "left_anti").join(
-            F.broadcast(mine.select("dim").distinct()), "dim", "left_semi")
+        open_ = partners.select("dim", "pidx", "vec")
+        if holders is not None:
+            # a dimension whose choosers are all settled needs no partners
+            open_ = open_.join(holders.select("dim", "pidx"), ["dim", "pidx"], "left_anti").join(
+                F.broadcast(mine.select("dim").distinct()), "dim", "left_semi")
         settled = mine.groupBy("dim").cogroup(open_.groupBy("dim")).applyInArrow(
             _settled(block, size), _PROPOSAL_SCHEMA).checkpoint()
-        holders = holders.unionByName(settled)
+        holders = settled if holders is None else holders.unionByName(settled)
     holders = holders.withColumnRenamed("cidx", "holder")
 
     pairs = (

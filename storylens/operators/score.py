@@ -6,9 +6,10 @@ Plan shape (rewrites that hold by linearity):
     scored once per dimension; stories never meet vectors.
   * mean over seeds of cos(term, seed) = unit(term) . mean(unit(seeds)): one
     centroid per dimension, no term x seed work.
-  * attributes are pre-aggregated to ``(s_key, am, word, n)`` (map-side
-    combine), joined once to a ``(word, dim, sm)`` score table for all
-    dimensions and methods, and reduced with one ``groupBy``.
+  * attributes meet a table with one row per word and a column for each
+    (dim, sm), and are reduced with one ``groupBy``. A table below a fixed size
+    is broadcast, so that only sums per story are shuffled; with a larger one,
+    attributes are pre-aggregated to ``(s_key, am, word, n)`` and joined by word.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
 from storylens.functions.vectors import as_double, cosine, dot, spread, unit, vector_mean
 from storylens.operators.lexicon import lexicon_modes, poles, seeds
 from storylens.operators.pairing import contrast_pairs
+from storylens.session import ensure_checkpoint_dir
+
+# Bytes up to which a table of word scores is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def check_score_method(sm: str) -> str:
@@ -40,14 +45,21 @@ def axes(lex: DataFrame, vectors: DataFrame, use_contrast: bool = True) -> DataF
     """``(dim, axis)``; axis = mean(high) - mean(low) over the pole
     words, or over the greedy contrast pairs when ``use_contrast``."""
     low, high = poles(lex, vectors)
+    both = low.withColumn("side", F.lit("low")).unionByName(high.withColumn("side", F.lit("high")))
     if use_contrast:
-        pairs = contrast_pairs(low, high)
-        low = pairs.select("dim", F.col("low_word").alias("word")).join(low.select("dim", "word", "vec"), ["dim", "word"])
-        high = pairs.select("dim", F.col("high_word").alias("word")).join(high.select("dim", "word", "vec"), ["dim", "word"])
-    lm = vector_mean(low.select("dim", as_double("vec").alias("vec")), ["dim"], "vec", "low_mean")
-    hm = vector_mean(high.select("dim", as_double("vec").alias("vec")), ["dim"], "vec", "high_mean")
-    return lm.join(hm, "dim").select(
-        "dim", F.zip_with("high_mean", "low_mean", lambda h, l: h - l).alias("axis")
+        # stored: the pairing and the means read the poles several times
+        ensure_checkpoint_dir(lex.sparkSession)
+        both = both.checkpoint()
+        pairs = contrast_pairs(*(
+            both.filter(F.col("side") == s).drop("side").toDF(*low.columns) for s in ("low", "high")))
+        chosen = pairs.select("dim", F.explode(F.array(
+            *[F.struct(F.lit(s).alias("side"), F.col(f"{s}_word").alias("word")) for s in ("low", "high")])).alias("c"))
+        both = both.join(chosen.select("dim", "c.side", "c.word"), ["dim", "side", "word"])
+    means = vector_mean(both.select("dim", "side", as_double("vec").alias("vec")), ["dim", "side"], "vec", "mean")
+    of = {s: F.max(F.when(F.col("side") == s, F.col("mean"))).alias(s) for s in ("low", "high")}
+    # two rows for each of the dimensions
+    return means.groupBy("dim").agg(*of.values()).filter("low is not null and high is not null").select(
+        "dim", F.zip_with("high", "low", lambda h, l: h - l).alias("axis")
     )
 
 
@@ -122,9 +134,16 @@ def wide_word_scores(word_scores: DataFrame, coords: list[tuple[str, str]]) -> D
         "w").agg(*cols)
 
 
+def _table_bytes(wide: DataFrame) -> int:
+    """Bytes of a word table's rows and of their places in a hash table."""
+    words, chars = wide.agg(F.count(F.lit(1)), F.sum(F.octet_length("w"))).first()
+    return words * 8 * (len(wide.columns) + 5) + (chars or 0)
+
+
 def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
                      dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS,
-                     sms: list[str] = SCORE_METHODS, coords: list[tuple[str, str]] | None = None) -> DataFrame:
+                     sms: list[str] = SCORE_METHODS, coords: list[tuple[str, str]] | None = None,
+                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Score stories against a prepared word-score table; every story gets
     every coordinate (``coords``: some pairs of dims x sms).
 
@@ -132,21 +151,28 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     unipolar lexicon -> sum of found scores / number of attributes, empty -> 0.
     axis/sim: mean word score over attributes with a vector, none -> null.
 
-    Plan: attributes are counted per (story, am, word); the word-score table,
-    pivoted to one row per word, joins the counts without a hint (Spark
-    broadcasts it below its own size threshold, else AQE splits skewed words),
-    and the products are summed per (story, am).
+    Plan: the word-score table is pivoted to one row per word. Up to
+    ``broadcast_bytes`` of it are broadcast to the attributes, whose scores are
+    summed per (story, am). A larger one joins counts per (story, am, word)
+    without a hint (AQE splits skewed words), and the products are summed.
     """
     coords = coords or coordinates(dims, sms)
     wide = wide_word_scores(word_scores, coords).checkpoint()
-    j = attr_word_counts(attrs.filter(F.col("am").isin(ams))).join(wide, "w", "left")
-    n = F.col("n")
-    aggs = [F.sum(n).alias("n_all")]
-    for i in range(len(coords)):
-        k = F.col(f"k{i}")
-        aggs.append(F.sum(n * k).alias(f"num{i}"))
-        aggs.append(F.sum(F.when(k.isNotNull(), n)).alias(f"den{i}"))
-    per_story = j.groupBy("s_key", "am").agg(*aggs)
+    attrs = attrs.filter(F.col("am").isin(ams))
+    if _table_bytes(wide) <= broadcast_bytes:
+        words = attrs.select("s_key", "am", F.lower(F.col("attr")).alias("w"))
+        per_story = words.join(F.broadcast(wide), "w", "left").groupBy("s_key", "am").agg(
+            F.count(F.lit(1)).alias("n_all"),
+            *[f(f"k{i}").alias(f"{name}{i}") for i in range(len(coords)) for name, f in (("num", F.sum), ("den", F.count))])
+    else:
+        j = attr_word_counts(attrs).join(wide, "w", "left")
+        n = F.col("n")
+        aggs = [F.sum(n).alias("n_all")]
+        for i in range(len(coords)):
+            k = F.col(f"k{i}")
+            aggs.append(F.sum(n * k).alias(f"num{i}"))
+            aggs.append(F.sum(F.when(k.isNotNull(), n)).alias(f"den{i}"))
+        per_story = j.groupBy("s_key", "am").agg(*aggs)
     keep = [c for c in stories.columns if c not in ("s_key", "text")]
     base = stories.select("s_key", *keep, F.explode(F.array(*[F.lit(x) for x in ams])).alias("am"))
     g = base.join(per_story, ["s_key", "am"], "left")

@@ -205,3 +205,53 @@ def test_unknown_methods_raise():
     with pytest.raises(ValueError):
         check_attr_method("verbs")
     assert math.isfinite(1.0)
+
+
+def _story_case(spark, n=40):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    lex = _lex(spark, [(d, w, float(v), i) for d in ("g", "h") for i, (w, v) in enumerate(zip(words, rng.integers(0, 5, 30)))])
+    vec = spark.createDataFrame([(w, rng.normal(size=4).tolist()) for w in words[5:]], "word string, vec array<double>")
+    stories = spark.createDataFrame([(i,) for i in range(n)], "s_key long")
+    attrs = spark.createDataFrame([(i, "all", w) for i in range(1, n) for w in [*rng.choice(words, 12), "W3", "none", None]],
+                                  "s_key long, am string, attr string")
+    return stories, attrs, lex, vec
+
+
+def test_small_word_tables_are_not_shuffled_to(spark):
+    """Attributes are not shuffled by word, nor counted per word; a table over the limit gives the same scores."""
+    stories, attrs, lex, vec = _story_case(spark)
+    ws = S.word_score_table(lex, vec, ["g", "h"]).checkpoint()
+    score = lambda **kw: S.score_with_table(stories, attrs, ws, L.lexicon_modes(lex), ["g", "h"], ["all"], **kw)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = score(), score(broadcast_bytes=0)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(w" not in plan and "hashpartitioning(s_key" in plan
+        assert "hashpartitioning(w" in large._jdf.queryExecution().executedPlan().toString()
+        a, b = _scores(small), _scores(large)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(a) == 40 * 6 and a.keys() == b.keys()
+    assert all(a[k] == (None if b[k] is None else pytest.approx(b[k])) for k in a)
+
+
+def test_axis_takes_few_jobs(spark):
+    """The driver keeps plans and broadcasts of each job: poles are made once, and one run of choosers needs no ranks."""
+    _, _, lex, vec = _story_case(spark)
+    want = {}
+    low, high = (x.collect() for x in L.poles(lex, vec))
+    pairs = contrast_pairs(*L.poles(lex, vec)).collect()
+    for d in ("g", "h"):
+        of = [{r["word"]: np.array(r["vec"]) for r in side if r["dim"] == d} for side in (low, high)]
+        mine = [p for p in pairs if p["dim"] == d]
+        want[d] = np.mean([of[1][p["high_word"]] for p in mine], axis=0) - np.mean([of[0][p["low_word"]] for p in mine], axis=0)
+    sc = spark.sparkContext
+    sc.setJobGroup("axis", "axis")
+    try:
+        got = {r["dim"]: r["axis"] for r in S.axes(lex, vec).collect()}
+    finally:
+        sc._jsc.clearJobGroup()
+    assert got.keys() == want.keys() and all(np.allclose(got[d], want[d]) for d in want)
+    assert len(sc.statusTracker().getJobIdsForGroup("axis")) <= 40
