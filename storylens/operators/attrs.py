@@ -65,9 +65,28 @@ def _in(col: Column, values: list[str]) -> Column:
 
 
 def sub_attrs(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
-    """E04 = E02 + E03 in token order, duplicates kept. Returns ``(s_key, ord, attr, rule)``."""
-    return sub_attrs_from_sentences(sentences(tokens), prot)
-
+    """E04 = E02 + E03 in token order, duplicates kept. Returns ``(s_key, ord, attr, rule)``.
+
+    One shuffle into sentences, to which a token brings its position, its head,
+    a byte of flags, and its word if a rule can return it: four plain lists in
+    the same order, a fraction of the bytes of all columns as structs. A token
+    without a head is a root."""
+    tag, dep, text = F.col("tag"), F.col("dep"), F.col("text")
+    tests = [(PROT, _in(text, prot)), (NSUBJ, dep == "nsubj"), (AMOD, dep == "amod"),
+             (HEAD, tag.startswith("VB") | (tag == "JJ")), (NO_WORD, text.isNull())]
+    flags = sum(F.when(F.coalesce(is_, F.lit(False)), F.lit(bit)).otherwise(F.lit(0)) for bit, is_ in tests)
+    t = tokens.filter(F.col("pos").isNotNull()).select(
+        "s_key", "sent_id", F.col("pos").cast("int"), F.coalesce("head_pos", "pos").cast("int").alias("head"),
+        flags.cast("byte").alias("flags"), "text")
+    returned = F.col("flags").bitwiseAND(F.lit(AMOD | HEAD).cast("byte")) != 0
+    t = t.withColumn("text", F.when(returned & text.isNotNull(), text).otherwise(""))
+    lists = [F.collect_list(c).alias(c) for c in ("pos", "head", "flags", "text")]
+    cols = t.groupBy("s_key", "sent_id").agg(*lists).select("s_key", "pos", "head", "flags", "text")
+    return cols.mapInArrow(_flagged_batch, SUB_SCHEMA)
+
+
+# Flags of a token.
+PROT, NSUBJ, AMOD, HEAD, NO_WORD = 1, 2, 4, 8, 16
 
 SUB_SCHEMA = "s_key long, ord int, attr string, rule string"
 _SUB_ARROW = pa.schema([("s_key", pa.int64()), ("ord", pa.int32()), ("attr", pa.string()), ("rule", pa.string())])
@@ -89,6 +108,45 @@ def _sentence_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most:
             start = end
 
 
+def _sub_rows(key, pos, lens, text, parent, is_prot, nsubj, amod, under_head) -> pa.RecordBatch:
+    """E02 and E03 for the tokens of a slice; ``parent``: index of each token's head."""
+    # Protagonist nsubj -> head text when the head is VB* or JJ
+    m2 = nsubj & is_prot & under_head
+    # Amod with a protagonist ancestor; ancestor flags by pointer
+    # doubling (the root points to itself and is not its own ancestor)
+    idx = np.arange(len(pos))
+    root = parent == idx
+    flag = np.where(root, False, is_prot[parent])
+    jump = parent.copy()
+    for _ in range(int(np.ceil(np.log2(max(2, lens.max())))) + 1):
+        flag = flag | flag[jump]
+        jump = jump[jump]
+    m3 = amod & flag
+    out2 = pd.DataFrame({"s_key": key[m2], "ord": pos[m2].astype(np.int32), "attr": text[parent[m2]], "rule": "E02"})
+    out3 = pd.DataFrame({"s_key": key[m3], "ord": pos[m3].astype(np.int32), "attr": text[m3], "rule": "E03"})
+    return pa.RecordBatch.from_pandas(pd.concat([out2, out3], ignore_index=True), schema=_SUB_ARROW, preserve_index=False)
+
+
+def _flagged_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences as lists of positions, heads, flags and words, in any order of tokens."""
+    for pdf in _sentence_slices(batches):
+        lens = pdf["pos"].map(len).to_numpy()
+        offs = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        key = np.repeat(pdf["s_key"].to_numpy(), lens)
+        pos, head = (np.concatenate(pdf[c].to_numpy()).astype(np.int64) for c in ("pos", "head"))
+        flags = np.concatenate(pdf["flags"].to_numpy()).astype(np.int8)
+        text = np.concatenate(pdf["text"].to_numpy()).astype(object)
+        of = np.repeat(np.arange(len(lens)), lens)
+        order = np.lexsort((pos, of))
+        if (np.diff(pos[order]) + np.diff(of[order]) == 0).any():  # positions that come twice: by their words too
+            order = np.array(sorted(range(len(pos)), key=lambda i: (of[i], pos[i], text[i], flags[i], head[i])))
+        pos, head, flags, text = pos[order], head[order], flags[order], text[order]
+        text[(flags & NO_WORD) > 0] = None
+        parent = np.repeat(offs, lens) + head - np.repeat(pos[offs], lens)
+        has = [(flags & bit) > 0 for bit in (PROT, NSUBJ, AMOD, HEAD)]
+        yield _sub_rows(key, pos, lens, text, parent, *has[:3], has[3][parent])
+
+
 def _sub_batch(prot: list[str]):
     prot_set = np.array(sorted(set(prot)), dtype=object)
 
@@ -107,21 +165,8 @@ def _sub_batch(prot: list[str]):
             is_prot = np.isin(text, prot_set)
             # Protagonist nsubj -> head text when the head is VB* or JJ
             htag = tag[parent].astype(str)
-            m2 = (dep == "nsubj") & is_prot & (np.char.startswith(htag, "VB") | (htag == "JJ"))
-            # Amod with a protagonist ancestor; ancestor flags by pointer
-            # doubling (the root points to itself and is not its own ancestor)
-            idx = np.arange(len(pos))
-            root = parent == idx
-            flag = np.where(root, False, is_prot[parent])
-            jump = parent.copy()
-            for _ in range(int(np.ceil(np.log2(max(2, lens.max())))) + 1):
-                flag = flag | flag[jump]
-                jump = jump[jump]
-            m3 = (dep == "amod") & flag
-            out2 = pd.DataFrame({"s_key": key[m2], "ord": pos[m2].astype(np.int32), "attr": text[parent[m2]],
-                                 "rule": "E02"})
-            out3 = pd.DataFrame({"s_key": key[m3], "ord": pos[m3].astype(np.int32), "attr": text[m3], "rule": "E03"})
-            yield pa.RecordBatch.from_pandas(pd.concat([out2, out3], ignore_index=True), schema=_SUB_ARROW, preserve_index=False)
+            yield _sub_rows(key, pos, lens, text, parent, is_prot, dep == "nsubj", dep == "amod",
+                            np.char.startswith(htag, "VB") | (htag == "JJ"))
 
     return run
 

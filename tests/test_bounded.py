@@ -62,3 +62,23 @@ def test_source_files_stay_small(spark):
         assert n == per_batch
         assert spark.read.parquet(path).count() == 200
         assert len(glob.glob(path.removeprefix("file:") + "/part-*")) == 4 * n
+
+
+def test_long_tokens_are_shuffled_as_plain_lists(spark):
+    """Attributes of a long token table in any order, with nulls, are those of its sentences; no structs of all columns."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(30):
+        n = int(rng.integers(1, 20))
+        for p in range(n):
+            rows.append((s % 7, s, 40 + p, str(rng.choice(["the", "of", "cat", "dog"])) if rng.random() > 0.1 else None,
+                         [None, "VBD", "JJ", "NN", "VBZ"][rng.integers(0, 5)], [None, "nsubj", "amod", "dep"][rng.integers(0, 4)],
+                         40 + int(rng.integers(0, p + 1))))
+    rng.shuffle(rows)
+    rows = [tuple(x if isinstance(x, str) or x is None else int(x) for x in r) for r in rows]
+    tokens = spark.createDataFrame(rows, "s_key long, sent_id int, pos int, text string, tag string, dep string, head_pos int")
+    out = A.sub_attrs(tokens, ["the", "of"])
+    want = A.sub_attrs_from_sentences(A.sentences(tokens), ["the", "of"])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(out.collect(), key=key) == sorted(want.collect(), key=key) and {r["rule"] for r in want.collect()} == {"E02", "E03"}
+    assert "struct(" not in out._jdf.queryExecution().optimizedPlan().toString()
