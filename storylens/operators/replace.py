@@ -127,8 +127,7 @@ def _rewrite_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _step_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keys, poss, finals, labs = [], [], [], []
-        for key, toks, spans in zip(pdf["s_key"], pdf["toks"], pdf["spans"]):
-            n = len(toks) if toks is not None else 0
+        for key, n, spans in zip(pdf["s_key"], pdf["n"], pdf["spans"]):
             by_cluster: dict[int, list] = {}
             if spans is not None:
                 for sp in spans:
@@ -155,18 +154,24 @@ def token_arrays(tokens: DataFrame) -> DataFrame:
 def _per_story(spark: SparkSession, tokens: DataFrame, mentions: DataFrame, entities: DataFrame, variant: str):
     """tokens: the long table, or already one row per story ``(s_key, toks, deps)``."""
     toks = tokens if "toks" in tokens.columns else token_arrays(tokens)
+    return toks.join(_spans(spark, mentions, entities, variant, "label"), "s_key", "left")
+
+
+def _spans(spark: SparkSession, mentions: DataFrame, entities: DataFrame, variant: str, *more: str) -> DataFrame:
+    """``(s_key, spans)``: the spans of a story's character clusters."""
     cl = character_clusters(spark, mentions, entities, variant)
-    sp = mentions.join(cl, ["s_key", "cluster_id"]).groupBy("s_key").agg(
-        F.collect_list(F.struct("letter_no", "label", "mention_no", "start", "end")).alias("spans")
-    )
-    return toks.join(sp, "s_key", "left")
+    return mentions.drop("surface").join(cl, ["s_key", "cluster_id"]).groupBy("s_key").agg(
+        F.collect_list(F.struct("letter_no", *more, "mention_no", "start", "end")).alias("spans"))
 
 
 def span_steps(spark: SparkSession, tokens: DataFrame, mentions: DataFrame, entities: DataFrame,
                variant: str = "narrow") -> DataFrame:
     """A04 as a table: ``(s_key, pos, final, letter_no)`` for every token
-    position (``letter_no`` -1 when no cluster matches)."""
-    return _per_story(spark, tokens, mentions, entities, variant).mapInPandas(
+    position (``letter_no`` -1 when no cluster matches). Of a story's tokens the
+    steps need their number alone."""
+    sizes = (tokens.select("s_key", F.greatest(F.size("toks"), F.lit(0)).alias("n")) if "toks" in tokens.columns
+             else tokens.groupBy("s_key").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    return sizes.join(_spans(spark, mentions, entities, variant), "s_key", "left").mapInPandas(
         _step_batches, "s_key long, pos int, final long, letter_no int")
 
 
