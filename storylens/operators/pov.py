@@ -34,12 +34,6 @@ def largest_cluster(mentions: DataFrame) -> DataFrame:
     return best.select("s_key", F.col("b.cluster_id").alias("cluster_id"), F.col("b.n").alias("n"))
 
 
-def tokens_array(tokens: DataFrame) -> str:
-    """Type of a story's token array."""
-    kinds = dict(tokens.dtypes)
-    return f"array<struct<pos: {kinds['pos']}, text: {kinds['text']}>>"
-
-
 def mention_surfaces(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     """Surface of each mention = tokens ``start..end`` (inclusive) joined
     by one space, plus the half-open span (``(s, s)`` for one token, else
@@ -47,7 +41,11 @@ def mention_surfaces(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     on the story, and each span is sliced out of the token array by its offsets
     (stories whose positions have gaps are searched instead). A mention without
     tokens has an empty surface."""
-    t = tokens.groupBy("s_key").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t"))
+    # positions and words as two plain lists in the same order, half the bytes of a list of
+    # structs; a token without a position or a word is in no surface
+    t = tokens.filter(F.col("pos").isNotNull() & F.col("text").isNotNull()).groupBy("s_key").agg(
+        F.collect_list("pos").alias("_p"), F.collect_list("text").alias("_w"))
+    t = t.select("s_key", F.array_sort(F.arrays_zip(F.col("_p").alias("pos"), F.col("_w").alias("text"))).alias("_t"))
     spans = mentions.groupBy("s_key").agg(
         F.collect_list(F.struct("cluster_id", "mention_no", "start", "end")).alias("_m"))
     first, last = F.col("_t")[0]["pos"], F.element_at("_t", -1)["pos"]
@@ -59,8 +57,7 @@ def mention_surfaces(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
     many = F.greatest(F.col("end") - F.greatest("start", "_first") + 1, F.lit(0))
     sliced = F.slice("_t", (at + 1).cast("int"), many.cast("int"))
     searched = F.filter("_t", lambda x: x["pos"].between(F.col("start"), F.col("end")))
-    g = g.withColumn("_t", F.when(F.col("_dense"), sliced).otherwise(F.coalesce(searched, F.array().cast(
-        tokens_array(tokens)))))
+    g = g.withColumn("_t", F.when(F.col("_dense"), sliced).otherwise(F.coalesce(searched, F.array())))
     return g.select(
         "s_key", "cluster_id", "mention_no", "start", "end",
         F.array_join(F.col("_t.text"), " ").alias("surface"),

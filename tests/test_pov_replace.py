@@ -168,3 +168,36 @@ def test_mention_surfaces_are_sliced_from_a_story(spark):
     assert out.count() == len(spans)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "pos" not in next(x for x in plan.splitlines() if "Join" in x)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mention_surfaces_shuffle_plain_lists(spark):
+    """Tokens without a word or a position are in no surface; words and positions are shuffled without structs."""
+    from storylens.operators.pov import mention_surfaces
+
+    rows = [(1, 2, "c"), (1, 0, "a"), (1, 1, None), (1, None, "x"), (1, 3, "d"), (2, 0, None)]
+    tokens = spark.createDataFrame(rows, "s_key long, pos int, text string")
+    mentions = spark.createDataFrame([(1, 0, 0, 0, 2), (1, 0, 1, 1, 3), (2, 0, 0, 0, 0)],
+                                     "s_key long, cluster_id int, mention_no int, start int, end int")
+    out = mention_surfaces(tokens, mentions)
+    assert {(r["s_key"], r["mention_no"]): r["surface"] for r in out.collect()} == {(1, 0): "a c", (1, 1): "c d", (2, 0): ""}
+    assert "struct(pos" not in _plan(out)
+
+
+def test_span_steps_take_the_number_of_tokens(spark):
+    """Words and labels are not shuffled for the steps; stories without spans and rows that come twice."""
+    tokens = spark.createDataFrame([(k, i, f"w{i}", "dep") for k, n in ((1, 5), (2, 3)) for i in range(n)] + [(2, 2, "w2", "dep")],
+                                   "s_key long, pos int, text string, dep string")
+    mentions = spark.createDataFrame([(1, 7, 0, 1, 3, "he"), (1, 8, 0, 4, 4, "x")],
+                                     "s_key long, cluster_id int, mention_no int, start int, end int, surface string")
+    entities = spark.createDataFrame([], "s_key long, text string, label string")
+    out = R.span_steps(spark, tokens, mentions, entities)
+    rows = sorted(tuple(r) for r in out.collect())
+    assert rows == [(1, 0, 0, -1), (1, 1, 3, 0), (1, 2, 3, 0), (1, 3, 3, -1), (1, 4, 4, -1)] + [(2, i, i, -1) for i in range(4)]
+    assert "array_sort" not in _plan(out)
+    assert "label, label#" not in _plan(out)
+    by_story = R.token_arrays(tokens)
+    assert sorted(tuple(r) for r in R.span_steps(spark, by_story, mentions, entities).collect()) == rows
