@@ -14,7 +14,10 @@ Plan shape (rewrites that hold by linearity):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
@@ -134,6 +137,13 @@ def wide_word_scores(word_scores: DataFrame, coords: list[tuple[str, str]]) -> D
         "w").agg(*cols)
 
 
+def _exact_parts(k: Column) -> tuple[Column, Column]:
+    """A multiple of 2^-24, of which sums are exact, and what is left of ``k``."""
+    small = F.abs(k) < F.lit(1e8)
+    high = F.when(small, F.rint(k * F.lit(2.0**24)) / F.lit(2.0**24)).otherwise(k)
+    return high, F.when(small, k - high).when(k.isNotNull(), F.lit(0.0))
+
+
 def _table_bytes(wide: DataFrame) -> int:
     """Bytes of a word table's rows and of their places in a hash table."""
     words, chars = wide.agg(F.count(F.lit(1)), F.sum(F.octet_length("w"))).first()
@@ -161,9 +171,14 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     attrs = attrs.filter(F.col("am").isin(ams))
     if _table_bytes(wide) <= broadcast_bytes:
         words = attrs.select("s_key", "am", F.lower(F.col("attr")).alias("w"))
+        # means of lexicon scores are often ties of the rounding, so their sums must not
+        # depend on the order of a story's words; means of cosines are none
+        parts = [_exact_parts(F.col(f"k{i}")) if m == "avg" else (F.col(f"k{i}"),) for i, (_, m) in enumerate(coords)]
+        wide = wide.select("w", *[p.alias(f"k{i}_{j}") for i, ps in enumerate(parts) for j, p in enumerate(ps)])
         per_story = words.join(F.broadcast(wide), "w", "left").groupBy("s_key", "am").agg(
             F.count(F.lit(1)).alias("n_all"),
-            *[f(f"k{i}").alias(f"{name}{i}") for i in range(len(coords)) for name, f in (("num", F.sum), ("den", F.count))])
+            *[reduce(add, [F.sum(f"k{i}_{j}") for j in range(len(ps))]).alias(f"num{i}") for i, ps in enumerate(parts)],
+            *[F.count(f"k{i}_0").alias(f"den{i}") for i in range(len(parts))])
     else:
         j = attr_word_counts(attrs).join(wide, "w", "left")
         n = F.col("n")

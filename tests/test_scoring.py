@@ -255,3 +255,18 @@ def test_axis_takes_few_jobs(spark):
         sc._jsc.clearJobGroup()
     assert got.keys() == want.keys() and all(np.allclose(got[d], want[d]) for d in want)
     assert len(sc.statusTracker().getJobIdsForGroup("axis")) <= 40
+
+
+def test_lexicon_means_do_not_depend_on_the_order_of_words(spark):
+    """Ninths that add up to a whole number: the mean is its quotient, so that a tie of the rounding stays one."""
+    rng = np.random.default_rng(2)
+    lex = _lex(spark, [("g", f"n{i}", i / 9.0, i) for i in range(10)])
+    picks = []
+    while len(picks) < 30:
+        p = rng.integers(0, 10, 128)
+        p[-1] = (int(p[-1]) - int(p.sum())) % 9
+        picks.append(p)
+    attrs = spark.createDataFrame([(k, "all", f"n{i}") for k, p in enumerate(picks) for i in p], "s_key long, am string, attr string")
+    stories = spark.createDataFrame([(k,) for k in range(30)], "s_key long")
+    got = _scores(S.score_stories(stories, attrs, lex, None, dims=["g"], ams=["all"], sms=["avg"]))
+    assert got == {(k, "g", "avg"): int(p.sum()) // 9 / 128 for k, p in enumerate(picks)}
