@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,8 +58,8 @@ def normalise_newlines(col) -> Column:
 
 
 def strip_ascii_punctuation(col) -> Column:
-    """Remove the 32 ASCII punctuation marks."""
-    return F.translate(_c(col), ASCII_PUNCTUATION, "")
+    """Remove the 32 ASCII punctuation marks (E06); ``translate`` makes a string of every character."""
+    return F.regexp_replace(_c(col), f"[{re.escape(ASCII_PUNCTUATION)}]+", "")
 
 
 def story_id(p_ind, s_ind) -> Column:

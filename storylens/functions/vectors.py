@@ -39,9 +39,12 @@ def norm(a) -> Column:
 
 
 def unit(a) -> Column:
-    """Unit vector; the zero vector stays zero (so its cosine is 0)."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x / n)).otherwise(F.transform(_c(a), lambda x: x * 0.0))
+    """Unit vector; the zero vector stays zero (so its cosine is 0).
+
+    The norm is the variable of an outer lambda, which makes it once: an
+    expression inside a lambda is evaluated anew for each element."""
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(_c(a), lambda x: x / n)).otherwise(
+        F.transform(_c(a), lambda x: x * 0.0)))[0]
 
 
 def cosine(a, b) -> Column:

@@ -95,33 +95,43 @@ SLICE = 1024
 SLICE_TOKENS = 1 << 16
 
 
-def _sentence_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_TOKENS) -> Iterator[pd.DataFrame]:
-    """Runs of sentences as pandas, bounded in sentences and in tokens (a longer
-    sentence comes alone), whatever the size of an Arrow batch."""
+def _sentence_runs(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_TOKENS) -> Iterator[pa.RecordBatch]:
+    """Runs of sentences, bounded in sentences and in tokens (a longer sentence
+    comes alone), whatever the size of an Arrow batch."""
     for rb in batches:
         ends = np.cumsum(pc.fill_null(pc.list_value_length(rb.column("pos")), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < rb.num_rows:
             before = ends[start - 1] if start else 0
             end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
-            yield rb.slice(start, end - start).to_pandas()
+            yield rb.slice(start, end - start)
             start = end
 
 
-def _sub_rows(key, pos, lens, text, parent, is_prot, nsubj, amod, under_head) -> pa.RecordBatch:
-    """E02 and E03 for the tokens of a slice; ``parent``: index of each token's head."""
+def _sentence_slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_TOKENS) -> Iterator[pd.DataFrame]:
+    """``_sentence_runs`` as pandas."""
+    for run in _sentence_runs(batches, rows, most):
+        yield run.to_pandas()
+
+
+def _rules(lens, parent, is_prot, nsubj, amod, under_head) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a slice that E02 and E03 take; ``parent``: index of each token's head."""
     # Protagonist nsubj -> head text when the head is VB* or JJ
     m2 = nsubj & is_prot & under_head
     # Amod with a protagonist ancestor; ancestor flags by pointer
     # doubling (the root points to itself and is not its own ancestor)
-    idx = np.arange(len(pos))
-    root = parent == idx
+    root = parent == np.arange(len(parent))
     flag = np.where(root, False, is_prot[parent])
     jump = parent.copy()
     for _ in range(int(np.ceil(np.log2(max(2, lens.max())))) + 1):
         flag = flag | flag[jump]
         jump = jump[jump]
-    m3 = amod & flag
+    return m2, amod & flag
+
+
+def _sub_rows(key, pos, lens, text, parent, is_prot, nsubj, amod, under_head) -> pa.RecordBatch:
+    """E02 and E03 for the tokens of a slice."""
+    m2, m3 = _rules(lens, parent, is_prot, nsubj, amod, under_head)
     out2 = pd.DataFrame({"s_key": key[m2], "ord": pos[m2].astype(np.int32), "attr": text[parent[m2]], "rule": "E02"})
     out3 = pd.DataFrame({"s_key": key[m3], "ord": pos[m3].astype(np.int32), "attr": text[m3], "rule": "E03"})
     return pa.RecordBatch.from_pandas(pd.concat([out2, out3], ignore_index=True), schema=_SUB_ARROW, preserve_index=False)
@@ -148,25 +158,31 @@ def _flagged_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _sub_batch(prot: list[str]):
-    prot_set = np.array(sorted(set(prot)), dtype=object)
+    prot_set = pa.array(sorted(set(prot)), pa.string())
+
+    def true(found) -> np.ndarray:
+        return pc.fill_null(found, False).to_numpy(zero_copy_only=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in _sentence_slices(batches):
-            lens = pdf["pos"].map(len).to_numpy()
+        # strings stay in Arrow: no Python object for a token
+        for rb in _sentence_runs(batches):
+            lens = pc.list_value_length(rb.column("pos")).to_numpy(zero_copy_only=False)
             offs = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            key = np.repeat(pdf["s_key"].to_numpy(), lens)
-            pos = np.concatenate(pdf["pos"].to_numpy()).astype(np.int64)
-            text = np.concatenate(pdf["text"].to_numpy()).astype(object)
-            tag = np.concatenate(pdf["tag"].to_numpy()).astype(object)
-            dep = np.concatenate(pdf["dep"].to_numpy()).astype(object)
-            head = np.concatenate(pdf["head"].to_numpy()).astype(np.int64)
-            base = np.repeat(pdf["base"].to_numpy().astype(np.int64), lens)
+            text, tag, dep = (rb.column(c).flatten().cast(pa.string()) for c in ("text", "tag", "dep"))
+            pos, head = (rb.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "head"))
+            base = np.repeat(rb.column("base").to_numpy(zero_copy_only=False).astype(np.int64), lens)
             parent = np.repeat(offs, lens) + (head - base)  # global index of the head
-            is_prot = np.isin(text, prot_set)
             # Protagonist nsubj -> head text when the head is VB* or JJ
-            htag = tag[parent].astype(str)
-            yield _sub_rows(key, pos, lens, text, parent, is_prot, dep == "nsubj", dep == "amod",
-                            np.char.startswith(htag, "VB") | (htag == "JJ"))
+            heads = true(pc.or_kleene(pc.starts_with(tag, "VB"), pc.equal(tag, "JJ")))
+            m2, m3 = _rules(lens, parent, true(pc.is_in(text, value_set=prot_set)), true(pc.equal(dep, "nsubj")),
+                            true(pc.equal(dep, "amod")), heads[parent])
+            at2, at3 = np.flatnonzero(m2), np.flatnonzero(m3)
+            at = np.concatenate([at2, at3])
+            of = np.repeat(np.arange(len(lens)), lens)[at]
+            yield pa.RecordBatch.from_arrays([
+                rb.column("s_key").cast(pa.int64()).take(pa.array(of)), pa.array(pos[at].astype(np.int32)),
+                text.take(pa.array(np.concatenate([parent[at2], at3]))),
+                pa.array(["E02", "E03"]).take(pa.array(np.repeat([0, 1], [len(at2), len(at3)])))], schema=_SUB_ARROW)
 
     return run
 

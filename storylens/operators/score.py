@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
-from storylens.functions.vectors import as_double, cosine, dot, spread, unit, vector_mean
+from storylens.functions.vectors import as_double, dot, norm, spread, unit, vector_mean
 from storylens.operators.lexicon import lexicon_modes, poles, seeds
 from storylens.operators.pairing import contrast_pairs
 from storylens.session import ensure_checkpoint_dir
@@ -76,16 +76,20 @@ def vector_word_scores(vectors: DataFrame, axis_df: DataFrame | None, centroid_d
                        dims: list[str] = DIMENSIONS) -> DataFrame:
     """``(w, dim, sm, wscore)`` for sm in {axis, sim}: each vocabulary word is
     scored once per dimension. The per-dimension vectors are one row per
-    dimension (bounded by the dimension count) and broadcast."""
+    dimension (bounded by the dimension count) and broadcast. Norms and unit
+    vectors are made before a word meets the dimensions, once for all of them."""
     v = spread(vectors, "word").select(F.col("word").alias("w"), as_double("vec").alias("vec"))
-    v = v.select("w", "vec", F.explode(F.array(*[F.lit(d) for d in dims])).alias("dim"))
+    every_dim = F.explode(F.array(*[F.lit(d) for d in dims])).alias("dim")
     out = []
     if axis_df is not None:
-        a = v.join(F.broadcast(axis_df), "dim")
-        out.append(a.select("w", "dim", F.lit("axis").alias("sm"), cosine("vec", "axis").alias("wscore")))
+        a = v.select("w", "vec", norm("vec").alias("n")).select("w", "vec", "n", every_dim)
+        a = a.join(F.broadcast(axis_df.withColumn("axis_n", norm("axis"))), "dim")
+        cos = F.when((F.col("n") > 0) & (F.col("axis_n") > 0), dot("vec", "axis") / (F.col("n") * F.col("axis_n")))
+        out.append(a.select("w", "dim", F.lit("axis").alias("sm"), cos.otherwise(F.lit(0.0)).alias("wscore")))
     if centroid_df is not None:
-        c = v.join(F.broadcast(centroid_df), "dim")
-        out.append(c.select("w", "dim", F.lit("sim").alias("sm"), dot(unit("vec"), "centroid").alias("wscore")))
+        c = v.select("w", unit("vec").alias("u")).select("w", "u", every_dim)
+        c = c.join(F.broadcast(centroid_df), "dim")
+        out.append(c.select("w", "dim", F.lit("sim").alias("sm"), dot("u", "centroid").alias("wscore")))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
@@ -144,10 +148,18 @@ def _exact_parts(k: Column) -> tuple[Column, Column]:
     return high, F.when(small, k - high).when(k.isNotNull(), F.lit(0.0))
 
 
-def _table_bytes(wide: DataFrame) -> int:
-    """Bytes of a word table's rows and of their places in a hash table."""
-    words, chars = wide.agg(F.count(F.lit(1)), F.sum(F.octet_length("w"))).first()
-    return words * 8 * (len(wide.columns) + 5) + (chars or 0)
+def _table_facts(wide: DataFrame, coords: list[tuple[str, str]]) -> tuple[int, list[int], list[bool]]:
+    """Of a word table, in one pass: bytes of its rows and of their places in a hash
+    table; for each coordinate, one that is null for the same words (the first of its
+    method, else itself); and whether any of its values has a second exact part."""
+    first = [next(j for j, (_, of) in enumerate(coords) if of == m) for _, m in coords]
+    row = wide.agg(
+        F.count(F.lit(1)), F.sum(F.octet_length("w")),
+        *[F.count_if(F.col(f"k{i}").isNull() != F.col(f"k{j}").isNull()) for i, j in enumerate(first)],
+        *[F.count_if(_exact_parts(F.col(f"k{i}"))[1] != 0) for i in range(len(coords))]).first()
+    (words, chars), differ, rest = row[:2], row[2:2 + len(coords)], row[2 + len(coords):]
+    return (words * 8 * (len(wide.columns) + 5) + (chars or 0),
+            [i if differ[i] else j for i, j in enumerate(first)], [n > 0 for n in rest])
 
 
 def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
@@ -169,16 +181,19 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     coords = coords or coordinates(dims, sms)
     wide = wide_word_scores(word_scores, coords).checkpoint()
     attrs = attrs.filter(F.col("am").isin(ams))
-    if _table_bytes(wide) <= broadcast_bytes:
+    n_bytes, same_nulls, has_rest = _table_facts(wide, coords)
+    if n_bytes <= broadcast_bytes:
         words = attrs.select("s_key", "am", F.lower(F.col("attr")).alias("w"))
         # means of lexicon scores are often ties of the rounding, so their sums must not
         # depend on the order of a story's words; means of cosines are none
-        parts = [_exact_parts(F.col(f"k{i}")) if m == "avg" else (F.col(f"k{i}"),) for i, (_, m) in enumerate(coords)]
+        parts = [_exact_parts(F.col(f"k{i}"))[:1 + has_rest[i]] if m == "avg" else (F.col(f"k{i}"),)
+                 for i, (_, m) in enumerate(coords)]
         wide = wide.select("w", *[p.alias(f"k{i}_{j}") for i, ps in enumerate(parts) for j, p in enumerate(ps)])
         per_story = words.join(F.broadcast(wide), "w", "left").groupBy("s_key", "am").agg(
             F.count(F.lit(1)).alias("n_all"),
             *[reduce(add, [F.sum(f"k{i}_{j}") for j in range(len(ps))]).alias(f"num{i}") for i, ps in enumerate(parts)],
-            *[F.count(f"k{i}_0").alias(f"den{i}") for i in range(len(parts))])
+            # coordinates that are null for the same words share one count
+            *[F.count(f"k{j}_0").alias(f"den{i}") for i, j in enumerate(same_nulls)])
     else:
         j = attr_word_counts(attrs).join(wide, "w", "left")
         n = F.col("n")

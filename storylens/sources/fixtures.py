@@ -184,8 +184,8 @@ def _parse_struct(pos):
 
 SENTENCE_SCHEMA = ("s_key long, sent_id int, base int, pos array<int>, text array<string>, tag array<string>, "
                    "dep array<string>, head array<int>")
-_TAGS = np.array(["VBD", "JJ", "VBZ", "NN", "NN"], dtype=object)
-_DEPS = np.array(["nsubj", "amod", "poss", "nsubjpass", "dep", "dep", "dep"], dtype=object)
+_TAGS = pa.array(["VBD", "JJ", "VBZ", "NN", "NN"])
+_DEPS = pa.array(["nsubj", "amod", "poss", "nsubjpass", "dep", "dep", "dep", "ROOT"])
 
 
 # Tokens that the stand-in parser holds at a time (a longer text alone).
@@ -220,26 +220,26 @@ def _sentence_parser(batches, most: int = PARSER_TOKENS):
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
         pos = np.arange(total, dtype=np.int64) - np.repeat(starts, lens)
         k = pos % SENTENCE_LEN + 1
-        tag = _TAGS[pos % 5]
-        dep = np.where(k == 1, "ROOT", _DEPS[pos % 7]).astype(object)
+        tag = _TAGS.take(pa.array(pos % 5))
+        dep = _DEPS.take(pa.array(np.where(k == 1, 7, pos % 7)))
         head = np.where(k == 1, pos, (pos // SENTENCE_LEN) * SENTENCE_LEN + k // 2 - 1)
         first = np.flatnonzero(pos % SENTENCE_LEN == 0)
         offsets = pa.array(np.append(first, total).astype(np.int32))
         doc_of = np.repeat(np.arange(len(lens)), lens)[first]
 
-        def lst(values, typ):
-            return pa.ListArray.from_arrays(offsets, pa.array(values, type=typ))
+        def lst(values):
+            return pa.ListArray.from_arrays(offsets, values)
 
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(keys[doc_of].astype(np.int64)),
                 pa.array((pos[first] // SENTENCE_LEN).astype(np.int32)),
                 pa.array(pos[first].astype(np.int32)),
-                lst(pos.astype(np.int32), pa.int32()),
-                lst(np.array(toks, dtype=object), pa.string()),
-                lst(tag, pa.string()),
-                lst(dep, pa.string()),
-                lst(head.astype(np.int32), pa.int32()),
+                lst(pa.array(pos.astype(np.int32))),
+                lst(pa.array(toks, pa.string())),
+                lst(tag),
+                lst(dep),
+                lst(pa.array(head.astype(np.int32))),
             ],
             names=["s_key", "sent_id", "base", "pos", "text", "tag", "dep", "head"],
         )

@@ -38,6 +38,18 @@ def test_attributes_are_taken_from_bounded_slices():
     assert sorted(got, key=key) == sorted(one, key=key) and {r["rule"] for r in got} == {"E02", "E03"}
 
 
+def test_attributes_are_taken_without_an_object_for_a_token(monkeypatch):
+    """Strings stay in Arrow; a large key beside a null one is whole."""
+    monkeypatch.setattr(A, "_sentence_slices", None)
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([2**53 + 1, None], pa.int64()), pa.array([0, 0], pa.int32()), pa.array([[0, 1], [0, 1]], pa.list_(pa.int32())),
+        pa.array([["runs", "the"], ["the", None]]), pa.array([["VBZ", None], [None, "NN"]]),
+        pa.array([["ROOT", "nsubj"], [None, "amod"]]), pa.array([[0, 0], [0, 0]], pa.list_(pa.int32()))],
+        ["s_key", "base", "pos", "text", "tag", "dep", "head"])
+    assert pa.Table.from_batches(A._sub_batch(["the"])([batch])).to_pylist() == [
+        {"s_key": 2**53 + 1, "ord": 1, "attr": "runs", "rule": "E02"}, {"s_key": None, "ord": 1, "attr": None, "rule": "E03"}]
+
+
 def test_mapping_objects_are_written_story_by_story(spark, tmp_path):
     """No line of an object file, so no row, holds more than one story."""
     rows = [(p, s, f'p"{p}', f'story \\ "{p}" {s}\n' if s % 3 else None if s else "") for p in (0, 1, 2, 3, 4) for s in range(9)]

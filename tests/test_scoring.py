@@ -1,11 +1,13 @@
 """Golden rows for lexicon and vector scoring, pairing properties."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from storylens.functions.vectors import unit
 from storylens.operators import lexicon as L
 from storylens.operators import score as S
 from storylens.operators.pairing import contrast_pairs, nearest_partners
@@ -270,3 +272,49 @@ def test_lexicon_means_do_not_depend_on_the_order_of_words(spark):
     stories = spark.createDataFrame([(k,) for k in range(30)], "s_key long")
     got = _scores(S.score_stories(stories, attrs, lex, None, dims=["g"], ams=["all"], sms=["avg"]))
     assert got == {(k, "g", "avg"): int(p.sum()) // 9 / 128 for k, p in enumerate(picks)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unit_vectors_make_their_norm_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(
+        "v", unit("v").alias("u"))
+    assert _plan(df).count("aggregate(") == 1  # not once more for each element
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_coordinates_that_miss_the_same_words_share_a_count(spark):
+    rows = [(w, d, "avg", s) for w, s in (("a", 1 / 9), ("b", 0.5)) for d in ("p", "q")]
+    rows += [("a", "r", "avg", 1.0), ("a", "p", "sim", 0.25), ("c", "p", "sim", 0.5), ("c", "q", "sim", 0.5)]
+    words = spark.createDataFrame(rows, "w string, dim string, sm string, wscore double")
+    coords = [("p", "avg"), ("q", "avg"), ("r", "avg"), ("p", "sim"), ("q", "sim")]
+    wide = S.wide_word_scores(words, coords).cache()
+    n_bytes, same_nulls, has_rest = S._table_facts(wide, coords)
+    assert n_bytes == 3 * 8 * (6 + 5) + 3
+    assert same_nulls == [0, 0, 2, 3, 4] and has_rest[:3] == [True, True, False]
+    stories = spark.createDataFrame([(1,), (2,)], "s_key long")
+    attrs = spark.createDataFrame([(1, "all", x) for x in "abbc"] + [(2, "all", "c")], "s_key long, am string, attr string")
+    modes = spark.createDataFrame([("p", False), ("q", False), ("r", True)], "dim string, unipolar boolean")
+
+    def scored(**kw):
+        return S.score_with_table(stories, attrs, words, modes, ams=["all"], coords=coords, **kw)
+
+    # all rows, p/q avg, r avg, p sim, q sim
+    assert len(set(re.findall(r"count\((\w+)", _plan(scored()).split("Aggregate")[1]))) == 5
+    got = _scores(scored())
+    assert got[(1, "p", "avg")] == pytest.approx((1 / 9 + 1) / 3) and got[(1, "r", "avg")] == 1 / 4
+    assert got[(1, "p", "sim")] == 0.375 and got[(2, "q", "sim")] == 0.5 and got[(2, "p", "avg")] == 0.0
+    assert got == pytest.approx(_scores(scored(broadcast_bytes=0)))
+
+
+def test_words_are_scored_by_norms_made_before_the_dimensions(spark):
+    vec = spark.createDataFrame([("x", [3.0, 4.0]), ("o", [0.0, 0.0])], "word string, vec array<double>")
+    per_dim = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [0.0, 2.0])], "dim string, axis array<double>")
+    df = S.vector_word_scores(vec, per_dim, per_dim.withColumnRenamed("axis", "centroid"), ["p", "q"])
+    got = {(r["w"], r["dim"], r["sm"]): r["wscore"] for r in df.collect()}
+    assert got == pytest.approx({("x", "p", "axis"): 0.6, ("x", "q", "axis"): 0.8, ("x", "p", "sim"): 0.6, ("x", "q", "sim"): 1.6,
+                                 ("o", "p", "axis"): 0.0, ("o", "q", "axis"): 0.0, ("o", "p", "sim"): 0.0, ("o", "q", "sim"): 0.0})
+    above = [line for line in _plan(df).splitlines() if "wscore" in line]
+    assert above and not any("SQRT" in line for line in above)
