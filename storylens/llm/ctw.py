@@ -35,6 +35,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,10 @@ FLUSH = 400_000
 COLUMNS = 16
 # Bytes whose strings are counted at a time.
 BLOCK = 1 << 23
+# Bytes of a chunk's texts that are coded at a time (a longer text alone).
+CODED = 1 << 20
+# Counts below this have their log gammas in a table.
+TABLE = 1 << 14
 
 
 def byte_rows(batch: list[str | bytes | None], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +95,13 @@ def _strings(depth: int):
         held, size, keys, counts = [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def fold():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
+            # sorted in place: a block is many megabytes, and a second copy of it as many again
+            block = np.concatenate(held)
+            held.clear()
+            block.sort()
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            k, n = block[first], np.diff(first, append=len(block))
+            del block, first
             both = np.concatenate([keys, k.astype(np.uint64)])
             u, at = np.unique(both, return_inverse=True)
             return u, np.bincount(at, np.concatenate([counts, n]), len(u)).astype(np.int64)
@@ -106,7 +117,7 @@ def _strings(depth: int):
             size += len(code)
             if size >= BLOCK:
                 keys, counts = fold()
-                held, size = [], 0
+                size = 0
         if held:
             keys, counts = fold()
         for at in range(0, len(keys), 1 << 16):
@@ -143,7 +154,21 @@ class Tree:
 
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov block probability of a zeros, b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - 2 * math.lgamma(0.5) - _lgamma(a + b + 1)
+    return _log_gamma(a, 0.5) + _log_gamma(b, 0.5) - 2 * math.lgamma(0.5) - _log_gamma(a + b, 1.0)
+
+
+@cache
+def _gamma_table(more: float) -> np.ndarray:
+    return _lgamma(np.arange(TABLE) + more)
+
+
+def _log_gamma(n: np.ndarray, more: float) -> np.ndarray:
+    """log gamma of ``n + more`` for counts ``n``; most are small."""
+    large = n >= TABLE
+    out = _gamma_table(more)[np.where(large, 0, n)]
+    if large.any():
+        out[large] = _lgamma(n[large] + more)
+    return out
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -230,7 +255,11 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def _summed(rows: np.ndarray, parent: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of each of ``n`` parents."""
     out = np.zeros((n, rows.shape[1]), rows.dtype)
-    np.add.at(out, parent, rows)
+    if len(rows):
+        order = np.argsort(parent, kind="stable")
+        there = parent[order]
+        first = np.flatnonzero(np.diff(there, prepend=-1))
+        out[there[first]] = np.add.reduceat(rows[order], first)
     return out
 
 
@@ -491,19 +520,23 @@ class Strings:
         self.ids = [None if z else i for i, z in zip(ids.tolist(), null.tolist(), strict=True)]
         raw = x.tobytes()
         self.raw = [raw[a:b] for a, b in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True)]
-        x, at, self.first = byte_rows(self.raw, depth)
-        # in place and by slices: a chunk has many bytes, and each array here is 8 times as large
-        code = np.zeros(len(x) - depth, np.int64)
-        for d in range(depth, -1, -1):
-            code <<= 8
-            code |= x[depth - d:len(x) - d]
-        at -= depth
-        code = code[at]
-        del x, at
-        coded = pa.array(code).dictionary_encode()
-        del code
-        keys = coded.dictionary.to_numpy()
-        self.place = coded.indices.to_numpy()
+        # some texts at a time: an array of strings is 8 times as large as their bytes
+        codes, self.first = [], []
+        part = np.cumsum([0, *map(len, self.raw)])[:-1] // CODED
+        for some in np.split(np.arange(len(self.raw)), np.flatnonzero(np.diff(part)) + 1):
+            x, at, first = byte_rows(self.raw[some[0]:some[-1] + 1], depth)
+            code = np.zeros(len(x) - depth, np.int64)
+            for d in range(depth, -1, -1):
+                code <<= 8
+                code |= x[depth - d:len(x) - d]
+            at -= depth
+            codes.append(pa.array(code[at]))
+            self.first.append(first)
+        # all parts are coded by one dictionary
+        coded = pa.chunked_array(codes).dictionary_encode()
+        del codes
+        keys = coded.chunk(0).dictionary.to_numpy()
+        self.place = [c.indices.to_numpy() for c in coded.chunks]
         bucket = _bucket(keys, split, buckets)
         self.order = np.lexsort((keys, bucket))
         self.keys, self.bucket = keys[self.order], bucket[self.order]
@@ -516,7 +549,8 @@ class Strings:
         """Of each document, with the values of the strings as asked for."""
         by_place = np.zeros(len(values))
         by_place[self.order] = values
-        return np.add.reduceat(by_place[self.place], self.first).tolist()
+        return [s for place, first in zip(self.place, self.first, strict=True)
+                for s in np.add.reduceat(by_place[place], first).tolist()]
 
 
 def _ask(depth: int, split: int, buckets: int):
@@ -557,14 +591,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
         "word").agg(F.sum("n").alias("n"))
 
 
-def _scores(shared, n_all: int, n_distinct: int, buckets: int):
+def _scores(shared, buckets: int):
     """Per document a row with its sums over broadcast words, under a key that
     no word has, and a row for each other distinct word."""
 
     def run(chunks: pa.Table, replies: pa.Table) -> pa.Table:
-        top, heads = shared.value
-        space = math.log10(n_all + n_distinct + 1)
-        logs = {w: (math.log10(n + 1) - space) for w, n in heads.items()}
+        top, logs = shared.value
         key, row, ids, base, known, tokens, model, size = ([] for _ in range(8))
         more_words: list[bytes] = []
         more_rows: list[int] = []
@@ -618,8 +650,9 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataFram
     words = staged(word_counts(training), "words")
     n_all, n_distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
     often = words.where((F.col("n") * HEAD >= n_all) & (F.octet_length("word") <= HEAD_BYTES)).toArrow()
-    heads = dict(zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((top, heads))
+    space = math.log10(n_all + n_distinct + 1)
+    logs = {w: math.log10(n + 1) - space for w, n in zip(often.column(0).to_pylist(), often.column(1).to_pylist(), strict=True)}
+    shared = spark.sparkContext.broadcast((top, logs))
     # a chunk of a few megabytes is a row: few rows to a batch
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     plain = chunks.select("chunk", "data")
@@ -627,11 +660,11 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH) -> DataFram
     replies = strings.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(
         _answers(shared), "chunk long, bucket int, data binary")
     parts = plain.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        _scores(shared, n_all, n_distinct, buckets),
+        _scores(shared, buckets),
         "word binary, row long, freq long, doc_id long, base double, known long, tokens long, model double, n_bytes long")
     met = parts.join(words, "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
-    base = F.coalesce(F.col("base"), F.col("freq") * (F.log10(n + 1) - F.lit(math.log10(n_all + n_distinct + 1))))
+    base = F.coalesce(F.col("base"), F.col("freq") * (F.log10(n + 1) - F.lit(space)))
     known = F.coalesce(F.col("known"), F.when(n > 0, F.col("freq")).otherwise(0))
     out = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.max("tokens").alias("n_tokens"),

@@ -2,11 +2,13 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +199,46 @@ def test_scores_of_repeated_and_empty(spark):
     assert math.isclose(untrained["bits_per_byte"], 8, abs_tol=1e-4)
 
 
+def test_strings_of_a_chunk_take_few_times_its_bytes():
+    """All positions of a chunk at once took over 25 times the chunk's bytes."""
+    rng = np.random.default_rng(3)
+    raw = [rng.choice(np.frombuffer(b"abc de", np.uint8), n).tobytes() for n in [0, 3 << 20, *[5000] * 1000, 1, 0]]
+    joined = np.frombuffer(b"".join(raw), np.uint8)
+    data = ctw.pack(np.arange(len(raw)), np.zeros(len(raw), np.uint8), np.cumsum([len(r) for r in raw]), joined)
+    tracemalloc.start()
+    chunk = ctw.Strings(data, 3, 2, 7)
+    value = {k: float(k % 1009) for k in chunk.keys.tolist()}
+    got = chunk.sums(np.array(list(value.values()), np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(joined)
+    for i in (0, 1, 2, 500, len(raw) - 2, len(raw) - 1):
+        x, at, _ = ctw.byte_rows([raw[i]], 3)
+        keys = sum(x[at - d].astype(int) << 8 * d for d in range(4))
+        assert got[i] == sum(value[k] for k in keys.tolist())
+
+
+def test_strings_are_counted_in_few_times_their_bytes():
+    """Blocks of strings took over 25 times the bytes of their texts."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 101, 1 << 15))) for _ in range(16)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])] * 18
+    tracemalloc.start()
+    got = [(s, n) for b in ctw._strings(5)(iter(batches)) for s, n in zip(b["s"].to_pylist(), b["n"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 22 * ctw.BLOCK
+    x, at, _ = ctw.byte_rows(texts, 5)
+    want = Counter(sum(x[at - d].astype(int) << 8 * d for d in range(6)).tolist())
+    assert dict(got) == {s: 18 * n for s, n in want.items()}
+
+
+def test_log_gammas_of_small_and_large_counts():
+    n = np.array([[0, 1, 7, ctw.TABLE - 1], [ctw.TABLE, ctw.TABLE + 1, 10**9, 3]])
+    for more in (0.5, 1.0):
+        assert np.allclose(ctw._log_gamma(n, more), [[math.lgamma(x + more) for x in r] for r in n.tolist()], rtol=1e-12)
+
+
 # --- I-Match -------------------------------------------------------------------------
 
 def test_imatch_equals_sql(spark, docs):
