@@ -97,13 +97,15 @@ def zscores(scores: DataFrame) -> DataFrame:
 def histograms(z: DataFrame, bins: int = 10) -> DataFrame:
     """10 equal bins over each writer's own range, for z and raw scores.
     The maximum falls in the last bin; a constant range is widened by 0.5."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("x"))
+                                for k, c in (("z", "z_score"), ("raw", "score"))])).alias("v")
+    long = z.select("writer", "dim", "am", "sm", kinds).select("writer", "dim", "am", "sm", "v.*").filter(
+        F.col("x").isNotNull())
     # bins are cut on values rounded to 9 decimals, so float noise cannot move
-    # a value across an edge
-    long = z.select("writer", "dim", "am", "sm", F.lit("z").alias("kind"), F.bround("z_score", 9).alias("x")).unionByName(
-        z.select("writer", "dim", "am", "sm", F.lit("raw").alias("kind"), F.bround("score", 9).alias("x"))
-    ).filter(F.col("x").isNotNull())
+    # a value across an edge; rounding keeps order, so the range needs it but twice
     keys = ["writer", "dim", "am", "sm", "kind"]
-    rng = long.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rng = long.groupBy(*keys).agg(F.bround(F.min("x"), 9).alias("lo"), F.bround(F.max("x"), 9).alias("hi"))
+    long = long.withColumn("x", F.bround("x", 9))
     rng = rng.select(
         *keys,
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),

@@ -187,7 +187,7 @@ def _sub_batch(prot: list[str]):
     return run
 
 
-def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
+def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS, parser=None) -> DataFrame:
     """E04 over the per-sentence form ``(s_key, sent_id, base, pos[], text[],
     tag[], dep[], head[])`` (what an annotator emits; no shuffle needed).
 
@@ -195,9 +195,16 @@ def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS)
     does not follow the batch; E02 is
     a lookup of each token's head, and E03's "any ancestor is a protagonist"
     is computed for every token at once by pointer doubling (log2 of the
-    sentence length passes), so no per-token climb."""
+    sentence length passes), so no per-token climb.
+
+    ``parser``: an annotator (Arrow batches of ``s`` -> batches of that form) whose
+    sentences the rules read in its own task: its tokens, several strings each, do
+    not pass through the JVM in between."""
+    rules = _sub_batch(list(prot))
+    if parser is not None:
+        return s.mapInArrow(lambda batches: rules(parser(batches)), SUB_SCHEMA)
     cols = s.select("s_key", "base", "pos", "text", "tag", "dep", "head")
-    return cols.mapInArrow(_sub_batch(list(prot)), SUB_SCHEMA)
+    return cols.mapInArrow(rules, SUB_SCHEMA)
 
 
 def gated_sentences(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:

@@ -37,8 +37,8 @@ def attrs_for(spark: SparkSession, sf: str, ams: list[str] = ATTR_METHODS) -> Da
     if "all" in ams:
         parts.append(A.all_attrs(fx.stories(spark, sf)).select("s_key", F.lit("all").alias("am"), "attr"))
     if "sub" in ams:
-        parts.append(A.sub_attrs_from_sentences(fx.sentences(spark, sf), fx.FIXTURE_PROTAGONIST).select(
-            "s_key", F.lit("sub").alias("am"), "attr"))
+        sub = A.sub_attrs_from_sentences(fx.parser_input(spark, sf), fx.FIXTURE_PROTAGONIST, fx._sentence_parser)
+        parts.append(sub.select("s_key", F.lit("sub").alias("am"), "attr"))
     if "comet" in ams:
         parts.append(A.normalise_phrases(fx.phrases(spark, sf)).select("s_key", F.lit("comet").alias("am"), "attr"))
     out = parts[0]

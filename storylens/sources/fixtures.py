@@ -249,8 +249,12 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_tokens in the per-sentence form an annotator emits:
     ``(s_key, sent_id, base, pos[], text[], tag[], dep[], head[])``, produced
     per document by a stand-in parser (no shuffle)."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_key"), "text")
-    return d.mapInArrow(_sentence_parser, SENTENCE_SCHEMA)
+    return parser_input(spark, sf_dir).mapInArrow(_sentence_parser, SENTENCE_SCHEMA)
+
+
+def parser_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(s_key, text)``, what the stand-in parser reads."""
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s_key"), "text")
 
 
 def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

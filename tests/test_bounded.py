@@ -94,3 +94,17 @@ def test_long_tokens_are_shuffled_as_plain_lists(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(out.collect(), key=key) == sorted(want.collect(), key=key) and {r["rule"] for r in want.collect()} == {"E02", "E03"}
     assert "struct(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_read_a_parser_in_its_own_task(spark, tmp_path):
+    """Attributes of the grid went through the JVM as tokens between parser and rules."""
+    from storylens.plans import common as C
+
+    rows = [(1, "the cat of la view " * 40), (2, ""), (3, None), (3, "The  end\tof it"), (2**40, "de " * 70)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = C.attrs_for(spark, str(tmp_path), ["sub"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    want = A.sub_attrs_from_sentences(fixtures.sentences(spark, str(tmp_path)), fixtures.FIXTURE_PROTAGONIST)
+    assert sorted((r["s_key"], r["attr"]) for r in got.collect()) == sorted((r["s_key"], r["attr"]) for r in want.collect())
+    assert got.count() > 5

@@ -146,3 +146,29 @@ def test_bootstrap_spread_is_that_of_the_mean(spark):
         assert g["h"]["s"] == 0
     ci = {r["g"]: r for r in M.bootstrap_mean(df, ["g"], "v", "k").collect()}
     assert ci["h"]["ci_lo"] == ci["h"]["ci_hi"] == 4.0 and ci["g"]["ci_lo"] < np.mean(values) < ci["g"]["ci_hi"]
+
+
+def test_histograms_read_their_rows_once_a_pass(spark):
+    """Both kinds of values were taken in scans of their own, and rounded for the range too."""
+    import random
+
+    from storylens.operators.analysis import histograms
+
+    rng = random.Random(2)
+    rows = [("human", "d", "all", "avg", z, s) for z, s in
+            [(0.0, 0.1), (1.0, 0.1), (0.3 + 1e-12, None), (None, 0.1), (0.3, 0.1 + 1e-13)]]
+    rows += [("gpt-3.5", "d", "all", "avg", rng.gauss(0, 1), rng.random()) for _ in range(300)]
+    z = spark.createDataFrame(rows, "writer string, dim string, am string, sm string, z_score double, score double")
+    out = histograms(z)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    got = {(r["writer"], r["kind"], r["bin"]): r["cnt"] for r in out.collect()}
+    want = {}
+    for i, kind in ((4, "z"), (5, "raw")):
+        for writer in ("human", "gpt-3.5"):
+            x = [round(r[i], 9) for r in rows if r[0] == writer and r[i] is not None]
+            lo, hi = (min(x), max(x)) if min(x) < max(x) else (min(x) - 0.5, max(x) + 0.5)
+            for v in x:
+                key = writer, kind, min(int((v - lo) * 10 / (hi - lo)) + 1, 10)
+                want[key] = want.get(key, 0) + 1
+    assert got == want
