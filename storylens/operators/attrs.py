@@ -36,9 +36,12 @@ def check_attr_method(method: str | None, default: str = "all") -> str:
     return "all" if m == "full" else m
 
 
-def all_attrs(stories: DataFrame, text_col: str = "text") -> DataFrame:
+def all_attrs(stories: DataFrame, text_col: str = "text", exploded: bool = True) -> DataFrame:
     """E01 without annotations: every whitespace token, original case.
-    Returns ``(s_key, ord, attr)``."""
+    Returns ``(s_key, ord, attr)``; unexploded ``(s_key, attrs)``, a story's
+    attributes as one text with whitespace between them."""
+    if not exploded:
+        return stories.select("s_key", F.col(text_col).alias("attrs"))
     return stories.select("s_key", F.posexplode(whitespace_words(text_col)).alias("ord", "attr"))
 
 
@@ -157,7 +160,18 @@ def _flagged_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _sub_rows(key, pos, lens, text, parent, *has[:3], has[3][parent])
 
 
-def _sub_batch(prot: list[str]):
+LIST_SCHEMA = "s_key long, attrs array<string>"
+_LIST_ARROW = pa.schema([("s_key", pa.int64()), ("attrs", pa.list_(pa.string()))])
+
+
+def _listed(keys: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Words as one list for each run of rows with the same key."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)).astype(np.int32)), words)
+    return pa.RecordBatch.from_arrays([pa.array(keys[first]), lists], schema=_LIST_ARROW)
+
+
+def _sub_batch(prot: list[str], exploded: bool = True):
     prot_set = pa.array(sorted(set(prot)), pa.string())
 
     def true(found) -> np.ndarray:
@@ -179,6 +193,16 @@ def _sub_batch(prot: list[str]):
             at2, at3 = np.flatnonzero(m2), np.flatnonzero(m3)
             at = np.concatenate([at2, at3])
             of = np.repeat(np.arange(len(lens)), lens)[at]
+            if not exploded:
+                # a sentence without a key comes back from Arrow as rows do: on its own
+                order, taken = np.argsort(of, kind="stable"), np.concatenate([parent[at2], at3])
+                key = rb.column("s_key").cast(pa.int64()).take(pa.array(of[order]))
+                for null in (False, True):
+                    mine = pc.equal(pc.is_null(key), null).to_numpy(zero_copy_only=False)
+                    keys = pc.fill_null(key.filter(pa.array(mine)), 0).to_numpy(zero_copy_only=False)
+                    got = _listed(keys, text.take(pa.array(taken[order][mine])))
+                    yield got if not null else got.set_column(0, "s_key", pa.nulls(len(got), pa.int64()))
+                continue
             yield pa.RecordBatch.from_arrays([
                 rb.column("s_key").cast(pa.int64()).take(pa.array(of)), pa.array(pos[at].astype(np.int32)),
                 text.take(pa.array(np.concatenate([parent[at2], at3]))),
@@ -187,7 +211,8 @@ def _sub_batch(prot: list[str]):
     return run
 
 
-def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS, parser=None) -> DataFrame:
+def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS, parser=None,
+                             exploded: bool = True) -> DataFrame:
     """E04 over the per-sentence form ``(s_key, sent_id, base, pos[], text[],
     tag[], dep[], head[])`` (what an annotator emits; no shuffle needed).
 
@@ -199,12 +224,13 @@ def sub_attrs_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS,
 
     ``parser``: an annotator (Arrow batches of ``s`` -> batches of that form) whose
     sentences the rules read in its own task: its tokens, several strings each, do
-    not pass through the JVM in between."""
-    rules = _sub_batch(list(prot))
+    not pass through the JVM in between. Unexploded ``(s_key, attrs)``: lists of
+    attributes, of which a story has one or more."""
+    rules, schema = _sub_batch(list(prot), exploded), SUB_SCHEMA if exploded else LIST_SCHEMA
     if parser is not None:
-        return s.mapInArrow(lambda batches: rules(parser(batches)), SUB_SCHEMA)
+        return s.mapInArrow(lambda batches: rules(parser(batches)), schema)
     cols = s.select("s_key", "base", "pos", "text", "tag", "dep", "head")
-    return cols.mapInArrow(rules, SUB_SCHEMA)
+    return cols.mapInArrow(rules, schema)
 
 
 def gated_sentences(tokens: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) -> DataFrame:
@@ -226,9 +252,13 @@ def gated_from_sentences(s: DataFrame, prot: list[str] = PROTAGONIST_TOKENS) ->
     return s.filter(hit).select("s_key", "sent_id", F.array_join("text", " ").alias("sentence"))
 
 
-def normalise_phrases(phrases: DataFrame, col: str = "phrases") -> DataFrame:
+def normalise_phrases(phrases: DataFrame, col: str = "phrases", exploded: bool = True) -> DataFrame:
     """Remove ASCII punctuation, lower-case, split on whitespace, flatten.
-    ``(s_key, phrases array<string>)`` -> ``(s_key, ord, attr)``."""
+    ``(s_key, phrases array<string>)`` -> ``(s_key, ord, attr)``; unexploded
+    ``(s_key, attrs)``, a story's words as one text with whitespace between them
+    (which also parts phrases, so that none goes on in the next)."""
+    if not exploded:
+        return phrases.select("s_key", F.lower(strip_ascii_punctuation(F.array_join(col, " "))).alias("attrs"))
     p = phrases.select("s_key", F.posexplode(col).alias("ph_no", "ph"))
     w = p.select("s_key", "ph_no", F.posexplode(whitespace_words(F.lower(strip_ascii_punctuation("ph")))).alias("w_no", "attr"))
     return w.select("s_key", "ph_no", "w_no", "attr")

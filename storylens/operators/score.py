@@ -10,17 +10,24 @@ Plan shape (rewrites that hold by linearity):
     (dim, sm), and are reduced with one ``groupBy``. A table below a fixed size
     is broadcast, so that only sums per story are shuffled; with a larger one,
     attributes are pre-aggregated to ``(s_key, am, word, n)`` and joined by word.
+  * attributes that come as a text or a list per story are looked up and summed
+    on Arrow batches, so no row and no JVM string of a token is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storylens.constants import ATTR_METHODS, DIMENSIONS, SCORE_METHODS
+from storylens.functions.text import whitespace_words
 from storylens.functions.vectors import as_double, dot, norm, spread, unit, vector_mean
 from storylens.operators.lexicon import lexicon_modes, poles, seeds
 from storylens.operators.pairing import contrast_pairs
@@ -28,6 +35,13 @@ from storylens.session import ensure_checkpoint_dir
 
 # Bytes up to which a table of word scores is broadcast.
 BROADCAST_BYTES = 64 << 20
+# The same for attributes per story, whose workers hold the table as one matrix.
+MATRIX_BYTES = 160 << 20
+# Bytes of attributes that such a worker splits at a time (a longer story alone), at least and for
+# each word of the table, whose hash table is made anew for them; and words that it adds up at a time.
+SPLIT_BYTES = 2 << 20
+SPLIT_BYTES_PER_WORD = 24
+SUM_WORDS = 1 << 13
 
 
 def check_score_method(sm: str) -> str:
@@ -162,10 +176,102 @@ def _table_facts(wide: DataFrame, coords: list[tuple[str, str]]) -> tuple[int, l
             [i if differ[i] else j for i, j in enumerate(first)], [n > 0 for n in rest])
 
 
-def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFrame, modes: DataFrame,
+def word_matrix(wide: DataFrame, names: list[str], counted: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of a word table and a row for each: its values (0 for none), and 1
+    or 0 for each of the ``counted`` columns that has one."""
+    t = wide.filter(F.col("w").isNotNull()).select("w", *names).toArrow()
+    out = np.zeros((len(t), len(names) + len(counted)))
+    for i, c in enumerate(names):
+        out[:, i] = pc.fill_null(t[c], 0.0).to_numpy()
+    for i, c in enumerate(counted, len(names)):
+        out[:, i] = pc.is_valid(t[c]).to_numpy()
+    return pa.concat_arrays(t["w"].chunks) if t.num_rows else pa.array([], pa.string()), out
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, of up to ``most`` bytes of attributes; a longer row comes alone."""
+    for rb in batches:
+        col = rb.column("attrs")
+        size = pc.binary_length(col) if not pa.types.is_list(col.type) else pc.multiply(pc.list_value_length(col), 8)
+        ends = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < rb.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield rb.slice(start, end - start)
+            start = end
+
+
+def _row_sums(of: np.ndarray, row: np.ndarray, matrix: np.ndarray, n: int, most: int = SUM_WORDS) -> np.ndarray:
+    """Sums of the matrix's rows ``row`` (-1: none) for each of ``n`` stories; ``of``: story of each, ascending."""
+    out = np.zeros((n, matrix.shape[1]))
+    of, row = of[row >= 0], row[row >= 0]
+    for at in range(0, len(row), most):
+        part = of[at:at + most]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        out[part[first]] += np.add.reduceat(matrix[row[at:at + most]], first, axis=0)
+    return out
+
+
+def _attr_sums(shared, n_sums: int, most: int = SPLIT_BYTES):
+    """Batches ``(s_key, am, attrs)`` -> ``(s_key, am, n_all, sums..., counts...)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, matrix = shared.value
+        for rb in _slices(batches, max(most, SPLIT_BYTES_PER_WORD * len(words))):
+            attrs = rb.column("attrs")
+            text = not pa.types.is_list(attrs.type)
+            if text:
+                attrs = pc.ascii_split_whitespace(attrs)
+            of = np.repeat(np.arange(len(rb)), pc.fill_null(pc.list_value_length(attrs), 0).to_numpy(zero_copy_only=False))
+            w = attrs.flatten()
+            row = pc.fill_null(pc.index_in(w, value_set=words.cast(w.type)), -1).to_numpy(zero_copy_only=False)
+            if text:  # the pieces before and after outer whitespace are no words
+                some = pc.greater(pc.binary_length(w), 0).to_numpy(zero_copy_only=False)
+                of, row = of[some], row[some]
+            sums = _row_sums(of, row, matrix, len(rb))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("s_key"), rb.column("am"), pa.array(np.bincount(of, minlength=len(rb)).astype(np.int64)),
+                 *[pa.array(sums[:, i] if i < n_sums else sums[:, i].astype(np.int64)) for i in range(sums.shape[1])]],
+                names=["s_key", "am", "n_all", *[f"c{i}" for i in range(sums.shape[1])]])
+
+    return run
+
+
+def _sums_of_lists(tables: list[DataFrame], wide: DataFrame, parts: list[list[str]], same_nulls: list[int]) -> DataFrame:
+    """Sums and counts per (story, am) of attributes that come per story. ``parts``:
+    columns of ``wide`` whose sums make up a coordinate's."""
+    spark = wide.sparkSession
+    names, counted = [c for own in parts for c in own], sorted(set(same_nulls))
+    shared = spark.sparkContext.broadcast(word_matrix(wide, names, [parts[j][0] for j in counted]))
+    sums = None
+    for t in tables:
+        text = t.schema["attrs"].dataType.typeName() == "string"
+        key, low = t.schema["s_key"].dataType.simpleString(), F.lower("attrs") if text else F.transform("attrs", F.lower)
+        of = ", ".join([f"s_key {key}, am string, n_all long", *[f"c{i} double" for i in range(len(names))],
+                        *[f"c{i + len(names)} long" for i in range(len(counted))]])
+        one = t.filter(F.col("attrs").isNotNull()).select("s_key", "am", low.alias("attrs")).mapInArrow(
+            _attr_sums(shared, len(names)), of)
+        sums = one if sums is None else sums.unionByName(one)
+    # a key may come in several rows
+    return sums.groupBy("s_key", "am").agg(
+        F.sum("n_all").alias("n_all"),
+        *[reduce(add, [F.sum(f"c{names.index(c)}") for c in own]).alias(f"num{i}") for i, own in enumerate(parts)],
+        *[F.sum(f"c{len(names) + counted.index(j)}").alias(f"den{i}") for i, j in enumerate(same_nulls)])
+
+
+def exploded_attrs(tables: list[DataFrame]) -> DataFrame:
+    """``(s_key, am, attr)`` of attributes that come per story, as texts or as lists."""
+    rows = [t.select("s_key", "am", F.explode(
+        whitespace_words("attrs") if t.schema["attrs"].dataType.typeName() == "string" else F.col("attrs")).alias("attr"))
+        for t in tables]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def score_with_table(stories: DataFrame, attrs: DataFrame | list[DataFrame], word_scores: DataFrame, modes: DataFrame,
                      dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS,
                      sms: list[str] = SCORE_METHODS, coords: list[tuple[str, str]] | None = None,
-                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                     broadcast_bytes: int | None = None) -> DataFrame:
     """Score stories against a prepared word-score table; every story gets
     every coordinate (``coords``: some pairs of dims x sms).
 
@@ -177,25 +283,36 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     ``broadcast_bytes`` of it are broadcast to the attributes, whose scores are
     summed per (story, am). A larger one joins counts per (story, am, word)
     without a hint (AQE splits skewed words), and the products are summed.
+
+    attrs: ``(s_key, am, attr)``, or a list of tables ``(s_key, am, attrs)`` with
+    the attributes of a story, or some of them, as a text with whitespace between
+    them or as an array: these are not exploded if the table is broadcast.
     """
     coords = coords or coordinates(dims, sms)
     wide = wide_word_scores(word_scores, coords).checkpoint()
-    attrs = attrs.filter(F.col("am").isin(ams))
+    per_story_lists = isinstance(attrs, list)
+    attrs = [t.filter(F.col("am").isin(ams)) for t in (attrs if per_story_lists else [attrs])]
     n_bytes, same_nulls, has_rest = _table_facts(wide, coords)
+    if broadcast_bytes is None:
+        broadcast_bytes = MATRIX_BYTES if per_story_lists else BROADCAST_BYTES
     if n_bytes <= broadcast_bytes:
-        words = attrs.select("s_key", "am", F.lower(F.col("attr")).alias("w"))
         # means of lexicon scores are often ties of the rounding, so their sums must not
         # depend on the order of a story's words; means of cosines are none
         parts = [_exact_parts(F.col(f"k{i}"))[:1 + has_rest[i]] if m == "avg" else (F.col(f"k{i}"),)
                  for i, (_, m) in enumerate(coords)]
         wide = wide.select("w", *[p.alias(f"k{i}_{j}") for i, ps in enumerate(parts) for j, p in enumerate(ps)])
+    if n_bytes <= broadcast_bytes and per_story_lists:
+        per_story = _sums_of_lists(
+            attrs, wide, [[f"k{i}_{j}" for j in range(len(ps))] for i, ps in enumerate(parts)], same_nulls)
+    elif n_bytes <= broadcast_bytes:
+        words = attrs[0].select("s_key", "am", F.lower(F.col("attr")).alias("w"))
         per_story = words.join(F.broadcast(wide), "w", "left").groupBy("s_key", "am").agg(
             F.count(F.lit(1)).alias("n_all"),
             *[reduce(add, [F.sum(f"k{i}_{j}") for j in range(len(ps))]).alias(f"num{i}") for i, ps in enumerate(parts)],
             # coordinates that are null for the same words share one count
             *[F.count(f"k{j}_0").alias(f"den{i}") for i, j in enumerate(same_nulls)])
     else:
-        j = attr_word_counts(attrs).join(wide, "w", "left")
+        j = attr_word_counts(exploded_attrs(attrs) if per_story_lists else attrs[0]).join(wide, "w", "left")
         n = F.col("n")
         aggs = [F.sum(n).alias("n_all")]
         for i in range(len(coords)):
@@ -223,14 +340,15 @@ def score_with_table(stories: DataFrame, attrs: DataFrame, word_scores: DataFram
     return res.withColumn("score", score.cast("double")).drop("num", "den", "n_all", "unipolar")
 
 
-def score_stories(stories: DataFrame, attrs: DataFrame, lex: DataFrame, vectors: DataFrame | None = None,
+def score_stories(stories: DataFrame, attrs: DataFrame | list[DataFrame], lex: DataFrame, vectors: DataFrame | None = None,
                   dims: list[str] = DIMENSIONS, ams: list[str] = ATTR_METHODS, sms: list[str] = SCORE_METHODS,
                   use_contrast: bool = True, coords: list[tuple[str, str]] | None = None) -> DataFrame:
     """C14: one row per (story, am, dim, sm). With ``coords``, some pairs of
     dims x sms, nothing is computed for other pairs.
 
     stories: ``(s_key, ...)`` - every story gets every coordinate.
-    attrs: ``(s_key, am, attr)`` exploded attribute lists (duplicates kept).
+    attrs: ``(s_key, am, attr)`` exploded attribute lists (duplicates kept), or
+    tables ``(s_key, am, attrs)`` as ``score_with_table`` takes them.
     lex: ``(dim, word, score, ord)``; vectors: ``(word, vec)``.
     """
     coords = coords or coordinates(dims, sms)

@@ -31,18 +31,23 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def attrs_for(spark: SparkSession, sf: str, ams: list[str] = ATTR_METHODS) -> DataFrame:
-    """``(s_key, am, attr)`` for the requested attribute methods."""
+def attr_tables(spark: SparkSession, sf: str, ams: list[str] = ATTR_METHODS, exploded: bool = True) -> list[DataFrame]:
+    """``(s_key, am, attr)`` of each requested attribute method, or unexploded ``(s_key, am, attrs)``."""
     parts = []
     if "all" in ams:
-        parts.append(A.all_attrs(fx.stories(spark, sf)).select("s_key", F.lit("all").alias("am"), "attr"))
+        parts.append(("all", A.all_attrs(fx.stories(spark, sf), exploded=exploded)))
     if "sub" in ams:
-        sub = A.sub_attrs_from_sentences(fx.parser_input(spark, sf), fx.FIXTURE_PROTAGONIST, fx._sentence_parser)
-        parts.append(sub.select("s_key", F.lit("sub").alias("am"), "attr"))
+        parts.append(("sub", A.sub_attrs_from_sentences(
+            fx.parser_input(spark, sf), fx.FIXTURE_PROTAGONIST, fx._sentence_parser, exploded)))
     if "comet" in ams:
-        parts.append(A.normalise_phrases(fx.phrases(spark, sf)).select("s_key", F.lit("comet").alias("am"), "attr"))
-    out = parts[0]
-    for p in parts[1:]:
+        parts.append(("comet", A.normalise_phrases(fx.phrases(spark, sf), exploded=exploded)))
+    return [p.select("s_key", F.lit(am).alias("am"), "attr" if exploded else "attrs") for am, p in parts]
+
+
+def attrs_for(spark: SparkSession, sf: str, ams: list[str] = ATTR_METHODS) -> DataFrame:
+    """``(s_key, am, attr)`` for the requested attribute methods."""
+    out, *more = attr_tables(spark, sf, ams)
+    for p in more:
         out = out.unionByName(p)
     return out
 
@@ -65,7 +70,8 @@ def grid_scores(spark: SparkSession, sf: str, dims=DIMENSIONS, ams=ATTR_METHODS,
     path = shared_dir(spark, f"grid-{uuid.uuid4().hex}")
     for own, coords in asked:
         vec = fx.vectors(spark, sf) if any(m in ("axis", "sim") for _, m in coords) else None
-        s = score_stories(stories, attrs_for(spark, sf, own), lex, vec, ams=own, use_contrast=use_contrast, coords=coords)
+        attrs = attr_tables(spark, sf, own, exploded=False)
+        s = score_stories(stories, attrs, lex, vec, ams=own, use_contrast=use_contrast, coords=coords)
         s = blank_meaningless(s) if blank else s
         s.write.partitionBy("am", "sm").mode("append").parquet(path)
     return spark.read.schema(s.schema).parquet(path).select(*s.columns)

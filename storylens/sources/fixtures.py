@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +96,32 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.filter(F.col("word").rlike("^[a-z]+$"))
 
 
+# Bytes of text whose words are counted at a time (a longer text alone).
+COUNTED_BYTES = 2 << 20
+
+
+def _counted(batches, most: int = COUNTED_BYTES):
+    """Batches ``(text)`` -> distinct pieces between whitespace and their counts, a slice of texts at a time."""
+    for rb in batches:
+        texts = rb.column("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            found = pc.value_counts(pc.ascii_split_whitespace(texts.slice(start, end - start)).flatten())
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+            start = end
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``words`` counted, ``(word, cnt)``: a word meets the letters' test once a
+    slice of texts, and no row is made for each time that it comes."""
+    d = read_table(spark, sf_dir, "documents").select(F.lower("text").alias("text")).filter(F.col("text").isNotNull())
+    w = d.mapInArrow(_counted, "word string, n long").filter(F.col("word").rlike("^[a-z]+$"))
+    return w.groupBy("word").agg(F.sum("n").alias("cnt"))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_vocab: (word, vec_id, vec, label); vec_id = frequency rank - 1.
 
@@ -103,7 +130,7 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     def build():
         # distinct words with counts, written once: the ranking reads it twice
-        counts = words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).checkpoint()
+        counts = word_counts(spark, sf_dir).checkpoint()
         ranked = sequential_index(counts, ["cnt", "word"], "vec_id", descending=("cnt",))
         emb = read_table(spark, sf_dir, "embeddings")
         return ranked.join(emb, "vec_id").select("word", "vec_id", F.col("embedding").alias("vec"), "label")
@@ -193,21 +220,23 @@ PARSER_TOKENS = 1 << 16
 
 
 def _word_chunks(batches, most: int):
-    """Keys and words of consecutive texts, up to ``most`` words at a time
-    whatever the size of an Arrow batch; a longer text comes alone."""
+    """Keys, words and numbers of words of consecutive texts, up to ``most`` words at a
+    time whatever the size of an Arrow batch; a longer text comes alone."""
     for rb in batches:
-        keys, texts = rb.column("s_key"), rb.column("text")
-        at, toks, lens = [], [], []
-        for i in range(rb.num_rows):
-            w = (texts[i].as_py() or "").split()
-            if at and len(toks) + len(w) > most:
-                yield keys.take(pa.array(at)), toks, lens
-                at, toks, lens = [], [], []
-            at.append(i)
-            toks.extend(w)
-            lens.append(len(w))
-        if at:
-            yield keys.take(pa.array(at)), toks, lens
+        keys, texts = rb.column("s_key"), pc.fill_null(rb.column("text"), "")
+        # a word takes two bytes of text at least, but for the last of a text
+        ends = np.cumsum((pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) // 2)
+        start = 0
+        while start < rb.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            split = pc.utf8_split_whitespace(texts.slice(start, end - start))
+            words = split.flatten()
+            some = pc.greater(pc.binary_length(words), 0)  # none before and after outer whitespace
+            of = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+            lens = np.bincount(of[some.to_numpy(zero_copy_only=False)], minlength=len(split))
+            yield keys.slice(start, end - start), words.filter(some), lens
+            start = end
 
 
 def _sentence_parser(batches, most: int = PARSER_TOKENS):
@@ -215,7 +244,7 @@ def _sentence_parser(batches, most: int = PARSER_TOKENS):
     from flat numpy arrays per chunk of texts."""
     for keys, toks, lens in _word_chunks(batches, most):
         keys = keys.to_numpy(zero_copy_only=False)
-        lens = np.asarray(lens, dtype=np.int64)
+        lens = lens.astype(np.int64)
         total = int(lens.sum())
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
         pos = np.arange(total, dtype=np.int64) - np.repeat(starts, lens)
@@ -236,7 +265,7 @@ def _sentence_parser(batches, most: int = PARSER_TOKENS):
                 pa.array((pos[first] // SENTENCE_LEN).astype(np.int32)),
                 pa.array(pos[first].astype(np.int32)),
                 lst(pa.array(pos.astype(np.int32))),
-                lst(pa.array(toks, pa.string())),
+                lst(toks.cast(pa.string())),
                 lst(tag),
                 lst(dep),
                 lst(pa.array(head.astype(np.int32))),
