@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storylens.functions.indexing import cumulative_sum, sequential_index
+from storylens.session import ensure_checkpoint_dir
 
 
 def average_ranks(df: DataFrame, group_cols: list[str], value_col: str, key_cols: list[str],
@@ -81,6 +82,9 @@ def spearman(df: DataFrame, group_cols: list[str], x: str, y: str, key_cols: lis
     if bounded_groups:
         r = window_average_ranks(window_average_ranks(d, group_cols, x, "_rx"), group_cols, y, "_ry")
         return pearson(r, group_cols, "_rx", "_ry", "sp_corr")
+    # stored: both ranks sort it, each after a pass for the borders, and both are joined to it
+    ensure_checkpoint_dir(d.sparkSession)
+    d = d.checkpoint()
     rx = average_ranks(d, group_cols, x, key_cols, "_rx")
     ry = average_ranks(d.select(*group_cols, *key_cols, y), group_cols, y, key_cols, "_ry")
     r = rx.join(ry.select(*group_cols, *key_cols, "_ry"), [*group_cols, *key_cols])

@@ -23,6 +23,7 @@ from storylens.constants import (
 )
 from storylens.functions.stats import paired_t, spearman, t_p_value, two_sample_t
 from storylens.functions.text import mean_std_cell
+from storylens.session import ensure_checkpoint_dir
 
 LABEL_COLS = {"TP-M": "tp_m", "TP-F": "tp_f", "FP": "fp", "SP": "sp", "Other": "other"}
 
@@ -130,7 +131,9 @@ def attr_method_agreement(z: DataFrame, writer: str = "human", dims=("appearance
     """Spearman between attribute methods (all-sub, all-comet, sub-comet)
     for the given dims and score methods; each pair omits its own missing rows."""
     s = z.filter((F.col("writer") == writer) & F.col("dim").isin(*dims) & F.col("sm").isin(*sms))
-    p = s.groupBy("dim", "sm", "s_id").pivot("am", ["all", "sub", "comet"]).agg(F.first("score"))
+    # stored: each pair of methods reads it, and its shuffle has every score of the writer
+    ensure_checkpoint_dir(z.sparkSession)
+    p = s.groupBy("dim", "sm", "s_id").pivot("am", ["all", "sub", "comet"]).agg(F.first("score")).checkpoint()
     out = None
     for x, y in (("all", "sub"), ("all", "comet"), ("sub", "comet")):
         r = spearman(p, ["dim", "sm"], x, y, ["s_id"]).select(

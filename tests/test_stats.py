@@ -172,3 +172,32 @@ def test_histograms_read_their_rows_once_a_pass(spark):
                 key = writer, kind, min(int((v - lo) * 10 / (hi - lo)) + 1, 10)
                 want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+def test_rank_correlations_store_what_they_reread(spark):
+    """Each of a correlation's passes made the joins and the pivot of its source again."""
+    import numpy as np
+    import pandas as pd
+
+    from storylens.operators import analysis as N
+
+    rng = np.random.default_rng(3)
+    rows = [("human" if i % 5 else "gpt-3.5", f"s{i}", d, am, sm, None if rng.random() < 0.1 else float(rng.integers(0, 8)))
+            for i in range(60) for d in ("appearance", "intellect") for am in ("all", "sub", "comet") for sm in ("avg", "sim")]
+    cols = ["writer", "s_id", "dim", "am", "sm", "score"]
+    z = spark.createDataFrame(rows, "writer string, s_id string, dim string, am string, sm string, score double")
+    wide = pd.DataFrame(rows, columns=cols)
+    wide = wide[wide.writer == "human"].pivot(index=["dim", "sm", "s_id"], columns="am", values="score")
+    got = N.attr_method_agreement(z)
+    assert "pivotfirst" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    found = {(r["dim"], r["sm"], r["pair"]): (r["n"], r["sp_corr"]) for r in got.collect()}
+    assert len(found) == 12
+    for (dim, sm, pair), (n, corr) in found.items():
+        x, y = pair.split("-")
+        own = wide.loc[(dim, sm)][[x, y]].dropna()
+        assert n == len(own) and corr == pytest.approx(own[x].rank().corr(own[y].rank()))
+    a = spark.createDataFrame([("g", i, float(i % 7)) for i in range(40)], "g string, k int, x double")
+    b = spark.createDataFrame([("g", i, float(i % 5)) for i in range(40)], "g string, k int, y double")
+    r = spearman(a.filter("k > -1717").join(b, ["g", "k"]), ["g"], "x", "y", ["k"])
+    assert "-1717" not in r._jdf.queryExecution().optimizedPlan().toString()  # the source is not made again
+    assert r.collect()[0]["n"] == 40
